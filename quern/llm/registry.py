@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, mixing
+from quern.llm import exact_dedup, language, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score and prediction of every document."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words, weights 5, 2, 1, at most two copies each."""
     mixed = mixing.mix_words(_table(spark, sf_dir, "documents"))
@@ -67,6 +77,8 @@ FROM d
 """
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_language": op2_language,
     "op5_mixing": op5_mixing,
     "op8_exact_dedup": op8_exact_dedup,
 }
