@@ -46,7 +46,7 @@ def text_features(text: str | None) -> list[float]:
     return [
         near(odd / long), near(upper / long), near(digits / long), near(marks / long), near(count[124] / many), near(count[46] / many),
         near(sum(map(eq, tokens, tokens[1:])) / many), near(distinct / k), float(np.log(distinct + 1) / np.log(k + 2)),
-        n / k / 10, near(1 - len(set(lines)) / len(lines)), float(np.log1p(k)) / 10, 0.0,
+        (n + 6 * 8) / many / 10, near(1 - len(set(lines)) / len(lines)), float(np.log1p(k)) / 10, 0.0,
     ]
 
 
