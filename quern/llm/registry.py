@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, language, mixing, quality
+from quern.llm import exact_dedup, language, main_text, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,11 +76,17 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM d
 """
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op5_mixing": op5_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_html": op10_html,
 }
 
 ORACLES = {"op5_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL}
