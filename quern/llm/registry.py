@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, language, main_text, mixing, quality
+from quern.llm import exact_dedup, huffman, language, main_text, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,13 @@ FROM m GROUP BY doc_id, size, source_size, target
 """
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as the files hold them."""
+    import public_tokenizers
+
+    return huffman.encode_and_read_back(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision on every row of documents."""
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents")).select(
@@ -85,6 +92,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op5_mixing": op5_mixing,
+    "op7_tokens": op7_tokens,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_html": op10_html,
 }
