@@ -84,9 +84,10 @@ class OutputCode:
 def _sample(docs: DataFrame, rows_per_language: int) -> DataFrame:
     """(lang, text) of about ``rows_per_language`` training documents of each language, dealt over 8 tasks."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    share = usable.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
+    sizes = usable.groupBy("lang").count().collect()  # a row for each language
     place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    return usable.join(share, "lang").filter(place < F.col("share")).select("lang", "text").repartition(8)
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], rows_per_language / r["count"]) for r in sizes], F.lit(0.0))
+    return usable.filter(place < share).select("lang", "text").repartition(8)
 
 
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> OutputCode:
