@@ -40,38 +40,40 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
+        self.dtype = "<u4" if size > 1 << 16 else "<u2"
         self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes " chunk" for new chunks, many in a text; each begins at a token that begins with the space."""
+        width = int(self.dtype[2])
         for at in range(0, len(chunks), 500):
             part = chunks[at : at + 500]
-            ids = np.frombuffer(self._whole([" " + " ".join(part)])[0], dtype="<u4")
-            begin = np.flatnonzero(self.starts[ids])
+            raw = self._whole([" " + " ".join(part)])[0]
+            begin = np.flatnonzero(self.starts[np.frombuffer(raw, dtype=self.dtype)])
             if len(begin) == len(part):
-                raw = ids.tobytes()
-                ends = [*(begin[1:] * 4).tolist(), len(raw)]
-                self.known.update(zip(part, [raw[a:b] for a, b in zip((begin * 4).tolist(), ends, strict=True)], strict=True))
+                cuts = [*(begin * width).tolist(), len(raw)]
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
             else:
                 self.known.update(zip(part, self._whole([" " + c for c in part]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned integers of ``dtype``."""
         if len(self.known) > REMEMBERED:
             self.known = {}
-        known, split, new = self.known, [], {}
+        known, split, new = self.known, [], []
         for text in texts:
             chunks = text.split(" ")
-            fresh = [c for c in chunks if c not in known]
-            if any(not c or c[0].isspace() or c[-1].isspace() for c in fresh):
+            fresh = {c for c in chunks if c not in known}
+            if "" in fresh or any(c[0].isspace() or c[-1].isspace() for c in fresh):
                 split.append(None)
-            else:
-                split.append(chunks)
-                new.update(dict.fromkeys(fresh))
-        self._learn(list(new))
+                continue
+            split.append(chunks)
+            new += fresh
+            known.update(dict.fromkeys(fresh, b""))  # filled in before it is read
+        self._learn(new)
         heads = iter(self._whole([c[0] for c in split if c is not None]))
         whole = iter(self._whole([t for t, c in zip(texts, split, strict=True) if c is None]))
         return [next(whole) if c is None else next(heads) + b"".join(map(known.__getitem__, c[1:])) for c in split]
@@ -178,15 +180,12 @@ def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, ChunkEncoder(vocabulary))
-        wide = encoder.tokenizer.get_vocab_size() > 1 << 16
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        end = np.array([END_ID], dtype=encoder.dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 found = [e + end for e in encoder.encode(texts)]
-                if not wide:
-                    found = [np.frombuffer(e, dtype="<u4").astype("<u2").tobytes() for e in found]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
@@ -204,8 +203,11 @@ def count_ids(tokens: DataFrame, dtype: str) -> pd.DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for held in batch.column(0):
-                n = np.bincount(np.frombuffer(held.as_buffer(), dtype=dtype))
+            column = batch.column(0)
+            if column.null_count == 0 and len(column):
+                _, offsets, data = column.buffers()
+                ends = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+                n = np.bincount(np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(dtype))
                 if len(n) > len(total):
                     n[: len(total)] += total
                     total = n
