@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, huffman, language, main_text, mixing, quality
+from quern.llm import exact_dedup, huffman, language, main_text, mixing, near_dedup, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document over links of its 2-word shingles."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words, weights 5, 2, 1, at most two copies each."""
     mixed = mixing.mix_words(_table(spark, sf_dir, "documents"))
@@ -91,6 +96,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
+    "op3_near_dedup": op3_near_dedup,
     "op5_mixing": op5_mixing,
     "op7_tokens": op7_tokens,
     "op8_exact_dedup": op8_exact_dedup,

@@ -26,10 +26,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
+        self.written = 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` and returns it as read back."""
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        """Writes ``df`` and returns it as read back; a name used again names the last table."""
+        self.written += 1
+        path = f"{self.root}/{name}-{self.written}"
         df.write.option("compression", "zstd").parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
