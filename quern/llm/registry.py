@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, huffman, language, main_text, mixing, near_dedup, quality
+from quern.llm import ann, exact_dedup, huffman, language, main_text, mixing, near_dedup, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,11 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM d
 """
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return main_text.extract(_table(spark, sf_dir, "pages"))
@@ -100,6 +105,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op7_tokens": op7_tokens,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_ann": op9_ann,
     "op10_html": op10_html,
 }
 
