@@ -23,7 +23,7 @@ from quern.llm.scratch import Scratch
 #: Ids in a block (at least, unless it is the last of its part), ids between two bit offsets, id ending a document.
 BLOCK_IDS, EVERY, END_ID = 1 << 17, 128, 0
 #: Chunks that a worker's encoder remembers.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 
 
 class ChunkEncoder:
@@ -49,8 +49,8 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> None:
         """Encodes " chunk" for new chunks, many in a text; each begins at a token that begins with the space."""
         width = int(self.dtype[2])
-        for at in range(0, len(chunks), 500):
-            part = chunks[at : at + 500]
+        for at in range(0, len(chunks), 1000):
+            part = chunks[at : at + 1000]
             raw = self._whole([" " + " ".join(part)])[0]
             begin = np.flatnonzero(self.starts[np.frombuffer(raw, dtype=self.dtype)])
             if len(begin) == len(part):
@@ -168,12 +168,16 @@ def unpack(payload: bytes, offsets: bytes, n_ids: int, symbol: np.ndarray, lengt
 
 #: Encoders of this worker process, kept between its tasks.
 _ENCODERS: dict[str, ChunkEncoder] = {}
-TOKENS = "doc_id long, ids binary"
+TOKENS = "counted boolean, doc_id long, ids binary"
 BLOCKS = "part int, block int, before long, n_ids long, doc_ids binary, doc_known binary, doc_sizes binary, offsets binary, payload binary"
 
 
 def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, ids) of every whole text, null as empty, with ``END_ID`` after the last; ids are 16-bit if all fit, else 32-bit, by the vocabulary."""
+    """(counted, doc_id, ids): the ids of every whole text, null as empty, with ``END_ID`` after the last.
+
+    ids are 16-bit if the vocabulary allows it, else 32-bit. Each task adds one row, marked as counted, of
+    how often each id came (pairs of 64-bit id and count), so that counting needs no pass of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -181,12 +185,18 @@ def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, ChunkEncoder(vocabulary))
         end = np.array([END_ID], dtype=encoder.dtype).tobytes()
+        total = np.zeros(max(len(encoder.starts), END_ID + 1), dtype=np.int64)
+        names = ["counted", "doc_id", "ids"]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                found = [e + end for e in encoder.encode(texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "ids"])
+                found = [e + end for e in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
+                total += np.bincount(np.frombuffer(b"".join(found), dtype=encoder.dtype), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([pa.array([False] * len(found)), part.column(0).cast(pa.int64()), pa.array(found, pa.binary())], names=names)
+        at = np.flatnonzero(total)
+        if len(at):
+            told = np.stack([at, total[at]]).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([told], pa.binary())], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 
@@ -197,26 +207,17 @@ def _id_type(vocabulary: str) -> str:
     return "<u4" if Tokenizer.from_file(vocabulary).get_vocab_size() > 1 << 16 else "<u2"
 
 
-def count_ids(tokens: DataFrame, dtype: str) -> pd.DataFrame:
-    """id and n over the whole table: counted by task, summed by Spark; at most a row for each id of the vocabulary."""
+def count_ids(tokens: DataFrame) -> pd.DataFrame:
+    """id and n over the whole table: the tasks' counts, summed by Spark; at most a row for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            column = batch.column(0)
-            if column.null_count == 0 and len(column):
-                _, offsets, data = column.buffers()
-                ends = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
-                n = np.bincount(np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(dtype))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+            for told in batch.column(0).to_pylist():
+                at, n = np.frombuffer(told, dtype="<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
+    counted = tokens.filter("counted").select("ids").mapInArrow(run, "id long, n long")
+    return counted.groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
 
 
 def write_blocks(tokens: DataFrame, code: Code, dtype: str) -> DataFrame:
@@ -250,7 +251,7 @@ def write_blocks(tokens: DataFrame, code: Code, dtype: str) -> DataFrame:
         if held:
             yield row()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = tokens.filter("not counted").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return ordered.mapInArrow(run, BLOCKS)
 
 
@@ -285,7 +286,7 @@ def write_files(docs: DataFrame, vocabulary: str, scratch: Scratch) -> tuple[Dat
     """(the files as read back, their code) of all documents in ascending doc_id order, null doc_id first."""
     dtype = _id_type(vocabulary)
     tokens = scratch.keep(tokenize(docs, vocabulary), "tokens")
-    counts = count_ids(tokens, dtype)
+    counts = count_ids(tokens)
     code = Code.of(counts["id"].to_numpy(), counts["n"].to_numpy())
     blocks = scratch.keep(write_blocks(tokens, code, dtype), "blocks")
     scratch.drop("tokens")

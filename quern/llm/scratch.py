@@ -32,7 +32,7 @@ class Scratch:
         """Writes ``df`` and returns it as read back; a name used again names the last table."""
         self.written += 1
         path = f"{self.root}/{name}-{self.written}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
