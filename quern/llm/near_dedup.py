@@ -25,7 +25,7 @@ from quern.llm.scratch import Scratch
 TREES, COORDINATES, LEAF, DEPTH, LEADERS = 20, 128, 16, 5, 3
 #: Pairs whose sketches agree in a smaller share than the threshold less this are not looked at (over five standard deviations).
 SLACK = 0.2
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 100_000
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,8 +178,8 @@ def _alike(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return joined.filter(agreement("low_a", "low_b") >= threshold - SLACK).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; written before it returns."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id")
 
@@ -189,7 +189,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 piece = part.iloc[at : at + 500]
                 yield pd.DataFrame({"rep": piece["doc_id"].to_numpy(), "held": [shingle_set(t, width).tobytes() for t in piece["text"]]})
 
-    held = texts.mapInPandas(sets, "rep long, held binary")
+    held = scratch.keep(texts.mapInPandas(sets, "rep long, held binary"), "sets")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -204,7 +204,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
         return pd.Series(out, dtype=bool)
 
     of_a = pairs.join(held.select(F.col("rep").alias("a"), F.col("held").alias("held_a")), "a")
-    return of_a.join(held.select(F.col("rep").alias("b"), F.col("held").alias("held_b")), "b").filter(linked("held_a", "held_b")).select("a", "b")
+    both = of_a.join(held.select(F.col("rep").alias("b"), F.col("held").alias("held_b")), "b")
+    links = scratch.keep(both.filter(linked("held_a", "held_b")).select("a", "b"), "links")
+    scratch.drop("sets")
+    return links
 
 
 def _rest(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -239,12 +242,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch:
     for more in pairs[1:]:
         found = found.union(more)
     candidates = scratch.keep(_alike(found, classes, threshold), "candidates")
-    links = scratch.keep(_confirmed(candidates, docs, width, percent), "links")
+    links = _confirmed(candidates, docs, width, percent, scratch)
     labels = components(links, scratch)
     rest = _rest(level.filter(F.col("size") > LEAF).select("node", "rep"), labels)
     rest = scratch.keep(_alike(rest, classes, threshold).join(candidates, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        links = links.union(scratch.keep(_confirmed(rest, docs, width, percent), "more"))
+        links = links.union(_confirmed(rest, docs, width, percent, scratch))
         labels = components(links, scratch)
     of_class = classes.select("fp", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(of_class, "fp", "left")
