@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, exact_dedup, huffman, language, main_text, mixing, near_dedup, quality
+from quern.llm import ann, exact_dedup, huffman, language, main_text, mixing, near_dedup, piece_sampling, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document, and what decoding it gives."""
+    import public_tokenizers
+
+    return piece_sampling.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words, weights 5, 2, 1, at most two copies each."""
     mixed = mixing.mix_words(_table(spark, sf_dir, "documents"))
@@ -102,6 +109,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_near_dedup": op3_near_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
     "op7_tokens": op7_tokens,
     "op8_exact_dedup": op8_exact_dedup,
