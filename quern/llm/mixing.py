@@ -155,3 +155,16 @@ def mix_words(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, seed: i
         copies = copies + F.when(_in_mix(finish, F.col("key"), F.lit(number), cut), 1).otherwise(0)
     told = served.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
     return told.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as the mix takes it.
+
+    Rows that repeat doc_id, source and number of words share what the mix takes of them evenly, rounded.
+    """
+    decided = mix_words(docs, **options).groupBy("doc_id", "source", "size").agg(F.round(F.avg("copies")).cast("int").alias("__copies"))
+    decided = decided.filter("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies")
+    sized = docs.withColumn("__words", words(F.col("text")))
+    same = sized["doc_id"].eqNullSafe(decided["__id"]) & sized["source"].eqNullSafe(decided["__source"]) & (sized["__words"] == decided["__size"])
+    rows = sized.join(decided, same).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return rows.select(*[rows[c] for c in docs.columns])
