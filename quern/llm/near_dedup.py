@@ -12,6 +12,7 @@ only when its full sets are similar enough, and links make components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from quern.llm.scratch import Scratch
 
 #: Independent trees; minwise values of a sketch; size of a node that is compared exhaustively; depth of the trees.
 TREES, COORDINATES, LEAF, DEPTH, LEADERS = 20, 128, 16, 5, 3
+#: Classes in a block of those that no link has joined to their node (about).
+REST_BLOCK = 256
 #: Pairs whose sketches agree in a smaller share than the threshold less this are not looked at (over five standard deviations).
 SLACK = 0.2
 _WORDS_KEPT = 100_000
@@ -127,8 +130,8 @@ def _shingled(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, fp binary, low binary, nodes array<long>")
 
 
-def _branch(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, rep) one level below ``rows`` (node, rep)."""
+def _branch(large: DataFrame) -> DataFrame:
+    """(node, rep) one level below ``large`` (node, rep, low)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -137,7 +140,7 @@ def _branch(rows: DataFrame, classes: DataFrame) -> DataFrame:
                 row, child = children(part["node"].to_numpy().view(np.uint64), low)
                 yield pd.DataFrame({"node": child.view(np.int64), "rep": part["rep"].to_numpy()[row]})
 
-    return rows.join(classes.select("rep", "low"), "rep").select("node", "rep", "low").mapInPandas(run, "node long, rep long")
+    return large.select("node", "rep", "low").mapInPandas(run, "node long, rep long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -156,12 +159,35 @@ def _within(rows: DataFrame) -> DataFrame:
     return _ordered(small.select("node", F.col("rep").alias("x")).join(small.select("node", F.col("rep").alias("y")), "node").filter("x < y"))
 
 
-def _with_leaders(rows: DataFrame) -> DataFrame:
-    """Each member of a large node with the node's leaders: the members that come first in ``LEADERS`` orders common to all nodes."""
-    large = rows.filter(F.col("size") > LEAF).select("node", "rep")
+def _compared(rows: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of each row's class (rep, n, low) with the classes in its array ``others`` that may be linked to it.
+
+    Only pairs whose sizes and sketches allow a link leave the task.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            out: list[np.ndarray] = []
+            for rep, n, low, others in zip(part["rep"], part["n"], part["low"], part["others"], strict=True):
+                ids = np.array([o["rep"] for o in others])
+                sizes = np.array([o["n"] for o in others])
+                lows = np.frombuffer(b"".join(o["low"] for o in others), dtype=np.uint8).reshape(-1, COORDINATES)
+                near = (lows == np.frombuffer(low, dtype=np.uint8)).mean(axis=1) >= threshold - SLACK
+                near &= (np.minimum(sizes, n) >= threshold * np.maximum(sizes, n) - 1e-6) & (ids != rep)
+                if near.any():
+                    out.append(np.stack([np.minimum(ids[near], rep), np.maximum(ids[near], rep)], axis=1))
+            if out:
+                yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return rows.select("rep", "n", "low", "others").mapInPandas(run, "a long, b long")
+
+
+def _with_leaders(large: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of members of large nodes (node, rep, n, low) with the node's leaders: those first in ``LEADERS`` orders common to all nodes."""
     first = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("r")))["r"].alias(f"r{k}") for k in range(LEADERS)]
-    leaders = large.groupBy("node").agg(*first).select("node", F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(LEADERS)]))).alias("y"))
-    return _ordered(large.select("node", F.col("rep").alias("x")).join(leaders, "node"))
+    chosen = large.groupBy("node").agg(*first).select("node", F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(LEADERS)]))).alias("rep"))
+    leaders = large.join(chosen, ["node", "rep"]).groupBy("node").agg(F.collect_list(F.struct("rep", "n", "low")).alias("others"))
+    return _compared(large.join(leaders, "node"), threshold)
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -210,13 +236,18 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scra
     return links
 
 
-def _rest(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """In the large nodes of the last depth: members outside the component that most of the node is in, with every other member."""
-    labelled = rows.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _rest(large: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """In the large nodes of the last depth: pairs of the members outside the component that most of the node is in with every other member.
+
+    The members outside are packed in blocks, so a row is compared with a block in one step.
+    """
+    labelled = large.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     bulk = labelled.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("bulk"))
-    outside = labelled.join(bulk, "node").filter("component != bulk").select("node", F.col("rep").alias("x"), F.col("component").alias("of_x"))
-    others = labelled.select("node", F.col("rep").alias("y"), F.col("component").alias("of_y"))
-    return _ordered(outside.join(others, "node").filter("of_x != of_y"))
+    outside = labelled.join(bulk, "node").filter("component != bulk").select("node", "rep", "n", "low")
+    blocks = outside.groupBy("node").agg(F.ceil(F.count("*") / REST_BLOCK).alias("blocks"))
+    dealt = outside.join(blocks, "node").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    others = dealt.groupBy("node", "block").agg(F.collect_list(F.struct("rep", "n", "low")).alias("others"))
+    return _compared(labelled.join(others, "node"), threshold)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -233,19 +264,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch:
     classes = usable.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "low", "nodes")])
     classes = scratch.keep(classes, "classes")
     level = scratch.keep(_shared(classes.select(F.explode("nodes").alias("node"), "rep").distinct()), "level")
-    pairs = [_within(level), _with_leaders(level)]
-    for _ in range(3, DEPTH + 1):
-        large = level.filter(F.col("size") > LEAF).select("node", "rep")
-        level = scratch.keep(_shared(_branch(large, classes).distinct()), "level")
-        pairs += [_within(level), _with_leaders(level)]
-    found = pairs[0]
-    for more in pairs[1:]:
-        found = found.union(more)
-    candidates = scratch.keep(_alike(found, classes, threshold), "candidates")
+    sketched = classes.select("rep", "n", "low")
+    small, led = [], []
+    for depth in range(2, DEPTH + 1):
+        if depth > 2:
+            level = scratch.keep(_shared(_branch(large).distinct()), "level")
+        large = scratch.keep(level.filter(F.col("size") > LEAF).select("node", "rep").join(sketched, "rep"), "large")
+        small.append(_within(level))
+        led.append(_with_leaders(large, threshold))
+    found = _alike(reduce(DataFrame.union, small), classes, threshold).union(reduce(DataFrame.union, led))
+    candidates = scratch.keep(found.distinct(), "candidates")
     links = _confirmed(candidates, docs, width, percent, scratch)
     labels = components(links, scratch)
-    rest = _rest(level.filter(F.col("size") > LEAF).select("node", "rep"), labels)
-    rest = scratch.keep(_alike(rest, classes, threshold).join(candidates, ["a", "b"], "left_anti"), "rest")
+    rest = scratch.keep(_rest(large, labels, threshold).distinct().join(candidates, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
         links = links.union(_confirmed(rest, docs, width, percent, scratch))
         labels = components(links, scratch)
