@@ -17,10 +17,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.near_dedup import mix
 
@@ -28,7 +28,7 @@ MARK = "▁"
 #: Weight of a piece: -TEMPER * log(its place in the vocabulary + OFFSET); of a byte: as of the last place, each.
 TEMPER, OFFSET = 1.0, 10.0
 #: Lattice places that a worker keeps, and rows of a batch that are drawn together.
-PLACES_KEPT, TOGETHER = 2_500_000, 256
+PLACES_KEPT, TOGETHER = 1_000_000, 256
 _SLOTS, _SPREAD = 18, np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,7 +120,7 @@ class Lattice:
     def _append(self, name: str, at: int, values: np.ndarray) -> None:
         held = getattr(self, name)
         if at + len(values) > len(held):
-            held = np.concatenate([held[:at], np.zeros((at + len(values)) * 3 // 2 - at, dtype=held.dtype)])
+            held = np.concatenate([held[:at], np.zeros((at + len(values)) * 5 // 4 - at, dtype=held.dtype)])
             setattr(self, name, held)
         held[at : at + len(values)] = values
 
@@ -186,8 +186,8 @@ class Lattice:
         """The last place of each segment."""
         ends = self.ends
         new = list({s for s in segments if s not in ends})
-        for at in range(0, len(new), 20_000):
-            self.learn(new[at : at + 20_000])
+        for at in range(0, len(new), 8_000):
+            self.learn(new[at : at + 8_000])
         return np.fromiter(map(ends.__getitem__, segments), dtype=np.int64, count=len(segments))
 
     def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -265,7 +265,8 @@ class Lattice:
 
 #: Lattices of this worker process, kept between its tasks.
 _LATTICES: dict[tuple[str, float], Lattice] = {}
-SEGMENTED = "pieces array<int>, ids_crc32 long, decoded_crc32 long, lossless boolean"
+#: What segmenting adds to a row.
+ADDED = {"pieces": "array<int>", "ids_crc32": "bigint", "decoded_crc32": "bigint", "lossless": "boolean"}
 
 
 def segment(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", seed: int = 17, temper: float = TEMPER) -> DataFrame:
@@ -273,30 +274,31 @@ def segment(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
     the decoded text's decoded_crc32 and whether it is the text (lossless).
 
     The draw depends on the row's key (a whole number; null counts as -1), its text and ``seed``, not on where the row
-    is processed. Null texts have null pieces; an empty text has the lone mark that begins every text. Columns of
-    ``docs`` with the names of the new ones are replaced.
+    is processed. Null texts have null in all new columns; an empty text has the lone mark that begins every text. Columns of
+    ``docs`` with the names of the new ones are replaced. An empty table gives no rows.
     """
 
-    def run(keys: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _LATTICES.get((model, temper)) or _LATTICES.setdefault((model, temper), Lattice(model, temper))
-        rows = []
-        for at in range(0, len(texts), TOGETHER):
-            part = texts.iloc[at : at + TOGETHER]
-            held = [t for t in part if t is not None]
-            own = keys.iloc[at : at + TOGETHER].fillna(-1).astype("int64").to_numpy().view(np.uint64)[part.notna().to_numpy()]
-            drawn = iter(lattice.sample(held, own, seed))
-            for t in part:
-                if t is None:
-                    rows.append((None, None, None, None))
-                    continue
-                ids = next(drawn)
-                back = lattice.decode(ids)
-                rows.append((ids.astype(np.int32), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == t))
-        return pd.DataFrame(rows, columns=["pieces", "ids_crc32", "decoded_crc32", "lossless"])
-
-    segmented = F.pandas_udf(run, SEGMENTED)
-    kept = [c for c in docs.columns if c not in ("pieces", "ids_crc32", "decoded_crc32", "lossless")]
-    return docs.select(*kept, segmented(F.col(key).cast("bigint"), F.col(text)).alias("__s")).select(*kept, "__s.*")
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                texts = part.column(text).to_pylist()
+                known = [i for i, t in enumerate(texts) if t is not None]
+                keys = np.array([-1 if k is None else k for k in part.column("__key").to_pylist()], dtype=np.int64).view(np.uint64)
+                drawn = lattice.sample([texts[i] for i in known], keys[known], seed) if known else []
+                ids, crc, of_text, same = ([None] * len(texts) for _ in range(4))
+                for i, own in zip(known, drawn, strict=True):
+                    back = lattice.decode(own)
+                    ids[i], crc[i] = own.astype(np.int32), zlib.crc32(own.astype("<u4").tobytes())
+                    of_text[i], same[i] = zlib.crc32(back.encode("utf-8", "surrogatepass")), back == texts[i]
+                new = [pa.array(ids, pa.list_(pa.int32())), pa.array(crc, pa.int64()), pa.array(of_text, pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], *ADDED])
+
+    kept = [c for c in docs.columns if c not in ADDED]
+    keyed = docs.select(*kept, F.col(key).cast("bigint").alias("__key"))
+    schema = T.StructType([*docs.select(*kept).schema.fields, *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in ADDED.items())).fields])
+    return keyed.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, model: str, seed: int = 17) -> DataFrame:
