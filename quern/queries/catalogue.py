@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quern.queries import conversation, logs, relational, retrieval, streams, table, text, traces, usage  # noqa: F401
+from quern.queries.registry import ORACLES, QUERIES  # noqa: F401
