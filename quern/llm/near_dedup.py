@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ from quern.llm.scratch import Scratch
 
 #: Independent trees; minwise values of a sketch; size of a node that is compared exhaustively; depth of the trees.
 TREES, COORDINATES, LEAF, DEPTH, LEADERS = 20, 128, 16, 5, 3
-#: Classes in a block of those that no link has joined to their node (about).
-REST_BLOCK = 256
+#: Classes in a block (about) when those that no link has joined to their node are compared with all of it, and pairs looked at in one step.
+REST_BLOCK, TOGETHER = 64, 1 << 15
 #: Pairs whose sketches agree in a smaller share than the threshold less this are not looked at (over five standard deviations).
 SLACK = 0.2
 _WORDS_KEPT = 100_000
@@ -159,27 +160,40 @@ def _within(rows: DataFrame) -> DataFrame:
     return _ordered(small.select("node", F.col("rep").alias("x")).join(small.select("node", F.col("rep").alias("y")), "node").filter("x < y"))
 
 
+def _packed(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """(sizes of the lists, rep, n, low) of a column of lists of (rep, n, low), without a Python object for each."""
+    held = column.flatten()
+    low = held.field("low")
+    offsets = np.frombuffer(low.buffers()[1], dtype=np.int32)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, dtype=np.int32)
+    data = np.frombuffer(low.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if len(low) else np.zeros(0, dtype=np.uint8)
+    sizes = np.asarray(column.value_lengths())
+    return sizes.astype(np.int64), np.asarray(held.field("rep")), np.asarray(held.field("n")), data.reshape(-1, COORDINATES)
+
+
 def _compared(rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of each row's class (rep, n, low) with the classes in its array ``others`` that may be linked to it.
+    """The pairs (a, b) of each row's ``members`` with its ``others``, both arrays of (rep, n, low), that may be linked.
 
     Only pairs whose sizes and sketches allow a link leave the task.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            out: list[np.ndarray] = []
-            for rep, n, low, others in zip(part["rep"], part["n"], part["low"], part["others"], strict=True):
-                ids = np.array([o["rep"] for o in others])
-                sizes = np.array([o["n"] for o in others])
-                lows = np.frombuffer(b"".join(o["low"] for o in others), dtype=np.uint8).reshape(-1, COORDINATES)
-                near = (lows == np.frombuffer(low, dtype=np.uint8)).mean(axis=1) >= threshold - SLACK
-                near &= (np.minimum(sizes, n) >= threshold * np.maximum(sizes, n) - 1e-6) & (ids != rep)
-                if near.any():
-                    out.append(np.stack([np.minimum(ids[near], rep), np.maximum(ids[near], rep)], axis=1))
-            if out:
-                yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-
-    return rows.select("rep", "n", "low", "others").mapInPandas(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, m_rep, m_n, m_low = _packed(batch.column(0))
+            o, o_rep, o_n, o_low = _packed(batch.column(1))
+            m_start, o_start, pairs = np.cumsum(m) - m, np.cumsum(o) - o, m * o
+            cuts = [0, *np.flatnonzero(np.diff((np.cumsum(pairs) - 1) // TOGETHER)) + 1, len(pairs)]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                row = np.repeat(np.arange(at, to), pairs[at:to])
+                k = np.arange(len(row)) - np.repeat(np.cumsum(pairs[at:to]) - pairs[at:to], pairs[at:to])
+                x, y = m_start[row] + k // o[row], o_start[row] + k % o[row]
+                fit = (np.minimum(m_n[x], o_n[y]) >= threshold * np.maximum(m_n[x], o_n[y]) - 1e-6) & (m_rep[x] != o_rep[y])
+                x, y = x[fit], y[fit]
+                near = (m_low[x] == o_low[y]).mean(axis=1) >= threshold - SLACK
+                a, b = m_rep[x[near]], o_rep[y[near]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.select("members", "others").mapInArrow(run, "a long, b long")
 
 
 def _with_leaders(large: DataFrame, threshold: float) -> DataFrame:
@@ -187,7 +201,7 @@ def _with_leaders(large: DataFrame, threshold: float) -> DataFrame:
     first = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("r")))["r"].alias(f"r{k}") for k in range(LEADERS)]
     chosen = large.groupBy("node").agg(*first).select("node", F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(LEADERS)]))).alias("rep"))
     leaders = large.join(chosen, ["node", "rep"]).groupBy("node").agg(F.collect_list(F.struct("rep", "n", "low")).alias("others"))
-    return _compared(large.join(leaders, "node"), threshold)
+    return _compared(large.join(leaders, "node").withColumn("members", F.array(F.struct("rep", "n", "low"))), threshold)
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -239,15 +253,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scra
 def _rest(large: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """In the large nodes of the last depth: pairs of the members outside the component that most of the node is in with every other member.
 
-    The members outside are packed in blocks, so a row is compared with a block in one step.
+    Both sides are packed in blocks, so two blocks are compared in one step.
     """
     labelled = large.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     bulk = labelled.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("bulk"))
     outside = labelled.join(bulk, "node").filter("component != bulk").select("node", "rep", "n", "low")
-    blocks = outside.groupBy("node").agg(F.ceil(F.count("*") / REST_BLOCK).alias("blocks"))
-    dealt = outside.join(blocks, "node").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    others = dealt.groupBy("node", "block").agg(F.collect_list(F.struct("rep", "n", "low")).alias("others"))
-    return _compared(labelled.join(others, "node"), threshold)
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        many = rows.groupBy("node").agg(F.ceil(F.count("*") / REST_BLOCK).alias("blocks"))
+        dealt = rows.join(many, "node").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        return dealt.groupBy("node", "block").agg(F.collect_list(F.struct("rep", "n", "low")).alias(name)).select("node", name)
+
+    whole = large.join(outside.select("node").distinct(), "node", "left_semi")
+    return _compared(blocks(whole, "members").join(blocks(outside, "others"), "node"), threshold)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
