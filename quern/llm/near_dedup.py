@@ -26,7 +26,9 @@ from quern.llm.scratch import Scratch
 #: Independent trees; minwise values of a sketch; size of a node that is compared exhaustively; depth of the trees.
 TREES, COORDINATES, LEAF, DEPTH, LEADERS = 20, 128, 16, 5, 3
 #: Classes in a block (about) when those that no link has joined to their node are compared with all of it, and pairs looked at in one step.
-REST_BLOCK, TOGETHER = 64, 1 << 15
+REST_BLOCK, TOGETHER = 64, 1 << 14
+#: Bits of the finer sketch by which those are compared; five standard deviations of the similarity that it tells are allowed for.
+FINE_BITS = 4096
 #: Pairs whose sketches agree in a smaller share than the threshold less this are not looked at (over five standard deviations).
 SLACK = 0.2
 _WORDS_KEPT = 100_000
@@ -160,26 +162,52 @@ def _within(rows: DataFrame) -> DataFrame:
     return _ordered(small.select("node", F.col("rep").alias("x")).join(small.select("node", F.col("rep").alias("y")), "node").filter("x < y"))
 
 
-def _packed(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """(sizes of the lists, rep, n, low) of a column of lists of (rep, n, low), without a Python object for each."""
+_FINE_MULTIPLIERS = mix(np.arange(FINE_BITS), 98) | np.uint64(1)
+
+
+def fine_sketch(values: np.ndarray) -> bytes:
+    """One bit of each of ``FINE_BITS`` minwise values of a set."""
+    lowest = np.full(FINE_BITS, 0xFFFFFFFF, dtype=np.uint64)
+    for at in range(0, len(values), 1024):
+        part = values[None, at : at + 1024]
+        for k in range(0, FINE_BITS, 128):
+            low = ((part * _FINE_MULTIPLIERS[k : k + 128, None]) >> np.uint64(32)).min(axis=1)
+            lowest[k : k + 128] = np.minimum(lowest[k : k + 128], low)
+    return np.packbits(mix(lowest) & np.uint64(1) == 1).tobytes()
+
+
+def _near_coarse(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    return (x == y).mean(axis=1) >= threshold - SLACK
+
+
+def _near_fine(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Unequal bits are half as many as values that don't agree."""
+    apart = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum(axis=1, dtype=np.int64)
+    spread = 2 * ((1 + threshold) * (1 - threshold) / 4 / FINE_BITS) ** 0.5
+    return 1 - 2 * apart / FINE_BITS >= threshold - 5 * spread
+
+
+def _packed(column: pa.Array, width: int) -> tuple[np.ndarray, ...]:
+    """(sizes of the lists, rep, n, sketches) of a column of lists of (rep, n, sketch), without a Python object for each."""
     held = column.flatten()
-    low = held.field("low")
+    low = held.field(2)
     offsets = np.frombuffer(low.buffers()[1], dtype=np.int32)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, dtype=np.int32)
     data = np.frombuffer(low.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if len(low) else np.zeros(0, dtype=np.uint8)
     sizes = np.asarray(column.value_lengths())
-    return sizes.astype(np.int64), np.asarray(held.field("rep")), np.asarray(held.field("n")), data.reshape(-1, COORDINATES)
+    return sizes.astype(np.int64), np.asarray(held.field(0)), np.asarray(held.field(1)), data.reshape(-1, width)
 
 
-def _compared(rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of each row's ``members`` with its ``others``, both arrays of (rep, n, low), that may be linked.
+def _compared(rows: DataFrame, threshold: float, fine: bool = False) -> DataFrame:
+    """The pairs (a, b) of each row's ``members`` with its ``others``, both arrays of (rep, n, sketch), that may be linked.
 
     Only pairs whose sizes and sketches allow a link leave the task.
     """
+    width, near = (FINE_BITS // 8, _near_fine) if fine else (COORDINATES, _near_coarse)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, m_rep, m_n, m_low = _packed(batch.column(0))
-            o, o_rep, o_n, o_low = _packed(batch.column(1))
+            m, m_rep, m_n, m_low = _packed(batch.column(0), width)
+            o, o_rep, o_n, o_low = _packed(batch.column(1), width)
             m_start, o_start, pairs = np.cumsum(m) - m, np.cumsum(o) - o, m * o
             cuts = [0, *np.flatnonzero(np.diff((np.cumsum(pairs) - 1) // TOGETHER)) + 1, len(pairs)]
             for at, to in zip(cuts, cuts[1:], strict=False):
@@ -188,8 +216,8 @@ def _compared(rows: DataFrame, threshold: float) -> DataFrame:
                 x, y = m_start[row] + k // o[row], o_start[row] + k % o[row]
                 fit = (np.minimum(m_n[x], o_n[y]) >= threshold * np.maximum(m_n[x], o_n[y]) - 1e-6) & (m_rep[x] != o_rep[y])
                 x, y = x[fit], y[fit]
-                near = (m_low[x] == o_low[y]).mean(axis=1) >= threshold - SLACK
-                a, b = m_rep[x[near]], o_rep[y[near]]
+                ok = near(m_low[x], o_low[y], threshold)
+                a, b = m_rep[x[ok]], o_rep[y[ok]]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -220,16 +248,8 @@ def _alike(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; written before it returns."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for at in range(0, len(part), 500):
-                piece = part.iloc[at : at + 500]
-                yield pd.DataFrame({"rep": piece["doc_id"].to_numpy(), "held": [shingle_set(t, width).tobytes() for t in piece["text"]]})
-
-    held = scratch.keep(texts.mapInPandas(sets, "rep long, held binary"), "sets")
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
+    held = scratch.keep(_per_document(docs, wanted, width, lambda found: found.tobytes(), "held"), "sets")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -250,22 +270,38 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scra
     return links
 
 
-def _rest(large: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+def _per_document(docs: DataFrame, wanted: DataFrame, width: int, make, name: str) -> DataFrame:
+    """(rep, ``name``): ``make`` of the whole shingle set of each document in ``wanted`` (rep)."""
+    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for at in range(0, len(part), 500):
+                piece = part.iloc[at : at + 500]
+                yield pd.DataFrame({"rep": piece["doc_id"].to_numpy(), name: [make(shingle_set(t, width)) for t in piece["text"]]})
+
+    return texts.mapInPandas(run, f"rep long, {name} binary")
+
+
+def _rest(large: DataFrame, labels: DataFrame, docs: DataFrame, width: int, threshold: float, scratch: Scratch) -> DataFrame | None:
     """In the large nodes of the last depth: pairs of the members outside the component that most of the node is in with every other member.
 
-    Both sides are packed in blocks, so two blocks are compared in one step.
+    Both sides are packed in blocks, so two blocks are compared in one step, by finer sketches. None if there is nobody outside.
     """
     labelled = large.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     bulk = labelled.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("bulk"))
-    outside = labelled.join(bulk, "node").filter("component != bulk").select("node", "rep", "n", "low")
+    outside = scratch.keep(labelled.join(bulk, "node").filter("component != bulk").select("node", "rep", "n"), "outside")
+    if not outside.limit(1).count():
+        return None
+    whole = large.select("node", "rep", "n").join(outside.select("node").distinct(), "node", "left_semi")
+    fine = scratch.keep(_per_document(docs, whole, width, fine_sketch, "fine"), "fine")
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         many = rows.groupBy("node").agg(F.ceil(F.count("*") / REST_BLOCK).alias("blocks"))
-        dealt = rows.join(many, "node").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        return dealt.groupBy("node", "block").agg(F.collect_list(F.struct("rep", "n", "low")).alias(name)).select("node", name)
+        dealt = rows.join(many, "node").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(fine, "rep")
+        return dealt.groupBy("node", "block").agg(F.collect_list(F.struct("rep", "n", "fine")).alias(name)).select("node", name)
 
-    whole = large.join(outside.select("node").distinct(), "node", "left_semi")
-    return _compared(blocks(whole, "members").join(blocks(outside, "others"), "node"), threshold)
+    return _compared(blocks(whole, "members").join(blocks(outside, "others"), "node"), threshold, fine=True)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -294,8 +330,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch:
     candidates = scratch.keep(found.distinct(), "candidates")
     links = _confirmed(candidates, docs, width, percent, scratch)
     labels = components(links, scratch)
-    rest = scratch.keep(_rest(large, labels, threshold).distinct().join(candidates, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
+    rest = _rest(large, labels, docs, width, threshold, scratch)
+    if rest is not None:
+        rest = scratch.keep(rest.distinct().join(candidates, ["a", "b"], "left_anti"), "rest")
         links = links.union(_confirmed(rest, docs, width, percent, scratch))
         labels = components(links, scratch)
     of_class = classes.select("fp", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
