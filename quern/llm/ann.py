@@ -57,7 +57,8 @@ def _beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.
         ok = near >= 0
         safe = np.where(ok, near, 0)
         ok &= ~seen[active[:, None], safe]
-        seen[active[:, None], safe] |= ok
+        new_row, new_place = np.nonzero(ok)
+        seen[active[new_row], near[new_row, new_place]] = True
         far = square[safe] - 2 * np.einsum("qrd,qd->qr", points[safe], queries[active])
         far[~ok] = np.inf
         all_dist = np.concatenate([dist[active], far], axis=1)
