@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> B
     got = rows.select("quality", "text").mapInPandas(measure, schema).toPandas()
     got["order"] = [tuple(v) for v in got["x"]]
     got = got.sort_values(["order", "quality"])  # the fit is the same however rows arrive
-    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), dtype=float).reshape(-1, FEATURES)
     return fit_pairs(x, got["quality"].to_numpy())
 
 
