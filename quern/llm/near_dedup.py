@@ -27,6 +27,8 @@ from quern.llm.scratch import Scratch
 TREES, COORDINATES, LEAF, DEPTH, LEADERS = 20, 128, 16, 5, 3
 #: Classes in a block (about) when those that no link has joined to their node are compared with all of it, and pairs looked at in one step.
 REST_BLOCK, TOGETHER = 64, 1 << 14
+#: Blocks of a family of nodes that one task holds.
+FAMILY_BLOCKS = 16
 #: Bits of the finer sketch by which those are compared; five standard deviations of the similarity that it tells are allowed for.
 FINE_BITS = 4096
 #: Pairs whose sketches agree in a smaller share than the threshold less this are not looked at (over five standard deviations).
@@ -284,24 +286,27 @@ def _per_document(docs: DataFrame, wanted: DataFrame, width: int, make, name: st
 
 
 def _rest(large: DataFrame, labels: DataFrame, docs: DataFrame, width: int, threshold: float, scratch: Scratch) -> DataFrame | None:
-    """In the large nodes of the last depth: pairs of the members outside the component that most of the node is in with every other member.
+    """In the large nodes of the last depth: pairs of the members outside the component that most of the node is in with the node's members.
 
-    Both sides are packed in blocks, so two blocks are compared in one step, by finer sketches. None if there is nobody outside.
+    Nodes with the same such component are one family, so a pair met in many nodes is compared once. Both sides
+    are packed in blocks compared in one step by finer sketches; the blocks of a large family are dealt over
+    many tasks. None if there is nobody outside.
     """
     labelled = large.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    bulk = labelled.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("bulk"))
-    outside = scratch.keep(labelled.join(bulk, "node").filter("component != bulk").select("node", "rep", "n"), "outside")
-    if not outside.limit(1).count():
+    bulk = labelled.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("family"))
+    members = labelled.join(bulk, "node").select("family", "rep", "n", (F.col("component") != F.col("family")).alias("outside")).distinct()
+    blocks = lambda rows: F.ceil(rows / REST_BLOCK)
+    sizes = members.groupBy("family").agg(blocks(F.count("*")).alias("blocks"), blocks(F.count_if("outside")).alias("rest_blocks")).filter("rest_blocks > 0")
+    members = scratch.keep(members.join(sizes, "family").withColumn("tasks", F.ceil(F.col("blocks") / FAMILY_BLOCKS)), "families")
+    if not members.limit(1).count():
         return None
-    whole = large.select("node", "rep", "n").join(outside.select("node").distinct(), "node", "left_semi")
-    fine = scratch.keep(_per_document(docs, whole, width, fine_sketch, "fine"), "fine")
-
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        many = rows.groupBy("node").agg(F.ceil(F.count("*") / REST_BLOCK).alias("blocks"))
-        dealt = rows.join(many, "node").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(fine, "rep")
-        return dealt.groupBy("node", "block").agg(F.collect_list(F.struct("rep", "n", "fine")).alias(name)).select("node", name)
-
-    return _compared(blocks(whole, "members").join(blocks(outside, "others"), "node"), threshold, fine=True)
+    fine = scratch.keep(_per_document(docs, members, width, fine_sketch, "fine"), "fine")
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).alias("block")
+    known, packed = members.join(fine, "rep"), F.collect_list(F.struct("rep", "n", "fine"))
+    left = known.groupBy("family", "tasks", place("blocks")).agg(packed.alias("members")).withColumn("task", F.col("block") % F.col("tasks"))
+    right = known.filter("outside").groupBy("family", "tasks", place("rest_blocks")).agg(packed.alias("others"))
+    right = right.select("family", "others", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)).alias("task"))
+    return _compared(left.join(right, ["family", "task"]), threshold, fine=True)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
