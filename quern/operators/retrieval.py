@@ -113,9 +113,10 @@ def jaccard(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, jaccard) of the token sets of documents and queries that share a token, by a join on tokens."""
     terms = _terms(queries, rank_tokens)
     asked = terms.groupBy("query_id").agg(F.count("*").alias("asked"))
-    sets = docs.select("id", F.array_distinct(rank_tokens(F.col("text"))).alias("t")).withColumn("held", F.size("t"))
-    shared = sets.select("id", "held", F.explode("t").alias("term")).join(terms, "term").groupBy("query_id", "id", "held").agg(F.count("*").alias("common"))
-    return shared.join(asked, "query_id").select("query_id", "id", (F.col("common") / (F.col("asked") + F.col("held") - F.col("common"))).alias("jaccard"))
+    sets = docs.select("id", F.explode(rank_tokens(F.col("text"))).alias("term")).distinct()
+    held = sets.groupBy("id").agg(F.count("*").alias("held"))
+    shared = sets.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("common")).join(held, "id").join(asked, "query_id")
+    return shared.select("query_id", "id", (F.col("common") / (F.col("asked") + F.col("held") - F.col("common"))).alias("jaccard"))
 
 
 def min_max(df: DataFrame, score: str, by: str) -> DataFrame:
@@ -158,9 +159,11 @@ def hybrid(candidates: DataFrame, queries: DataFrame, threshold: float = 0.0, le
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scores = posted.withColumn("df", df).groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("bm25"))
     rows = rows.join(scores, ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    qs, ds = F.array_distinct("qt"), F.array_distinct("dt")
-    common = F.size(F.array_intersect(qs, ds))
-    rows = rows.withColumn("jaccard", F.when((F.size(qs) > 0) & (F.size(ds) > 0), common / (F.size(qs) + F.size(ds) - common)).otherwise(0.0))
+    held = rows.select("query_id", "id", F.explode("dt").alias("t")).groupBy("query_id", "id").agg(F.countDistinct("t").alias("held"))
+    rows = rows.join(held, ["query_id", "id"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    qs = F.array_distinct("qt")
+    common = F.size(F.filter(qs, lambda t: F.array_contains(F.col("dt"), t)))
+    rows = rows.withColumn("jaccard", F.when((F.size(qs) > 0) & (F.col("held") > 0), common / (F.size(qs) + F.col("held") - common)).otherwise(0.0))
     place = lambda c: F.row_number().over(own.orderBy(F.desc(c), "id"))
     rows = rows.withColumn("rrf", sum((1 / (F.lit(RRF_K) + place(c)) for c in ("cos", "bm25", "jaccard")), F.lit(0.0)))
     rows = rows.withColumn("rrf", F.col("rrf") / F.max("rrf").over(own)).withColumn("bm25", F.col("bm25") / F.greatest(F.lit(1e-9), F.max("bm25").over(own)))

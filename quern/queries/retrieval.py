@@ -67,7 +67,7 @@ POSTINGS = f"""WITH dt AS (SELECT doc_id, {TOKENS} AS t FROM documents), q AS (S
 w AS (SELECT count(*) AS n, greatest(1.0, avg(len(t))) AS mean FROM dt), p AS (SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM dt) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 bm AS (SELECT item_id AS query_id, doc_id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 6) AS bm25 FROM q JOIN p USING (term) JOIN f USING (term), w GROUP BY ALL),
-ds AS (SELECT doc_id, unnest(list_distinct(t)) AS term, len(list_distinct(t)) AS held FROM dt), qs AS (SELECT item_id, count(*) AS asked FROM q GROUP BY item_id),
+ds AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS held FROM (SELECT DISTINCT doc_id, unnest(t) AS term FROM dt)), qs AS (SELECT item_id, count(*) AS asked FROM q GROUP BY item_id),
 ja AS (SELECT item_id AS query_id, doc_id AS id, round(count(*) / (any_value(asked) + any_value(held) - count(*)), 6) AS jaccard FROM q JOIN ds USING (term) JOIN qs USING (item_id) GROUP BY ALL),
 rb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS rank FROM bm QUALIFY rank <= 10),
 rj AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY jaccard DESC, id) AS rank FROM ja QUALIFY rank <= 10)"""

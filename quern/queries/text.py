@@ -1 +1,125 @@
-"""Queries."""
+"""Queries of text functions, chunking, pages and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quern.functions import html, text, vectors
+from quern.operators import chunking
+from quern.queries.conversation import BARE, ESTIMATE
+from quern.queries.registry import query
+from quern.sources.tables import table
+
+
+@query(f"SELECT doc_id, {ESTIMATE} AS tokens FROM (SELECT doc_id, {BARE} AS b FROM documents WHERE regexp_matches(coalesce(text, ''), '^[\\x00-\\x7F]*$'))")
+def token_estimate(spark, d):
+    plain = table(spark, d, "documents").filter(F.coalesce(F.octet_length("text") == F.length("text"), F.lit(True)))
+    return plain.select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(r"""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Could you please help me to explain ' || text || ' Thank you in advance.' ELSE 'please do' END AS t, turn % 2 = 0 AS long, text FROM conversations WHERE regexp_matches(text, '^[a-zA-Z0-9 ,.]*$') AND NOT regexp_matches(text, '(?i)please|kindly|you|help|guide|assist|want|need|thank|hope|  ') AND length(text) > 60)
+SELECT conv_id, turn, md5(CASE WHEN long THEN trim('to explain ' || text) ELSE t END) AS compressed_md5 FROM p""")
+def compress_prompt(spark, d):
+    c = table(spark, d, "conversations").filter(F.col("text").rlike("^[a-zA-Z0-9 ,.]*$") & ~F.col("text").rlike("(?i)please|kindly|you|help|guide|assist|want|need|thank|hope|  ") & (F.length("text") > 60))
+    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Could you please help me to explain "), "text", F.lit(" Thank you in advance."))).otherwise("please do")
+    return c.select("conv_id", "turn", F.md5(text.compress_prompt(t)).alias("compressed_md5"))
+
+
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'rate_limited' WHEN 1 THEN 'quota_exhausted' WHEN 2 THEN 'api_key_missing' WHEN 3 THEN 'timeout' WHEN 4 THEN 'request_too_large' WHEN 5 THEN 'model_unavailable' ELSE 'unknown' END AS error FROM events""")
+def error_class(spark, d):
+    said = ["429 Too many", "quota for the day is over", "401 Unauthorized", "timeout after 30 s", "413 payload", "model_not_found", "odd"]
+    message = F.element_at(F.array(*[F.lit(x) for x in said]), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", text.error_class(message).alias("error"))
+
+
+@query("SELECT doc_id, 'team-' || (doc_id % 7) AS mention FROM documents UNION ALL SELECT doc_id, 'my notes' FROM documents WHERE doc_id % 2 = 0")
+def mentions(spark, d):
+    asked = F.concat(F.lit("see @team-"), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 2 == 0, ' @"my notes" @all').otherwise(" @here"))
+    return table(spark, d, "documents").select("doc_id", F.explode(text.mentions(asked)).alias("mention"))
+
+
+@query("""SELECT doc_id, sha256(lower(trim('What  Is ' || doc_id || '?')) || '::m::' || coalesce((doc_id % 5)::VARCHAR, '') || '::') AS key FROM (SELECT doc_id FROM documents) WHERE false
+UNION ALL SELECT doc_id, sha256('what is ' || doc_id || '?::m::' || (doc_id % 5) || '::') FROM documents""")
+def query_keys(spark, d):
+    q = F.concat(F.lit(" What  Is "), F.col("doc_id"), F.lit("?\n"))
+    return table(spark, d, "documents").select("doc_id", text.query_key(q, F.lit("m"), (F.col("doc_id") % 5).cast("string"), F.lit(None).cast("string")).alias("key"))
+
+
+@query(r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def html_title(spark, d):
+    return table(spark, d, "pages").select("page_id", html.title(F.col("html"), F.col("url")).alias("title"))
+
+
+@query()
+def html_clean(spark, d):
+    cleaned = html.clean_text(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.length(cleaned).alias("n_chars"), F.md5(cleaned).alias("text_md5"))
+
+
+@query()
+def html_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(html.internal_links(F.col("html"), F.col("url"))).alias("link"))
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, 96 AS padded FROM embeddings")
+def padded_norms(spark, d):
+    padded = vectors.pad(F.col("embedding"), 96)
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(padded), 6).alias("norm"), F.size(padded).alias("padded"))
+
+
+@query("""WITH c AS (SELECT vec_id AS k, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 5), s AS (SELECT a.vec_id, k, round(list_dot_product(a.embedding::DOUBLE[], e) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(e, e))), 6) AS s FROM embeddings a, c)
+SELECT vec_id, k::INT AS cluster, s AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, k) = 1""")
+def kmeans_assign(spark, d):
+    e = table(spark, d, "embeddings")
+    centroids = [r["embedding"] for r in e.filter("vec_id < 5").orderBy("vec_id").collect()]  # five rows by a stated id range
+    return chunking.assign(e, centroids).select("vec_id", "cluster", "similarity")
+
+
+@query()
+def kmeans_tree(spark, d):
+    # each 40 neighbouring ids stand for the chunks of one document
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 40).alias("doc"), F.col("vec_id").alias("id"), "embedding")
+    return chunking.summary_tree(e, "doc").select("doc", "level", "node", "n")
+
+
+def _chunks(spark, d, strategy, **options):
+    found = chunking.chunk(table(spark, d, "documents"), strategy, **options)
+    return found.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+@query()
+def chunk_parent_child(spark, d):
+    return _chunks(spark, d, "parent_child")
+
+
+@query()
+def chunk_lines(spark, d):
+    return _chunks(spark, d, "line")
+
+
+@query()
+def chunk_recursive(spark, d):
+    return _chunks(spark, d, "recursive")
+
+
+@query()
+def chunk_sentences(spark, d):
+    return _chunks(spark, d, "semantic")
+
+
+@query()
+def chunk_windows(spark, d):
+    return _chunks(spark, d, "sliding")
+
+
+@query("""WITH p AS (SELECT doc_id, text, ceil(length(text) / 4.0)::BIGINT AS s FROM documents WHERE length(text) > 0), q AS (SELECT doc_id, k AS part, substr(text, k * s + 1, s) AS piece FROM p, range(4) r(k)) SELECT doc_id, part::INT AS part, md5(piece) AS piece_md5 FROM q WHERE length(piece) > 0""")
+def hard_split(spark, d):
+    docs = table(spark, d, "documents").filter("length(text) > 0")
+    return docs.select("doc_id", F.posexplode(chunking.hard_split(F.col("text"), 4)).alias("part", "piece")).select("doc_id", "part", F.md5("piece").alias("piece_md5"))
+
+
+@query("""WITH t AS (SELECT doc_id, 'Node ' || (doc_id % 13) || '.' AS a, 'node ' || (doc_id % 5) AS b FROM documents), r AS (SELECT DISTINCT doc_id, 'node ' || (doc_id % 13) AS source, b AS target FROM t) SELECT source, target, 'links' AS relation, count(*) AS weight FROM r WHERE source != target GROUP BY ALL""")
+def graph_build(spark, d):
+    node = lambda n, m, tail: F.concat(F.lit(n), (F.col("doc_id") % m).cast("string"), F.lit(tail))
+    found = table(spark, d, "documents").select(F.col("doc_id").alias("chunk"), node("Node ", 13, ".").alias("source"), F.lit("Person").alias("source_kind"), node("node ", 5, "").alias("target"), F.lit("odd").alias("target_kind"), F.lit("links").alias("relation"))
+    return chunking.build_graph(found, ["person", "place"])[1]
