@@ -40,7 +40,7 @@ def critical_path(steps: DataFrame, most: int = 64) -> DataFrame:
     Each round hands the longest duration of finished children to their parents; rounds end when no step is
     open, so there are as many as the deepest trace has levels. Steps on a cycle never finish and are left out.
     """
-    rows = steps.select("trace_id", "step_id", "parent_id", "duration")
+    rows = cut(steps.select("trace_id", "step_id", "parent_id", "duration"))
     children = rows.filter("parent_id is not null").groupBy("trace_id", F.col("parent_id").alias("step_id")).agg(F.count("*").alias("waits"))
     state = rows.join(children, ["trace_id", "step_id"], "left").select(rows["*"], F.coalesce("waits", F.lit(0)).alias("waits"))
     level = state.filter("waits = 0").select("trace_id", "step_id", "parent_id", F.col("duration").cast("double").alias("chain"), F.lit(1).alias("depth"))
@@ -66,6 +66,10 @@ def parallel_gain(steps: DataFrame) -> DataFrame:
 
 def timeline(steps: DataFrame, most: int = 64) -> DataFrame:
     """Each step with its depth and path of step ids from the root, by which a trace sorts in preorder."""
+    return _levels(cut(steps.select("trace_id", "step_id", "parent_id")), most)
+
+
+def _levels(steps: DataFrame, most: int = 64) -> DataFrame:
     key = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
     level = steps.filter("parent_id is null").select("trace_id", "step_id", F.lit(0).alias("depth"), key("step_id").alias("path"))
     out = level
@@ -81,5 +85,6 @@ def timeline(steps: DataFrame, most: int = 64) -> DataFrame:
 
 def cyclic_steps(steps: DataFrame) -> DataFrame:
     """Steps that no root leads to: those of cycles and what hangs below them."""
-    reached = timeline(steps).select("trace_id", "step_id")
+    steps = cut(steps.select("trace_id", "step_id", "parent_id"))
+    reached = _levels(steps).select("trace_id", "step_id")
     return steps.select("trace_id", "step_id").join(reached, ["trace_id", "step_id"], "left_anti")
