@@ -8,6 +8,7 @@ side by side, a table lookup each step.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,11 +27,16 @@ BLOCK_IDS, EVERY, END_ID = 1 << 17, 128, 0
 REMEMBERED = 900_000
 
 
+#: Texts with a space next to other white space, and the breaks in them.
+_AWKWARD = re.compile(r" \s|\s |\s\Z").search
+_AWKWARD_SPLIT = re.compile(r"(?<!\s) | (?!\s|\Z)").split
+
+
 class ChunkEncoder:
     """Texts to ids through the tokenizers library, remembering the ids of chunks seen before.
 
-    The byte-level pre-tokenizer always breaks before a single space between two characters that aren't
-    white space, so " chunk" is encoded once and joined; any other text is encoded as a whole.
+    The byte-level pre-tokenizer always breaks before a space that follows or precedes a character that isn't white space,
+    so " chunk" is encoded once and joined. A space inside a run of white space, or at its end, stays in its chunk.
     """
 
     def __init__(self, vocabulary: str):
@@ -65,18 +71,14 @@ class ChunkEncoder:
             self.known = {}
         known, split, new = self.known, [], []
         for text in texts:
-            chunks = text.split(" ")
+            chunks = _AWKWARD_SPLIT(text) if _AWKWARD(text) else text.split(" ")
             fresh = {c for c in chunks if c not in known}
-            if "" in fresh or any(c[0].isspace() or c[-1].isspace() for c in fresh):
-                split.append(None)
-                continue
             split.append(chunks)
             new += fresh
             known.update(dict.fromkeys(fresh, b""))  # filled in before it is read
         self._learn(new)
-        heads = iter(self._whole([c[0] for c in split if c is not None]))
-        whole = iter(self._whole([t for t, c in zip(texts, split, strict=True) if c is None]))
-        return [next(whole) if c is None else next(heads) + b"".join(map(known.__getitem__, c[1:])) for c in split]
+        heads = self._whole([c[0] for c in split])
+        return [head + b"".join(map(known.__getitem__, c[1:])) for head, c in zip(heads, split, strict=True)]
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
