@@ -10,6 +10,8 @@ from quern.functions.text import mask, severity, timestamp
 
 #: Tree of the template miner: share of equal places that joins a cluster, clusters and children that a node may have.
 SIMILAR, CLUSTERS, CHILDREN = 0.4, 2000, 120
+#: Line numbers of a range in which lines are numbered before the sums of the ranges are added.
+SPAN = 1 << 14
 
 
 def annotate(lines: DataFrame) -> DataFrame:
@@ -147,14 +149,21 @@ def compare(baseline: DataFrame, current: DataFrame, factor: float = 3.0) -> Dat
 def incident_context(lines: DataFrame, before: int = 3, after: int = 4) -> DataFrame:
     """Lines around each ERROR or FATAL line, overlapping neighbourhoods merged: cluster, line_no, incident.
 
-    The neighbourhoods are joined to the lines by line number, so nothing is sorted over the whole log but
-    the incidents' own lines.
+    The neighbourhoods are joined to the lines by line number. Clusters are numbered in two steps: starts are counted
+    inside ranges of ``SPAN`` line numbers, then those of the ranges before are added; a range that goes on where the
+    one before it ends has no start at its first line.
     """
     bad = lines.filter(F.col("severity").isin("ERROR", "FATAL")).select(F.explode(F.sequence(F.col("line_no") - before, F.col("line_no") + after)).alias("line_no"))
-    near = lines.join(bad.distinct(), "line_no").select("line_no", F.col("severity").isin("ERROR", "FATAL").alias("incident"), "raw")
-    order = Window.orderBy("line_no")
-    starts = near.withColumn("new", (F.col("line_no") - F.lag("line_no", 1, -10).over(order) > 1).cast("int"))
-    return starts.withColumn("cluster", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("cluster", "line_no", F.coalesce("incident", F.lit(False)).alias("incident"))
+    near = lines.join(bad.distinct(), "line_no").select("line_no", F.coalesce(F.col("severity").isin("ERROR", "FATAL"), F.lit(False)).alias("incident"))
+    near = near.withColumn("range", F.floor(F.col("line_no") / SPAN))
+    inside, ranges = Window.partitionBy("range").orderBy("line_no"), Window.orderBy("range")
+    starts = near.withColumn("new", F.coalesce(F.col("line_no") - F.lag("line_no").over(inside) > 1, F.lit(True)).cast("int"))
+    local = starts.withColumn("local", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # one row for each range: the window without a partition is over these alone
+    held = starts.groupBy("range").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.sum("new").alias("starts"))
+    held = held.withColumn("joined", F.coalesce(F.col("first") - F.lag("last").over(ranges) <= 1, F.lit(False)).cast("int"))
+    earlier = F.sum(F.col("starts") - F.col("joined")).over(ranges.rowsBetween(Window.unboundedPreceding, 0)) - F.col("starts")
+    return local.join(held.select("range", earlier.alias("earlier")), "range").select((F.col("earlier") + F.col("local")).alias("cluster"), "line_no", "incident")
 
 
 def sampled(lines: DataFrame, k: int) -> DataFrame:
