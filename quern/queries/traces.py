@@ -46,7 +46,7 @@ def error_summary(spark, d):
 
 @query(STEPS + """SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY duration DESC, step_id) AS rank, step_id, duration, round(100 * duration / sum(duration) OVER (PARTITION BY trace_id), 1) AS share FROM s WHERE trace_id % 10 = 0 QUALIFY rank <= 2""")
 def trace_bottlenecks(spark, d):
-    return op.bottlenecks(_steps(spark, d).filter("trace_id % 10 = 0"), 2)
+    return op.bottlenecks(_steps(spark, d), 2)
 
 
 @query(STEPS.replace("WITH l", "WITH RECURSIVE l", 1) + """, c AS (SELECT trace_id, step_id, parent_id, duration AS chain, 1 AS depth FROM s UNION ALL SELECT s.trace_id, s.step_id, s.parent_id, s.duration + c.chain, c.depth + 1 FROM c JOIN s ON s.trace_id = c.trace_id AND s.step_id = c.parent_id),
@@ -62,11 +62,11 @@ def parallel_gain(spark, d):
 
 @query(STEPS + """SELECT trace_id, step_id, CASE WHEN step_id = 0 THEN 0 ELSE (step_id + 1) // 2 END::INT AS depth FROM s WHERE trace_id % 20 = 0""")
 def trace_timeline(spark, d):
-    return op.timeline(_steps(spark, d).filter("trace_id % 20 = 0")).select("trace_id", "step_id", "depth")
+    return op.timeline(_steps(spark, d)).select("trace_id", "step_id", "depth")
 
 
 @query("SELECT event_id // 10 AS trace_id, event_id AS step_id FROM events WHERE event_id < 2000 AND event_id % 10 IN (7, 8, 9)")
 def cyclic_steps(spark, d):
     k, e = F.col("event_id") % 10, F.col("event_id")
     parent = F.when(k == 0, None).when(k == 7, e + 2).otherwise(e - 1)
-    return op.cyclic_steps(table(spark, d, "events").filter("event_id < 2000").select(F.floor(e / 10).alias("trace_id"), e.alias("step_id"), parent.alias("parent_id")))
+    return op.cyclic_steps(table(spark, d, "events").select(F.floor(e / 10).alias("trace_id"), e.alias("step_id"), parent.alias("parent_id")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from compare import difference
 from pyspark.sql import functions as F
 
 from quern.operators import logs
@@ -33,3 +34,24 @@ def test_incident_clusters_across_ranges(spark, monkeypatch):
     rows = spark.createDataFrame([(n, "ERROR" if bad else None, "") for n, bad in lines.items()], "line_no long, severity string, raw string").repartition(5)
     got = logs.incident_context(rows).collect()
     assert sorted(map(tuple, got)) == clusters(lines) and len({r["cluster"] for r in got}) > 10
+
+
+def test_trace_queries_take_every_trace(spark, tiny):
+    """Of all traces, those that the SQL takes are as it says."""
+    traces = {r["o_orderkey"] for r in spark.read.parquet(f"{tiny}/orders.parquet").select("o_orderkey").distinct().collect()}
+    for name, part in (("trace_bottlenecks", "trace_id % 10 = 0"), ("trace_timeline", "trace_id % 20 = 0")):
+        got = catalogue.QUERIES[name](spark, tiny)
+        assert {r["trace_id"] for r in got.select("trace_id").distinct().collect()} == traces
+        assert difference(got.filter(part), catalogue.ORACLES[name], tiny) is None
+
+
+def test_cyclic_steps_takes_every_event(spark):
+    events = spark.range(5000).select(F.col("id").alias("event_id"))
+    from quern.queries import traces as queries
+
+    held, queries.table = queries.table, lambda *_: events
+    try:
+        got = queries.cyclic_steps(None, None).collect()
+    finally:
+        queries.table = held
+    assert sorted(r["step_id"] for r in got) == [e for e in range(5000) if e % 10 in (7, 8, 9)]
