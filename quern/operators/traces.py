@@ -34,27 +34,18 @@ def bottlenecks(steps: DataFrame, n: int = 5) -> DataFrame:
     return shared.withColumn("rank", F.row_number().over(whole.orderBy(F.desc("duration"), "step_id"))).filter(F.col("rank") <= n).select("trace_id", "rank", "step_id", "duration", "share")
 
 
-def critical_path(steps: DataFrame, most: int = 64) -> DataFrame:
+def critical_path(steps: DataFrame) -> DataFrame:
     """By trace the root with the longest chain below it: trace_id, root, duration, depth.
 
-    Each round hands the longest duration of finished children to their parents; rounds end when no step is
-    open, so there are as many as the deepest trace has levels. Steps on a cycle never finish and are left out.
+    A chain is the sum of durations from a step without children up to its root, the depth the number of
+    levels. Steps on a cycle have no root and are left out.
     """
-    rows = cut(steps.select("trace_id", "step_id", "parent_id", "duration"))
-    children = rows.filter("parent_id is not null").groupBy("trace_id", F.col("parent_id").alias("step_id")).agg(F.count("*").alias("waits"))
-    state = rows.join(children, ["trace_id", "step_id"], "left").select(rows["*"], F.coalesce("waits", F.lit(0)).alias("waits"))
-    level = state.filter("waits = 0").select("trace_id", "step_id", "parent_id", F.col("duration").cast("double").alias("chain"), F.lit(1).alias("depth"))
-    done = level
-    for _ in range(most):
-        told = done.filter("parent_id is not null").groupBy("trace_id", F.col("parent_id").alias("step_id")).agg(F.count("*").alias("heard"), F.max("chain").alias("below"), F.max("depth").alias("deep"))
-        ready = state.join(told, ["trace_id", "step_id"]).filter("waits = heard").join(done.select("trace_id", "step_id"), ["trace_id", "step_id"], "left_anti")
-        more = ready.select("trace_id", "step_id", "parent_id", (F.col("duration") + F.col("below")).alias("chain"), (F.col("deep") + 1).alias("depth"))
-        more = cut(more)
-        if more.isEmpty():
-            break
-        done = done.unionByName(more)
-    best = F.max(F.struct(F.round("chain", 2).alias("d"), (-F.col("step_id")).alias("s"), "depth"))
-    return done.filter("parent_id is null").groupBy("trace_id").agg(best.alias("b")).select("trace_id", (-F.col("b.s")).alias("root"), F.col("b.d").alias("duration"), "b.depth")
+    rows = cut(steps.select("trace_id", "step_id", "parent_id", F.col("duration").cast("double").alias("chain")))
+    parents = rows.filter("parent_id is not null").select("trace_id", F.col("parent_id").alias("step_id")).distinct()
+    leaves = _climbed(rows, chain=lambda below, above: below + above).join(parents, ["trace_id", "step_id"], "left_anti")
+    roots = leaves.groupBy("trace_id", "root").agg(F.max("chain").alias("chain"), F.max("hops").alias("depth"))
+    best = F.max(F.struct(F.round("chain", 2).alias("d"), (-F.col("root")).alias("s"), "depth"))
+    return roots.groupBy("trace_id").agg(best.alias("b")).select("trace_id", (-F.col("b.s")).alias("root"), F.col("b.d").alias("duration"), "b.depth")
 
 
 def parallel_gain(steps: DataFrame) -> DataFrame:
@@ -64,27 +55,35 @@ def parallel_gain(steps: DataFrame) -> DataFrame:
     return told.filter("children > 1 and in_turn > together").withColumn("saved", F.round(F.col("in_turn") - F.col("together"), 2))
 
 
-def timeline(steps: DataFrame, most: int = 64) -> DataFrame:
+def timeline(steps: DataFrame) -> DataFrame:
     """Each step with its depth and path of step ids from the root, by which a trace sorts in preorder."""
-    return _levels(cut(steps.select("trace_id", "step_id", "parent_id")), most)
+    rows = cut(steps.select("trace_id", "step_id", "parent_id", F.lpad(F.col("step_id").cast("string"), 12, "0").alias("path")))
+    climbed = _climbed(rows, path=lambda below, above: F.concat_ws("/", above, below))
+    return climbed.select("trace_id", "step_id", (F.col("hops") - 1).alias("depth"), "path")
 
 
-def _levels(steps: DataFrame, most: int = 64) -> DataFrame:
-    key = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
-    level = steps.filter("parent_id is null").select("trace_id", "step_id", F.lit(0).alias("depth"), key("step_id").alias("path"))
-    out = level
-    for _ in range(most):
-        up = level.select("trace_id", F.col("step_id").alias("parent_id"), F.col("depth").alias("d"), F.col("path").alias("p"))
-        level = steps.join(up, ["trace_id", "parent_id"]).select("trace_id", "step_id", (F.col("d") + 1).alias("depth"), F.concat_ws("/", "p", key("step_id")).alias("path"))
-        level = cut(level)
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def _climbed(rows: DataFrame, **folded) -> DataFrame:
+    """The steps that a root leads to: trace_id, step_id, root, hops (steps from the root to it) and the ``folded`` columns.
+
+    Each round puts a step's stretch of ancestors and that of the stretch's upper end together, so stretches double and
+    rounds are the logarithm of the depth. A stretch as long as its trace has steps goes round a cycle and is dropped, as
+    is one whose upper end is missing.
+    """
+    size = rows.groupBy("trace_id").agg(F.count("*").alias("size"))
+    rows = rows.join(size, "trace_id").select("trace_id", "step_id", F.col("parent_id").alias("up"), F.col("step_id").alias("root"), F.lit(1).alias("hops"), "size", *folded)
+    while True:
+        live = rows.filter("up is not null and hops < size")
+        above = rows.select("trace_id", F.col("step_id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("hops").alias("_hops"), *[F.col(c).alias(f"_{c}") for c in folded])
+        joined = live.join(above, ["trace_id", "up"]).select(
+            "trace_id", "step_id", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("hops") + F.col("_hops")).alias("hops"), "size", *[f(F.col(c), F.col(f"_{c}")).alias(c) for c, f in folded.items()]
+        )
+        rows = cut(rows.filter("up is null").unionByName(joined))
+        if rows.filter("up is not null and hops < size").isEmpty():
+            return rows.filter("up is null").drop("up", "size")
 
 
 def cyclic_steps(steps: DataFrame) -> DataFrame:
     """Steps that no root leads to: those of cycles and what hangs below them."""
     steps = cut(steps.select("trace_id", "step_id", "parent_id"))
-    reached = _levels(steps).select("trace_id", "step_id")
+    reached = _climbed(steps).select("trace_id", "step_id")
     return steps.select("trace_id", "step_id").join(reached, ["trace_id", "step_id"], "left_anti")

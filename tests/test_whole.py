@@ -7,7 +7,7 @@ import random
 from compare import difference
 from pyspark.sql import functions as F
 
-from quern.operators import logs
+from quern.operators import logs, traces
 from quern.queries import catalogue
 
 
@@ -55,3 +55,15 @@ def test_cyclic_steps_takes_every_event(spark):
     finally:
         queries.table = held
     assert sorted(r["step_id"] for r in got) == [e for e in range(5000) if e % 10 in (7, 8, 9)]
+
+
+def test_traces_of_any_depth(spark):
+    """A chain of 150 steps with a side branch, a cycle of 3 with a step below it, and a step whose parent is missing."""
+    rows = [(1, k, k - 1 if k else None, 1.0) for k in range(150)] + [(1, 500, 70, 200.0)]
+    rows += [(2, 0, None, 1.0), (2, 1, 3, 1.0), (2, 2, 1, 1.0), (2, 3, 2, 1.0), (2, 4, 3, 1.0), (2, 6, 5, 1.0)]
+    steps = spark.createDataFrame(rows, "trace_id long, step_id long, parent_id long, duration double")
+    assert sorted(map(tuple, traces.critical_path(steps).collect())) == [(1, 0, 271.0, 150), (2, 0, 1.0, 1)]
+    told = {(r["trace_id"], r["step_id"]): (r["depth"], r["path"]) for r in traces.timeline(steps).collect()}
+    chain = [f"{k:012d}" for k in range(150)]
+    assert told == {(1, k): (k, "/".join(chain[: k + 1])) for k in range(150)} | {(1, 500): (71, "/".join([*chain[:71], f"{500:012d}"])), (2, 0): (0, chain[0])}
+    assert sorted(map(tuple, traces.cyclic_steps(steps).collect())) == [(2, 1), (2, 2), (2, 3), (2, 4), (2, 6)]
