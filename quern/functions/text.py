@@ -33,6 +33,8 @@ CONTENT_HINTS = [
     ("ERROR", r"(?i)\b(exception|traceback|failed to|failure|refused|aborted|cannot|could not|denied)\b"),
     ("WARN", r"(?i)\b(deprecat(ed|ion)|retry(ing)?|slow|throttl(ed|ing))\b"),
 ]
+#: A word's edge where words are of ASCII letters, digits and _ only; that of Java's \b depends on its version.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 FILLERS = [
     r"(?i)\b(please|kindly|do me a favor|if you don't mind)\b",
     r"(?i)\b(can you|could you|would you|will you)\s+(please\s+)?(help me\s+)?",
@@ -133,8 +135,8 @@ def token_estimate(text: Column) -> Column:
 
 def compress_prompt(text: Column) -> Column:
     """A prompt without filler phrases; short prompts, and those that would lose over half, stay as they are."""
-    out = reduce(lambda c, p: F.regexp_replace(c, p, ""), FILLERS, text)
-    out = F.trim(F.regexp_replace(out, r"\s{2,}", " "))
+    out = reduce(lambda c, p: F.regexp_replace(c, p.replace(r"\b", EDGE), ""), FILLERS, text)
+    out = F.regexp_replace(F.regexp_replace(out, r"\s{2,}", " "), r"^\s+|\s+$", "")
     return F.when((F.length(text) < 50) | (F.length(out) < F.length(text) * 0.5), text).otherwise(out)
 
 

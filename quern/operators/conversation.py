@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import ENTITY_PATTERNS, STOPWORDS, TERM, token_estimate
+from quern.functions.text import EDGE, ENTITY_PATTERNS, STOPWORDS, TERM, token_estimate
 
 
 def _newest(conv: str, pos: str):
@@ -67,7 +67,7 @@ def neighbours(chunks: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
 def entity_mentions(messages: DataFrame) -> DataFrame:
     """(kind, entity, messages): in how many messages each person, date or number is found."""
     def found(kind: str, pattern: str):
-        return F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("entity")))
+        return F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern.replace(r"\b", EDGE)), F.lit(0))), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("entity")))
 
     kinds = [found(k, p) for k, p in ENTITY_PATTERNS.items()]
     return messages.select(F.explode(F.concat(*kinds)).alias("e")).groupBy("e.kind", "e.entity").agg(F.count("*").alias("messages"))
@@ -75,7 +75,7 @@ def entity_mentions(messages: DataFrame) -> DataFrame:
 
 def important_terms(messages: DataFrame, by: str, n: int = 10) -> DataFrame:
     """The commonest terms of each group, longer ones first among ties, then by text."""
-    terms = messages.select(by, F.explode(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("term")).filter(~F.lower("term").isin(STOPWORDS))
+    terms = messages.select(by, F.explode(F.regexp_extract_all("text", F.lit(TERM.replace(r"\b", EDGE)), F.lit(0))).alias("term")).filter(~F.lower("term").isin(STOPWORDS))
     counted = terms.groupBy(by, "term").agg(F.count("*").alias("n"))
     order = Window.partitionBy(by).orderBy(F.desc("n"), F.desc(F.length("term")), "term")
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)

@@ -65,16 +65,14 @@ UNION ALL SELECT 'date', unnest(list_distinct(regexp_extract_all(text, '\b(?:Jan
 UNION ALL SELECT 'number', unnest(list_distinct(regexp_extract_all(text, '\b\d+(?:,\d{3})*(?:\.\d+)?\b'))) FROM c)
 SELECT kind, entity, count(*) AS messages FROM e GROUP BY ALL""")
 def entity_mentions(spark, d):
-    plain = table(spark, d, "conversations").filter(F.octet_length("text") == F.length("text"))
-    return op.entity_mentions(plain)
+    return op.entity_mentions(table(spark, d, "conversations"))
 
 
 @query(r"""WITH t AS (SELECT role, unnest(regexp_extract_all(text, '\b(?:[A-Z][a-zA-Z0-9_-]{2,}|[A-Z]{2,}|\d[\d.,%-]*|[a-z][a-z0-9_-]{4,})\b')) AS term FROM conversations WHERE regexp_matches(text, '^[\x00-\x7F]*$')),
 c AS (SELECT role, term, count(*) AS n FROM t WHERE lower(term) NOT IN ('there','their','about','would','could','should','after','before','where','which','while','using','please','thanks','summary','conversation') GROUP BY ALL)
 SELECT * FROM (SELECT role, term, n, row_number() OVER (PARTITION BY role ORDER BY n DESC, length(term) DESC, term) AS rank FROM c) WHERE rank <= 10""")
 def important_terms(spark, d):
-    plain = table(spark, d, "conversations").filter(F.octet_length("text") == F.length("text"))
-    return op.important_terms(plain, "role")
+    return op.important_terms(table(spark, d, "conversations"), "role")
 
 
 @query(r"""WITH b AS (SELECT conv_id, turn, text, 'conversation ' || conv_id AS title, split_part(text, ' ', CASE WHEN turn % 2 = 0 THEN 1 ELSE 60 END) AS section FROM conversations)

@@ -13,16 +13,14 @@ from quern.sources.tables import table
 
 @query(f"SELECT doc_id, {ESTIMATE} AS tokens FROM (SELECT doc_id, {BARE} AS b FROM documents WHERE regexp_matches(coalesce(text, ''), '^[\\x00-\\x7F]*$'))")
 def token_estimate(spark, d):
-    plain = table(spark, d, "documents").filter(F.coalesce(F.octet_length("text") == F.length("text"), F.lit(True)))
-    return plain.select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query(r"""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Could you please help me to explain ' || text || ' Thank you in advance.' ELSE 'please do' END AS t, turn % 2 = 0 AS long, text FROM conversations WHERE regexp_matches(text, '^[a-zA-Z0-9 ,.]*$') AND NOT regexp_matches(text, '(?i)please|kindly|you|help|guide|assist|want|need|thank|hope|  ') AND length(text) > 60)
 SELECT conv_id, turn, md5(CASE WHEN long THEN trim('to explain ' || text) ELSE t END) AS compressed_md5 FROM p""")
 def compress_prompt(spark, d):
-    c = table(spark, d, "conversations").filter(F.col("text").rlike("^[a-zA-Z0-9 ,.]*$") & ~F.col("text").rlike("(?i)please|kindly|you|help|guide|assist|want|need|thank|hope|  ") & (F.length("text") > 60))
     t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Could you please help me to explain "), "text", F.lit(" Thank you in advance."))).otherwise("please do")
-    return c.select("conv_id", "turn", F.md5(text.compress_prompt(t)).alias("compressed_md5"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(text.compress_prompt(t)).alias("compressed_md5"))
 
 
 @query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'rate_limited' WHEN 1 THEN 'quota_exhausted' WHEN 2 THEN 'api_key_missing' WHEN 3 THEN 'timeout' WHEN 4 THEN 'request_too_large' WHEN 5 THEN 'model_unavailable' ELSE 'unknown' END AS error FROM events""")

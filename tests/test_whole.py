@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 from compare import difference
 from pyspark.sql import functions as F
 
-from quern.operators import logs, traces
+from quern.functions import text
+from quern.operators import conversation, logs, traces
 from quern.queries import catalogue
 
 
@@ -67,3 +72,46 @@ def test_traces_of_any_depth(spark):
     chain = [f"{k:012d}" for k in range(150)]
     assert told == {(1, k): (k, "/".join(chain[: k + 1])) for k in range(150)} | {(1, 500): (71, "/".join([*chain[:71], f"{500:012d}"])), (2, 0): (0, chain[0])}
     assert sorted(map(tuple, traces.cyclic_steps(steps).collect())) == [(2, 1), (2, 2), (2, 3), (2, 4), (2, 6)]
+
+
+def compressed(t: str) -> str:
+    out = t
+    for p in text.FILLERS:
+        out = re.sub(p, "", out, flags=re.A)
+    out = re.sub(r"\s{2,}", " ", out, flags=re.A).strip(" \t\n\r\f\v")
+    return t if len(t) < 50 or len(out) < len(t) * 0.5 else out
+
+
+def estimated(t: str | None) -> int:
+    bare = (t or "").strip(" \t\n\r\f\v")
+    if not bare:
+        return 0
+    sample = bare[:4000]
+    dense = len(re.sub(r"[A-Za-z0-9 \t\n\r]", "", sample)) / len(sample) > 0.15
+    return max(math.ceil(len(bare) / (3 if dense else 4)), math.ceil(len(re.split(r"\s+", bare, flags=re.A)) * 13 / 10))
+
+
+def test_text_queries_take_every_row(spark, tiny):
+    talk = spark.read.parquet(f"{tiny}/conversations.parquet").collect()
+    assert any(not r["text"].isascii() for r in talk)
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").collect()
+    got = {name: sorted(map(tuple, catalogue.QUERIES[name](spark, tiny).collect())) for name in ("token_estimate", "compress_prompt", "entity_mentions", "important_terms")}
+    assert got["token_estimate"] == sorted((r["doc_id"], estimated(r["text"])) for r in docs)
+    prompts = [(r, f"Could you please help me to explain {r['text']} Thank you in advance." if r["turn"] % 2 == 0 else "please do") for r in talk]
+    assert got["compress_prompt"] == sorted((r["conv_id"], r["turn"], hashlib.md5(compressed(t).encode()).hexdigest()) for r, t in prompts)
+    held = Counter((kind, e) for r in talk for kind, p in text.ENTITY_PATTERNS.items() for e in {m.group() for m in re.finditer(p, r["text"], re.A)})
+    assert got["entity_mentions"] == sorted((*k, n) for k, n in held.items())
+    terms = Counter((r["role"], m.group()) for r in talk for m in re.finditer(text.TERM, r["text"], re.A) if m.group().lower() not in text.STOPWORDS)
+    best = []
+    for role in {k[0] for k in terms}:
+        first = sorted((-n, -len(t), t) for (by, t), n in terms.items() if by == role)[:10]
+        best += [(role, t, -n, rank + 1) for rank, (n, _, t) in enumerate(first)]
+    assert got["important_terms"] == sorted(best)
+
+
+def test_word_edges_beside_other_letters(spark):
+    rows = spark.createDataFrame([("a", "éAnna Berg sah 12ü und übergroß"), ("a", "zündeln please\n")], "role string, text string")
+    assert {(r["kind"], r["entity"]) for r in conversation.entity_mentions(rows).collect()} == {("person", "Anna Berg"), ("number", "12")}
+    assert {r["term"] for r in conversation.important_terms(rows, "role").collect()} == {"Anna", "Berg", "12", "bergro", "ndeln"}
+    long = "please über" + " so" * 30 + "üplease\n"
+    assert rows.limit(1).select(text.compress_prompt(F.lit(long))).first()[0] == "über" + " so" * 30 + "ü"
