@@ -23,6 +23,8 @@ ANTI_PATTERNS = [
     ("select-single", "low", [r"^SELECT SINGLE\b"], []),
 ]
 NUMERIC_SHARE = 0.8
+#: Rows of a range in which neighbouring values are compared.
+ROWS = 1 << 16
 
 
 def column(df: DataFrame, which: int | str) -> Column:
@@ -170,16 +172,21 @@ def guessed_duration(df: DataFrame, columns: list[str]) -> DataFrame:
     """For each numeric column whether it could be a duration: spread far above its middle, not a running number.
 
     A column is vetoed when it never falls, when it is nearly unique whole numbers, or when its mean is
-    under 1.2 times its upper median. Every answer is marked as a guess.
+    under 1.2 times its upper median. Every answer is marked as a guess, and all values of 0 or more count.
+    Falls are found inside ranges of ``ROWS`` rows, then between the ranges.
     """
-    long = df.select(F.monotonically_increasing_id().alias("at"), F.expr(f"stack({len(columns)}, {', '.join(f"'{c}', cast(`{c}` as double)" for c in columns)}) as (column_name, v)"))
-    first = Window.partitionBy("column_name").orderBy("at")
-    sample = long.filter("v >= 0").withColumn("place", F.row_number().over(first)).filter("place <= 500")
-    sample = sample.withColumn("fell", (F.col("v") < F.lag("v").over(first)).cast("int"))
-    told = sample.groupBy("column_name").agg(
+    long = df.select(F.monotonically_increasing_id().alias("at"), F.expr(f"stack({len(columns)}, {', '.join(f"'{c}', cast(`{c}` as double)" for c in columns)}) as (column_name, v)")).filter("v >= 0")
+    inside = Window.partitionBy("column_name", "range").orderBy("at")
+    fell = long.withColumn("range", F.floor(F.col("at") / ROWS)).withColumn("fell", (F.col("v") < F.lag("v").over(inside)).cast("int"))
+    ranges = fell.groupBy("column_name", "range").agg(F.coalesce(F.sum("fell"), F.lit(0)).alias("fell"), F.min_by("v", "at").alias("first"), F.max_by("v", "at").alias("last"))
+    border = F.coalesce((F.col("first") < F.lag("last").over(Window.partitionBy("column_name").orderBy("range"))).cast("int"), F.lit(0))
+    falls = ranges.withColumn("border", border).groupBy("column_name").agg((F.sum("fell") + F.sum("border")).alias("falls"))
+    stats = long.groupBy("column_name").agg(
         F.count("*").alias("n"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.expr("-percentile_disc(0.5) within group (order by -v)").alias("median"),
-        F.coalesce(F.sum("fell"), F.lit(0)).alias("falls"), F.countDistinct("v").alias("distinct_values"), F.min((F.col("v") == F.floor("v")).cast("int")).alias("whole"),
+        F.min((F.col("v") == F.floor("v")).cast("int")).alias("whole"),
     )
+    distinct = long.groupBy("column_name", "v").count().groupBy("column_name").agg(F.count("*").alias("distinct_values"))
+    told = stats.join(falls, "column_name").join(distinct, "column_name")
     serial = (F.col("whole") == 1) & (F.col("distinct_values") > 0.95 * F.col("n"))
     fits = (F.col("n") >= 10) & (F.col("falls") > 0) & ~serial & (F.col("median") > 0) & (F.col("mean") >= 1.2 * F.col("median")) & (F.col("max") > 10 * F.col("mean"))
     return told.select("column_name", "n", F.round(F.col("max") / F.col("mean"), 4).alias("spread"), fits.alias("guessed_duration"), F.lit("spread").alias("basis"))

@@ -12,7 +12,7 @@ from compare import difference
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import conversation, logs, traces
+from quern.operators import conversation, logs, table, traces
 from quern.queries import catalogue
 
 
@@ -115,3 +115,22 @@ def test_word_edges_beside_other_letters(spark):
     assert {r["term"] for r in conversation.important_terms(rows, "role").collect()} == {"Anna", "Berg", "12", "bergro", "ndeln"}
     long = "please über" + " so" * 30 + "üplease\n"
     assert rows.limit(1).select(text.compress_prompt(F.lit(long))).first()[0] == "über" + " so" * 30 + "ü"
+
+
+def test_duration_guess_reads_every_row(spark, monkeypatch):
+    monkeypatch.setattr(table, "ROWS", 64)
+    draw = random.Random(5)
+    values = [float(draw.randint(1, 9)) for _ in range(900)] + [float(draw.randint(1, 9)) * 500 for _ in range(20)]
+    rows = [(k, v, -1.0 if k % 3 else float(k), float(k // 64)) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k long, late double, some double, steps double").repartitionByRange(3, "k").sortWithinPartitions("k")
+    got = {r["column_name"]: (r["n"], r["spread"], r["guessed_duration"]) for r in table.guessed_duration(df, ["k", "late", "some", "steps"]).collect()}
+    mean = sum(values) / 920
+    assert got["late"] == (920, round(max(values) / mean, 4), True) and got["k"][::2] == (920, False)
+    assert got["some"][::2] == (307, False) and got["steps"][::2] == (920, False)
+
+
+def test_a_fall_between_ranges_counts(spark, monkeypatch):
+    monkeypatch.setattr(table, "ROWS", 64)
+    values = [1.0] * 63 + [900.0] + [1.0] * 36  # the one fall is from row 63 to row 64
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    assert table.guessed_duration(df, ["v"]).first()["guessed_duration"]
