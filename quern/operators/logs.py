@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import mask, severity, timestamp
 
-#: Tree of the template miner: share of equal places that joins a cluster, clusters and children that a node may have.
-SIMILAR, CLUSTERS, CHILDREN = 0.4, 2000, 120
+#: Tree of the template miner: share of equal places that joins a cluster, children that a node may have.
+SIMILAR, CHILDREN = 0.4, 120
 #: Line numbers of a range in which lines are numbered before the sums of the ranges are added.
 SPAN = 1 << 14
 
@@ -30,42 +30,49 @@ def _wild(token: str) -> str:
     return "<*>" if token.startswith("<") and token.endswith(">") or any(c.isdigit() for c in token) else token
 
 
-class TemplateTree:
-    """Templates by number of tokens, then two leading tokens, then the cluster with most equal places."""
+class TemplateLeaf:
+    """Templates of lines with as many tokens and the same leading ones: a line joins the cluster with most equal places."""
 
     def __init__(self):
-        self.root: dict = {}
         self.templates: list[list[str]] = []
 
     def add(self, tokens: list[str]) -> int:
         """The number of the cluster that the tokens join or found."""
-        node = self.root.setdefault(len(tokens), {})
-        for token in tokens[:2]:
-            key = _wild(token)
-            if key not in node:
-                key = "<*>" if "<*>" in node or len(node) >= CHILDREN else key
-                node.setdefault(key, {})
-            node = node[key]
         best, most = -1, -1.0
-        for k in node.setdefault("", []):
-            equal = sum(a == b != "<*>" for a, b in zip(self.templates[k], tokens, strict=True)) / max(len(tokens), 1)
+        for k, template in enumerate(self.templates):
+            equal = sum(a == b != "<*>" for a, b in zip(template, tokens, strict=True)) / max(len(tokens), 1)
             if equal > most:
                 best, most = k, equal
-        if best >= 0 and (most >= SIMILAR or len(self.templates) >= CLUSTERS):
+        if best >= 0 and most >= SIMILAR:
             self.templates[best] = [a if a == b else "<*>" for a, b in zip(self.templates[best], tokens, strict=True)]
             return best
-        if len(self.templates) >= CLUSTERS:
-            return -1
         self.templates.append(list(tokens))
-        node[""].append(len(self.templates) - 1)
         return len(self.templates) - 1
 
 
+def _leading(masked: pd.Series) -> pd.DataFrame:
+    split = [m.split() for m in masked]
+    return pd.DataFrame({"n": [len(t) for t in split], "a": [_wild(t[0]) if t else "" for t in split], "b": [_wild(t[1]) if len(t) > 1 else "" for t in split]}, columns=["n", "a", "b"])
+
+
+def _child(lines: DataFrame, node: list[str], token: str) -> DataFrame:
+    """``lines`` with the child of ``node`` that ``token`` leads to in its place.
+
+    A node's children are its first ``CHILDREN`` tokens in the order of their first lines, up to a wildcard; the others go there.
+    """
+    order = Window.partitionBy(*node)
+    first = lines.groupBy(*node, token).agg(F.min(F.struct("first_line", "masked")).alias("_at"))
+    own = first.withColumn("_r", F.row_number().over(order.orderBy("_at"))).filter(F.col("_r") <= CHILDREN)
+    own = own.withColumn("_wild", F.min(F.when(F.col(token) == "<*>", F.col("_r"))).over(order)).filter("_wild is null or _r <= _wild")
+    own = own.select(*node, token, F.lit(True).alias("_own"))
+    return lines.join(own, [*node, token], "left").withColumn(token, F.when(F.col("_own"), F.col(token)).otherwise("<*>")).drop("_own")
+
+
 def mine_templates(lines: DataFrame, by: str | None = None) -> DataFrame:
     """Log templates of annotated ``lines`` (per value of ``by`` if given): template, n, first_line, last_line, severity.
 
-    Repeats are counted by Spark first; the tree sees each distinct masked line once, in the order of its
-    first appearance, in one task for each log. Its size is that of the distinct shapes, not of the log.
+    Repeats are counted by Spark first; each distinct masked line is seen once, in the order of its first appearance among
+    those of its leaf: the lines of a log with as many tokens and the same two leading ones. Leaves are dealt over tasks.
     """
     log = F.col(by).cast("string") if by else F.lit("")
     counted = lines.withColumn("log", log).groupBy("log", "masked").agg(
@@ -74,16 +81,17 @@ def mine_templates(lines: DataFrame, by: str | None = None) -> DataFrame:
     )
 
     def mine(part: pd.DataFrame) -> pd.DataFrame:
-        tree, rows = TemplateTree(), []
+        leaf, rows = TemplateLeaf(), []
         for row in part.sort_values(["first_line", "masked"]).itertuples(index=False):
-            k = tree.add(row.masked.split())
-            if k >= 0:
-                rows.append((row.log, k, row.n, row.first_line, row.last_line, row.severity))
+            rows.append((row.log, leaf.add(row.masked.split()), row.n, row.first_line, row.last_line, row.severity))
         out = pd.DataFrame(rows, columns=["log", "k", "n", "first_line", "last_line", "severity"])
-        out["template"] = [" ".join(tree.templates[k]) for k in out["k"]]
+        out["template"] = [" ".join(leaf.templates[k]) for k in out["k"]]
         return out[["log", "template", "n", "first_line", "last_line", "severity"]]
 
-    mined = counted.groupBy("log").applyInPandas(mine, "log string, template string, n long, first_line long, last_line long, severity string")
+    leading = F.pandas_udf(_leading, "n int, a string, b string")
+    led = counted.withColumn("_t", leading("masked")).select("*", F.coalesce(F.concat(F.lit("="), "log"), F.lit("")).alias("_log"), F.col("_t.n").alias("_n"), F.col("_t.a").alias("_a"), F.col("_t.b").alias("_b")).drop("_t")
+    led = _child(_child(led, ["_log", "_n"], "_a"), ["_log", "_n", "_a"], "_b")
+    mined = led.groupBy("_log", "_n", "_a", "_b").applyInPandas(mine, "log string, template string, n long, first_line long, last_line long, severity string")
     told = mined.groupBy("log", "template").agg(
         F.sum("n").alias("n"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.min_by("severity", F.when(F.col("severity").isNotNull(), F.col("first_line"))).alias("severity")
     )

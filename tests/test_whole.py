@@ -134,3 +134,36 @@ def test_a_fall_between_ranges_counts(spark, monkeypatch):
     values = [1.0] * 63 + [900.0] + [1.0] * 36  # the one fall is from row 63 to row 64
     df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
     assert table.guessed_duration(df, ["v"]).first()["guessed_duration"]
+
+
+def mined(lines: list[str]) -> Counter:
+    """Lines by template, by one walk over a tree of all lines."""
+    root, templates, of = {}, {}, []
+    for line in lines:
+        tokens = line.split()
+        node = root.setdefault(len(tokens), {})
+        for t in tokens[:2]:
+            key = logs._wild(t)
+            if key not in node:
+                key = "<*>" if "<*>" in node or len(node) >= logs.CHILDREN else key
+            node = node.setdefault(key, {})
+        leaf = node.setdefault("", [])
+        equal = [sum(a == b != "<*>" for a, b in zip(templates[k], tokens)) / max(len(tokens), 1) for k in leaf]
+        k = leaf[equal.index(max(equal))] if equal and max(equal) >= logs.SIMILAR else len(templates)
+        if k == len(templates):
+            leaf.append(k)
+        templates[k] = [a if a == b else "<*>" for a, b in zip(templates.get(k, tokens), tokens)]
+        of.append(k)
+    return Counter(" ".join(templates[k]) for k in of)
+
+
+def test_templates_past_two_thousand(spark):
+    """2,600 kinds of line, more than the old limit; nodes overflow and some tokens are wild."""
+    draw = random.Random(9)
+    word = lambda n: "".join(draw.choice("abcdefghij") for _ in range(n))
+    lines = [" ".join(word(3) for _ in range(3 + k % 5)) for k in range(2500)] + [f"{draw.choice('pqr')} {word(1)} {word(2)} end" for _ in range(100)] + ["one", "<NUM> two", "x7 y z", "ok <NUM> z"]
+    draw.shuffle(lines)
+    lines = list(dict.fromkeys(lines))
+    rows = spark.createDataFrame([(k + 1, None, line) for k, line in enumerate(lines)], "line_no long, severity string, masked string").repartition(4)
+    got = {r["template"]: r["n"] for r in logs.mine_templates(rows).collect()}
+    assert got == dict(mined(lines)) and sum(got.values()) == len(lines) and len(got) > 2000
