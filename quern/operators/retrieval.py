@@ -231,7 +231,7 @@ def suppress_stubs(hits: DataFrame, k: int = 5, by: str = "file_id") -> DataFram
     return kept.orderBy(F.desc("score"), "id").limit(k)
 
 
-def grep(lines: DataFrame, query: str, before: int = 4, after: int = 5, most: int = 300) -> DataFrame:
+def grep(lines: DataFrame, query: str, before: int = 4, after: int = 5) -> DataFrame:
     """Sampled lines (file, line_no, raw) that hold a phrase or all its words, each with its neighbourhood: file, hit_line, first_line, last_line.
 
     Without such lines those with any word of three letters count. Of over 20 hits in a file the first 5, 5 spread over the middle and the
@@ -245,7 +245,7 @@ def grep(lines: DataFrame, query: str, before: int = 4, after: int = 5, most: in
     whole = Window.partitionBy("file")
     hits = marked.withColumn("any_full", F.max("full").over(whole)).filter(F.col("full") | ~F.col("any_full"))
     order = whole.orderBy("line_no")
-    hits = hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).withColumn("n", F.count("*").over(whole))
+    hits = hits.withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(whole))
     step = F.greatest(F.lit(1), F.floor((F.col("n") - 15) / 5))
     middle = (F.col("r") > 5) & (F.col("r") <= F.col("n") - 10) & ((F.col("r") - 6) % step == 0) & ((F.col("r") - 6) / step < 5)
     kept = hits.filter((F.col("n") <= 20) | (F.col("r") <= 5) | middle | (F.col("r") > F.col("n") - 10))

@@ -12,7 +12,7 @@ from compare import difference
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import conversation, logs, table, traces
+from quern.operators import conversation, logs, retrieval, table, traces
 from quern.queries import catalogue
 
 
@@ -167,3 +167,14 @@ def test_templates_past_two_thousand(spark):
     rows = spark.createDataFrame([(k + 1, None, line) for k, line in enumerate(lines)], "line_no long, severity string, masked string").repartition(4)
     got = {r["template"]: r["n"] for r in logs.mine_templates(rows).collect()}
     assert got == dict(mined(lines)) and sum(got.values()) == len(lines) and len(got) > 2000
+
+
+def test_grep_samples_the_real_end(spark):
+    """Of 700 hits the first 5, 5 of the middle and the last 10; a file of 20 keeps all."""
+    rows = [("long", k, "boom" if k % 2 else "quiet") for k in range(1, 1401)] + [("short", k, "Boom") for k in range(1, 21)]
+    got = retrieval.grep(spark.createDataFrame(rows, "file string, line_no long, raw string"), "boom").collect()
+    hits = list(range(1, 1401, 2))
+    middle = hits[5:-10]
+    expected = hits[:5] + middle[:: (len(hits) - 15) // 5][:5] + hits[-10:]
+    assert sorted(r["hit_line"] for r in got if r["file"] == "long") == expected
+    assert sorted(r["hit_line"] for r in got if r["file"] == "short") == list(range(1, 21))
