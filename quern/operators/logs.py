@@ -12,6 +12,8 @@ from quern.functions.text import mask, severity, timestamp
 SIMILAR, CHILDREN = 0.4, 120
 #: Line numbers of a range in which lines are numbered before the sums of the ranges are added.
 SPAN = 1 << 14
+#: Ranges of line numbers in which an even sample counts lines.
+RANGES = 4096
 
 
 def annotate(lines: DataFrame) -> DataFrame:
@@ -175,11 +177,20 @@ def incident_context(lines: DataFrame, before: int = 3, after: int = 4) -> DataF
 
 
 def sampled(lines: DataFrame, k: int) -> DataFrame:
-    """``k`` lines evenly spread over the lines given: places floor(i * n / k)."""
-    order, whole = Window.orderBy("line_no"), Window.partitionBy()
-    placed = lines.withColumn("_p", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(whole))
-    turn = F.ceil(F.col("_p") * k / F.col("_n"))
-    return placed.filter((F.col("_n") <= k) | (F.floor(turn * F.col("_n") / k) == F.col("_p")) & (turn < k)).drop("_p", "_n")
+    """``k`` lines evenly spread over the lines given: places floor(i * n / k).
+
+    Lines are counted in ``RANGES`` ranges of line numbers, and only those of ranges that hold a wanted place are numbered.
+    """
+    span = lines.agg(F.min("line_no").alias("_low"), (F.floor((F.max("line_no") - F.min("line_no")) / RANGES) + 1).alias("_width"))
+    ranged = lines.crossJoin(F.broadcast(span)).withColumn("_range", F.coalesce(F.floor((F.col("line_no") - F.col("_low")) / F.col("_width")), F.lit(-1)))
+    # at most RANGES + 1 rows: the window without a partition is over these alone
+    order = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    held = ranged.groupBy("_range").agg(F.count("*").alias("_held")).withColumn("_earlier", F.sum("_held").over(order) - F.col("_held"))
+    places = lines.agg(F.count("*").alias("_n")).select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_i"), "_n").selectExpr("_i * _n div %d as _place" % k).distinct()
+    wanted = held.join(F.broadcast(places), (F.col("_place") >= F.col("_earlier")) & (F.col("_place") < F.col("_earlier") + F.col("_held")))
+    wanted = wanted.groupBy("_range", "_earlier").agg(F.collect_set("_place").alias("_places"))
+    placed = ranged.join(F.broadcast(wanted), "_range").withColumn("_p", F.col("_earlier") + F.row_number().over(Window.partitionBy("_range").orderBy("line_no")) - 1)
+    return placed.filter(F.array_contains("_places", F.col("_p"))).select(*lines.columns)
 
 
 def dump_sections(files: DataFrame, headers: list[str]) -> DataFrame:

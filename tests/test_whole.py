@@ -178,3 +178,15 @@ def test_grep_samples_the_real_end(spark):
     expected = hits[:5] + middle[:: (len(hits) - 15) // 5][:5] + hits[-10:]
     assert sorted(r["hit_line"] for r in got if r["file"] == "long") == expected
     assert sorted(r["hit_line"] for r in got if r["file"] == "short") == list(range(1, 21))
+
+
+def test_even_sample_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(logs, "RANGES", 7)
+    draw = random.Random(2)
+    numbers = sorted(draw.sample(range(5, 4000), 331))
+    rows = spark.createDataFrame([(n,) for n in numbers], "line_no long").repartition(3)
+    for k in (1, 50, 331, 400):
+        got = sorted(r["line_no"] for r in logs.sampled(rows, k).collect())
+        assert got == sorted({numbers[i * 331 // k] for i in range(k)})
+    plan = logs.sampled(rows, 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(line_no" not in plan  # numbered inside ranges only
