@@ -1,18 +1,23 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document is the set of its distinct word shingles. Documents with the same set are one class. Every
-class has a sketch of minwise values. In each of ``TREES`` independent trees the classes branch by
-minwise values at coordinates that the node chooses (1.25 of them on average, one over the threshold, so that
-a pair at the threshold keeps one common path in expectation). Nodes of at most ``LEAF`` classes are
-compared exhaustively. A larger node is compared with leaders and branches on; at the last depth, the
-members that no link has joined to the bulk of their node are compared with all of it. A pair is linked
-only when its full sets are similar enough, and links make components.
+A document is the set of its distinct word shingles. Documents with the same set are one class, and every
+class has a sketch of minwise values. In each of ``TREES`` independent trees the classes branch by minwise values at
+coordinates that the node chooses: 1.25 of them on average, one over the threshold, so that a pair at the threshold
+keeps one common path in expectation. The number of trees follows from ``RECALL``: the share of pairs at the threshold
+that meet in some small node, if a path has ``LEVELS`` levels.
+
+Only components are wanted, so nothing is compared twice to say the same. A first pass over a few trees follows single
+paths, compares each class with a few others of its nodes and keeps the best two: the links found so
+join most of any large group. The second pass runs all trees over what is left: a node whose classes are in one component
+already is dropped, one with at most ``LEAF`` classes outside its largest component is compared exhaustively (those against
+all of it), and any other branches on. Both compare sketches; a pair is linked only when its full sets are similar enough.
+Work is the number of memberships in nodes times a constant, and the pairs that a node gives go to no single task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -23,16 +28,20 @@ from pyspark.sql import functions as F
 from quern.llm.components import components
 from quern.llm.scratch import Scratch
 
-#: Independent trees; minwise values of a sketch; size of a node that is compared exhaustively; depth of the trees.
-TREES, COORDINATES, LEAF, DEPTH, LEADERS = 20, 128, 16, 5, 3
-#: Classes in a block (about) when those that no link has joined to their node are compared with all of it, and pairs looked at in one step.
-REST_BLOCK, TOGETHER = 64, 1 << 14
-#: Blocks of a family of nodes that one task holds.
-FAMILY_BLOCKS = 16
-#: Bits of the finer sketch by which those are compared; five standard deviations of the similarity that it tells are allowed for.
-FINE_BITS = 4096
-#: Pairs whose sketches agree in a smaller share than the threshold less this are not looked at (over five standard deviations).
-SLACK = 0.2
+#: Minwise values of a sketch; classes outside a node's largest component that are compared with all of it.
+COORDINATES, LEAF = 128, 16
+#: The share of pairs at the threshold that is to meet in a small node, and the levels of a path for which it holds.
+RECALL, LEVELS, THRESHOLD = 0.9995, 12, 0.8
+#: Classes of a node that one task follows down to the small nodes; a larger one branches in Spark.
+NODE = 4096
+#: Levels below which a node that one task holds is compared exhaustively whatever it has outside.
+DEEP = 24
+#: The first pass: its trees, the levels that it follows, the neighbours that a class is compared with in a large node, the best that it keeps.
+FIRST_TREES, FIRST_LEVELS, NEIGHBOURS, BEST = 6, 10, 4, 2
+#: Pairs whose sketches agree in a smaller share than the threshold less this are not looked at (3.6 standard deviations).
+SLACK = 0.13
+#: Pairs compared in one step; rows that a task follows together.
+TOGETHER, HELD = 1 << 15, 1 << 13
 _WORDS_KEPT = 100_000
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,18 +103,34 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return lowest.astype(np.uint32)
 
 
-def children(nodes: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child node) of each branch: a node always takes one coordinate, one in four takes a second."""
+def survival(levels: int, share: float) -> float:
+    """The chance that two classes whose sketches agree in ``share`` of the coordinates have a common path of ``levels`` levels in a tree."""
+    alive = 1.0
+    for _ in range(levels):
+        alive = 1 - (1 - share * alive) * (1 - 0.25 * share * alive)
+    return alive
+
+
+def trees_for(recall: float, levels: int, threshold: float) -> int:
+    """Independent trees by which a pair at the threshold is met with probability ``recall``."""
+    return ceil(log(1 - recall) / log(1 - survival(levels, threshold)))
+
+
+TREES = trees_for(RECALL, LEVELS, THRESHOLD)
+
+
+def children(nodes: np.ndarray, sketches: np.ndarray, single: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child node) of each branch: a node always takes one coordinate, one in four takes a second (unless ``single``)."""
     rows = np.arange(len(nodes))
     first = (mix(nodes, 7) % np.uint64(COORDINATES)).astype(np.int64)
-    more = np.flatnonzero(mix(nodes, 8) % np.uint64(4) == 0)
+    more = np.flatnonzero((mix(nodes, 8) % np.uint64(4) == 0) & (not single))
     second = (mix(nodes[more], 9) % np.uint64(COORDINATES)).astype(np.int64)
     row, at = np.concatenate([rows, more]), np.concatenate([first, second])
     return row, mix(nodes[row], at, sketches[row, at])
 
 
 def _shingled(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, fingerprint of the set (null if empty), low bytes of the sketch, second-level nodes of all trees."""
+    """doc_id, n, fingerprint of the set (null if empty), low bytes of the sketch, second-level nodes of the first trees and of the others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -115,137 +140,213 @@ def _shingled(docs: DataFrame, width: int) -> DataFrame:
                 piece = part.iloc[at : at + 1000]
                 sets = [shingle_set(t, width) for t in piece["text"]]
                 sketches = np.array([sketch(s) for s in sets], dtype=np.uint32).reshape(len(sets), COORDINATES)
-                roots = [np.full(len(sets), mix(tree, 1)[0]) for tree in range(TREES)]
-                coordinate = [int(mix(tree, 2)[0] % np.uint64(COORDINATES)) for tree in range(TREES)]
-                tops = [mix(root, c, sketches[:, c]) for root, c in zip(roots, coordinate, strict=True)]
-                held: list[list[int]] = [[] for _ in sets]
-                for top in tops:
-                    for row, node in zip(*[x.tolist() for x in (lambda r, c: (r, c.view(np.int64)))(*children(top, sketches))], strict=True):
-                        held[row].append(node)
+                held: tuple[list, list] = ([[] for _ in sets], [[] for _ in sets])
+                for tree in range(TREES):
+                    root, at_top = mix(tree, 1)[0], int(mix(tree, 2)[0] % np.uint64(COORDINATES))
+                    row, child = children(mix(np.full(len(sets), root), at_top, sketches[:, at_top]), sketches)
+                    of = held[tree >= FIRST_TREES]
+                    for r, node in zip(row.tolist(), child.view(np.int64).tolist(), strict=True):
+                        of[r].append(node)
                 yield pd.DataFrame(
                     {
                         "doc_id": piece["doc_id"].to_numpy(),
                         "n": [len(s) for s in sets],
                         "fp": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                         "low": [s.astype(np.uint8).tobytes() for s in sketches],
-                        "nodes": held,
+                        "first": held[0],
+                        "others": held[1],
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, fp binary, low binary, nodes array<long>")
+    schema = "doc_id long, n long, fp binary, low binary, first array<long>, others array<long>"
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+
+class Members:
+    """Classes met in nodes: rep, n, sketch and component, by row."""
+
+    def __init__(self, rep: np.ndarray, n: np.ndarray, low: np.ndarray, component: np.ndarray, threshold: float):
+        self.rep, self.n, self.low, self.component, self.threshold = rep, n, low, component, threshold
+        self.looked = 0
+
+    def alike(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of rows in different components whose sizes and sketches allow a link, and the share in which the sketches agree."""
+        fit = (self.component[x] != self.component[y]) & (self.rep[x] != self.rep[y])
+        x, y = x[fit], y[fit]
+        fit = np.minimum(self.n[x], self.n[y]) >= self.threshold * np.maximum(self.n[x], self.n[y]) - 1e-6
+        x, y = x[fit], y[fit]
+        self.looked += len(x)
+        share = (self.low[x] == self.low[y]).mean(axis=1)
+        fit = share >= self.threshold - SLACK
+        return x[fit], y[fit], share[fit]
+
+
+def _exhaustive(members: Members, row: np.ndarray, start: np.ndarray, size: np.ndarray, outside: np.ndarray) -> Iterator[tuple]:
+    """All pairs of the rows outside their node's largest component with the rows of the node."""
+    own = np.flatnonzero(outside)
+    group = np.searchsorted(start, own, side="right") - 1
+    many = size[group]
+    cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(many) - 1) // TOGETHER)) + 1), len(own)]
+    for at, to in zip(cuts, cuts[1:], strict=False):
+        m = many[at:to]
+        i = np.repeat(own[at:to], m)
+        j = np.repeat(start[group[at:to]], m) + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+        once = ~outside[j] | (j > i)
+        yield members.alike(row[i[once]], row[j[once]])
+
+
+def follow(node: np.ndarray, members: Members, complete: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, share): pairs of rows that may be linked, found by branching from ``node`` (of each row) down to small nodes."""
+    row, found = np.arange(len(node)), [(np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)]
+    for depth in range(DEEP + 1 if complete else FIRST_LEVELS):
+        order = np.lexsort((members.component[row], node))
+        node, row = node[order], row[order]
+        component = members.component[row]
+        new = np.append(True, node[1:] != node[:-1])[: len(node)]
+        run = np.flatnonzero(new | np.append(True, component[1:] != component[:-1])[: len(node)])
+        group = np.cumsum(new) - 1
+        length, of = np.diff(np.append(run, len(node))), group[run]
+        largest = np.lexsort((run, -length, of))  # runs of a node, the longest first
+        largest = largest[np.append(True, of[largest][1:] != of[largest][:-1])[: len(largest)]]
+        in_run = np.repeat(np.arange(len(run)), length)
+        outside = in_run != largest[group] if len(node) else new
+        start = np.flatnonzero(new)
+        size, out = np.diff(np.append(start, len(node))), np.bincount(group[outside], minlength=len(start))
+        small = (out <= LEAF) | (complete and depth == DEEP)
+        found += _exhaustive(members, row, start, size, outside & small[group] if len(node) else outside)
+        on = ~small[group] if len(node) else new
+        node, row = node[on], row[on]
+        if not len(row):
+            break
+        order = np.lexsort((mix(members.rep[row], depth, 3), node))
+        node, row = node[order], row[order]
+        for step in range(1, NEIGHBOURS + 1):
+            same = np.flatnonzero(node[step:] == node[:-step])
+            found.append(members.alike(row[same], row[same + step]))
+        branch, node = children(node, members.low[row], single=not complete)
+        row = row[branch]
+        if complete:  # two branches of a node may lead to the same child
+            order = np.lexsort((row, node))
+            node, row = node[order], row[order]
+            keep = np.append(True, (node[1:] != node[:-1]) | (row[1:] != row[:-1]))
+            node, row = node[keep], row[keep]
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
+def _best(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Marks the pairs that are among the ``BEST`` of one of their ends."""
+    keep = np.zeros(len(a), dtype=bool)
+    for end in (a, b):
+        order = np.lexsort((-share, end))
+        first = np.flatnonzero(np.append(True, end[order][1:] != end[order][:-1])[: len(order)])
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        keep[order[place < BEST]] = True
+    return keep
+
+
+def _candidates(rows: DataFrame, threshold: float, complete: bool) -> DataFrame:
+    """(a, b): pairs of classes of the nodes in ``rows`` (node, rep, n, low, component) that may be linked, a < b."""
+
+    def told(held: pa.Table) -> pa.RecordBatch:
+        low = held.column("low").combine_chunks()
+        data = np.frombuffer(low.buffers()[2], dtype=np.uint8)[low.offset * COORDINATES : (low.offset + len(low)) * COORDINATES]
+        rep, n, component, node = (held.column(c).to_numpy() for c in ("rep", "n", "component", "node"))
+        members = Members(rep, n, data.reshape(-1, COORDINATES), component, threshold)
+        x, y, share = follow(node.view(np.uint64), members, complete)
+        a, b = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+        order = np.lexsort((b, a))
+        a, b, share = a[order], b[order], share[order]
+        once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        a, b, share = a[once], b[once], share[once]
+        if not complete:
+            best = _best(a, b, share)
+            a, b = a[best], b[best]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= HELD:  # whole nodes only: the last may go on in the next batch
+                table = pa.Table.from_batches(held)
+                node = table.column("node").to_numpy()
+                cut = int(np.searchsorted(node, node[-1])) if node[0] != node[-1] else 0
+                if cut:
+                    yield told(table.slice(0, cut))
+                    held = table.slice(cut).to_batches()
+                    rows -= cut
+        if held:
+            yield told(pa.Table.from_batches(held))
+
+    ordered = rows.select("node", "rep", "n", "low", "component").repartition("node").sortWithinPartitions("node")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def _branch(large: DataFrame) -> DataFrame:
-    """(node, rep) one level below ``large`` (node, rep, low)."""
+    """(node, rep, component) one level below ``large`` (node, rep, low, component)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             if len(part):
                 low = np.frombuffer(b"".join(part["low"]), dtype=np.uint8).reshape(len(part), COORDINATES)
                 row, child = children(part["node"].to_numpy().view(np.uint64), low)
-                yield pd.DataFrame({"node": child.view(np.int64), "rep": part["rep"].to_numpy()[row]})
+                yield pd.DataFrame({"node": child.view(np.int64), "rep": part["rep"].to_numpy()[row], "component": part["component"].to_numpy()[row]})
 
-    return large.select("node", "rep", "low").mapInPandas(run, "node long, rep long")
+    return large.select("node", "rep", "low", "component").mapInPandas(run, "node long, rep long, component long").distinct()
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """``rows`` (node, rep) of nodes with at least two classes, with the node's size."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    return rows.join(sizes, "node")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def _within(rows: DataFrame) -> DataFrame:
-    """All pairs of the small nodes."""
-    small = rows.filter(F.col("size") <= LEAF)
-    return _ordered(small.select("node", F.col("rep").alias("x")).join(small.select("node", F.col("rep").alias("y")), "node").filter("x < y"))
-
-
-_FINE_MULTIPLIERS = mix(np.arange(FINE_BITS), 98) | np.uint64(1)
-
-
-def fine_sketch(values: np.ndarray) -> bytes:
-    """One bit of each of ``FINE_BITS`` minwise values of a set."""
-    lowest = np.full(FINE_BITS, 0xFFFFFFFF, dtype=np.uint64)
-    for at in range(0, len(values), 1024):
-        part = values[None, at : at + 1024]
-        for k in range(0, FINE_BITS, 128):
-            low = ((part * _FINE_MULTIPLIERS[k : k + 128, None]) >> np.uint64(32)).min(axis=1)
-            lowest[k : k + 128] = np.minimum(lowest[k : k + 128], low)
-    return np.packbits(mix(lowest) & np.uint64(1) == 1).tobytes()
-
-
-def _near_coarse(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    return (x == y).mean(axis=1) >= threshold - SLACK
-
-
-def _near_fine(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Unequal bits are half as many as values that don't agree."""
-    apart = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum(axis=1, dtype=np.int64)
-    spread = 2 * ((1 + threshold) * (1 - threshold) / 4 / FINE_BITS) ** 0.5
-    return 1 - 2 * apart / FINE_BITS >= threshold - 5 * spread
-
-
-def _packed(column: pa.Array, width: int) -> tuple[np.ndarray, ...]:
-    """(sizes of the lists, rep, n, sketches) of a column of lists of (rep, n, sketch), without a Python object for each."""
-    held = column.flatten()
-    low = held.field(2)
-    offsets = np.frombuffer(low.buffers()[1], dtype=np.int32)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, dtype=np.int32)
-    data = np.frombuffer(low.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if len(low) else np.zeros(0, dtype=np.uint8)
-    sizes = np.asarray(column.value_lengths())
-    return sizes.astype(np.int64), np.asarray(held.field(0)), np.asarray(held.field(1)), data.reshape(-1, width)
-
-
-def _compared(rows: DataFrame, threshold: float, fine: bool = False) -> DataFrame:
-    """The pairs (a, b) of each row's ``members`` with its ``others``, both arrays of (rep, n, sketch), that may be linked.
-
-    Only pairs whose sizes and sketches allow a link leave the task.
-    """
-    width, near = (FINE_BITS // 8, _near_fine) if fine else (COORDINATES, _near_coarse)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m, m_rep, m_n, m_low = _packed(batch.column(0), width)
-            o, o_rep, o_n, o_low = _packed(batch.column(1), width)
-            m_start, o_start, pairs = np.cumsum(m) - m, np.cumsum(o) - o, m * o
-            cuts = [0, *np.flatnonzero(np.diff((np.cumsum(pairs) - 1) // TOGETHER)) + 1, len(pairs)]
-            for at, to in zip(cuts, cuts[1:], strict=False):
-                row = np.repeat(np.arange(at, to), pairs[at:to])
-                k = np.arange(len(row)) - np.repeat(np.cumsum(pairs[at:to]) - pairs[at:to], pairs[at:to])
-                x, y = m_start[row] + k // o[row], o_start[row] + k % o[row]
-                fit = (np.minimum(m_n[x], o_n[y]) >= threshold * np.maximum(m_n[x], o_n[y]) - 1e-6) & (m_rep[x] != o_rep[y])
-                x, y = x[fit], y[fit]
-                ok = near(m_low[x], o_low[y], threshold)
-                a, b = m_rep[x[ok]], o_rep[y[ok]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return rows.select("members", "others").mapInArrow(run, "a long, b long")
-
-
-def _with_leaders(large: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of members of large nodes (node, rep, n, low) with the node's leaders: those first in ``LEADERS`` orders common to all nodes."""
-    first = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("r")))["r"].alias(f"r{k}") for k in range(LEADERS)]
-    chosen = large.groupBy("node").agg(*first).select("node", F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(LEADERS)]))).alias("rep"))
-    leaders = large.join(chosen, ["node", "rep"]).groupBy("node").agg(F.collect_list(F.struct("rep", "n", "low")).alias("others"))
-    return _compared(large.join(leaders, "node").withColumn("members", F.array(F.struct("rep", "n", "low"))), threshold)
-
-
-def _alike(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The distinct pairs (a, b) whose sizes allow a link and whose sketches agree enough for one."""
-    side = lambda k: classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("low").alias(f"low_{k}"))
-    joined = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    joined = joined.filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6)
-
-    @F.pandas_udf("double")
-    def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), COORDINATES) for s in (a, b))
-        return pd.Series((x == y).mean(axis=1))
-
-    return joined.filter(agreement("low_a", "low_b") >= threshold - SLACK).select("a", "b")
+    """``rows`` (node, rep, component) of the nodes with more than one component, with the node's size."""
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("low_c"), F.max("component").alias("high_c"))
+    return rows.join(sizes.filter("low_c != high_c").select("node", "size"), "node")
+
+
+def _piece(large: DataFrame, salt: int) -> DataFrame:
+    """``large`` (node, rep, size) with the node cut into pieces of about half of ``NODE`` classes, dealt by a hash."""
+    place = F.pmod(F.xxhash64("rep", "node", F.lit(salt)), F.ceil(F.col("size") / (NODE // 2)))
+    return large.withColumn("node", F.xxhash64("node", place))
+
+
+def _first_pass(classes: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Candidates of the first trees, the best of each class."""
+    rows = _shared(classes.select(F.explode(F.array_distinct("first")).alias("node"), "rep", F.col("rep").alias("component")))
+    rows = rows.filter(F.col("size") <= NODE).unionByName(_piece(rows.filter(F.col("size") > NODE), 0))
+    return _candidates(rows.join(classes.select("rep", "n", "low"), "rep"), threshold, complete=False)
+
+
+def _second_pass(classes: DataFrame, labels: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Candidates of all trees between classes that ``labels`` (id, component) has in different components."""
+    known = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    level = _shared(known.select(F.explode(F.array_distinct(F.concat("first", "others"))).alias("node"), "rep", "component"))
+    sketched, found = classes.select("rep", "n", "low"), None
+    for depth in range(2, LEVELS + DEEP):
+        level = scratch.keep(level, "level")
+        fits = level.filter(F.col("size") <= NODE)
+        large = level.filter(F.col("size") > NODE)
+        ended = large.limit(1).count() == 0
+        if not ended:
+            counts = large.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("bulk"), (F.sum("n") - F.max("n")).alias("out"))
+            large = large.join(counts, "node").withColumn("outside", F.col("component") != F.col("bulk"))
+            pieces = F.ceil(F.col("size") / (NODE // 2))
+            # few outside: every piece of the node gets them all
+            everywhere = F.when(F.col("outside"), F.sequence(F.lit(0).cast("bigint"), pieces - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), pieces)))
+            few = large.filter(F.col("out") <= LEAF).select("node", "rep", "component", "size", F.explode(everywhere).alias("piece"))
+            fits = fits.unionByName(few.withColumn("node", F.xxhash64("node", "piece")).drop("piece"))
+            many = scratch.keep(large.filter(F.col("out") > LEAF).select("node", "rep", "component", "size").join(sketched, "rep"), "large")
+            near = scratch.keep(_candidates(_piece(many, depth), threshold, complete=False), "near")
+            found = near if found is None else found.unionByName(near)
+        own = scratch.keep(_candidates(fits.join(sketched, "rep"), threshold, complete=True), "own")
+        found = own if found is None else found.unionByName(own)
+        if ended:
+            return found.distinct()
+        level = _shared(_branch(many))
+    blocks = F.ceil(F.col("size") / (NODE // 2))  # nodes that don't fall apart: every two pieces are compared
+    mine = F.pmod(F.xxhash64("rep"), blocks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda k: F.xxhash64("node", F.least(k, mine), F.greatest(k, mine)))
+    rest = level.select(F.explode(pairs).alias("node"), "rep", "component").join(sketched, "rep")
+    return found.unionByName(_candidates(rest, threshold, complete=True)).distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -285,68 +386,38 @@ def _per_document(docs: DataFrame, wanted: DataFrame, width: int, make, name: st
     return texts.mapInPandas(run, f"rep long, {name} binary")
 
 
-def _rest(large: DataFrame, labels: DataFrame, docs: DataFrame, width: int, threshold: float, scratch: Scratch) -> DataFrame | None:
-    """In the large nodes of the last depth: pairs of the members outside the component that most of the node is in with the node's members.
-
-    Nodes with the same such component are one family, so a pair met in many nodes is compared once. Both sides
-    are packed in blocks compared in one step by finer sketches; the blocks of a large family are dealt over
-    many tasks. None if there is nobody outside.
-    """
-    labelled = large.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    bulk = labelled.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("family"))
-    members = labelled.join(bulk, "node").select("family", "rep", "n", (F.col("component") != F.col("family")).alias("outside")).distinct()
-    blocks = lambda rows: F.ceil(rows / REST_BLOCK)
-    sizes = members.groupBy("family").agg(blocks(F.count("*")).alias("blocks"), blocks(F.count_if("outside")).alias("rest_blocks")).filter("rest_blocks > 0")
-    members = scratch.keep(members.join(sizes, "family").withColumn("tasks", F.ceil(F.col("blocks") / FAMILY_BLOCKS)), "families")
-    if not members.limit(1).count():
-        return None
-    fine = scratch.keep(_per_document(docs, members, width, fine_sketch, "fine"), "fine")
-    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).alias("block")
-    known, packed = members.join(fine, "rep"), F.collect_list(F.struct("rep", "n", "fine"))
-    left = known.groupBy("family", "tasks", place("blocks")).agg(packed.alias("members")).withColumn("task", F.col("block") % F.col("tasks"))
-    right = known.filter("outside").groupBy("family", "tasks", place("rest_blocks")).agg(packed.alias("others"))
-    right = right.select("family", "others", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)).alias("task"))
-    return _compared(left.join(right, ["family", "task"]), threshold, fine=True)
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are not read): doc_id, n_shingles, component_id, kept.
 
     component_id is the smallest doc_id reachable over links (100 * intersection >= percent * union of the
     shingle sets), the row's own included. Texts that are null, empty or white space have no shingles and are
     linked with nothing. A row with a null doc_id is linked with nothing and kept. Rows that repeat
-    a doc_id are one document with several texts. An empty table gives no rows.
+    a doc_id are one document with several texts. An empty table gives no rows. Very long texts are read whole.
     """
     scratch, threshold = scratch or Scratch(docs.sparkSession, "near"), percent / 100
     rows = scratch.keep(_shingled(docs, width), "shingled")
     usable = rows.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
-    classes = usable.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "low", "nodes")])
+    classes = usable.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "low", "first", "others")])
     classes = scratch.keep(classes, "classes")
-    level = scratch.keep(_shared(classes.select(F.explode("nodes").alias("node"), "rep").distinct()), "level")
-    sketched = classes.select("rep", "n", "low")
-    small, led = [], []
-    for depth in range(2, DEPTH + 1):
-        if depth > 2:
-            level = scratch.keep(_shared(_branch(large).distinct()), "level")
-        large = scratch.keep(level.filter(F.col("size") > LEAF).select("node", "rep").join(sketched, "rep"), "large")
-        small.append(_within(level))
-        led.append(_with_leaders(large, threshold))
-    found = _alike(reduce(DataFrame.union, small), classes, threshold).union(reduce(DataFrame.union, led))
-    candidates = scratch.keep(found.distinct(), "candidates")
-    links = _confirmed(candidates, docs, width, percent, scratch)
-    labels = components(links, scratch)
-    rest = _rest(large, labels, docs, width, threshold, scratch)
-    if rest is not None:
-        rest = scratch.keep(rest.distinct().join(candidates, ["a", "b"], "left_anti"), "rest")
-        links = links.union(_confirmed(rest, docs, width, percent, scratch))
-        labels = components(links, scratch)
-    of_class = classes.select("fp", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    tried = scratch.keep(_first_pass(classes, threshold, scratch), "candidates")
+    labels = components(_confirmed(tried, docs, width, percent, scratch), scratch)
+    left = _second_pass(classes, labels, threshold, scratch).join(tried, ["a", "b"], "left_anti")
+    links = _confirmed(scratch.keep(left, "left"), docs, width, percent, scratch)
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    joined = components(between, scratch).select(F.col("id").alias("component"), F.col("component").alias("lowest"))
+    of_class = classes.select("fp", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    of_class = of_class.join(joined, "component", "left").select("fp", F.coalesce("lowest", "component").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(of_class, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component, with all their columns."""
+    """The rows of ``docs`` (doc_id, text and any others) that stay, one document of each component, with all their columns.
+
+    Rows with a null doc_id and rows whose text has no word stay. Rows that repeat a doc_id stay or go together.
+    An empty table stays empty.
+    """
     gone = near_duplicates(docs, width, percent).filter("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
