@@ -8,9 +8,10 @@ that meet in some small node, if a path has ``LEVELS`` levels.
 
 Only components are wanted, so nothing is compared twice to say the same. A first pass over a few trees follows single
 paths, compares each class with a few others of its nodes and keeps the best two: the links found so
-join most of any large group. The second pass runs all trees over what is left: a node whose classes are in one component
-already is dropped, one with at most ``LEAF`` classes outside its largest component is compared exhaustively (those against
-all of it), and any other branches on. Both compare sketches; a pair is linked only when its full sets are similar enough.
+join most of any large group. The second and the third pass run all trees over what is left: a node whose classes are in one
+component already is dropped, one with at most ``LEAF`` classes outside its largest component is compared exhaustively (those
+against all of it), and any other branches on. The second keeps the best few pairs between two components, the third all. The
+passes compare sketches; a pair is linked only when its full sets are similar enough, and each pass starts from the links so far.
 Work is the number of memberships in nodes times a constant, and the pairs that a node gives go to no single task.
 """
 
@@ -38,10 +39,14 @@ NODE = 4096
 DEEP = 24
 #: The first pass: its trees, the levels that it follows, the neighbours that a class is compared with in a large node, the best that it keeps.
 FIRST_TREES, FIRST_LEVELS, NEIGHBOURS, BEST = 6, 10, 4, 2
+#: The best between two components that the second pass keeps.
+BETWEEN = 4
 #: Pairs whose sketches agree in a smaller share than the threshold less this are not looked at (3.6 standard deviations).
 SLACK = 0.13
 #: Pairs compared in one step; rows that a task follows together.
 TOGETHER, HELD = 1 << 15, 1 << 13
+#: Lowest hashes of a set by which the third pass looks closer, and what they may tell too little (3.6 standard deviations; small sets are told whole).
+BOTTOM, BOTTOM_SLACK = 256, 0.09
 _WORDS_KEPT = 100_000
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -165,9 +170,8 @@ def _shingled(docs: DataFrame, width: int) -> DataFrame:
 class Members:
     """Classes met in nodes: rep, n, sketch and component, by row."""
 
-    def __init__(self, rep: np.ndarray, n: np.ndarray, low: np.ndarray, component: np.ndarray, threshold: float):
-        self.rep, self.n, self.low, self.component, self.threshold = rep, n, low, component, threshold
-        self.looked = 0
+    def __init__(self, rep: np.ndarray, n: np.ndarray, low: np.ndarray, component: np.ndarray, threshold: float, bottom: np.ndarray | None = None):
+        self.rep, self.n, self.low, self.component, self.threshold, self.bottom = rep, n, low, component, threshold, bottom
 
     def alike(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs of rows in different components whose sizes and sketches allow a link, and the share in which the sketches agree."""
@@ -175,10 +179,25 @@ class Members:
         x, y = x[fit], y[fit]
         fit = np.minimum(self.n[x], self.n[y]) >= self.threshold * np.maximum(self.n[x], self.n[y]) - 1e-6
         x, y = x[fit], y[fit]
-        self.looked += len(x)
         share = (self.low[x] == self.low[y]).mean(axis=1)
         fit = share >= self.threshold - SLACK
-        return x[fit], y[fit], share[fit]
+        x, y, share = x[fit], y[fit], share[fit]
+        if self.bottom is not None:
+            fit = np.concatenate([np.zeros(0, dtype=bool), *[self._near(x[at : at + 4096], y[at : at + 4096]) for at in range(0, len(x), 4096)]])
+            x, y, share = x[fit], y[fit], share[fit]
+        return x, y, share
+
+    def _near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """By the ``BOTTOM`` lowest hashes of both sets, which are all of a small set: those of the union that are in both."""
+        both = np.sort(np.concatenate([self.bottom[x], self.bottom[y]], axis=1), axis=1)
+        twice = both[:, 1:] == both[:, :-1]
+        real = both[:, :-1] != 0xFFFFFFFF
+        rank = np.cumsum(~twice, axis=1)  # distinct hashes up to here; a pair of equal ones counts at the second
+        cut = (self.n[x] > BOTTOM) | (self.n[y] > BOTTOM)
+        within = np.where(cut, BOTTOM, 2 * BOTTOM)
+        common = (twice & real & (rank < within[:, None])).sum(axis=1)
+        union = np.where(cut, BOTTOM, self.n[x] + self.n[y] - common)
+        return common >= (self.threshold - np.where(cut, BOTTOM_SLACK, 0.005)) * union
 
 
 def _exhaustive(members: Members, row: np.ndarray, start: np.ndarray, size: np.ndarray, outside: np.ndarray) -> Iterator[tuple]:
@@ -233,35 +252,53 @@ def follow(node: np.ndarray, members: Members, complete: bool) -> tuple[np.ndarr
     return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
-def _best(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Marks the pairs that are among the ``BEST`` of one of their ends."""
-    keep = np.zeros(len(a), dtype=bool)
-    for end in (a, b):
-        order = np.lexsort((-share, end))
-        first = np.flatnonzero(np.append(True, end[order][1:] != end[order][:-1])[: len(order)])
-        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-        keep[order[place < BEST]] = True
+def _best(ends: list[np.ndarray], share: np.ndarray, most: int) -> np.ndarray:
+    """Marks the pairs that are among the ``most`` best with the same ``ends``."""
+    order = np.lexsort((-share, *ends))
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for end in ends:
+        new[1:] |= end[order][1:] != end[order][:-1]
+    first = np.flatnonzero(new)
+    keep = np.zeros(len(order), dtype=bool)
+    keep[order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < most]] = True
     return keep
 
 
-def _candidates(rows: DataFrame, threshold: float, complete: bool) -> DataFrame:
-    """(a, b): pairs of classes of the nodes in ``rows`` (node, rep, n, low, component) that may be linked, a < b."""
+def _candidates(rows: DataFrame, threshold: float, complete: bool, keep: str) -> DataFrame:
+    """(a, b): pairs of classes of the nodes in ``rows`` (node, rep, n, low, component) that may be linked, a < b.
 
-    def told(held: pa.Table) -> pa.RecordBatch:
+    ``keep`` is ``ends`` (the best of each class), ``between`` (the best of each two components) or ``all``. ``more`` tells
+    that two components had others besides. With a column ``bottom`` in ``rows`` pairs are looked at more closely.
+    """
+    columns = ["node", "rep", "n", "low", "component", *[c for c in rows.columns if c == "bottom"]]
+
+    def pairs(held: pa.Table) -> pa.RecordBatch:
         low = held.column("low").combine_chunks()
         data = np.frombuffer(low.buffers()[2], dtype=np.uint8)[low.offset * COORDINATES : (low.offset + len(low)) * COORDINATES]
         rep, n, component, node = (held.column(c).to_numpy() for c in ("rep", "n", "component", "node"))
-        members = Members(rep, n, data.reshape(-1, COORDINATES), component, threshold)
+        bottom = None
+        if "bottom" in held.column_names:
+            bottom = np.full((len(rep), BOTTOM), 0xFFFFFFFF, dtype=np.uint32)
+            for i, told in enumerate(held.column("bottom").to_pylist()):
+                bottom[i, : len(told) // 4] = np.frombuffer(told, dtype="<u4")
+        members = Members(rep, n, data.reshape(-1, COORDINATES), component, threshold, bottom)
         x, y, share = follow(node.view(np.uint64), members, complete)
         a, b = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
         order = np.lexsort((b, a))
         a, b, share = a[order], b[order], share[order]
         once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
         a, b, share = a[once], b[once], share[once]
-        if not complete:
-            best = _best(a, b, share)
+        if keep == "ends":
+            best = _best([a], share, BEST) | _best([b], share, BEST)
             a, b = a[best], b[best]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        elif keep == "between":
+            x, y = x[order][once], y[order][once]
+            ends = [np.minimum(component[x], component[y]), np.maximum(component[x], component[y])]
+            best, beyond = _best(ends, share, BETWEEN), ~_best(ends, share, BETWEEN + 1)
+            over = set(zip(*[e[beyond].tolist() for e in ends], strict=True))
+            a, b, more = a[best], b[best], np.array([t in over for t in zip(*[e[best].tolist() for e in ends], strict=True)], dtype=bool)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more if keep == "between" else np.zeros(len(a), dtype=bool))], names=["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -274,14 +311,14 @@ def _candidates(rows: DataFrame, threshold: float, complete: bool) -> DataFrame:
                 node = table.column("node").to_numpy()
                 cut = int(np.searchsorted(node, node[-1])) if node[0] != node[-1] else 0
                 if cut:
-                    yield told(table.slice(0, cut))
+                    yield pairs(table.slice(0, cut))
                     held = table.slice(cut).to_batches()
                     rows -= cut
         if held:
-            yield told(pa.Table.from_batches(held))
+            yield pairs(pa.Table.from_batches(held))
 
-    ordered = rows.select("node", "rep", "n", "low", "component").repartition("node").sortWithinPartitions("node")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    ordered = rows.select(*columns).repartition("node").sortWithinPartitions("node")
+    return ordered.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _branch(large: DataFrame) -> DataFrame:
@@ -309,20 +346,17 @@ def _piece(large: DataFrame, salt: int) -> DataFrame:
     return large.withColumn("node", F.xxhash64("node", place))
 
 
-def _first_pass(classes: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def _first_pass(classes: DataFrame, threshold: float) -> DataFrame:
     """Candidates of the first trees, the best of each class."""
     rows = _shared(classes.select(F.explode(F.array_distinct("first")).alias("node"), "rep", F.col("rep").alias("component")))
     rows = rows.filter(F.col("size") <= NODE).unionByName(_piece(rows.filter(F.col("size") > NODE), 0))
-    return _candidates(rows.join(classes.select("rep", "n", "low"), "rep"), threshold, complete=False)
+    return _candidates(rows.join(classes.select("rep", "n", "low"), "rep"), threshold, complete=False, keep="ends")
 
 
-def _second_pass(classes: DataFrame, labels: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Candidates of all trees between classes that ``labels`` (id, component) has in different components."""
-    known = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    level = _shared(known.select(F.explode(F.array_distinct(F.concat("first", "others"))).alias("node"), "rep", "component"))
-    sketched, found = classes.select("rep", "n", "low"), None
+def _all_trees(level: DataFrame, sketched: DataFrame, threshold: float, scratch: Scratch, keep: str) -> DataFrame:
+    """Candidates below the nodes of ``level`` (node, rep, component, size) between classes that are in different components."""
+    found = None
     for depth in range(2, LEVELS + DEEP):
-        level = scratch.keep(level, "level")
         fits = level.filter(F.col("size") <= NODE)
         large = level.filter(F.col("size") > NODE)
         ended = large.limit(1).count() == 0
@@ -335,18 +369,24 @@ def _second_pass(classes: DataFrame, labels: DataFrame, threshold: float, scratc
             few = large.filter(F.col("out") <= LEAF).select("node", "rep", "component", "size", F.explode(everywhere).alias("piece"))
             fits = fits.unionByName(few.withColumn("node", F.xxhash64("node", "piece")).drop("piece"))
             many = scratch.keep(large.filter(F.col("out") > LEAF).select("node", "rep", "component", "size").join(sketched, "rep"), "large")
-            near = scratch.keep(_candidates(_piece(many, depth), threshold, complete=False), "near")
+            near = scratch.keep(_candidates(_piece(many, depth), threshold, complete=False, keep="between"), "near")
             found = near if found is None else found.unionByName(near)
-        own = scratch.keep(_candidates(fits.join(sketched, "rep"), threshold, complete=True), "own")
+        own = scratch.keep(_candidates(fits.join(sketched, "rep"), threshold, complete=True, keep=keep), "own")
         found = own if found is None else found.unionByName(own)
         if ended:
-            return found.distinct()
-        level = _shared(_branch(many))
+            return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+        level = scratch.keep(_shared(_branch(many)), "level")
     blocks = F.ceil(F.col("size") / (NODE // 2))  # nodes that don't fall apart: every two pieces are compared
     mine = F.pmod(F.xxhash64("rep"), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda k: F.xxhash64("node", F.least(k, mine), F.greatest(k, mine)))
     rest = level.select(F.explode(pairs).alias("node"), "rep", "component").join(sketched, "rep")
-    return found.unionByName(_candidates(rest, threshold, complete=True)).distinct()
+    return found.unionByName(_candidates(rest, threshold, complete=True, keep=keep)).groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame, column: str = "component") -> DataFrame:
+    """``rows`` with ``column`` replaced by its component where ``labels`` (id, component) has one."""
+    step = labels.select(F.col("id").alias(column), F.col("component").alias("_to"))
+    return rows.join(step, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -399,15 +439,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch:
     usable = rows.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     classes = usable.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "low", "first", "others")])
     classes = scratch.keep(classes, "classes")
-    tried = scratch.keep(_first_pass(classes, threshold, scratch), "candidates")
-    labels = components(_confirmed(tried, docs, width, percent, scratch), scratch)
-    left = _second_pass(classes, labels, threshold, scratch).join(tried, ["a", "b"], "left_anti")
-    links = _confirmed(scratch.keep(left, "left"), docs, width, percent, scratch)
-    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
-    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    joined = components(between, scratch).select(F.col("id").alias("component"), F.col("component").alias("lowest"))
-    of_class = classes.select("fp", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    of_class = of_class.join(joined, "component", "left").select("fp", F.coalesce("lowest", "component").alias("component_id"))
+    sketched, known = classes.select("rep", "n", "low"), classes.select("fp", "rep", F.col("rep").alias("component"), F.concat("first", "others").alias("nodes"))
+
+    def step(found: DataFrame, known: DataFrame) -> DataFrame:
+        """``known`` with the components that the links among ``found`` give."""
+        links, now = _confirmed(found, docs, width, percent, scratch), known.select("rep", "component")
+        links = links.join(now.toDF("a", "c_a"), "a").join(now.toDF("b", "c_b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        return scratch.keep(_relabelled(known, components(links, scratch)), "known")
+
+    tried = scratch.keep(_first_pass(classes, threshold), "candidates")
+    known = step(tried, known)
+    level = scratch.keep(_shared(known.select(F.explode(F.array_distinct("nodes")).alias("node"), "rep", "component")), "level")
+    second = scratch.keep(_all_trees(level, sketched, threshold, scratch, "between"), "candidates")
+    known = step(second.join(tried, ["a", "b"], "left_anti"), known)
+    # the third pass is for the components between which the second left pairs out and found no link
+    now = known.select("rep", "component")
+    open_ = second.filter("more").join(now.toDF("a", "x"), "a").join(now.toDF("b", "y"), "b").filter("x != y")
+    open_ = scratch.keep(open_.select(F.explode(F.array("x", "y")).alias("component")).distinct(), "open")
+    if open_.limit(1).count():
+        left = level.select("node", "rep").join(now, "rep").join(open_, "component", "left_semi")
+        level = scratch.keep(_shared(left.select("node", "rep", "component")), "level")
+        lowest = _per_document(docs, level, width, lambda found: (found[:BOTTOM] >> np.uint64(32)).astype("<u4").tobytes(), "bottom")
+        third = _all_trees(level, sketched.join(scratch.keep(lowest, "bottom"), "rep"), threshold, scratch, "all")
+        known = step(scratch.keep(third.join(tried.unionByName(second), ["a", "b"], "left_anti"), "candidates"), known)
+    of_class = known.select("fp", F.col("component").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(of_class, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

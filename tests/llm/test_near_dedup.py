@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from quern.llm import near_dedup
@@ -52,7 +53,9 @@ def test_documents_against_all_pairs(spark, width, percent):
     assert told(near_dedup.near_duplicates(docs, width, percent)) == by_hand(rows, width, percent)
 
 
-def test_chains_and_large_groups_of_variants(spark):
+@pytest.mark.parametrize("node", [near_dedup.NODE, 40])
+def test_chains_and_large_groups_of_variants(spark, monkeypatch, node):
+    monkeypatch.setattr(near_dedup, "NODE", node)  # small: nodes of the groups branch in Spark
     draw = random.Random(5)
     vocabulary = [f"w{i}" for i in range(3000)]
     rows, doc = [], 0
@@ -90,3 +93,22 @@ def test_survivors_keep_their_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "s"), (2, "a b c d e f", "t"), (3, None, None)], "doc_id long, text string, kept string")
     left = near_dedup.drop_near_duplicates(docs)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 3]
+
+
+def test_trees_follow_from_the_target_recall():
+    assert near_dedup.trees_for(0.99, 12, 0.8) < near_dedup.TREES < near_dedup.trees_for(0.99999, 12, 0.8)
+    assert near_dedup.survival(3, 1.0) == 1.0 and near_dedup.survival(40, 0.5) < 1e-6
+
+
+def test_closer_look_tells_small_sets_exactly():
+    draw = np.random.default_rng(2)
+    pool = np.sort(draw.choice(1 << 32, 400, replace=False).astype(np.uint64))
+    sets = [np.sort(draw.choice(pool[:120], 100, replace=False)) for _ in range(40)]
+    bottom = np.full((40, near_dedup.BOTTOM), 0xFFFFFFFF, dtype=np.uint32)
+    for i, s in enumerate(sets):
+        bottom[i, :100] = s
+    members = near_dedup.Members(np.arange(40), np.full(40, 100), np.zeros((40, 128), dtype=np.uint8), np.arange(40), 0.7, bottom)
+    x, y = np.triu_indices(40, 1)
+    share = np.array([len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in zip(x, y)])
+    near = members._near(x, y)
+    assert near[share >= 0.7].all() and not near[share < 0.69].any()
