@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,62 +24,152 @@ from quern.llm.scratch import Scratch
 
 #: Ids in a block (at least, unless it is the last of its part), ids between two bit offsets, id ending a document.
 BLOCK_IDS, EVERY, END_ID = 1 << 17, 128, 0
-#: Chunks that a worker's encoder remembers.
-REMEMBERED = 900_000
-
-
+#: Chunks that a worker's encoder remembers, and bytes of text that it encodes together.
+REMEMBERED, TOGETHER = 900_000, 8 << 20
 #: Texts with a space next to other white space, and the breaks in them.
 _AWKWARD = re.compile(r" \s|\s |\s\Z").search
 _AWKWARD_SPLIT = re.compile(r"(?<!\s) | (?!\s|\Z)").split
+_WORD, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-&(-/:-@\[-`{-~]*"
+#: Chunks of Latin letters with ASCII marks after them (no apostrophe), and lines of such.
+_PLAIN = re.compile(rf"({_WORD})({_MARKS})((?:\n{_WORD}{_MARKS})*)\Z").match
+_LINE = re.compile(rf"({_WORD})({_MARKS})").match
 
 
 class ChunkEncoder:
     """Texts to ids through the tokenizers library, remembering the ids of chunks seen before.
 
     The byte-level pre-tokenizer always breaks before a space that follows or precedes a character that isn't white space,
-    so " chunk" is encoded once and joined. A space inside a run of white space, or at its end, stays in its chunk.
+    so " chunk" is encoded once and joined. A space inside a run of white space, or at its end, stays in its chunk. It
+    also breaks between letters, marks and a lone line end, so the words and marks of a plain chunk are encoded once, too. A
+    text with one of the vocabulary's special strings goes to the library whole. Chunks are split, counted and joined as Arrow and
+    NumPy arrays; only distinct ones become Python strings.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         self.dtype = "<u4" if size > 1 << 16 else "<u2"
         self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None  # without an id of its own no chunk is taken apart
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all chunks; entry 0 is the end id."""
+        self.known: dict[str, int] = {}
+        self.words: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.ids, self.used = np.full(1 << 16, END_ID, dtype=self.dtype), 1
+        self.start, self.size, self.entries = np.zeros(1 << 16, dtype=np.int64), np.ones(1 << 16, dtype=np.int64), 1
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes " chunk" for new chunks, many in a text; each begins at a token that begins with the space."""
-        width = int(self.dtype[2])
+    @staticmethod
+    def _room(held: np.ndarray, used: int, more: int) -> np.ndarray:
+        return held if used + more <= len(held) else np.concatenate([held[:used], np.zeros((used + more) // 2 + more, dtype=held.dtype)])
+
+    def _add(self, found: list[bytes]) -> range:
+        """Stores ids; their entries."""
+        flat = np.frombuffer(b"".join(found), dtype=self.dtype)
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // flat.itemsize
+        self.ids = self._room(self.ids, self.used, len(flat))
+        self.start, self.size = (self._room(x, self.entries, len(found)) for x in (self.start, self.size))
+        self.ids[self.used : self.used + len(flat)] = flat
+        own = range(self.entries, self.entries + len(found))
+        self.start[own.start : own.stop], self.size[own.start : own.stop] = np.cumsum(size) - size + self.used, size
+        self.used, self.entries = self.used + len(flat), own.stop
+        return own
+
+    def _cut(self, raw: bytes, begin: np.ndarray) -> list[bytes]:
+        cuts = (np.append(begin, len(raw) // self.ids.itemsize) * self.ids.itemsize).tolist()
+        return list(map(raw.__getitem__, map(slice, cuts, cuts[1:])))
+
+    def _spaced(self, chunks: list[str]) -> list[bytes]:
+        """The ids of " chunk", many in a text; each begins at a token that begins with the space."""
+        out = []
         for at in range(0, len(chunks), 1000):
             part = chunks[at : at + 1000]
             raw = self._whole([" " + " ".join(part)])[0]
             begin = np.flatnonzero(self.starts[np.frombuffer(raw, dtype=self.dtype)])
-            if len(begin) == len(part):
-                cuts = [*(begin * width).tolist(), len(raw)]
-                self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+            out += self._cut(raw, begin) if len(begin) == len(part) else self._whole([" " + c for c in part])
+        return out
+
+    def _lines(self, pieces: list[str]) -> list[bytes]:
+        """The ids of a line end and then a word or marks, many in a text; each begins at the id of the line end."""
+        out = []
+        for at in range(0, len(pieces), 1000):
+            part = pieces[at : at + 1000]
+            raw = self._whole(["\n" + "\n".join(part)])[0]
+            begin = np.flatnonzero(np.frombuffer(raw, dtype=self.dtype) == self.line_end)
+            out += self._cut(raw, begin) if len(begin) == len(part) else self._whole(["\n" + c for c in part])
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encodes " chunk" for new chunks."""
+        single, several, other = [], [], []
+        for chunk in chunks:
+            if self.line_end is not None and (found := _PLAIN(chunk)):
+                word, marks, lines = found.groups()
+                if marks or lines:
+                    several.append((chunk, word, marks, [_LINE(x).groups() for x in lines[1:].split("\n")] if lines else ()))
+                else:
+                    single.append(chunk)
             else:
-                self.known.update(zip(part, self._whole([" " + c for c in part]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned integers of ``dtype``."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, split, new = self.known, [], []
-        for text in texts:
-            chunks = _AWKWARD_SPLIT(text) if _AWKWARD(text) else text.split(" ")
-            fresh = {c for c in chunks if c not in known}
-            split.append(chunks)
-            new += fresh
-            known.update(dict.fromkeys(fresh, b""))  # filled in before it is read
-        self._learn(new)
-        heads = self._whole([c[0] for c in split])
-        return [head + b"".join(map(known.__getitem__, c[1:])) for head, c in zip(heads, split, strict=True)]
+                other.append(chunk)
+        words, bare = self.words, self.bare
+        new = list({*single, *[x[1] for x in several]} - words.keys())
+        words.update(zip(new, self._spaced(new), strict=True))
+        new = list({*[x[2] for x in several], *[p for x in several for pair in x[3] for p in pair]} - bare.keys() - {""})
+        bare.update(zip(new, self._lines(new), strict=True))
+        bare[""] = b""
+        width = self.ids.itemsize  # the ids of marks after a word are those after a line end without the line end's
+        joined = [words[w] + bare[m][width:] + b"".join([bare[a] + bare[b][width:] for a, b in lines]) for _, w, m, lines in several]
+        self.known.update(zip(single, self._add([words[w] for w in single]), strict=True))
+        self.known.update(zip([x[0] for x in several], self._add(joined), strict=True))
+        self.known.update(zip(other, self._add(self._spaced(other)), strict=True))
+
+    def _joined(self, flat: pa.Array, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of texts with the end id after each, number of ids of each) of texts given as ``many`` chunks each."""
+        coded = flat.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn([c for c in distinct if c not in self.known])
+        entry = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[np.asarray(coded.indices)]
+        ends = np.cumsum(many)
+        heads = ends - many  # the first chunk of a text has no space before it
+        entry[heads] = self._add(self._whole(flat.take(pa.array(heads)).to_pylist()))
+        entry = np.insert(entry, ends, 0)
+        start, size = self.start[entry], self.size[entry]
+        to = np.cumsum(size)
+        ids = self.ids[np.repeat(start - to + size, size) + np.arange(to[-1])]
+        last = to[ends + np.arange(len(ends))]
+        return ids, np.diff(last, prepend=0)
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text (null: empty) and the end id, as little-endian unsigned integers of ``dtype``."""
+        if self.entries > REMEMBERED:
+            self.clear()
+        texts = column.fill_null("").cast(pa.large_string())
+        strings = texts.to_pylist()
+        whole = [i for i, t in enumerate(strings) if self.special(t)]
+        awkward = [i for i, t in enumerate(strings) if _AWKWARD(t) and not self.special(t)]
+        easy = sorted(set(range(len(strings))) - set(whole) - set(awkward))
+        out: list[bytes] = [b""] * len(strings)
+        end = self.ids[:1].tobytes()
+        for i, ids in zip(whole, self._whole([strings[i] for i in whole]), strict=True):
+            out[i] = ids + end
+        lists = [pc.split_pattern(texts.take(pa.array(easy, pa.int64())), " "), pa.array([_AWKWARD_SPLIT(strings[i]) for i in awkward], pa.large_list(pa.large_string()))]
+        for rows, found in zip((easy, awkward), lists, strict=True):
+            if rows:
+                ids, many = self._joined(found.flatten(), np.asarray(found.value_lengths()).astype(np.int64))
+                raw, cuts = ids.tobytes(), (np.append(0, np.cumsum(many)) * ids.itemsize).tolist()
+                for i, a, b in zip(rows, cuts, cuts[1:], strict=False):
+                    out[i] = raw[a:b]
+        return out
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -177,7 +268,7 @@ BLOCKS = "part int, block int, before long, n_ids long, doc_ids binary, doc_know
 def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(counted, doc_id, ids): the ids of every whole text, null as empty, with ``END_ID`` after the last.
 
-    ids are 16-bit if the vocabulary allows it, else 32-bit. Each task adds one row, marked as counted, of
+    Special strings of the vocabulary are their own ids, as the library has it. ids are 16-bit if the vocabulary allows it, else 32-bit. Each task adds one row, marked as counted, of
     how often each id came (pairs of 64-bit id and count), so that counting needs no pass of its own.
     """
 
@@ -186,13 +277,14 @@ def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, ChunkEncoder(vocabulary))
-        end = np.array([END_ID], dtype=encoder.dtype).tobytes()
         total = np.zeros(max(len(encoder.starts), END_ID + 1), dtype=np.int64)
         names = ["counted", "doc_id", "ids"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [e + end for e in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
+            sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64) + 64)
+            cuts = [0, *(np.flatnonzero(np.diff((sizes - 1) // TOGETHER)) + 1).tolist(), batch.num_rows]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(at, to - at)
+                found = encoder.encode(part.column(1)) if part.num_rows else []
                 total += np.bincount(np.frombuffer(b"".join(found), dtype=encoder.dtype), minlength=len(total))
                 yield pa.RecordBatch.from_arrays([pa.array([False] * len(found)), part.column(0).cast(pa.int64()), pa.array(found, pa.binary())], names=names)
         at = np.flatnonzero(total)

@@ -17,7 +17,6 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 def by_hand(rows):
     """(doc_id, start, n_tokens, ids_crc32) of rows in order of doc_id, by the library alone."""
     tokenizer, start, out = Tokenizer.from_file(VOCABULARY), 0, []
-    tokenizer.encode_special_tokens = True
     for doc, text in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
         out.append((doc, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
@@ -33,8 +32,8 @@ def test_documents_against_the_library(spark):
 
 
 def test_odd_rows(spark):
-    texts = [(0, None), (1, ""), (2, " "), (3, "a  b\n\n c d \t"), (4, "é 日本 😀 I'm they'll"), (5, "long " * 60_000), (6, "x y z"), (7, "<|endoftext|> end")]
-    docs = spark.createDataFrame([(a, b, "z") for a, b in texts], "doc_id long, text string, start string")
+    texts = [(0, None), (1, ""), (2, " "), (3, "a  b\n\n c d \t"), (4, "é 日本 😀 I'm they'll"), (5, "long " * 60_000), (6, "x y z"), (7, "<|endoftext|> end"), (8, "a <|endoftext|>\nb  <|endoftext|>"), (9, "one.\nTwo, three!\n\nfour.\n five_six x² don't.\n'll %%% a\tb c\n"), (10, "\n"), (11, "Éa.\nB–c d́e Ⅷ.\nx")]
+    docs = spark.createDataFrame([(a, b, "z") for a, b in texts], "doc_id long, text string, start string").repartition(2)
     got = sorted(tuple(r) for r in huffman.encode_and_read_back(docs, VOCABULARY).collect())
     assert got == by_hand(texts)
     twice = spark.createDataFrame([(5, "a b"), (5, "c"), (None, "x")], "doc_id long, text string")
