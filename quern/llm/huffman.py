@@ -25,9 +25,8 @@ from quern.llm.scratch import Scratch
 #: Ids in a block (at least, unless it is the last of its part), ids between two bit offsets, id ending a document.
 BLOCK_IDS, EVERY, END_ID = 1 << 17, 128, 0
 #: Chunks that a worker's encoder remembers, and bytes of text that it encodes together.
-REMEMBERED, TOGETHER = 900_000, 8 << 20
-#: Texts with a space next to other white space, and the breaks in them.
-_AWKWARD = re.compile(r" \s|\s |\s\Z").search
+REMEMBERED, TOGETHER = 900_000, 16 << 20
+#: The breaks in texts with a space next to other white space.
 _AWKWARD_SPLIT = re.compile(r"(?<!\s) | (?!\s|\Z)").split
 _WORD, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-&(-/:-@\[-`{-~]*"
 #: Chunks of Latin letters with ASCII marks after them (no apostrophe), and lines of such.
@@ -55,7 +54,7 @@ class ChunkEncoder:
         line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end = line_end[0] if len(line_end) == 1 else None  # without an id of its own no chunk is taken apart
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
+        self.special = lambda text: any(x in text for x in special)
         self.clear()
 
     def clear(self) -> None:
@@ -133,43 +132,47 @@ class ChunkEncoder:
         self.known.update(zip([x[0] for x in several], self._add(joined), strict=True))
         self.known.update(zip(other, self._add(self._spaced(other)), strict=True))
 
-    def _joined(self, flat: pa.Array, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of texts with the end id after each, number of ids of each) of texts given as ``many`` chunks each."""
-        coded = flat.dictionary_encode()
+    def _entries(self, coded: pa.DictionaryArray, heads: np.ndarray) -> np.ndarray:
+        """The entry of each chunk; those at ``heads`` begin a text and have no space before them."""
         distinct = coded.dictionary.to_pylist()
         self._learn([c for c in distinct if c not in self.known])
-        entry = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[np.asarray(coded.indices)]
-        ends = np.cumsum(many)
-        heads = ends - many  # the first chunk of a text has no space before it
-        entry[heads] = self._add(self._whole(flat.take(pa.array(heads)).to_pylist()))
-        entry = np.insert(entry, ends, 0)
-        start, size = self.start[entry], self.size[entry]
-        to = np.cumsum(size)
-        ids = self.ids[np.repeat(start - to + size, size) + np.arange(to[-1])]
-        last = to[ends + np.arange(len(ends))]
-        return ids, np.diff(last, prepend=0)
-
-    def encode(self, column: pa.Array) -> list[bytes]:
-        """The ids of each text (null: empty) and the end id, as little-endian unsigned integers of ``dtype``."""
+        codes = np.asarray(coded.indices)
+        entry = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[codes]
+        entry[heads] = self._add(self._whole([distinct[k] for k in codes[heads].tolist()]))
+        return entry
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with the end id after each, number of ids of each); null is an empty text."""
         if self.entries > REMEMBERED:
             self.clear()
         texts = column.fill_null("").cast(pa.large_string())
-        strings = texts.to_pylist()
-        whole = [i for i, t in enumerate(strings) if self.special(t)]
-        awkward = [i for i, t in enumerate(strings) if _AWKWARD(t) and not self.special(t)]
-        easy = sorted(set(range(len(strings))) - set(whole) - set(awkward))
-        out: list[bytes] = [b""] * len(strings)
-        end = self.ids[:1].tobytes()
-        for i, ids in zip(whole, self._whole([strings[i] for i in whole]), strict=True):
-            out[i] = ids + end
-        lists = [pc.split_pattern(texts.take(pa.array(easy, pa.int64())), " "), pa.array([_AWKWARD_SPLIT(strings[i]) for i in awkward], pa.large_list(pa.large_string()))]
-        for rows, found in zip((easy, awkward), lists, strict=True):
-            if rows:
-                ids, many = self._joined(found.flatten(), np.asarray(found.value_lengths()).astype(np.int64))
-                raw, cuts = ids.tobytes(), (np.append(0, np.cumsum(many)) * ids.itemsize).tolist()
-                for i, a, b in zip(rows, cuts, cuts[1:], strict=False):
-                    out[i] = raw[a:b]
-        return out
+        found = pc.split_pattern(texts, " ")
+        many = np.asarray(found.value_lengths()).astype(np.int64)
+        row, coded = np.repeat(np.arange(len(many)), many), found.flatten().dictionary_encode()
+        # a chunk that is empty, begins or ends with white space needs the closer split, and a special string the library's own
+        odd = np.array([not c or c[0].isspace() or c[-1].isspace() or self.special(c) for c in coded.dictionary.to_pylist()], dtype=bool)
+        whole = np.zeros(len(many), dtype=bool)
+        whole[row[odd[np.asarray(coded.indices)]]] = True
+        easy = ~whole[row]
+        kept = np.where(whole, 0, many)
+        ends = np.cumsum(kept)
+        entry = [self._entries(coded.filter(pa.array(easy)) if whole.any() else coded, (ends - kept)[~whole])]
+        strings = texts.filter(pa.array(whole)).to_pylist()
+        special = [bool(self.special(t)) for t in strings]
+        split = [[t] if s else _AWKWARD_SPLIT(t) for t, s in zip(strings, special, strict=True)]
+        if strings:
+            kept[whole] = list(map(len, split))
+            flat = pa.array([c for part in split for c in part], pa.large_string()).dictionary_encode()
+            entry.append(self._entries(flat, np.cumsum(kept[whole]) - kept[whole]))
+            order = np.argsort(np.concatenate([row[easy], np.repeat(np.flatnonzero(whole), kept[whole])]), kind="stable")
+            entry = [np.concatenate(entry)[order]]
+        ends = np.cumsum(kept)
+        entry = np.insert(entry[0], ends, 0)
+        size = self.size[entry].astype(np.int32)
+        to = np.cumsum(size, dtype=np.int64)
+        at = np.repeat((self.start[entry] - to + size).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], np.diff(to[ends + np.arange(len(ends))], prepend=0)
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -284,9 +287,12 @@ def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
             cuts = [0, *(np.flatnonzero(np.diff((sizes - 1) // TOGETHER)) + 1).tolist(), batch.num_rows]
             for at, to in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(at, to - at)
-                found = encoder.encode(part.column(1)) if part.num_rows else []
-                total += np.bincount(np.frombuffer(b"".join(found), dtype=encoder.dtype), minlength=len(total))
-                yield pa.RecordBatch.from_arrays([pa.array([False] * len(found)), part.column(0).cast(pa.int64()), pa.array(found, pa.binary())], names=names)
+                if part.num_rows:
+                    ids, many = encoder.encode(part.column(1))
+                    total += np.bincount(ids, minlength=len(total))
+                    cuts_at = np.append(0, np.cumsum(many * ids.itemsize)).astype("<i8")
+                    held = pa.Array.from_buffers(pa.large_binary(), len(many), [None, pa.py_buffer(cuts_at), pa.py_buffer(ids)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(many), dtype=bool)), part.column(0).cast(pa.int64()), held], names=names)
         at = np.flatnonzero(total)
         if len(at):
             told = np.stack([at, total[at]]).astype("<i8").tobytes()
