@@ -1,13 +1,11 @@
 """Approximate nearest neighbours by inner product over robust-pruned directed graphs.
 
-Vectors are dealt to shards by a hash of their id. Each shard holds a graph over its distinct vectors:
-points are inserted in batches, a greedy search from the entry point proposes neighbours, and pruning
-with a relaxed distance keeps edges in diverse directions. Queries are packed in blocks; each block
-searches each shard with a beam, candidates are scored again in double precision on the original
-vectors, and the shards' best are merged by query.
-
-Inner product is turned into distance by one more coordinate that gives all vectors the length of the
-longest, so the nearest point is the one with the largest inner product.
+Vectors are dealt to shards by norm: a shard holds vectors of one number of components whose norms differ by ``BAND`` at
+most, dealt on by a hash of their id where there are many. Among vectors of about one norm the largest inner product is
+nearly the smallest angle, so each shard holds a graph over the directions of its distinct vectors: points are inserted in
+batches, a greedy search proposes neighbours, and pruning with a relaxed distance keeps edges in diverse directions. A
+search starts from a spread of points, walks the graph by inner product on the original vectors with a beam, and scores in double
+precision. The queries stream past each shard's graph; the shards' best are merged by query.
 """
 
 from __future__ import annotations
@@ -21,34 +19,44 @@ from pyspark.sql import functions as F
 
 from quern.llm.scratch import Scratch
 
-#: Vectors in a shard (about), queries in a block (about), edges of a point, beam of the build and of the search, relaxation.
-SHARD, BLOCK, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4096, 512, 28, 48, 80, 1.2
+#: Edges of a point, beam of the build and of the search, relaxation, points that a search starts from.
+DEGREE, BUILD_BEAM, BEAM, ALPHA, SEEDS = 28, 48, 128, 1.2, 64
+#: Vectors in a shard: a 64th of all within these bounds; ratio of the norms in a shard; queries that a graph is sent once for.
+SHARD, BAND, ASKED = (4096, 16_384), 1.1, 32_768
+#: Queries that advance together.
+BLOCK = 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles, norm) of the vectors that take part: not null, not zero, every component finite.
+    """(vec_id, embedding as doubles, dims, band) of the vectors that take part: not null, not zero, every component finite.
 
-    Components are null, NaN or infinite in none of them.
+    band is the logarithm of the norm, to the base ``BAND`` and rounded. Of rows that repeat a vec_id the largest array takes part.
     """
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return v.filter(F.coalesce(finite, F.lit(False))).withColumn("norm", norm).filter("norm > 0")
+    v = v.filter(F.coalesce(finite, F.lit(False))).groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
+    v = v.withColumn("longest", F.array_max(F.transform("embedding", F.abs))).filter("longest > 0")
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / F.col("longest")) * (x / F.col("longest")))
+    band = F.floor((F.log("longest") + F.log(square) / 2) / float(np.log(BAND)) + 0.5).cast("int")
+    return v.select("vec_id", "embedding", F.size("embedding").alias("dims"), band.alias("band"))
 
 
-def _beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def _beam_search(points: np.ndarray, edges: np.ndarray, seeds: np.ndarray, queries: np.ndarray, beam: int, product: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(ids, distances) of the ``beam`` nearest points met by each query, nearest first; -1 where fewer were met.
 
-    All queries advance together: each step expands the nearest point not yet expanded of each query.
+    All queries advance together: each step expands the nearest point not yet expanded of each query, the best of the seeds
+    first. Near is a small distance, or a large inner product if ``product``.
     """
     n, q = len(points), len(queries)
-    square = (points * points).sum(axis=1)
+    square = np.zeros(n) if product else (points * points).sum(axis=1)
     seen = np.zeros((q, n), dtype=bool)
     ids, dist = np.full((q, beam), -1, dtype=np.int64), np.full((q, beam), np.inf)
     done = np.ones((q, beam), dtype=bool)
-    ids[:, 0], done[:, 0] = entry, False
-    dist[:, 0] = square[entry] - 2 * queries @ points[entry]
-    seen[:, entry] = True
+    far = square[seeds] - 2 * queries @ points[seeds].T
+    best = np.argsort(far, axis=1, kind="stable")[:, :beam]
+    many = best.shape[1]
+    ids[:, :many], dist[:, :many], done[:, :many] = seeds[best], np.take_along_axis(far, best, axis=1), False
+    seen[:, seeds] = True
     active = np.arange(q)
     while len(active):
         place = np.argmin(np.where(done[active], np.inf, dist[active]), axis=1)
@@ -100,19 +108,20 @@ def _prune(points: np.ndarray, owner: np.ndarray, found: np.ndarray, degree: int
     return out
 
 
-def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 3) -> tuple[np.ndarray, int]:
-    """(edges: points x degree, -1 for none; entry point) of distinct points."""
+def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(edges: points x degree, -1 for none; the points that searches start from) of distinct points."""
     n = len(points)
     entry = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
     edges = np.full((n, degree), -1, dtype=np.int64)
     order = np.random.default_rng(seed).permutation(n)
     order = np.concatenate([[entry], order[order != entry]])
+    seeds = order[:SEEDS]
     for turn in (1.0, alpha):
         at, size = 1 if turn == 1.0 else 0, 16
         while at < n:
             batch = order[at : at + size]
+            met, _ = _beam_search(points, edges, seeds[: max(1, min(at, SEEDS))], points[batch], min(beam, n))
             at, size = at + size, min(size * 2, 512)
-            met, _ = _beam_search(points, edges, entry, points[batch], min(beam, n))
             edges[batch] = _prune(points, batch, np.concatenate([met, edges[batch]], axis=1), degree, turn)
             # every chosen neighbour gets an edge back; those with too many are pruned again
             to = edges[batch].ravel()
@@ -134,86 +143,101 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
                     kept = np.sort(np.where(both[free] == t[free][:, None], -1, both[free]), axis=1)[:, ::-1]
                     kept[:, 1:][kept[:, 1:] == kept[:, :-1]] = -1
                     edges[t[free]] = np.sort(kept, axis=1)[:, ::-1][:, :degree]
-    return edges, entry
+    return edges, seeds
 
 
-def _shards(vectors: DataFrame, shards: int, longest: float) -> DataFrame:
-    """One row for each shard: its ids and vectors as given, the distinct points' graph, and each vector's point."""
-    schema = "shard int, ids binary, original binary, dims int, edges binary, degree int, entry int, point binary"
+KEY = "dims int, band int, piece int"
+GRAPH = f"{KEY}, ids binary, original binary, edges binary, seeds binary, point binary"
+
+
+def _graphs(dealt: DataFrame) -> DataFrame:
+    """One row for each shard of ``dealt`` (vec_id, embedding and the key): its ids and vectors as given, the graph over the distinct ones, and each vector's point."""
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vec_id")
         held = np.array(part["embedding"].tolist(), dtype=np.float64)
         distinct, point = np.unique(held, axis=0, return_inverse=True)
-        spare = np.sqrt(np.maximum(longest**2 - (distinct**2).sum(axis=1), 0))
-        edges, entry = build_graph(np.column_stack([distinct, spare]))
+        unit = distinct / np.abs(distinct).max(axis=1, keepdims=True)
+        unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        edges, seeds = build_graph(unit)
         blob = lambda a, t: np.ascontiguousarray(a, dtype=t).tobytes()
-        row = [int(part["shard"].iloc[0]), blob(part["vec_id"], "<i8"), blob(held, "<f8"), held.shape[1], blob(edges, "<i4"), edges.shape[1], entry, blob(point.ravel(), "<i4")]
-        return pd.DataFrame([row], columns=[c.split()[0] for c in schema.split(", ")])
-
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(build, schema)
-
-
-def _search(row, k: int, longest: float) -> pd.DataFrame:
-    """The ``k`` best of one shard for each query of one block: query_id, vec_id, score."""
-    dims = row.dims
-    ids, held = np.frombuffer(row.ids, dtype="<i8"), np.frombuffer(row.original, dtype="<f8").reshape(-1, dims)
-    edges, point = np.frombuffer(row.edges, dtype="<i4").reshape(-1, row.degree).astype(np.int64), np.frombuffer(row.point, dtype="<i4")
-    asked, wanted = np.frombuffer(row.q_ids, dtype="<i8"), np.frombuffer(row.q_vectors, dtype="<f8").reshape(-1, dims)
-    by_point = np.argsort(point, kind="stable")  # ids ascend inside a point
-    n_points = len(edges)
-    begin = np.searchsorted(point[by_point], np.arange(n_points + 1))
-    distinct = held[by_point[begin[:-1]]]
-    spare = np.sqrt(np.maximum(longest**2 - (distinct**2).sum(axis=1), 0))
-    met, _ = _beam_search(np.column_stack([distinct, spare]), edges, row.entry, np.column_stack([wanted, np.zeros(len(wanted))]), min(BEAM, n_points))
-    score = np.einsum("qbd,qd->qb", distinct[np.maximum(met, 0)], wanted)
-    score[met < 0] = -np.inf
-    order = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]  # one of them may be the query's own vector
-    lists = []
-    for q, query in enumerate(asked):
-        points, marks = met[q, order[q]], score[q, order[q]]
-        points, marks = points[np.isfinite(marks)], marks[np.isfinite(marks)]
-        # equal vectors share a point: its smallest k + 1 ids are enough for the best k
-        members = [by_point[begin[p] : min(begin[p + 1], begin[p] + k + 1)] for p in points]
-        rows = np.concatenate(members) if members else np.zeros(0, dtype=np.int64)
-        own, marks = ids[rows], np.repeat(marks, [len(m) for m in members])
-        marks, own = marks[own != query], own[own != query]
-        best = np.lexsort((own, -marks))[:k]
-        lists.append(pd.DataFrame({"query_id": np.full(len(best), query), "vec_id": own[best], "score": marks[best]}))
-    return pd.concat(lists) if lists else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD, scratch: Scratch | None = None) -> DataFrame:
+        key = [int(part[c].iloc[0]) for c in ("dims", "band", "piece")]
+        row = [*key, blob(part["vec_id"], "<i8"), blob(held, "<f8"), blob(edges, "<i4"), blob(seeds, "<i4"), blob(point.ravel(), "<i4")]
+        return pd.DataFrame([row], columns=[c.split()[0] for c in GRAPH.split(", ")])
+
+    return dealt.groupBy("dims", "band", "piece").applyInPandas(build, GRAPH)
+
+
+class Shard:
+    """A shard's graph as read back."""
+
+    def __init__(self, row):
+        self.ids = np.frombuffer(row.ids, dtype="<i8")
+        held = np.frombuffer(row.original, dtype="<f8").reshape(len(self.ids), -1)
+        point = np.frombuffer(row.point, dtype="<i4")
+        self.by_point = np.argsort(point, kind="stable")  # ids ascend inside a point
+        self.begin = np.searchsorted(point[self.by_point], np.arange(int(point.max()) + 2))
+        self.distinct = held[self.by_point[self.begin[:-1]]]
+        self.smallest = self.ids[self.by_point[self.begin[:-1]]]
+        self.edges = np.frombuffer(row.edges, dtype="<i4").reshape(len(self.distinct), -1).astype(np.int64)
+        self.seeds = np.frombuffer(row.seeds, dtype="<i4").astype(np.int64)
+        self.scale = np.abs(self.distinct).max()  # keeps the walk clear of overflow; scores are of the vectors as given
+
+    def search(self, asked: np.ndarray, wanted: np.ndarray, k: int) -> pd.DataFrame:
+        """The ``k`` best for each query: query_id, vec_id, score."""
+        n = len(self.edges)
+        walk = wanted / np.abs(wanted).max(axis=1, keepdims=True)
+        met, _ = _beam_search(self.distinct / self.scale, self.edges, self.seeds, walk, min(max(BEAM, 2 * k), n), product=True)
+        score = np.einsum("qbd,qd->qb", self.distinct[np.maximum(met, 0)], wanted)
+        lists = []
+        for q, query in enumerate(asked):
+            points, marks = met[q][met[q] >= 0], score[q][met[q] >= 0]
+            best = np.lexsort((self.smallest[points], -marks))[: k + 1]  # one of them may be the query's own vector
+            points, marks = points[best], marks[best]
+            # equal vectors share a point: its smallest k + 1 ids are enough for the best k
+            members = [self.by_point[self.begin[p] : min(self.begin[p + 1], self.begin[p] + k + 1)] for p in points]
+            own, marks = self.ids[np.concatenate(members)], np.repeat(marks, [len(m) for m in members])
+            marks, own = marks[own != query], own[own != query]
+            best = np.lexsort((own, -marks))[:k]
+            lists.append(pd.DataFrame({"query_id": np.full(len(best), query), "vec_id": own[best], "score": marks[best]}))
+        return pd.concat(lists)
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """The ``k`` nearest rows found for each query: query_id, rank (from 1), vec_id, score.
 
     Queries are the rows of ``vectors`` (vec_id, embedding; others are not read) whose vec_id is divisible
     by ``every``, candidates all others; score is the inner product in double precision, ties go to the smaller
-    vec_id. Null, zero and non-finite vectors and null ids take no part. With fewer candidates all are
-    returned; an empty table gives no rows. All vectors have the same number of components. vec_id is unique;
-    of repeated ids any may be met.
+    vec_id. Null, zero and non-finite vectors, empty ones and null ids take no part. A vector is compared with those of as
+    many components; with fewer candidates all are returned; an empty table gives no rows. Of rows that
+    repeat a vec_id the one with the largest array, component by component, takes part.
     """
     scratch = scratch or Scratch(vectors.sparkSession, "ann")
     held = scratch.keep(usable(vectors), "vectors")
-    n, longest = held.agg(F.count("*"), F.max("norm")).first()
-    longest = longest or 1.0
-    shards = max(1, -(-n // shard))
-    graph = scratch.keep(_shards(held.select("vec_id", "embedding"), shards, longest), "graph")
-    queries = held.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding")
-    blocks = max(1, -(-n // every // BLOCK))
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("vec_id")
-        return pd.DataFrame({"q_ids": [part["vec_id"].to_numpy().astype("<i8").tobytes()], "q_vectors": [np.array(part["embedding"].tolist(), dtype="<f8").tobytes()]})
-
-    packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks))).groupBy("block").applyInPandas(pack, "q_ids binary, q_vectors binary")
-    asked = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    work = graph.join(asked, "shard").repartition(shards * blocks)
+    n, asked = held.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    shard = shard or min(SHARD[1], max(SHARD[0], n // 64))
+    sizes = held.groupBy("dims", "band").agg(F.ceil(F.count("*") / shard).cast("int").alias("pieces"))
+    dealt = held.join(sizes, ["dims", "band"]).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int")).drop("pieces")
+    graphs = scratch.keep(_graphs(dealt), "graph")
+    # a graph goes once to each group of queries, and they stream past it
+    key, groups = ["dims", "band", "piece", "part"], max(1, -(-(asked or 0) // ASKED))
+    blobs = ["ids", "original", "edges", "seeds", "point"]
+    shown = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(*key, *blobs, F.lit(None).cast("bigint").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"))
+    queries = held.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding", "dims", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(groups)).cast("int").alias("part"))
+    sent = queries.join(graphs.select("dims", "band", "piece"), "dims").select(*key, *[F.lit(None).cast("binary").alias(c) for c in blobs], "vec_id", "embedding")
+    work = shown.unionByName(sent).repartition(*key).sortWithinPartitions(*key, F.col("vec_id").asc_nulls_first())
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = None
         for part in batches:
-            for row in part.itertuples(index=False):
-                yield _search(row, k, longest)
+            graph_rows = np.flatnonzero(part["vec_id"].isna())
+            for at, to in zip([0, *graph_rows], [*graph_rows, len(part)], strict=True):
+                piece = part.iloc[at:to]
+                if len(piece) and pd.isna(piece["vec_id"].iloc[0]):
+                    graph, piece = Shard(next(piece.itertuples(index=False))), piece.iloc[1:]
+                for a in range(0, len(piece), BLOCK):
+                    block = piece.iloc[a : a + BLOCK]
+                    yield graph.search(block["vec_id"].to_numpy().astype(np.int64), np.array(block["embedding"].tolist(), dtype=np.float64), k)
 
     found = work.mapInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from quern.llm import ann
 
@@ -39,14 +40,33 @@ def test_recall_ranks_and_scores(spark):
         assert sorted(zip(-part["score"], part["vec_id"], strict=True)) == list(zip(-part["score"], part["vec_id"], strict=True))
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "clustered", "uneven norms"])
+def test_recall_by_inner_product_off_the_sphere(spark, kind):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(3000, 64))
+    if kind == "clustered":
+        x = 3 * draw.normal(size=(20, 64))[draw.integers(0, 20, 3000)] + x / 2
+    if kind == "uneven norms":
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(draw.normal(size=(3000, 1)) / 2)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(3000), "embedding": x.tolist()}))
+    assert recall(ann.nearest(table, 20, 20).toPandas(), exact(np.arange(3000), x)) >= 0.95
+
+
+def test_extreme_ragged_and_repeated_vectors(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e160, 0.0]), (2, [1e-200, 0.0]), (3, [5e-324, 0.0]), (4, [1.0, 2.0, 3.0]), (20, [1.0, 0.0, 0.0]), (5, []), (6, [0.0, 1.0]), (6, [0.0, 7.0]), (6, [0.0, 3.0])]
+    got = [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20).orderBy("query_id", "rank").collect()]
+    assert [r[2] for r in got if r[0] == 0] == [1, 6, 2, 3] and [r[2:] for r in got if r[0] == 20] == [(4, 1.0)]
+    assert next(r[3] for r in got if r[2] == 6) == 7.0
+
+
 def test_edges_go_in_diverse_directions():
     x = np.random.default_rng(2).normal(size=(400, 8))
-    edges, entry = ann.build_graph(x, degree=12)
-    assert edges.shape == (400, 12) and 0 <= entry < 400
+    edges, seeds = ann.build_graph(x, degree=12)
+    assert edges.shape == (400, 12) and len(set(seeds.tolist())) == ann.SEEDS
     for i in range(0, 400, 40):
         own = edges[i][edges[i] >= 0]
         assert i not in own and len(set(own)) == len(own)
-    met, _ = ann._beam_search(x, edges, entry, x, 20)
+    met, _ = ann._beam_search(x, edges, seeds, x, 20)
     assert (met[:, 0] == np.arange(400)).mean() > 0.98
 
 
