@@ -4,6 +4,10 @@ Each source is a queue of its documents in a shuffled order, followed by the sam
 ``max_repeats`` passes. A copy's virtual finish time is the words its source has sent up to and
 including it, divided by the source's target. The copies of all sources are served in the order of
 that time and the mix ends when the next copy would pass the total budget.
+
+``mix`` sorts the copies globally by range and is cut at the last copy within the budget; that copy is found first, by a
+histogram of finish times, since a running sum over the sorted copies would be one task. So what the cut takes is what the
+sorted mix, truncated, holds, and a document's copies can be told without sorting texts.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.scratch import Scratch
+from quern.llm.scratch import Scratch, unused
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -120,7 +124,8 @@ def plan(docs: DataFrame, share: float, max_repeats: int, seed: int, scratch: Sc
     """(narrow rows of all documents, the last copy that is not served any more or None)."""
     served = scratch.keep(_served(docs, share, max_repeats, seed, scratch), "served")
     budget = served.agg(F.max("budget")).first()[0]
-    return served, _cut(_passes(served, max_repeats), budget or 0.0)
+    # copies without words take nothing; of the others only those of different sources can share a finish time
+    return served, _cut(_passes(served, max_repeats).filter("size > 0"), budget or 0.0)
 
 
 def _in_mix(finish: Column, key: Column, number: Column, cut: tuple | None) -> Column:
@@ -158,13 +163,17 @@ def mix_words(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, seed: i
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with all their columns, each as often as the mix takes it.
+    """The rows of ``docs`` (doc_id, source, text and any others) with all their columns, each as often as the mix takes it.
 
-    Rows that repeat doc_id, source and number of words share what the mix takes of them evenly, rounded.
+    Null and empty texts have no words and go. Rows that repeat doc_id, source and number of words are told apart by their
+    text and then arbitrarily. An empty table stays empty.
     """
-    decided = mix_words(docs, **options).groupBy("doc_id", "source", "size").agg(F.round(F.avg("copies")).cast("int").alias("__copies"))
-    decided = decided.filter("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies")
-    sized = docs.withColumn("__words", words(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(decided["__id"]) & sized["source"].eqNullSafe(decided["__source"]) & (sized["__words"] == decided["__size"])
-    rows = sized.join(decided, same).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(*[rows[c] for c in docs.columns])
+    key, place, copies, number = unused(docs, "mix_key", "mix_place", "mix_copies", "mix_pass")
+    of = lambda size: F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), size.alias("n"))
+    # a key without nulls, so that both sides are dealt and sorted by it once
+    named = lambda df, size: df.withColumn(key, F.to_json(of(size)))
+    numbered = lambda df, *order: df.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    decided = mix_words(docs, **options).select("doc_id", "source", "size", F.col("copies").alias(copies))
+    decided = numbered(named(decided, F.col("size")), F.desc(copies)).filter(F.col(copies) > 0).select(key, place, copies)
+    rows = numbered(named(docs, words(F.col("text"))), "doc_id", "text").join(decided, [key, place])
+    return rows.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

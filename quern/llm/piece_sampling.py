@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.near_dedup import mix
+from quern.llm.scratch import unused
 
 MARK = "▁"
 #: Weight of a piece: -TEMPER * log(its place in the vocabulary + OFFSET); of a byte: as of the last place, each.
@@ -278,6 +279,9 @@ def segment(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
     ``docs`` with the names of the new ones are replaced. An empty table gives no rows.
     """
 
+    kept = [c for c in docs.columns if c not in ADDED]
+    (own_key,) = unused(docs, "sample_key")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _LATTICES.get((model, temper)) or _LATTICES.setdefault((model, temper), Lattice(model, temper))
         for batch in batches:
@@ -285,7 +289,7 @@ def segment(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
                 part = batch.slice(at, TOGETHER)
                 texts = part.column(text).to_pylist()
                 known = [i for i, t in enumerate(texts) if t is not None]
-                keys = np.array([-1 if k is None else k for k in part.column("__key").to_pylist()], dtype=np.int64).view(np.uint64)
+                keys = np.array([-1 if k is None else k for k in part.column(own_key).to_pylist()], dtype=np.int64).view(np.uint64)
                 drawn = lattice.sample([texts[i] for i in known], keys[known], seed) if known else []
                 ids, crc, of_text, same = ([None] * len(texts) for _ in range(4))
                 for i, own in zip(known, drawn, strict=True):
@@ -295,8 +299,7 @@ def segment(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
                 new = [pa.array(ids, pa.list_(pa.int32())), pa.array(crc, pa.int64()), pa.array(of_text, pa.int64()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], *ADDED])
 
-    kept = [c for c in docs.columns if c not in ADDED]
-    keyed = docs.select(*kept, F.col(key).cast("bigint").alias("__key"))
+    keyed = docs.select(*kept, F.col(key).cast("bigint").alias(own_key))
     schema = T.StructType([*docs.select(*kept).schema.fields, *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in ADDED.items())).fields])
     return keyed.mapInArrow(run, schema)
 

@@ -1,6 +1,7 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
-A document's strength is a linear score of surface features of its whole text. Preference pairs
+A document's strength is a linear score of surface features of its whole text: counts and shares, no word is a
+feature. Preference pairs
 (a document labelled 1 over one labelled 0) are drawn from a bounded sample of labelled rows and the
 weights minimise the logistic loss of the pairs' feature differences. The cut between the classes is
 the quantile of the sample's scores at the share of label 0; the score given out is calibrated so that
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.scratch import unused
+
 #: Bounds of the fit: labelled rows, and preference pairs drawn from them.
 SAMPLE_ROWS, PAIRS = 16_000, 40_000
 #: The score at the cut: a document is predicted good from here on.
@@ -104,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> B
     """
     usable = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # a doc_id that repeats is learned from once, so that the bound holds
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.first("quality").alias("quality"))
     schema = T.StructType([T.StructField("quality", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,5 +146,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are predicted good, with all their columns."""
-    return with_quality(docs, fit(docs, labels), "__score").filter(F.col("__score") >= CUT_SCORE).drop("__score")
+    """The rows of ``docs`` (doc_id, text and any others) that are predicted good, with all their columns.
+
+    Null and empty texts are scored by the model like any other; repeated rows share a decision. Without usable
+    labels all rows stay. An empty table stays empty.
+    """
+    (score,) = unused(docs, "score")
+    return with_quality(docs, fit(docs, labels), score).filter(F.col(score) >= CUT_SCORE).select(*docs.columns)

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (local tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir, which all executors share; without it there is none, and a local one would lose data."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.gettempdir()}/quern-shared"
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/quern/{spark.sparkContext.applicationId}"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores put after it until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Named Parquet tables of one operator run.
 

@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from compare import difference
@@ -47,7 +48,26 @@ def test_directory_doubles_and_chains_hold_collisions(spark):
     held = keys.withColumn("cell", exact_dedup._cell(keys["key"], depth)).join(cells, "cell").groupBy("local_depth", "bucket").count().collect()
     assert sum(r["count"] for r in held) == 5000 and max(r["count"] for r in held) <= 20
     one = spark.createDataFrame([(5, "x")], "key long, t string").select("key")
-    assert exact_dedup.directory(one, capacity=0)[1] == 42  # equal keys cannot be split
+    assert exact_dedup.directory(one, capacity=0)[1] == exact_dedup.DEEPEST  # equal keys cannot be split
+
+
+def test_buckets_split_and_rows_are_found_by_the_directory_alone(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    index = exact_dedup.build_index(docs, capacity=4)
+    held = index.chains.groupBy("bucket").agg(F.countDistinct("key").alias("n")).collect()
+    assert len(held) > 20 and max(r["n"] for r in held) <= 4
+    right = exact_dedup.lookup(index)
+    assert right.count() == docs.count()
+    rows = [tuple(r) for r in index.cells.orderBy("cell").collect()]  # cell, local_depth, bucket
+    wrong = [(c, d, b) for (c, d, _), (_, _, b) in zip(rows, rows[1:] + rows[:1], strict=True)]
+    cells = spark.createDataFrame(wrong, index.cells.schema)
+    assert exact_dedup.lookup(exact_dedup.ExactIndex(index.rows, cells, index.chains, index.depth)).count() < docs.count()
+
+
+def test_survivors_of_rows_that_repeat_id_and_text(spark):
+    docs = spark.createDataFrame([(1, "a", 1), (1, "A", 2), (2, "b", 3), (None, None, 4), (None, "", 5), (3, "b", 6)], "doc_id long, text string, sha long")
+    left = exact_dedup.drop_exact_duplicates(docs)
+    assert left.columns == docs.columns and sorted(((r["doc_id"] or 0), (r["text"] or "").lower()) for r in left.collect()) == [(0, ""), (1, "a"), (3, "b")]
 
 
 def test_lookup_tells_texts_of_one_chain_apart(spark):
@@ -55,7 +75,8 @@ def test_lookup_tells_texts_of_one_chain_apart(spark):
     index = exact_dedup.build_index(docs)
     same_key = lambda df: df.withColumn("key", df["key"] * 0)
     chains = same_key(index.chains).withColumn("chain_length", index.chains["chain_length"] + 1)
-    forced = exact_dedup.ExactIndex(same_key(index.rows), chains, index.depth)
+    cells = index.cells.limit(1).withColumn("cell", F.lit(0).cast("bigint")).withColumn("bucket", F.lit(0).cast("bigint"))
+    forced = exact_dedup.ExactIndex(same_key(index.rows), cells, chains.withColumn("bucket", F.lit(0).cast("bigint")), index.depth)
     assert {(r["doc_id"], r["keep_id"]) for r in exact_dedup.lookup(forced).collect()} == {(1, 2), (2, 2), (3, 3)}
 
 
