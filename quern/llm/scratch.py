@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; without it there is none, and a local one would lose data."""
+    """The folder named by spark.checkpoint.dir, which all executors share.
+
+    Where it is unset a session in one process (tests) gets a temporary folder; on a cluster that would lose data and is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that the driver and all executors share")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/quern-shared"
     return f"{base.rstrip('/')}/quern/{spark.sparkContext.applicationId}"
 
 
