@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.plans.lineage import cut
+
 
 def upsert(table: DataFrame, rows: DataFrame, key: list[str], at: str, ignore: bool = False) -> DataFrame:
     """``table`` with ``rows`` merged in by ``key``: of rows with one key the latest ``at`` stays, or (ignore) the earliest in the table."""
@@ -60,3 +62,14 @@ def mapped(column: Column, cases: dict[str, str], other: Column) -> Column:
     """A backfill: each value of ``cases`` replaced, the others given by ``other``."""
     found = F.coalesce(*[F.when(column == k, v) for k, v in cases.items()])
     return F.coalesce(found, other)
+
+
+def unreachable(nodes: DataFrame, edges: DataFrame, start: str) -> DataFrame:
+    """The nodes (node) that no chain of edges (source, target) leads to from ``start``. Each round takes one step from the nodes found last."""
+    reached = fresh = cut(nodes.select("node").distinct().filter(F.col("node") == start))
+    edges = edges.select("source", "target").distinct()
+    while not fresh.isEmpty():
+        step = edges.join(fresh, edges["source"] == fresh["node"]).select(F.col("target").alias("node")).distinct()
+        fresh = cut(step.join(reached, "node", "left_anti"))
+        reached = cut(reached.unionByName(fresh))
+    return nodes.select("node").distinct().join(reached, "node", "left_anti")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import rank_tokens
+from quern.functions.text import normalize_name, rank_tokens
 from quern.functions.vectors import cosine
 
 #: BM25 saturation and length weight, offset of reciprocal ranks, and the least hybrid score of a hit.
@@ -279,3 +279,41 @@ def expand_queries(variants: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, place, text): distinct variants in any case, the original (place 0) first, at most ``most``."""
     first = variants.groupBy("query_id", F.lower(F.trim("text")).alias("k")).agg(F.min(F.struct("place", "text")).alias("v"))
     return top_by(first.select("query_id", "v.*"), "query_id", most, "place").select("query_id", "place", "text")
+
+
+def by_name(files: DataFrame, name: str, topic=None) -> DataFrame:
+    """The newest of the files (id, file_name, topic, created_at) that a pattern names in any case (% and _ stand for others).
+
+    One of ``topic`` goes before all others, ties go to the smaller id.
+    """
+    inside = F.coalesce(F.col("topic") == F.lit(topic), F.lit(False)) if topic is not None else F.lit(True)
+    return files.filter(F.col("file_name").ilike(name.strip())).orderBy(F.desc(inside), F.desc("created_at"), "id").limit(1)
+
+
+def relevance_gate(scored: DataFrame, least: float = 0.30) -> DataFrame:
+    """Without the rows whose rerank score is on a calibrated scale and below ``least``; other scores can't be told from a fixed line."""
+    return scored.filter(~F.coalesce(F.col("calibrated") & (F.col("rerank") < least), F.lit(False)))
+
+
+def penalise_summaries(scored: DataFrame, penalty: float = 0.05) -> DataFrame:
+    """``scored`` (score, summary) with summaries put back by ``penalty``, to 0 at least."""
+    return scored.withColumn("score", F.when(F.col("summary"), F.greatest(F.lit(0.0), F.col("score") - penalty)).otherwise(F.col("score")))
+
+
+def named_entities(questions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, entity): entities (entity, name) whose normalised name, of three characters at least, occurs in a question (query_id, text).
+
+    Questions are joined by their distinct runs of three characters with the first three of the name, and only those pairs compared.
+    """
+    q = questions.select("query_id", normalize_name(F.col("text")).alias("q"))
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - 2), lambda k: F.substr("q", k, F.lit(3))))
+    runs = q.filter(F.length("q") >= 3).select("query_id", "q", F.explode(starts).alias("start"))
+    names = entities.select("entity", normalize_name(F.col("name")).alias("n")).filter(F.length("n") >= 3).withColumn("start", F.substring("n", 1, 3))
+    return runs.join(names, "start").filter(F.col("q").contains(F.col("n"))).select("query_id", "entity").distinct()
+
+
+def by_space(collections: DataFrame, spaces: dict[str, str], default: str) -> DataFrame:
+    """(space, provider, ids): collections (id, provider) whose vectors come from one model, with the provider of the first; null is ``default``."""
+    provider = F.coalesce("provider", F.lit(default))
+    space = F.coalesce(*[F.when(provider == p, F.lit(s)) for p, s in spaces.items()], provider)
+    return collections.select("id", provider.alias("provider"), space.alias("space")).groupBy("space").agg(F.min_by("provider", "id").alias("provider"), F.sort_array(F.collect_list("id")).alias("ids"))

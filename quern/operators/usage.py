@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.text import token_estimate
+
 
 def model_counts(usage: DataFrame) -> DataFrame:
     """Rows by model, unnamed models left out."""
@@ -56,3 +60,20 @@ def counts_object(usage: DataFrame, key: str) -> DataFrame:
     counted = usage.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("n").alias("v"))))
     return counted.agg(F.to_json(F.map_from_entries(entries)).alias("counts"))
+
+
+def top_cached(cache: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` cached queries (id, query, hits, model, last_hit) that were hit most; ties go to the smaller id."""
+    return cache.orderBy(F.desc("hits"), "id").limit(n)
+
+
+def page(rows: DataFrame, offset: int, limit: int, *order) -> DataFrame:
+    """``limit`` rows from place ``offset`` on in an order that leaves no ties."""
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def billable_tokens(reported: Column, prompt: Column, reply: Column, *added: Column) -> Column:
+    """What a call counts for: the tokens that the provider reports, or else those of prompt and reply, and the ``added`` ones; nulls are 0."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    own = F.when(zero(reported) > 0, reported).otherwise(zero(prompt) + token_estimate(reply))
+    return reduce(lambda a, b: a + zero(b), added, own).cast("bigint")

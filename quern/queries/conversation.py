@@ -60,7 +60,7 @@ def parent_windows(spark, d):
     return op.neighbours(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", F.md5("parent").alias("parent_md5"))
 
 
-@query(r"""WITH c AS (SELECT text FROM conversations WHERE regexp_matches(text, '^[\x00-\x7F]*$')), e AS (SELECT 'person' AS kind, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]+ (?:[A-Z][a-z]+)*\b'))) AS entity FROM c
+@query(r"""WITH c AS (SELECT text FROM conversations), e AS (SELECT 'person' AS kind, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]+ (?:[A-Z][a-z]+)*\b'))) AS entity FROM c
 UNION ALL SELECT 'date', unnest(list_distinct(regexp_extract_all(text, '\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2}|\d{4}\b'))) FROM c
 UNION ALL SELECT 'number', unnest(list_distinct(regexp_extract_all(text, '\b\d+(?:,\d{3})*(?:\.\d+)?\b'))) FROM c)
 SELECT kind, entity, count(*) AS messages FROM e GROUP BY ALL""")
@@ -68,7 +68,7 @@ def entity_mentions(spark, d):
     return op.entity_mentions(table(spark, d, "conversations"))
 
 
-@query(r"""WITH t AS (SELECT role, unnest(regexp_extract_all(text, '\b(?:[A-Z][a-zA-Z0-9_-]{2,}|[A-Z]{2,}|\d[\d.,%-]*|[a-z][a-z0-9_-]{4,})\b')) AS term FROM conversations WHERE regexp_matches(text, '^[\x00-\x7F]*$')),
+@query(r"""WITH t AS (SELECT role, unnest(regexp_extract_all(text, '\b(?:[A-Z][a-zA-Z0-9_-]{2,}|[A-Z]{2,}|\d[\d.,%-]*|[a-z][a-z0-9_-]{4,})\b')) AS term FROM conversations),
 c AS (SELECT role, term, count(*) AS n FROM t WHERE lower(term) NOT IN ('there','their','about','would','could','should','after','before','where','which','while','using','please','thanks','summary','conversation') GROUP BY ALL)
 SELECT * FROM (SELECT role, term, n, row_number() OVER (PARTITION BY role ORDER BY n DESC, length(term) DESC, term) AS rank FROM c) WHERE rank <= 10""")
 def important_terms(spark, d):

@@ -75,11 +75,10 @@ def compare_logs(spark, d):
     return op.compare(lines.filter(~third), current)
 
 
-@query(LINES + """, e AS (SELECT DISTINCT unnest(generate_series(line_no - 3, line_no + 4)) AS line_no FROM l WHERE severity = 'ERROR' AND line_no % 40 = 0),
-n AS (SELECT line_no, CASE WHEN line_no - lag(line_no, 1, -10) OVER (ORDER BY line_no) > 1 THEN 1 ELSE 0 END AS new, severity = 'ERROR' AND line_no % 40 = 0 AS incident FROM l JOIN e USING (line_no))
+@query(LINES + """, e AS (SELECT DISTINCT unnest(generate_series(line_no - 3, line_no + 4)) AS line_no FROM l WHERE severity IN ('ERROR', 'FATAL')),
+n AS (SELECT line_no, CASE WHEN line_no - lag(line_no, 1, -10) OVER (ORDER BY line_no) > 1 THEN 1 ELSE 0 END AS new, coalesce(severity IN ('ERROR', 'FATAL'), false) AS incident FROM l JOIN e USING (line_no))
 SELECT (sum(new) OVER (ORDER BY line_no))::BIGINT AS cluster, line_no, incident FROM n""")
 def incident_context(spark, d):
-    # all errors; the SQL above takes those of every fortieth line only
     return op.incident_context(_lines(spark, d))
 
 

@@ -78,3 +78,15 @@ def star_join(spark, d):
     buyers = table(spark, d, "customer").join(nations, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"))
     # order lines are summed by order before any join; o_orderkey may repeat in orders only if the data says so
     return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(buyers, "o_custkey", "left_semi").join(lines, "o_orderkey").select("o_orderkey", "quantity")
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_custkey % 7 = 0),
+n AS (SELECT source AS node FROM e UNION SELECT target FROM e), r AS (SELECT 'r0' AS node UNION SELECT e.target FROM e JOIN r ON e.source = r.node) SELECT node FROM n WHERE node NOT IN (SELECT node FROM r)""")
+def unreachable_nodes(spark, d):
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    customer, nation = table(spark, d, "customer"), table(spark, d, "nation")
+    edges = nation.select(name("r", "n_regionkey").alias("source"), name("n", "n_nationkey").alias("target"))
+    edges = edges.unionByName(customer.select(name("n", "c_nationkey").alias("source"), name("c", "c_custkey").alias("target")))
+    edges = edges.unionByName(customer.filter("c_custkey % 7 = 0").select(name("c", "c_custkey").alias("source"), name("n", "c_nationkey").alias("target")))
+    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target"))
+    return op.unreachable(nodes, edges, "r0")

@@ -144,10 +144,10 @@ def blended_retriever(spark, d):
     return op.blend(dense, _bm25(spark, d).select("query_id", "id", F.col("bm25").alias("score")))
 
 
-@query(f"""SELECT doc_id AS id, hits::BIGINT AS hits, round(hits / (1 + hits), 6) AS rank FROM (SELECT doc_id, len(list_filter(t, lambda x: x IN ('the', 'river'))) AS hits FROM (SELECT doc_id, {TOKENS} AS t FROM documents)
-WHERE list_contains(t, 'the') AND list_contains(t, 'river'))""")
+@query(f"""SELECT doc_id AS id, hits::BIGINT AS hits, round(hits / (1 + hits), 6) AS rank FROM (SELECT doc_id, len(list_filter(t, lambda x: x IN ('that', 'was'))) AS hits FROM (SELECT doc_id, {TOKENS} AS t FROM documents)
+WHERE list_contains(t, 'that') AND list_contains(t, 'was'))""")
 def fts_and_match(spark, d):
-    return op.keyword_match(_docs(spark, d), ["the", "river"])
+    return op.keyword_match(_docs(spark, d), ["that", "was"])
 
 
 @query("""WITH rel AS (SELECT DISTINCT 'c' || c_custkey AS source, 'n' || c_nationkey AS target FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), seeds AS (SELECT 'n' || n_nationkey AS entity FROM nation WHERE n_nationkey < 3),
@@ -197,3 +197,42 @@ def stub_suppression(spark, d):
 def citation_manifest(spark, d):
     docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("collection"), F.concat(F.lit("d"), F.col("doc_id")).alias("title"))
     return op.citations(docs).select("collection", F.array_join("titles", "|").alias("titles"))
+
+
+FILES = "SELECT p_partkey AS id, p_name AS file_name, p_size AS topic, p_retailprice AS created_at FROM part"
+
+
+def _files(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("file_name"), F.col("p_size").alias("topic"), F.col("p_retailprice").alias("created_at"))
+
+
+@query(f"""SELECT 'inside' AS asked, * FROM (SELECT id, topic FROM ({FILES}) WHERE file_name ILIKE '%A%' ORDER BY topic = 7 DESC, created_at DESC, id LIMIT 1)
+UNION ALL SELECT 'elsewhere', * FROM (SELECT id, topic FROM ({FILES}) WHERE file_name ILIKE '%a%' ORDER BY created_at DESC, id LIMIT 1)""")
+def file_by_name(spark, d):
+    told = [op.by_name(_files(spark, d), name, topic).select(F.lit(asked).alias("asked"), "id", "topic") for asked, name, topic in (("inside", " %A% ", 7), ("elsewhere", "%a%", -1))]
+    return told[0].unionByName(told[1])
+
+
+@query(f"""SELECT vec_id, round(CASE WHEN vec_id % 4 = 0 THEN greatest(0, similarity - 0.05) ELSE similarity END, 6) AS score FROM ({NEAR}) WHERE vec_id % 3 = 0 OR similarity >= 0.3""")
+def gated_and_penalised(spark, d):
+    near = op.similar(table(spark, d, "embeddings"), _vector(spark, d), -2.0, 1_000_000).withColumnRenamed("similarity", "score")
+    scored = near.withColumns({"rerank": F.col("score"), "calibrated": F.col("vec_id") % 3 != 0, "summary": F.col("vec_id") % 4 == 0})
+    return op.penalise_summaries(op.relevance_gate(scored)).select("vec_id", F.round("score", 6).alias("score"))
+
+
+PLAIN = "trim(regexp_replace(regexp_replace(lower(coalesce({}, '')), '\\s+', ' ', 'g'), '^[^a-z0-9]+|[^a-z0-9)\\]]+$', '', 'g'))"
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, {PLAIN.format('text')} AS q FROM benchmark), e AS (SELECT doc_id AS entity, {PLAIN.format("split_part(text, ' ', 1)")} AS n FROM documents)
+SELECT query_id, entity FROM q JOIN e ON length(n) >= 3 AND contains(q, n)""")
+def entity_seeds(spark, d):
+    first = table(spark, d, "documents").select(F.col("doc_id").alias("entity"), F.split_part(F.col("text"), F.lit(" "), F.lit(1)).alias("name"))
+    return op.named_entities(_questions(spark, d), first)
+
+
+@query("""WITH c AS (SELECT min(doc_id) AS id, CASE WHEN source LIKE '%e%' THEN source END AS provider FROM documents GROUP BY source, lang),
+s AS (SELECT id, coalesce(provider, 'local') AS provider, CASE WHEN coalesce(provider, 'local') IN ('web', 'forum') THEN 'small' ELSE coalesce(provider, 'local') END AS space FROM c)
+SELECT space, arg_min(provider, id) AS provider, list(id ORDER BY id) AS ids FROM s GROUP BY space""")
+def collections_by_space(spark, d):
+    docs = table(spark, d, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("id"))
+    return op.by_space(docs.select("id", F.when(F.col("source").contains("e"), F.col("source")).alias("provider")), {"web": "small", "forum": "small"}, "local")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quern.functions import html, text, vectors
@@ -11,13 +13,17 @@ from quern.queries.registry import query
 from quern.sources.tables import table
 
 
-@query(f"SELECT doc_id, {ESTIMATE} AS tokens FROM (SELECT doc_id, {BARE} AS b FROM documents WHERE regexp_matches(coalesce(text, ''), '^[\\x00-\\x7F]*$'))")
+@query(f"SELECT doc_id, {ESTIMATE} AS tokens FROM (SELECT doc_id, {BARE} AS b FROM documents)")
 def token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(r"""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Could you please help me to explain ' || text || ' Thank you in advance.' ELSE 'please do' END AS t, turn % 2 = 0 AS long, text FROM conversations WHERE regexp_matches(text, '^[a-zA-Z0-9 ,.]*$') AND NOT regexp_matches(text, '(?i)please|kindly|you|help|guide|assist|want|need|thank|hope|  ') AND length(text) > 60)
-SELECT conv_id, turn, md5(CASE WHEN long THEN trim('to explain ' || text) ELSE t END) AS compressed_md5 FROM p""")
+PROMPT = "CASE WHEN turn % 2 = 0 THEN 'Could you please help me to explain ' || text || ' Thank you in advance.' ELSE 'please do' END"
+_BARE = reduce(lambda c, p: "regexp_replace(%s, '%s', '', 'gi')" % (c, p.replace("(?i)", "").replace("'", "''")), text.FILLERS, "t")
+SHORTENED = rf"regexp_replace(regexp_replace({_BARE}, '\s{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT conv_id, turn, md5(CASE WHEN length(t) < 50 OR length(s) < length(t) * 0.5 THEN t ELSE s END) AS compressed_md5 FROM (SELECT *, {SHORTENED} AS s FROM (SELECT conv_id, turn, {PROMPT} AS t FROM conversations))")
 def compress_prompt(spark, d):
     t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Could you please help me to explain "), "text", F.lit(" Thank you in advance."))).otherwise("please do")
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(text.compress_prompt(t)).alias("compressed_md5"))

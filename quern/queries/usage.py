@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import usage as op
+from quern.queries.conversation import BARE, ESTIMATE
 from quern.queries.registry import query
 from quern.sources.tables import table
 
@@ -64,3 +65,23 @@ def collection_stats(spark, d):
     shaped = docs.select("doc_id", F.col("source").alias("collection"), F.ceil(F.col("n_chars") / 1000).cast("bigint").alias("chunks"), F.col("n_chars").alias("bytes"))
     names = docs.select(F.col("source").alias("collection")).distinct().union(spark.createDataFrame([("empty",)], "collection string"))
     return op.collection_stats(names, shaped.join(labels, "doc_id", "left"))
+
+
+@query("""SELECT c_custkey AS id, c_name AS query, count(o_orderkey) AS hits, c_mktsegment AS model, strftime(max(o_orderdate), '%Y-%m-%d') AS last_hit FROM customer JOIN orders ON c_custkey = o_custkey
+GROUP BY ALL ORDER BY hits DESC, id LIMIT 20""")
+def top_cached_v1(spark, d):
+    hits = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("hits"), F.max("o_orderdate").alias("at"))
+    cache = table(spark, d, "customer").join(hits, "c_custkey")
+    return op.top_cached(cache.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("query"), "hits", F.col("c_mktsegment").alias("model"), F.date_format("at", "yyyy-MM-dd").alias("last_hit")))
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 75")
+def offset_page(spark, d):
+    return op.page(table(spark, d, "documents").select("doc_id", "n_chars"), 75, 50, F.desc("n_chars"), "doc_id")
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN reported > 0 THEN reported ELSE 20 + ({ESTIMATE}) END + turn + 7 AS billable FROM (SELECT conv_id, turn, {BARE} AS b, CASE WHEN turn % 2 = 0 THEN turn * 10 END AS reported FROM conversations)""")
+def billable(spark, d):
+    talk = table(spark, d, "conversations")
+    reported = F.when(F.col("turn") % 2 == 0, F.col("turn") * 10)
+    return talk.select("conv_id", "turn", op.billable_tokens(reported, F.lit(20), F.col("text"), F.col("turn"), F.lit(None).cast("bigint"), F.lit(7)).alias("billable"))
