@@ -23,8 +23,8 @@ from quern.llm.scratch import Scratch
 DEGREE, BUILD_BEAM, BEAM, ALPHA, SEEDS = 28, 48, 128, 1.2, 64
 #: Vectors in a shard: a 64th of all within these bounds; ratio of the norms in a shard; queries that a graph is sent once for.
 SHARD, BAND, ASKED = (4096, 16_384), 1.1, 32_768
-#: Queries that advance together.
-BLOCK = 512
+#: Queries that advance together; tasks of the search, unless there are more shards.
+BLOCK, TASKS = 512, 10_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -218,14 +218,17 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard: int | None
     shard = shard or min(SHARD[1], max(SHARD[0], n // 64))
     sizes = held.groupBy("dims", "band").agg(F.ceil(F.count("*") / shard).cast("int").alias("pieces"))
     dealt = held.join(sizes, ["dims", "band"]).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int")).drop("pieces")
-    graphs = scratch.keep(_graphs(dealt), "graph")
+    # as many tasks as shards, however few bytes they are: a graph is much work
+    shards = sizes.agg(F.sum("pieces")).first()[0] or 1
+    graphs = scratch.keep(_graphs(dealt.repartition(2 * shards, "dims", "band", "piece")), "graph")
     # a graph goes once to each group of queries, and they stream past it
     key, groups = ["dims", "band", "piece", "part"], max(1, -(-(asked or 0) // ASKED))
     blobs = ["ids", "original", "edges", "seeds", "point"]
     shown = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(*key, *blobs, F.lit(None).cast("bigint").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"))
     queries = held.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding", "dims", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(groups)).cast("int").alias("part"))
     sent = queries.join(graphs.select("dims", "band", "piece"), "dims").select(*key, *[F.lit(None).cast("binary").alias(c) for c in blobs], "vec_id", "embedding")
-    work = shown.unionByName(sent).repartition(*key).sortWithinPartitions(*key, F.col("vec_id").asc_nulls_first())
+    tasks = min(2 * shards * groups, max(2 * shards, TASKS))
+    work = shown.unionByName(sent).repartition(tasks, *key).sortWithinPartitions(*key, F.col("vec_id").asc_nulls_first())
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph = None
