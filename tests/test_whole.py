@@ -42,12 +42,11 @@ def test_incident_clusters_across_ranges(spark, monkeypatch):
 
 
 def test_trace_queries_take_every_trace(spark, tiny):
-    """Of all traces, those that the SQL takes are as it says."""
     traces = {r["o_orderkey"] for r in spark.read.parquet(f"{tiny}/orders.parquet").select("o_orderkey").distinct().collect()}
-    for name, part in (("trace_bottlenecks", "trace_id % 10 = 0"), ("trace_timeline", "trace_id % 20 = 0")):
+    for name in ("trace_bottlenecks", "trace_timeline"):
         got = catalogue.QUERIES[name](spark, tiny)
         assert {r["trace_id"] for r in got.select("trace_id").distinct().collect()} == traces
-        assert difference(got.filter(part), catalogue.ORACLES[name], tiny) is None
+        assert difference(got, catalogue.ORACLES[name], tiny) is None
 
 
 def test_cyclic_steps_takes_every_event(spark):
