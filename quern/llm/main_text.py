@@ -23,6 +23,8 @@ DROPPED = RAW | frozenset("head nav header footer aside form button menu dialog
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: Elements that stand inside a line and hold no text of their own.
+IN_LINE = INLINE | frozenset("img embed input source track param area".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -55,7 +57,7 @@ class Page:
             if not name:
                 continue
             name = name.lower()
-            if name not in INLINE:
+            if name not in IN_LINE:
                 self._block += 1
             if end:
                 self._close(name)
@@ -180,7 +182,8 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html; others are not read): page_id, url, text, n_chars.
 
-    The whole html is read, character references are decoded once, and n_chars counts code points.
+    The whole html is read, however long, character references are decoded once, and n_chars counts code points. Null and
+    empty html and pages of furniture alone give an empty text; repeated rows are each told. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
