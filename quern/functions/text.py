@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -35,6 +36,7 @@ CONTENT_HINTS = [
 ]
 #: A word's edge where words are of ASCII letters, digits and _ only; that of Java's \b depends on its version.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+# Filler phrases, error classes, entities, terms and words without weight.
 FILLERS = [
     r"(?i)\b(please|kindly|do me a favor|if you don't mind)\b",
     r"(?i)\b(can you|could you|would you|will you)\s+(please\s+)?(help me\s+)?",
@@ -99,19 +101,40 @@ def timestamp(line: Column) -> Column:
     )
 
 
-def fingerprint(sql: Column) -> Column:
-    """The shape of a statement: comments dropped, literals ``?`` (a leading % stays), lists of any length alike."""
+def _with(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _quotes_and_comments(sql: Column) -> Column:
+    """A statement without comments, its quoted literals ``?`` (``'%?'`` with a leading %)."""
     steps = [
         (r"--[^\n]*", " "), (r"(?s)/\*.*?\*/", " "), (r"'%(?:[^']|'')*'", "\u0001"), (r"'(?:[^']|'')*'", "?"), ("\u0001", "'%?'"),
-        (r'"%(?:[^"]|"")*"', "\u0001"), (r'"(?:[^"]|"")*"', "?"), ("\u0001", '"%?"'), (r"\b0x[0-9a-fA-F]+\b", "?"), (r"(?i)\bNULL\b", "?"),
-        (r"\b\d+\.?\d*([eE][+-]?\d+)?\b", "?"), (r"_\d{2,}(?=_|\b)", "_?"), (r"\s+", " "),
+        (r'"%(?:[^"]|"")*"', "\u0001"), (r'"(?:[^"]|"")*"', "?"), ("\u0001", '"%?"'),
     ]
-    out = F.upper(F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), steps, F.coalesce(sql, F.lit("")))))
-    lists = [
-        (r"\bIN\s*\(\s*\?(?:\s*,\s*\?)*\s*\)", "IN (?)"), (r"\(\s*\?(?:\s*,\s*\?)*\s*\)", "(?)"), (r"\bVALUES\s*\(\?\)(?:\s*,\s*\(\?\))+", "VALUES (?)"),
-        (r"^(.*?)(?: UNION(?: ALL)? \1)+$", "$1"), (r"^USE\s+\S+", "USE ?"), (r"\s+", " "),
-    ]
-    return F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), lists, out))
+    return reduce(lambda c, s: F.regexp_replace(c, *s), steps, F.coalesce(sql, F.lit("")))
+
+
+def rough_shape(sql: Column) -> Column:
+    """A statement of the same ``fingerprint`` in which quoted literals and freestanding whole numbers are alike; cheap to find."""
+    bare = F.when(sql.rlike("['\"]|--|/\\*"), _quotes_and_comments(sql)).otherwise(sql)
+    return F.regexp_replace(bare, r"(?<![\w.])\d{2,}(?![\w.])", "0")
+
+
+def _one_branch_each(sql: Column) -> Column:
+    """A squeezed statement without the UNION branches that stand in what precedes them."""
+    branch = lambda piece: F.trim(F.regexp_replace(piece, r"^UNION(?:\s+ALL)?\s+", ""))
+    new = lambda pieces: F.filter(pieces, lambda piece, k: (k == 0) | ~F.contains(F.array_join(F.slice(pieces, F.lit(1), k), ""), branch(piece)))
+    return F.array_join(_with(F.split(sql, r"(?=\bUNION(?:\s+ALL)?\s)"), new), "")
+
+
+def fingerprint(sql: Column) -> Column:
+    """The shape of a statement: comments dropped, literals ``?`` (a leading % stays), lists of any length and repeated UNION branches alike."""
+    steps = [(r"\b0x[0-9a-fA-F]+\b", "?"), (r"(?i)\bNULL\b", "?"), (r"\b\d+\.?\d*([eE][+-]?\d+)?\b", "?"), (r"_\d{2,}(?=_|\b)", "_?"), (r"\s+", " ")]
+    out = F.upper(F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), steps, _quotes_and_comments(sql))))
+    lists = [(r"\bIN\s*\(\s*\?(?:\s*,\s*\?)*\s*\)", "IN (?)"), (r"\(\s*\?(?:\s*,\s*\?)*\s*\)", "(?)"), (r"\bVALUES\s*\(\?\)(?:\s*,\s*\(\?\))+", "VALUES (?)")]
+    out = _one_branch_each(reduce(lambda c, s: F.regexp_replace(c, *s), lists, out))
+    return F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), [(r"^USE\s+\S+", "USE ?"), (r"\s+", " ")], out))
 
 
 def is_sql(cell: Column) -> Column:
@@ -149,10 +172,26 @@ def normalize_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(squeezed, r"^[^a-z0-9]+|[^a-z0-9)\]]+$", ""))
 
 
+def _accented() -> tuple[str, str]:
+    """Letters below U+2000 that are a plain letter with combining marks, and those plain letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0x80, 0x2000)]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
 def normalize_header(name: Column) -> Column:
-    """A header in lower case without accents (Latin-1 letters) and marks."""
-    plain = F.translate(F.lower(name), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.trim(F.regexp_replace(plain, r"[^a-z0-9%]+", " "))
+    """A header without accents; marks other than _ ( ) [ ] . / - become spaces."""
+    plain = F.regexp_replace(F.translate(F.coalesce(name, F.lit("")), *_accented()), "[\u0300-\u036f]", "")
+    return F.trim(F.regexp_replace(plain, r"[^A-Za-z0-9_\s()\[\]./-]", " "))
+
+
+def looks_like_date(cell: Column) -> Column:
+    """Whether a cell begins with a date that exists, year first or month first; a time alone is none."""
+    parts = lambda pattern: F.array_join(F.array(*[F.regexp_extract(cell, pattern, k) for k in (1, 2, 3)]), "-")
+    year_first = F.try_to_timestamp(parts(r"^\s*(\d{4})[-/](\d{1,2})[-/](\d{1,2})"), F.lit("y-M-d"))
+    month_first = F.try_to_timestamp(parts(r"^\s*(\d{1,2})[-/](\d{1,2})[-/](\d{4}|\d{2})"), F.lit("M-d-y"))
+    shaped = cell.rlike(r"^\s*(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4})")
+    return F.when(shaped, F.coalesce(year_first, month_first).isNotNull()).otherwise(False)
 
 
 def urls(text: Column) -> Column:
@@ -173,14 +212,33 @@ def mentions(text: Column) -> Column:
     return F.filter(names, lambda m: ~F.lower(m).isin("all", "web", "here"))
 
 
+# The shapes of a tool call at the start of a reply, and of an end without its call.
+TOOL_CALLS = [
+    r"\[QUERY_DB\].*?(?:\[/QUERY_DB\]|</SQL_QUERY>|</QUERY_DB>)",
+    r"<QUERY_DB>.*?\[/QUERY_DB\]",
+    r"<QUERY_DB>.*?</QUERY_DB>",
+    r"(?i:<query>.*?</query>)",
+    r'(?i:<Function\s+id="query_db_\d+"\s*>.*?</Function>)',
+    r"\[GET_SCHEMA:[^\]]+\]",
+    r"<GET_SCHEMA:[^>]+>",
+    r"<GET_SCHEMA>[^<]+</GET_SCHEMA>",
+    r"(?i:<DB_SCHEMA_REQUEST>.*?</DB_SCHEMA_REQUEST>)",
+    r"(?i:\[DB_SCHEMA_REQUEST:?[^\]]+\])",
+    r"(?i:<request[^>]*>.*?</request>)",
+    r"(?i:<request_label>Get\s+Schema</request_label>\s*<request_text>[^<]+</request_text>)",
+    r"\[SEARCH_FILES:query=[^\]]+\]",
+    r"\[GET_FILE:id=[^\]]+\]",
+    r"(?i:\[WEB_SEARCH:[^\]]+\])",
+    r"(?i:\[EXECUTE_CODE\].*?\[/EXECUTE_CODE\])",
+]
+TOOL_ENDS = [r"\[/QUERY_DB\]", r"</QUERY_DB>", r"(?i:</query>)", r"</SQL_QUERY>", r"(?i:</Function>)"]
+
+
 def strip_tool_tags(text: Column) -> Column:
-    """A reply without the tool calls that it opens with."""
-    call = (
-        r"\[QUERY_DB\].*?(?:\[/QUERY_DB\]|</SQL_QUERY>|</QUERY_DB>)|<QUERY_DB>.*?(?:\[/QUERY_DB\]|</QUERY_DB>)|<query>.*?</query>|\[GET_SCHEMA:[^\]]+\]|"
-        r"\[SEARCH_FILES:query=[^\]]+\]|\[GET_FILE:id=[^\]]+\]|\[WEB_SEARCH:[^\]]+\]|\[EXECUTE_CODE\].*?\[/EXECUTE_CODE\]"
-    )
-    bare = F.regexp_replace(text, rf"(?s)^(?:\s*(?:{call}))+", "")
-    return F.trim(F.regexp_replace(bare, r"^\s*(?:\[/QUERY_DB\]|</QUERY_DB>|</query>|</SQL_QUERY>)", ""))
+    """A reply without the tool calls that it opens with, and without one end of each kind left behind, in their order."""
+    bare = F.regexp_replace(text, rf"(?s)^(?:\s*(?:{'|'.join(TOOL_CALLS)}))+", "")
+    bare = reduce(lambda c, end: F.regexp_replace(c, rf"^\s*{end}", ""), TOOL_ENDS, bare)
+    return F.regexp_replace(bare, r"^\s+|\s+$", "")
 
 
 def sanitize(text: Column) -> Column:
@@ -200,3 +258,79 @@ def json_object(text: Column) -> Column:
     """The fenced JSON block of a reply, else what lies between the first and the last brace."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     return F.when(fenced != "", fenced).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+
+
+def truncate(text: Column, most: int = 160) -> Column:
+    """A text on one line, cut after ``most`` characters."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("..."))).otherwise(flat)
+
+
+def figure(x: Column) -> Column:
+    """A number for reading: digits in groups of three, two places below 100, none above, halves up; n/a if it is none."""
+    value = x.cast("double")
+    places = F.when(F.abs(value) >= 100, F.floor(value + 0.5).cast("double")).otherwise(F.floor(value * 100 + 0.5) / 100)
+    shown = F.regexp_replace(F.format_number(places, 2), r"\.0+$|(?<=\.[0-9])0$", "")
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    return F.when(finite, F.when(shown == "-0", "0").otherwise(shown)).otherwise("n/a")
+
+
+def trim_to_tokens(text: Column, most: int) -> Column:
+    """The start of a text whose estimate fits ``most`` tokens, with ... where it was cut.
+
+    The first length follows from the text's own characters a token, less 16; up to six times a tenth less is tried.
+    """
+    if most <= 0:
+        return F.lit("")
+    start = lambda length: F.regexp_replace(F.substring(text, F.lit(1), length.cast("int")), r"^\s+|\s+$", "")
+
+    def shrunk(length: Column, left: int) -> Column:
+        cut = start(length)
+        if not left:
+            return cut
+        return F.when(token_estimate(cut) <= most, cut).otherwise(_with(F.floor(length * 0.9), lambda shorter: shrunk(shorter, left - 1)))
+
+    def fitting(tokens: Column) -> Column:
+        first = F.greatest(F.lit(0), F.floor(most * (F.length(text) / F.greatest(F.lit(1), tokens))) - 16)
+        return F.when(tokens <= most, text).otherwise(F.concat(_with(first, lambda length: shrunk(length, 6)), F.lit("...")))
+
+    return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(_with(token_estimate(text), fitting))
+
+
+def temporal_context(at: Column, zone: str = "UTC", quantum_s: int = 60) -> Column:
+    """A moment as a reader in ``zone`` has it, cut to ``quantum_s`` seconds: date, time, weekday, offset, ISO week, quarter.
+
+    The session's time zone must be UTC.
+    """
+    cut = F.timestamp_seconds(F.floor(F.unix_timestamp(at) / quantum_s) * quantum_s)
+    local = F.from_utc_timestamp(cut, zone)
+    minutes = F.floor((F.unix_timestamp(local) - F.unix_timestamp(cut)) / 60)
+    offset = F.format_string("UTC%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(F.abs(minutes) / 60), F.abs(minutes) % 60)
+    return F.struct(
+        F.lit(zone).alias("zone"), offset.alias("offset"), F.date_format(local, "EEEE").alias("weekday"), F.date_format(local, "yyyy-MM-dd").alias("local_date"), F.date_format(local, "HH:mm").alias("local_time"),
+        F.date_format(local, "EEEE, d MMMM yyyy, HH:mm").alias("local_long"), F.date_format(cut, "yyyy-MM-dd'T'HH:mm'Z'").alias("utc"),
+        F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), local), F.weekofyear(local)).alias("iso_week"), F.format_string("Q%d %d", F.quarter(local), F.year(local)).alias("quarter"),
+    )
+
+
+def coerced(value: Column, kind: str) -> Column:
+    """A JSON string's text as ``kind``, number or boolean: the number that it begins with (null if none), true or 1."""
+    if kind == "boolean":
+        return (F.lower(value) == "true") | (value == "1")
+    if kind == "number":
+        return F.regexp_extract(value, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double")
+    return value
+
+
+#: How the types of JSON values are written by schema_of_variant.
+JSON_KINDS = {"string": "STRING", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
+
+
+def schema_errors(json: Column, schema: dict[str, str], partial: bool = False) -> Column:
+    """What a JSON object lacks of ``schema`` (field -> kind): an array of messages, null for a text that isn't JSON."""
+    parsed = F.try_parse_json(json)
+    found = []
+    for field, kind in schema.items():
+        told = F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant"))
+        found.append(F.when(told.isNull(), F.lit(None if partial else f"{field}: missing")).when(~told.rlike(f"^(?:{JSON_KINDS[kind]})"), F.lit(f"{field}: not {kind}")))
+    return F.when(parsed.isNotNull(), F.filter(F.array(*found), lambda e: e.isNotNull()))

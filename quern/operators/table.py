@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from quern.functions.text import fingerprint, is_sql, to_number
+from quern.functions.text import fingerprint, is_sql, looks_like_date, rough_shape, to_number
+from quern.operators.quantiles import MARKS, UPPER_MEDIAN, at_ranks, counted_values
 
 # Rules over statement shapes (id, confidence, what must match, what must not).
 ANTI_PATTERNS = [
@@ -37,10 +39,10 @@ def column(df: DataFrame, which: int | str) -> Column:
 
 
 def number(df: DataFrame, which: int | str) -> Column:
-    """A column as double; text goes through to_number."""
+    """A column as double; what isn't of a numeric type goes through to_number as text."""
     name = df.columns[which - 1] if isinstance(which, int) else which
     cell = column(df, which)
-    return to_number(cell) if dict(df.dtypes)[name] == "string" else cell.cast("double")
+    return cell.cast("double") if isinstance(df.schema[name].dataType, NumericType) else to_number(cell.cast("string"))
 
 
 def select_rows(df: DataFrame, value: int | str | None = None, where: tuple[int | str, str] | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -54,23 +56,24 @@ def select_rows(df: DataFrame, value: int | str | None = None, where: tuple[int
     return df
 
 
-def _exact(value: str, p: float) -> Column:
-    return F.expr(f"percentile_disc({p}) within group (order by {value})")
+def _stats() -> list[Column]:
+    return [F.count("v").alias("n"), F.round(F.sum("v"), 2).alias("total"), F.round(F.avg("v"), 4).alias("avg"), F.max("v").alias("max")]
 
 
 def analyze_value(df: DataFrame, value: int | str, **rows) -> DataFrame:
     """One row of statistics of the selected rows' value column."""
     chosen = select_rows(df, value, **rows)
     v = chosen.select(number(df, value).alias("v")).filter("v is not null")
-    marks = [_exact("v", p).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
-    return v.agg(F.count("v").alias("n"), F.round(F.sum("v"), 2).alias("total"), F.round(F.avg("v"), 4).alias("avg"), *marks, F.max("v").alias("max"))
+    marks = at_ranks(counted_values(v, []), [], MARKS)
+    return v.agg(*_stats()).crossJoin(F.broadcast(marks)).select("n", "total", "avg", *MARKS, "max")
 
 
 def summarize_by(df: DataFrame, group: str, value: int | str) -> DataFrame:
     """The statistics of a value column in each group."""
     v = df.select(F.col(group), number(df, value).alias("v")).filter("v is not null")
-    marks = [_exact("v", p).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
-    return v.groupBy(group).agg(F.count("v").alias("n"), F.round(F.sum("v"), 2).alias("total"), F.round(F.avg("v"), 4).alias("avg"), *marks, F.max("v").alias("max"))
+    marks = at_ranks(counted_values(v, [group]), [group], MARKS).withColumnRenamed(group, "_g")
+    told = v.groupBy(group).agg(*_stats())
+    return told.join(marks, F.col(group).eqNullSafe(F.col("_g"))).select(group, "n", "total", "avg", *MARKS, "max")
 
 
 def top_rows(df: DataFrame, value: int | str, n: int, ties: list[str], **rows) -> DataFrame:
@@ -89,34 +92,39 @@ def analyze_group(df: DataFrame, group: int | str, value: int | str, **rows) ->
     )
 
 
-def census(df: DataFrame) -> DataFrame:
-    """One row by column: non-empty cells, distinct cells, kind, and for numbers min, upper median, max and sum.
+def cells(df: DataFrame) -> DataFrame:
+    """(column_name, cell, n): each distinct non-blank cell of each column as text, counted in one pass over the table."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("cell")) for c in df.columns])
+    return df.select(F.inline(pairs)).filter("trim(cell) != ''").groupBy("column_name", "cell").agg(F.count("*").alias("n"))
 
-    All columns are counted in one pass over an unpivoted table, first by distinct cell, so that the shuffle holds a row
-    for each distinct cell and task. A column is numeric when 80 % of its cells are.
+
+def census(df: DataFrame, most: int = 12) -> DataFrame:
+    """One row by column: non-empty and distinct cells, kind, three samples, and what suits the kind.
+
+    Kinds: number (80 % of the cells are; min, upper median, max, sum), datetime (a quarter of the cells, and at least
+    5 or all of them, look like dates) or text (average length; the values with their counts where there are at most
+    ``most``). Samples are the first distinct cells in text order. Cells are counted by value first, so that the
+    shuffle holds a row for each distinct cell and task.
     """
-    cells = ", ".join(f"'{c}', cast(`{c}` as string)" for c in df.columns)
-    long = df.select(F.expr(f"stack({len(df.columns)}, {cells}) as (column_name, cell)")).filter("trim(cell) != ''")
-    counted = long.groupBy("column_name", "cell").agg(F.count("*").alias("n")).withColumn("v", to_number(F.col("cell")))
+    counted = cells(df).withColumn("v", to_number(F.col("cell")))
+    times = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     told = counted.groupBy("column_name").agg(
-        F.sum("n").alias("non_empty"), F.count("*").alias("distinct_cells"), F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("numeric"),
+        F.sum("n").alias("non_empty"), F.count("*").alias("distinct_cells"), times(F.col("v").isNotNull()).alias("numeric"), times(looks_like_date(F.col("cell"))).alias("dated"),
         F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.sum(F.col("v") * F.col("n")), 2).alias("sum"),
         F.round(F.sum(F.length("cell") * F.col("n")) / F.sum("n"), 4).alias("avg_length"),
     )
-    number_like = F.col("numeric") >= NUMERIC_SHARE * F.col("non_empty")
-    only = [F.when(number_like, F.col(c)).alias(c) for c in ("min", "max", "sum")]
-    median = counted.filter("v is not null").select("column_name", "v", "n")
-    return told.join(_upper_median(median), "column_name", "left").select(
-        "column_name", "non_empty", "distinct_cells", F.when(number_like, "number").otherwise("text").alias("kind"), *only, F.when(number_like, F.col("median")).alias("median"), "avg_length"
-    )
-
-
-def _upper_median(counted: DataFrame) -> DataFrame:
-    """(column_name, median): the value at place floor(n / 2) from 0 of counted values (column_name, v, n)."""
-    upto = Window.partitionBy("column_name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = counted.groupBy("column_name").agg(F.floor(F.sum("n") / 2).alias("place"))
-    placed = counted.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(whole), "column_name")
-    return placed.filter("upto > place").groupBy("column_name").agg(F.min("v").alias("median"))
+    dated = F.col("dated") >= F.least(F.col("non_empty"), F.greatest(F.lit(5), F.col("non_empty") / 4))
+    told = told.withColumn("kind", F.when(F.col("numeric") >= NUMERIC_SHARE * F.col("non_empty"), "number").when(dated, "datetime").otherwise("text"))
+    numbers = counted.filter("v is not null").groupBy("column_name", "v").agg(F.sum("n").alias("n"))
+    medians = at_ranks(numbers, ["column_name"], UPPER_MEDIAN)
+    leading = counted.withColumn("_r", F.row_number().over(Window.partitionBy("column_name").orderBy("cell"))).filter("_r <= 3")
+    samples = leading.groupBy("column_name").agg(F.array_join(F.array_sort(F.collect_list("cell")), " | ").alias("samples"))
+    few = counted.join(told.filter((F.col("kind") == "text") & (F.col("distinct_cells") <= most)).select("column_name"), "column_name", "left_semi")
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "cell")))
+    values = few.groupBy("column_name").agg(F.array_join(F.transform(listed, lambda x: F.concat(x["cell"], F.lit("="), (-x["n"]).cast("string"))), ", ").alias("value_counts"))
+    only = [F.when(F.col("kind") == "number", F.col(c)).alias(c) for c in ("min", "max", "sum", "median")]
+    whole = told.join(medians, "column_name", "left").join(samples, "column_name", "left").join(values, "column_name", "left")
+    return whole.select("column_name", "non_empty", "distinct_cells", "kind", *only, "avg_length", "samples", "value_counts")
 
 
 def status_breakdown(df: DataFrame, status: str, most: int = 12) -> DataFrame:
@@ -140,16 +148,20 @@ def time_window(df: DataFrame, ts: str, key: str) -> DataFrame:
 
 def slow_rows(df: DataFrame, value: str, key: str, factor: float = 2.0, n: int = 10) -> DataFrame:
     """The slowest rows above ``factor`` times the median."""
-    stats = df.agg(_exact(value, 0.5).alias("p50"))
+    stats = at_ranks(counted_values(df, [], value), [], {"p50": MARKS["p50"]})
     above = df.crossJoin(F.broadcast(stats)).filter(F.col(value) > factor * F.col("p50"))
     return above.select(key, value, "p50", F.round(F.col(value) / F.col("p50"), 4).alias("times_p50")).orderBy(F.desc(value), key).limit(n)
 
 
 def statement_groups(df: DataFrame, sql: str, duration: str, executions: str | None = None) -> DataFrame:
-    """By statement shape: calls (times an execution count, at least 1), total and largest duration, mean by call."""
+    """By statement shape: calls (times an execution count, at least 1), total and largest duration, mean by call.
+
+    Statements are grouped by a cheap rough shape first; only the distinct ones go through the whole chain.
+    """
     calls = F.greatest(F.lit(1), F.coalesce(F.col(executions).cast("bigint"), F.lit(1))) if executions else F.lit(1)
-    shaped = df.filter(is_sql(F.col(sql))).select(fingerprint(F.col(sql)).alias("shape"), calls.alias("c"), number(df, duration).alias("ms"))
-    told = shaped.groupBy("shape").agg(F.sum("c").cast("bigint").alias("calls"), F.round(F.sum("ms"), 2).alias("total_ms"), F.max("ms").alias("max_ms"))
+    rough = df.filter(is_sql(F.col(sql))).select(rough_shape(F.col(sql)).alias("rough"), calls.alias("c"), number(df, duration).alias("ms"))
+    few = rough.groupBy("rough").agg(F.sum("c").alias("c"), F.sum("ms").alias("total"), F.max("ms").alias("most"))
+    told = few.groupBy(fingerprint(F.col("rough")).alias("shape")).agg(F.sum("c").cast("bigint").alias("calls"), F.round(F.sum("total"), 2).alias("total_ms"), F.max("most").alias("max_ms"))
     return told.withColumn("mean_ms", F.round(F.col("total_ms") / F.col("calls"), 4))
 
 
@@ -175,18 +187,18 @@ def guessed_duration(df: DataFrame, columns: list[str]) -> DataFrame:
     under 1.2 times its upper median. Every answer is marked as a guess, and all values of 0 or more count.
     Falls are found inside ranges of ``ROWS`` rows, then between the ranges.
     """
-    long = df.select(F.monotonically_increasing_id().alias("at"), F.expr(f"stack({len(columns)}, {', '.join(f"'{c}', cast(`{c}` as double)" for c in columns)}) as (column_name, v)")).filter("v >= 0")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), number(df, c).alias("v")) for c in columns])
+    long = df.select(F.monotonically_increasing_id().alias("at"), F.inline(pairs)).filter("v >= 0")
     inside = Window.partitionBy("column_name", "range").orderBy("at")
     fell = long.withColumn("range", F.floor(F.col("at") / ROWS)).withColumn("fell", (F.col("v") < F.lag("v").over(inside)).cast("int"))
     ranges = fell.groupBy("column_name", "range").agg(F.coalesce(F.sum("fell"), F.lit(0)).alias("fell"), F.min_by("v", "at").alias("first"), F.max_by("v", "at").alias("last"))
     border = F.coalesce((F.col("first") < F.lag("last").over(Window.partitionBy("column_name").orderBy("range"))).cast("int"), F.lit(0))
     falls = ranges.withColumn("border", border).groupBy("column_name").agg((F.sum("fell") + F.sum("border")).alias("falls"))
-    stats = long.groupBy("column_name").agg(
-        F.count("*").alias("n"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.expr("-percentile_disc(0.5) within group (order by -v)").alias("median"),
-        F.min((F.col("v") == F.floor("v")).cast("int")).alias("whole"),
-    )
-    distinct = long.groupBy("column_name", "v").count().groupBy("column_name").agg(F.count("*").alias("distinct_values"))
-    told = stats.join(falls, "column_name").join(distinct, "column_name")
+    counted = counted_values(long, ["column_name"])
+    stats = counted.groupBy("column_name").agg(
+        F.sum("n").alias("n"), F.count("*").alias("distinct_values"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.min((F.col("v") == F.floor("v")).cast("int")).alias("whole")
+    )
+    told = stats.join(falls, "column_name").join(at_ranks(counted, ["column_name"], UPPER_MEDIAN), "column_name")
     serial = (F.col("whole") == 1) & (F.col("distinct_values") > 0.95 * F.col("n"))
     fits = (F.col("n") >= 10) & (F.col("falls") > 0) & ~serial & (F.col("median") > 0) & (F.col("mean") >= 1.2 * F.col("median")) & (F.col("max") > 10 * F.col("mean"))
     return told.select("column_name", "n", F.round(F.col("max") / F.col("mean"), 4).alias("spread"), fits.alias("guessed_duration"), F.lit("spread").alias("basis"))

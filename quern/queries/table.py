@@ -35,20 +35,24 @@ def analyze_table_filtered(spark, d):
     return op.analyze_value(table(spark, d, "part"), 6, where=("p_type", "a"), low=950, high=1500)
 
 
-CENSUS = """WITH cells AS ({cells}), c AS (SELECT column_name, cell, count(*) AS n, try_cast(cell AS DOUBLE) AS v FROM cells WHERE trim(cell) != '' GROUP BY ALL),
+CENSUS = """WITH cells AS ({cells}), c AS (SELECT column_name, cell, count(*) AS n, try_cast(cell AS DOUBLE) AS v, regexp_matches(cell, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS dated FROM cells WHERE trim(cell) != '' GROUP BY ALL),
 u AS (SELECT column_name, v, sum(n) OVER (PARTITION BY column_name ORDER BY v) AS upto, floor(sum(n) OVER (PARTITION BY column_name) / 2) AS place FROM c WHERE v IS NOT NULL),
 m AS (SELECT column_name, min(v) FILTER (WHERE upto > place) AS median FROM u GROUP BY column_name),
 t AS (SELECT column_name, sum(n)::BIGINT AS non_empty, count(*) AS distinct_cells, coalesce(sum(n) FILTER (WHERE v IS NOT NULL), 0) >= 0.8 * sum(n) AS num, min(v) AS lo, max(v) AS hi,
-round(sum(v * n), 2) AS s, round(sum(length(cell) * n) / sum(n), 4) AS avg_length FROM c GROUP BY column_name)
-SELECT column_name, non_empty, distinct_cells, CASE WHEN num THEN 'number' ELSE 'text' END AS kind, CASE WHEN num THEN lo END AS min, CASE WHEN num THEN hi END AS max,
-CASE WHEN num THEN s END AS sum, CASE WHEN num THEN median END AS median, avg_length FROM t LEFT JOIN m USING (column_name)"""
+round(sum(v * n), 2) AS s, round(sum(length(cell) * n) / sum(n), 4) AS avg_length, coalesce(sum(n) FILTER (WHERE dated), 0) >= least(sum(n), greatest(5, sum(n) / 4)) AS day FROM c GROUP BY column_name),
+p AS (SELECT column_name, string_agg(cell, ' | ' ORDER BY cell) AS samples FROM (SELECT column_name, cell FROM c QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY cell) <= 3) GROUP BY column_name),
+q AS (SELECT column_name, string_agg(cell || '=' || n, ', ' ORDER BY n DESC, cell) AS listed FROM c GROUP BY column_name HAVING count(*) <= 12)
+SELECT column_name, non_empty, distinct_cells, CASE WHEN num THEN 'number' WHEN day THEN 'datetime' ELSE 'text' END AS kind, CASE WHEN num THEN lo END AS min, CASE WHEN num THEN hi END AS max,
+CASE WHEN num THEN s END AS sum, CASE WHEN num THEN median END AS median, avg_length, samples, CASE WHEN NOT num AND NOT day THEN listed END AS value_counts
+FROM t LEFT JOIN m USING (column_name) LEFT JOIN p USING (column_name) LEFT JOIN q USING (column_name)"""
 
 
 def _cells(name: str, columns: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c}::VARCHAR AS cell FROM {name}" for c in columns)
 
 
-PART, CUSTOMER = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+PART, CUSTOMER = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal"]
+ORDERS = ["o_orderstatus", "o_orderdate", "o_orderpriority"]
 
 
 @query(CENSUS.format(cells=_cells("part", PART)))
@@ -61,6 +65,11 @@ def column_census_customer(spark, d):
     return op.census(table(spark, d, "customer").select(*CUSTOMER))
 
 
+@query(CENSUS.format(cells=_cells("orders", ORDERS)))
+def column_census_orders(spark, d):
+    return op.census(table(spark, d, "orders").select(*ORDERS))
+
+
 @query(f"SELECT event_type, {STATS} FROM (SELECT event_type, value AS v FROM events WHERE value IS NOT NULL) GROUP BY event_type")
 def percentile_summary(spark, d):
     return op.summarize_by(table(spark, d, "events"), "event_type", "value")
@@ -128,7 +137,10 @@ def anti_patterns(spark, d):
     return op.anti_patterns(op.statement_groups(_statements(spark, d), "sql", "ms"))
 
 
-@query()
+@query("""WITH v AS (SELECT event_id AS pos, unnest([{'c': 'event_id', 'v': event_id::DOUBLE}, {'c': 'user_id', 'v': user_id::DOUBLE}, {'c': 'value', 'v': value}], recursive := true) FROM events),
+f AS (SELECT c AS column_name, v, v < lag(v) OVER (PARTITION BY c ORDER BY pos) AS fell, row_number() OVER (PARTITION BY c ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY c) AS k FROM v WHERE v >= 0),
+s AS (SELECT column_name, count(*) AS n, max(v) AS hi, avg(v) AS mean, min(v) FILTER (WHERE r = k // 2) AS median, count(DISTINCT v) AS ndv, count(*) FILTER (WHERE fell) AS falls, bool_and(v = floor(v)) AS whole FROM f GROUP BY column_name)
+SELECT column_name, n, round(hi / mean, 4) AS spread, n >= 10 AND falls > 0 AND NOT (whole AND ndv > 0.95 * n) AND median > 0 AND mean >= 1.2 * median AND hi > 10 * mean AS guessed_duration, 'spread' AS basis FROM s""")
 def duration_guess(spark, d):
     return op.guessed_duration(table(spark, d, "events").orderBy("event_id"), ["event_id", "user_id", "value"])
 
