@@ -275,13 +275,12 @@ def figure(x: Column) -> Column:
     return F.when(finite, F.when(shown == "-0", "0").otherwise(shown)).otherwise("n/a")
 
 
-def trim_to_tokens(text: Column, most: int) -> Column:
+def trim_to_tokens(text: Column, most: int | Column) -> Column:
     """The start of a text whose estimate fits ``most`` tokens, with ... where it was cut.
 
     The first length follows from the text's own characters a token, less 16; up to six times a tenth less is tried.
     """
-    if most <= 0:
-        return F.lit("")
+    most = F.lit(most) if isinstance(most, int) else most
     start = lambda length: F.regexp_replace(F.substring(text, F.lit(1), length.cast("int")), r"^\s+|\s+$", "")
 
     def shrunk(length: Column, left: int) -> Column:
@@ -294,7 +293,7 @@ def trim_to_tokens(text: Column, most: int) -> Column:
         first = F.greatest(F.lit(0), F.floor(most * (F.length(text) / F.greatest(F.lit(1), tokens))) - 16)
         return F.when(tokens <= most, text).otherwise(F.concat(_with(first, lambda length: shrunk(length, 6)), F.lit("...")))
 
-    return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(_with(token_estimate(text), fitting))
+    return F.when((F.coalesce(text, F.lit("")) == "") | (most <= 0), "").otherwise(_with(token_estimate(text), fitting))
 
 
 def temporal_context(at: Column, zone: str = "UTC", quantum_s: int = 60) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import EDGE, ENTITY_PATTERNS, STOPWORDS, TERM, token_estimate
+from quern.functions.text import EDGE, ENTITY_PATTERNS, STOPWORDS, TERM, token_estimate, trim_to_tokens
 
 
 def _newest(conv: str, pos: str):
@@ -86,3 +86,30 @@ def embedding_text(chunks: DataFrame, title: str, section: str, text: str) -> Da
     echoed = F.expr(f"locate({section}, substring({text}, 1, 200))")
     head = F.concat_ws(" > ", F.when(F.col(title) != "", F.col(title)), F.when((F.col(section) != "") & (echoed == 0), F.col(section)))
     return chunks.withColumn("embed_text", F.when(head != "", F.concat(head, F.lit("\n\n"), F.col(text))).otherwise(F.col(text)))
+
+
+def fit_prompt(messages: DataFrame, ceiling: int, low: float = 0.85, floor: int = 4, least_query: int = 512, conv: str = "conv_id", pos: str = "turn") -> DataFrame:
+    """What of each conversation fits a prompt of ``ceiling`` tokens; adds tokens and trimmed.
+
+    A conversation that fits stays whole. From another the oldest messages between the leading system messages and the
+    last message go until it fits ``low`` of the ceiling or ``floor`` of them are left; then those before the first that
+    isn't an assistant's go. Where the rest still doesn't fit, a last message of the user is cut, if ``least_query`` tokens
+    or more are left for it. Empty texts count 4 tokens as all do.
+    """
+    whole, oldest = Window.partitionBy(conv), Window.partitionBy(conv).orderBy(pos)
+    sized = messages.withColumn("tokens", token_estimate(F.col("text")) + 4).withColumn("_all", F.sum("tokens").over(whole))
+    spoken = F.coalesce(F.col("role") != "system", F.lit(True))
+    placed = sized.withColumn("_last", F.col(pos) == F.max(pos).over(whole)).withColumn("_spoke", F.coalesce(F.max(spoken).over(oldest.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
+    history = placed.withColumn("_h", F.col("_spoke") & ~F.col("_last"))
+    counts = F.when(F.col("_h"), 1).otherwise(0)
+    counted = history.withColumn("_left", F.sum(counts).over(oldest.rowsBetween(0, Window.unboundedFollowing)))
+    before = F.coalesce(F.sum(F.when(F.col("_h"), F.col("tokens"))).over(oldest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = F.col("_all") > ceiling
+    gone = over & F.col("_h") & (F.col("_all") - before > int(ceiling * low)) & (F.col("_left") > floor)
+    evicted = counted.withColumn("_gone", gone).filter(~F.col("_gone"))
+    opening = F.min(F.when(F.col("_h") & ~F.col("role").eqNullSafe("assistant"), F.col(pos))).over(whole)
+    opened = evicted.withColumn("_first", opening).filter(~over | ~F.col("_h") | F.coalesce(F.col(pos) >= F.col("_first"), F.lit(False)))
+    rest = opened.withColumn("_kept", F.sum("tokens").over(whole)).withColumn("_room", ceiling - (F.col("_kept") - F.col("tokens")) - 8)
+    trimmed = (F.col("_kept") > ceiling) & F.col("_last") & F.col("role").eqNullSafe("user") & (F.col("_room") >= least_query)
+    cut = rest.withColumn("trimmed", trimmed).withColumn("text", F.when(trimmed, trim_to_tokens(F.col("text"), F.col("_room"))).otherwise(F.col("text")))
+    return cut.withColumn("tokens", F.when(F.col("trimmed"), token_estimate(F.col("text")) + 4).otherwise(F.col("tokens"))).select(*messages.columns, "tokens", "trimmed")

@@ -100,6 +100,14 @@ def mine_templates(lines: DataFrame, by: str | None = None) -> DataFrame:
     return told if by else told.drop("log")
 
 
+def mine_report(lines: DataFrame, least: int = 30, most: float = 0.6) -> DataFrame:
+    """The templates of a log with their share of its lines; no rows where it has under ``least`` lines or a template for over ``most`` of them."""
+    mined = mine_templates(lines)
+    whole = mined.agg(F.sum("n").alias("_lines"), F.count("*").alias("_templates"))
+    fits = (F.col("_lines") >= least) & (F.col("_templates") <= most * F.col("_lines"))
+    return mined.crossJoin(F.broadcast(whole)).filter(fits).withColumn("share", F.round(F.col("n") / F.col("_lines"), 4)).drop("_lines", "_templates")
+
+
 def severity_mix(lines: DataFrame) -> DataFrame:
     return lines.groupBy(F.coalesce("severity", F.lit("UNLABELLED")).alias("severity")).agg(F.count("*").alias("n"))
 

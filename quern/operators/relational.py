@@ -73,3 +73,17 @@ def unreachable(nodes: DataFrame, edges: DataFrame, start: str) -> DataFrame:
         fresh = cut(step.join(reached, "node", "left_anti"))
         reached = cut(reached.unionByName(fresh))
     return nodes.select("node").distinct().join(reached, "node", "left_anti")
+
+
+def mark_generated(files: DataFrame, messages: DataFrame, column: str = "generated_files") -> DataFrame:
+    """``files`` (id, source, ...) with source ``generated`` where a message lists the file.
+
+    The column holds a JSON array of objects with file_id, or a JSON string that holds such an array; ids of another
+    form than a UUID's and other values are passed over.
+    """
+    array = F.from_json(F.concat(F.lit('{"x":'), F.col(column), F.lit("}")), "x string")["x"]
+    array = F.when(F.ltrim(array).startswith("["), array)  # an object alone would be read as an array of one
+    listed = messages.select(F.explode(F.from_json(array, "array<struct<file_id: string>>")).alias("entry"))
+    ids = listed.select(F.lower("entry.file_id").alias("_id")).filter(F.col("_id").rlike("^[0-9a-f-]{36}$")).distinct()
+    joined = files.join(ids, F.lower("id") == F.col("_id"), "left")
+    return joined.withColumn("source", F.when(F.col("_id").isNotNull(), "generated").otherwise(F.col("source"))).drop("_id")

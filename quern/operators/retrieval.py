@@ -317,3 +317,32 @@ def by_space(collections: DataFrame, spaces: dict[str, str], default: str) -> Da
     provider = F.coalesce("provider", F.lit(default))
     space = F.coalesce(*[F.when(provider == p, F.lit(s)) for p, s in spaces.items()], provider)
     return collections.select("id", provider.alias("provider"), space.alias("space")).groupBy("space").agg(F.min_by("provider", "id").alias("provider"), F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def chained(*lists: DataFrame, k: int, by: str = "query_id", item: str = "doc_id") -> DataFrame:
+    """The ``k`` best items of each query over several result lists (by, item, score), each item at its highest score."""
+    best = reduce(DataFrame.unionByName, [x.select(by, item, "score") for x in lists]).groupBy(by, item).agg(F.max("score").alias("score"))
+    return top_by(best, by, k, F.desc("score"), item)
+
+
+def oversampled(vectors: DataFrame, query: list[float], k: int, factor: int = 3, least: float = 0.30) -> DataFrame:
+    """The ``k`` nearest of ``factor`` times as many candidates that pass the relevance gate."""
+    near = similar(vectors, query, -1.0, k * factor)
+    return near.filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), "vec_id").limit(k)
+
+
+def merge_hits(words: DataFrame, vectors: DataFrame, prefix: int = 50, by: list[str] | None = None) -> DataFrame:
+    """Hits (query_id, file_id, place, text) of two searches: all of the first, then those of the second that say something new.
+
+    A hit of the second search is left out when its first ``prefix`` characters stand in a hit of its file that is
+    already in. Both searches are top-k lists, so a file has few hits a query. Adds origin, words or vectors.
+    """
+    by = by or ["query_id", "file_id"]
+    both = words.withColumn("origin", F.lit("words")).unionByName(vectors.withColumn("origin", F.lit("vectors")))
+    rest = [c for c in both.columns if c not in by]
+    hit = F.struct((F.col("origin") == "vectors").alias("_second"), "place", *[c for c in rest if c != "place"])
+    held = both.groupBy(*by).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    told = lambda kept, h: F.exists(kept, lambda x: F.contains(x["text"], F.substring(h["text"], 1, prefix)))
+    first = F.filter("hits", lambda h: ~h["_second"])
+    kept = F.aggregate(F.filter("hits", lambda h: h["_second"]), first, lambda kept, h: F.when(told(kept, h), kept).otherwise(F.concat(kept, F.array(h))))
+    return held.select(*by, F.inline(kept)).drop("_second")

@@ -81,3 +81,16 @@ def embedding_text(spark, d):
     place = F.when(F.col("turn") % 2 == 0, 1).otherwise(60)
     named = table(spark, d, "conversations").withColumn("title", F.concat(F.lit("conversation "), F.col("conv_id"))).withColumn("section", F.coalesce(F.get(F.split("text", " "), place - 1), F.lit("")))
     return op.embedding_text(named, "title", "section", "text").select("conv_id", "turn", F.md5("embed_text").alias("embed_md5"))
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, role, {ESTIMATE} + 4 AS tokens FROM (SELECT *, {BARE} AS b FROM conversations)),
+p AS (SELECT *, sum(tokens) OVER w AS whole, turn = max(turn) OVER w AS last, NOT bool_and(role = 'system') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS spoke FROM s WINDOW w AS (PARTITION BY conv_id)),
+h AS (SELECT *, spoke AND NOT last AS h FROM p),
+c AS (SELECT *, count(*) FILTER (WHERE h) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS remain, coalesce(sum(tokens) FILTER (WHERE h) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h),
+e AS (SELECT *, min(turn) FILTER (WHERE h AND role != 'assistant') OVER (PARTITION BY conv_id) AS opening FROM c WHERE NOT (whole > 900 AND h AND whole - before > 765 AND remain > 2)),
+o AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id) AS kept FROM e WHERE whole <= 900 OR NOT h OR coalesce(turn >= opening, false)),
+t AS (SELECT *, kept > 900 AND last AND role = 'user' AND 900 - (kept - tokens) - 8 >= 100 AS trimmed FROM o)
+SELECT conv_id, turn, CASE WHEN NOT trimmed THEN tokens::BIGINT END AS tokens, trimmed FROM t""")
+def prompt_fit(spark, d):
+    fitted = op.fit_prompt(table(spark, d, "conversations"), 900, floor=2, least_query=100)
+    return fitted.select("conv_id", "turn", F.when(~F.col("trimmed"), F.col("tokens")).alias("tokens"), "trimmed")

@@ -36,7 +36,13 @@ def rare_events(spark, d):
     return op.rare_events(op.masked_counts(_lines(spark, d)).select("masked", "n", "first_line", "last_line", "severity"))
 
 
-@query()
+MINED = """, w AS (SELECT severity, line_no, unnest(string_split(masked, ' ')) AS word, unnest(range(len(string_split(masked, ' ')))) AS k FROM l),
+p AS (SELECT severity, k, CASE WHEN count(DISTINCT word) = 1 THEN min(word) ELSE '<*>' END AS word FROM w GROUP BY ALL), t AS (SELECT severity, string_agg(word, ' ' ORDER BY k) AS template FROM p GROUP BY severity),
+m AS (SELECT template, count(*) AS n, min(line_no) AS first_line, max(line_no) AS last_line, severity FROM l JOIN t USING (severity) GROUP BY ALL)"""
+
+
+# every leaf of these lines is one template: all words of a level's lines have the same places
+@query(LINES + MINED + " SELECT * FROM m")
 def template_counts(spark, d):
     return op.mine_templates(_lines(spark, d))
 
@@ -85,3 +91,8 @@ def incident_context(spark, d):
 @query("SELECT line_no FROM (SELECT event_id + 1 AS line_no, row_number() OVER (ORDER BY event_id) - 1 AS p, count(*) OVER () AS n FROM events) WHERE p IN (SELECT floor(i * n / 50)::BIGINT FROM range(50) r(i), (SELECT count(*) AS n FROM events))")
 def even_sample(spark, d):
     return op.sampled(table(spark, d, "events").select((F.col("event_id") + 1).alias("line_no")), 50)
+
+
+@query(LINES + MINED + " SELECT template, n, first_line, last_line, severity, round(n / sum(n) OVER (), 4) AS share FROM m")
+def mine_report(spark, d):
+    return op.mine_report(_lines(spark, d))

@@ -90,3 +90,14 @@ def unreachable_nodes(spark, d):
     edges = edges.unionByName(customer.filter("c_custkey % 7 = 0").select(name("c", "c_custkey").alias("source"), name("n", "c_nationkey").alias("target")))
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target"))
     return op.unreachable(nodes, edges, "r0")
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id IN (SELECT conv_id % 40 FROM conversations WHERE turn IN (1, 2)) THEN 'generated' ELSE source END AS source FROM documents""")
+def generated_files(spark, d):
+    """Arrays, arrays inside a JSON string, other values and ids that aren't UUIDs, by turn."""
+    uuid = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad((F.col("conv_id") % 40).cast("string"), 12, "0"))
+    array = F.concat(F.lit('[{"file_id":"'), uuid, F.lit('","file_name":"a \\" b"},{"file_id":"no"}]'))
+    escaped = F.concat(F.lit('"'), F.replace(F.replace(array, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    column = F.when(F.col("turn") == 1, array).when(F.col("turn") == 2, escaped).when(F.col("turn") == 3, '{"file_id": 1}').when(F.col("turn") == 4, "5")
+    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("id"), "source")
+    return op.mark_generated(files, table(spark, d, "conversations").select(column.alias("generated_files"))).select("doc_id", "source")

@@ -236,3 +236,28 @@ SELECT space, arg_min(provider, id) AS provider, list(id ORDER BY id) AS ids FRO
 def collections_by_space(spark, d):
     docs = table(spark, d, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("id"))
     return op.by_space(docs.select("id", F.when(F.col("source").contains("e"), F.col("source")).alias("provider")), {"web": "small", "forum": "small"}, "local")
+
+
+@query(POSTINGS + """, u AS (SELECT query_id, id, bm25 AS score FROM rb UNION ALL SELECT query_id, id, jaccard FROM rj), m AS (SELECT query_id, id, max(score) AS score FROM u GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM m QUALIFY rank <= 5""")
+def chained_lists(spark, d):
+    first, second = _bm25(spark, d).withColumnRenamed("bm25", "score"), _jaccard(spark, d).withColumnRenamed("jaccard", "score")
+    return op.chained(first, second, k=5, item="id")
+
+
+@query(f"SELECT * FROM (SELECT vec_id, similarity FROM ({NEAR}) ORDER BY similarity DESC, vec_id LIMIT 30) WHERE similarity >= 0.30 ORDER BY similarity DESC, vec_id LIMIT 10")
+def oversampled_hits(spark, d):
+    return op.oversampled(table(spark, d, "embeddings"), _vector(spark, d), 10)
+
+
+@query("""WITH w AS (SELECT item_id AS query_id, item_id % 3 AS file_id, item_id AS place, text, 'words' AS origin FROM benchmark), v AS (SELECT item_id AS query_id, item_id % 3 AS file_id, k AS place,
+CASE k WHEN 0 THEN substr(text, 1, 50) || ' and more' WHEN 1 THEN 'new ' || text ELSE substr('new ' || text, 1, 60) END AS text, 'vectors' AS origin FROM benchmark, range(3) r(k))
+SELECT query_id, file_id, place, md5(text) AS text_md5, origin FROM w UNION ALL SELECT query_id, file_id, place, md5(text), origin FROM v WHERE place = 1""")
+def merged_hits(spark, d):
+    """The first vector hit begins as the hit by words does, the third as the second does."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 3).alias("file_id"), "text")
+    words = q.select("query_id", "file_id", F.col("query_id").alias("place"), "text")
+    fresh = F.concat(F.lit("new "), "text")
+    texts = F.array(F.concat(F.substring("text", 1, 50), F.lit(" and more")), fresh, F.substring(fresh, 1, 60))
+    vectors = q.select("query_id", "file_id", F.posexplode(texts).alias("place", "text")).withColumn("place", F.col("place").cast("bigint"))
+    return op.merge_hits(words, vectors).select("query_id", "file_id", "place", F.md5("text").alias("text_md5"), "origin")

@@ -127,3 +127,36 @@ def graph_build(spark, d):
     node = lambda n, m, tail: F.concat(F.lit(n), (F.col("doc_id") % m).cast("string"), F.lit(tail))
     found = table(spark, d, "documents").select(F.col("doc_id").alias("chunk"), node("Node ", 13, ".").alias("source"), F.lit("Person").alias("source_kind"), node("node ", 5, "").alias("target"), F.lit("odd").alias("target_kind"), F.lit("links").alias("relation"))
     return chunking.build_graph(found, ["person", "place"])[1]
+
+
+@query(r"""SELECT doc_id, md5(CASE WHEN length(t) > 160 THEN left(t, 160) || '...' ELSE t END) AS short_md5, CASE WHEN abs(x) >= 100 THEN regexp_replace(format('{:,.2f}', floor(x + 0.5)), '\.00$', '')
+ELSE regexp_replace(regexp_replace(format('{:,.2f}', floor(x * 100 + 0.5) / 100), '\.00$', ''), '(\.[0-9])0$', '\1') END AS shown
+FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t, (doc_id * 7919 % 100003)::DOUBLE / 64 - 300 AS x FROM documents)""")
+def display_text(spark, d):
+    x = (F.col("doc_id") * 7919 % 100003).cast("double") / 64 - 300
+    return table(spark, d, "documents").select("doc_id", F.md5(text.truncate(F.col("text"))).alias("short_md5"), text.figure(x).alias("shown"))
+
+
+@query("""SELECT event_id, 'Asia/Kolkata' AS zone, 'UTC+05:30' AS "offset", strftime(l, '%A') AS weekday, strftime(l, '%Y-%m-%d') AS local_date, strftime(l, '%H:%M') AS local_time,
+strftime(l, '%A, %-d %B %Y, %H:%M') AS local_long, strftime(u, '%Y-%m-%dT%H:%MZ') AS utc, strftime(l, '%G-W%V') AS iso_week, 'Q' || quarter(l) || ' ' || year(l) AS quarter
+FROM (SELECT event_id, u, u + INTERVAL '330 minutes' AS l FROM (SELECT event_id, date_trunc('minute', ts) AS u FROM events))""")
+def temporal_context(spark, d):
+    told = text.temporal_context(F.col("ts").cast("timestamp"), "Asia/Kolkata")
+    return table(spark, d, "events").select("event_id", told.alias("t")).select("event_id", "t.*")
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'id: not number, tags: missing' WHEN 2 THEN 'tags: not array' WHEN 3 THEN NULL ELSE 'name: missing, tags: missing' END AS errors,
+CASE event_id % 5 WHEN 1 THEN event_id::DOUBLE ELSE NULL END AS number, event_id % 5 = 1 AS flag FROM events""")
+def schema_checks(spark, d):
+    k, n = F.col("event_id") % 5, F.col("event_id").cast("string")
+    given = F.when(k == 0, F.concat(F.lit('{"id": '), n, F.lit(', "name": "x", "tags": [1]}'))).when(k == 1, F.concat(F.lit('{"id": "'), n, F.lit('", "name": "x"}')))
+    given = given.when(k == 2, '{"id": 1.5, "name": "x", "tags": {"a": 1}}').when(k == 3, "{odd").otherwise('{"id": 1}')
+    said = F.when(k == 1, F.concat(n, F.lit(" px"))).otherwise("px 1")
+    errors = text.schema_errors(given, {"id": "number", "name": "string", "tags": "array"})
+    return table(spark, d, "events").select("event_id", F.array_join(errors, ", ").alias("errors"), text.coerced(said, "number").alias("number"), text.coerced(F.when(k == 1, "TRUE").otherwise("yes"), "boolean").alias("flag"))
+
+
+@query()
+def trimmed_tokens(spark, d):
+    cut = text.trim_to_tokens(F.col("text"), 100)
+    return table(spark, d, "documents").select("doc_id", F.length(cut).alias("n_chars"), F.md5(cut).alias("cut_md5"))
