@@ -78,42 +78,51 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(licences.layout(_table(spark, sf_dir, "documents")))
 
 
-OP6_SQL = """
-WITH templates(name, body) AS (VALUES %s),
-tt AS (SELECT name, unnest(regexp_extract_all(lower(body), '%s')) AS term FROM templates),
-ttf AS (SELECT name, term, count(*) AS tf FROM tt GROUP BY ALL),
+OP6_SQL = r"""
+WITH templates(tid, name, body) AS (VALUES %s),
+tt AS (SELECT tid, unnest(regexp_extract_all(lower(body), '%s')) AS term FROM templates),
+ttf AS (SELECT tid, term, 1 + ln(count(*)) AS tf FROM tt GROUP BY ALL),
 idf AS (SELECT term, ln(%s / (1 + count(*))) + 1 AS idf FROM ttf GROUP BY term),
-tw AS (SELECT name, term, tf * idf AS w FROM ttf JOIN idf USING (term)),
-unit AS (SELECT name, term, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM tw),
+tw AS (SELECT tid, term, tf * idf AS w FROM ttf JOIN idf USING (term)),
+unit AS (SELECT tid, term, w / sqrt(sum(w * w) OVER (PARTITION BY tid)) AS w FROM tw),
 files AS (
-  SELECT coalesce(text, '') AS text, coalesce(source, 'none') || '/' || (doc_id // 1000) AS top, doc_id,
+  SELECT lower(coalesce(text, '')) AS text, coalesce(source, 'none') || '/' || (doc_id // 1000) AS top, doc_id,
          CASE WHEN doc_id %% 1000 = 0 THEN top || '/LICENSE' WHEN doc_id %% 50 = 0 THEN top || '/' || (doc_id // 50) || '/LICENSE'
               ELSE top || '/' || (doc_id // 50) || '/' || doc_id || '.txt' END AS path
-  FROM documents),
-lines AS (SELECT path, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS passage FROM files),
+  FROM documents WHERE doc_id IS NOT NULL),
+lines AS (SELECT path, string_split(text, chr(10)) AS l FROM files),
+paragraphs AS (SELECT path, regexp_split_to_array(text, '%s') AS p FROM files WHERE contains(text, chr(10))),
+starts AS (SELECT path, p, unnest(range(1, len(p) + 1)) AS i FROM paragraphs),
+bodies AS (
+  SELECT path, unnest(range(1, len(l) + 1)) * 10 AS passage, unnest(l) AS body FROM lines
+  UNION ALL SELECT path, i * 10 + n, array_to_string(p[i:i + n - 1], chr(10) || chr(10))
+  FROM starts, (SELECT unnest(range(1, %d)) AS n) WHERE i + n - 1 <= len(p)
+    AND contains(array_to_string(p[i:i + n - 1], chr(10) || chr(10)), chr(10))),
 passages AS (
-  SELECT path, passage, body FROM lines WHERE regexp_matches(body, '%s')
+  SELECT path, passage, body FROM bodies WHERE regexp_matches(body, '%s')
   UNION ALL SELECT path, -1, text FROM files WHERE path LIKE '%%/LICENSE'),
-terms AS (SELECT path, passage, unnest(regexp_extract_all(lower(body), '%s')) AS term FROM passages),
-tf AS (SELECT path, passage, term, count(*) AS tf FROM terms GROUP BY ALL),
+terms AS (SELECT path, passage, unnest(regexp_extract_all(body, '%s')) AS term FROM passages),
+tf AS (SELECT path, passage, term, 1 + ln(count(*)) AS tf FROM terms GROUP BY ALL),
 pw AS (SELECT path, passage, term, tf * coalesce(idf, ln(%s) + 1) AS w FROM tf LEFT JOIN idf USING (term)),
 norms AS (SELECT path, passage, sqrt(sum(w * w)) AS norm FROM pw GROUP BY ALL),
 scores AS (
-  SELECT path, name, round(sum(pw.w * unit.w) / any_value(norm), 9) AS score
-  FROM pw JOIN unit USING (term) JOIN norms USING (path, passage) GROUP BY path, passage, name),
+  SELECT path, tid, round(sum(pw.w * unit.w) / any_value(norm), 9) AS score
+  FROM pw JOIN unit USING (term) JOIN norms USING (path, passage) GROUP BY path, passage, tid),
 own AS (
-  SELECT path, arg_min(name, name) FILTER (WHERE score = top) AS licence, any_value(top) AS score
-  FROM (SELECT *, max(score) OVER (PARTITION BY path) AS top FROM scores) WHERE top >= %s GROUP BY path),
+  SELECT path, name AS licence, top AS score
+  FROM (SELECT path, min(tid) FILTER (WHERE score = top) AS tid, any_value(top) AS top
+        FROM (SELECT *, max(score) OVER (PARTITION BY path) AS top FROM scores) WHERE top >= %s GROUP BY path) JOIN templates USING (tid)),
 given AS (SELECT regexp_replace(path, '/[^/]*$', '') AS licence_dir, licence AS dir_licence FROM own WHERE path LIKE '%%/LICENSE'),
 near AS (
   SELECT f.path, arg_max(g.licence_dir, length(g.licence_dir)) AS licence_dir, arg_max(g.dir_licence, length(g.licence_dir)) AS dir_licence
   FROM files f JOIN given g ON starts_with(f.path, g.licence_dir || '/') WHERE f.path NOT IN (SELECT path FROM own) GROUP BY f.path)
 SELECT path, own.licence AS own_licence, own.score AS own_score, coalesce(own.licence, dir_licence) AS licence, licence_dir,
        CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN dir_licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis
-FROM files LEFT JOIN own USING (path) LEFT JOIN near USING (path)
+FROM (SELECT DISTINCT path FROM files) LEFT JOIN own USING (path) LEFT JOIN near USING (path)
 """ % (
-    ", ".join(f"('{n}', '{b}')" for n, b in licences.TEMPLATES.items()), licences.TERM, 1.0 + len(licences.TEMPLATES), licences.CUE,
-    licences.TERM, 1.0 + len(licences.TEMPLATES), licences.THRESHOLD,
+    ", ".join("(%d, '%s', '%s')" % (i, n, b.replace("'", "''")) for i, (n, b) in enumerate(licences.TEMPLATES)), licences.TERM,
+    1.0 + len(licences.TEMPLATES), licences.BLANK.replace("\n", "\\n"), licences.RUN + 1, licences.CUE, licences.TERM, 1.0 + len(licences.TEMPLATES),
+    licences.THRESHOLD,
 )
 
 

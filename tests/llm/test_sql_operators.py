@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from compare import difference
 
-from quern.llm import exact_dedup, licences, mixing, registry
+from quern.llm import exact_dedup, licence_texts, licences, mixing, registry
 from quern.llm.scratch import Scratch
 
 ODD = [(1, None, "a"), (2, "", "a"), (3, "One two", None), (4, "one TWO", "a"), (5, "ÉA", "b"), (6, "Éa", "b"), (7, "w " * 50_000, "b"), (7, "w", "b"), (7, "w w w", "b"), (None, "one two", "c")]
@@ -34,7 +37,7 @@ def test_same_as_sql(spark, name, folder):
     assert difference(registry.QUERIES[name](spark, folder), registry.ORACLES[name], folder) is None
 
 
-@pytest.mark.parametrize("name", ["op5_mixing", "op8_exact_dedup"])
+@pytest.mark.parametrize("name", ["op5_mixing", "op6_licences", "op8_exact_dedup"])
 def test_odd_rows_same_as_sql(spark, odd, name):
     assert difference(registry.QUERIES[name](spark, f"{odd}/some"), registry.ORACLES[name], f"{odd}/some") is None
     assert registry.QUERIES[name](spark, f"{odd}/none").count() == 0
@@ -119,7 +122,7 @@ def test_mixed_rows_repeat_whole_rows(spark):
 
 def test_licences_by_header_file_and_ancestor(spark):
     files = [
-        ("p/LICENSE", licences.TEMPLATES["MIT"]), ("p/a.py", "x = 1"), ("p/q/LICENSE", "This work is licensed under the GNU General Public License, version 3"), ("p/q/r/b.py", None),
+        ("p/LICENSE", dict(licence_texts.STATEMENTS)["MIT"]), ("p/a.py", "x = 1"), ("p/q/LICENSE", "This work is licensed under the GNU General Public License, version 3"), ("p/q/r/b.py", None),
         ("p/q/c.py", "# Licensed under the Apache License, Version 2.0\ny"), ("p/r/d.py", "# a licence of my own"), ("z.py", ""), (None, "x"), ("p/a.py", "x = 1"), ("e/long.py", "word " * 50_000 + "\n# Released under the MIT License"),
     ]
     df = spark.createDataFrame(files, "path string, text string").selectExpr("*", "'x' as licence")
@@ -128,3 +131,30 @@ def test_licences_by_header_file_and_ancestor(spark):
     assert got["p/q/c.py"] == ("Apache-2.0", "own", None) and got["p/r/d.py"][0] == "MIT" and got["z.py"] == (None, "none", None)
     assert got["e/long.py"][:2] == ("MIT", "own") and len(got) == 8
     assert licences.scan(df.limit(0)).count() == 0
+
+
+def _cosine(body, templates):
+    """The best template of a text and its cosine, in plain Python."""
+    words = [Counter(re.findall(licences.TERM, t.lower())) for _, t in templates]
+    held = Counter(w for c in words for w in c)
+    weigh = lambda c: {w: (1 + math.log(n)) * (math.log((1 + len(words)) / (1 + held[w])) + 1) for w, n in c.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    mine, all_of = weigh(Counter(re.findall(licences.TERM, body.lower()))), [weigh(c) for c in words]
+    return max((round(sum(x * v.get(w, 0) for w, x in mine.items()) / norm(mine) / norm(v), 9), -i) for i, v in enumerate(all_of))
+
+
+def test_whole_texts_and_notices_in_comments(spark):
+    texts = licence_texts.TEXTS
+    split = lambda t: re.sub(r"\n(?=[0-9]\.|THIS|The above|Unless|Anyone)", "\n\n", t)
+    files = [(f"f{i}/LICENSE", f"Copyright (c) 2020 Some One\n\n{split(t)}\n") for i, (_, t) in enumerate(texts)]
+    files += [(f"c{i}.c", "int a;\n\n/*\n * " + split(t).replace("\n", "\n * ") + "\n */\n\nint main() { return 0; }\n") for i, (_, t) in enumerate(texts)]
+    appendix = "word " * 3000 + "\n\n" + dict(texts)["GPL-3.0"] + "\n\n" + "other " * 3000
+    files += [("long/COPYING", appendix), ("long/src/deep/x.c", "y"), ("prose.txt", "A licence to print money, and a warrant for it.\n\nNo more.")]
+    got = {r["path"]: r for r in licences.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    for i, (name, _) in enumerate(texts):
+        assert got[f"f{i}/LICENSE"]["own_licence"] == name and got[f"c{i}.c"]["own_licence"] == name, name
+    assert got["long/COPYING"]["own_licence"] == "GPL-3.0" and got["prose.txt"]["basis"] == "none"
+    assert (got["long/src/deep/x.c"]["licence"], got["long/src/deep/x.c"]["licence_dir"]) == ("GPL-3.0", "long")
+    score, at = _cosine(files[0][1], licences.TEMPLATES)  # a header inside can only do better
+    assert got["f0/LICENSE"]["own_score"] >= score > 0.9 and licences.TEMPLATES[-at][0] == texts[0][0]
+    assert all(re.search(licences.CUE, t.lower()) for _, t in licences.TEMPLATES)
