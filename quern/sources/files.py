@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import zipfile
 from collections import Counter
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
+from functools import reduce
+from itertools import islice
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -104,7 +109,133 @@ def html_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("row", F.explode(rows)).withColumn("cells", F.transform(F.regexp_extract_all("row", F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), cell)).drop("row")
 
 
-def write(df: DataFrame, path: str, kind: str) -> None:
-    """A table as csv (quoted where needed), json or parquet files below ``path``."""
+# Fixed values of the spreadsheet format: number formats that are dates, and its first day.
+DATE_FORMATS = [14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47]
+DAY_0 = datetime(1899, 12, 30, tzinfo=UTC)
+
+
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
+
+
+def _joined(element: ElementTree.Element) -> str:
+    """The text of a string item: that of its runs, without phonetic hints."""
+    return "".join(t.text or "" for part in element if _local(part.tag) in ("t", "r") for t in part.iter() if _local(t.tag) == "t")
+
+
+def _dates(z: zipfile.ZipFile) -> list[bool]:
+    """Whether each cell style shows dates."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(x.get("numFmtId")): re.sub(r'"[^"]*"|\[[^]]*\]', "", x.get("formatCode", "")) for x in root.iter() if _local(x.tag) == "numFmt"}
+    styles = next((x for x in root if _local(x.tag) == "cellXfs"), [])
+    return [int(x.get("numFmtId", 0)) in DATE_FORMATS or bool(re.search("[dyhs]", own.get(int(x.get("numFmtId", 0)), ""))) for x in styles]
+
+
+def _cell(cell: ElementTree.Element, strings: list[str], dates: list[bool]) -> str:
+    kind, held = cell.get("t", "n"), {_local(x.tag): x for x in cell}
+    if kind == "inlineStr":
+        return _joined(held["is"]) if "is" in held else ""
+    text = held["v"].text or "" if "v" in held else ""
+    if kind == "s" and text:
+        return strings[int(text)]
+    if kind == "b":
+        return "true" if text == "1" else "false"
+    style = int(cell.get("s", 0))
+    if kind == "n" and text and style < len(dates) and dates[style]:
+        return (DAY_0 + timedelta(milliseconds=round(float(text) * 86_400_000))).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+    return text
+
+
+def _column(reference: str, other: int) -> int:
+    """The number of a column by letters: A is 0."""
+    letters = re.match("[A-Z]*", reference)[0]
+    return reduce(lambda n, c: n * 26 + ord(c) - 64, letters, 0) - 1 if letters else other
+
+
+def _sheet_lines(content: bytes) -> Iterator[str]:
+    """Per sheet its banner and its rows as quoted cells, one row in memory at a time."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names, strings, dates = set(z.namelist()), [], _dates(z)
+        if "xl/sharedStrings.xml" in names:
+            strings = [_joined(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(x.tag) == "si"]
+        targets = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        for sheet in (x for x in book.iter() if _local(x.tag) == "sheet"):
+            target = targets.get(next((v for k, v in sheet.attrib.items() if _local(k) == "id"), None)) or ""
+            target = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            yield f"[Sheet: {sheet.get('name')}]"
+            if target not in names:
+                continue
+            with z.open(target) as stream:
+                for _, row in ElementTree.iterparse(stream):
+                    if _local(row.tag) != "row":
+                        continue
+                    cells: list[str] = []
+                    for cell in (x for x in row if _local(x.tag) == "c"):
+                        at = _column(cell.get("r", ""), len(cells))
+                        cells += [""] * (at - len(cells)) + [_cell(cell, strings, dates)]
+                    if any(cells):
+                        out = io.StringIO()
+                        csv.writer(out, lineterminator="").writerow([re.sub(r"\r?\n", " ", c) for c in cells])
+                        yield out.getvalue()
+                    row.clear()
+
+
+def read_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, raw) of .xlsx files, as ``read_lines`` has them, for ``blocks`` and ``parse_block``.
+
+    A sheet is a banner and its rows that aren't empty, cells parted by commas: formulas as their last result, styled text joined,
+    dates in ISO form. Line ends inside a cell become a space. Files that are no workbook have no rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for file, content in zip(part["path"], part["content"], strict=True):
+                try:
+                    lines = enumerate(_sheet_lines(content), 1)
+                    while some := list(islice(lines, 10_000)):
+                        yield pd.DataFrame({"file": file, "line_no": [k for k, _ in some], "raw": [x for _, x in some]})
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    continue
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    return files.mapInPandas(run, "file string, line_no int, raw string")
+
+
+def _table_lines(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as lines of Markdown or HTML tables, one table for each part."""
+    escapes = {"md": [("\\", "\\\\"), ("|", "\\|"), ("\n", "<br>")], "html": [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")]}[kind]
+    plain = lambda c: reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), escapes, c)
+    safe = lambda t: reduce(lambda x, e: x.replace(*e), escapes, t)
+    cells = [plain(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in df.columns]
+    if kind == "md":
+        row = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+        head, end = ["| " + " | ".join(map(safe, df.columns)) + " |", "|" + "---|" * len(df.columns)], []
+    else:
+        row = F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *cells), F.lit("</td></tr>"))
+        head, end = ["<table>", "<tr><th>" + "</th><th>".join(map(safe, df.columns)) + "</th></tr>"], ["</table>"]
+
+    def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = next(batches, None)
+        if first is not None:
+            yield pd.DataFrame({"value": head})
+            yield first
+            yield from batches
+            if end:
+                yield pd.DataFrame({"value": end})
+
+    return df.select(row.alias("value")).mapInPandas(framed, "value string")
+
+
+def write(df: DataFrame, path: str, kind: str, mode: str = "error") -> None:
+    """A table as csv (quoted where needed), json, parquet, md or html files below ``path``; ``mode`` may be append or overwrite.
+
+    Every md and html file holds one table with its header.
+    """
+    if kind in ("md", "html"):
+        _table_lines(df, kind).write.mode(mode).text(path)
+        return
     options = {"csv": {"header": "true", "quote": '"', "escape": '"'}, "json": {"ignoreNullFields": "false"}, "parquet": {}}[kind]
-    df.write.format(kind).options(**options).save(path)
+    df.write.format(kind).mode(mode).options(**options).save(path)
