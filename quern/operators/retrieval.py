@@ -69,11 +69,15 @@ def metadata_filter(conditions: list[tuple[str, str, object]]) -> Column:
 
 
 def _postings(docs: DataFrame, terms: DataFrame, tokens: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf, length) of the query terms in ``docs`` (id, text), and one row with the number and mean length of documents."""
+    """(term, id, tf, length) of the query terms in ``docs`` (id, text), and one row with the number and mean length of documents.
+
+    Postings lie by document, so that scores of a document's terms add up where they are: pairs of queries and documents aren't shuffled
+    unless the queries are too many to be sent to all tasks.
+    """
     tokened = docs.select("id", tokens(F.col("text")).alias("t")).withColumn("length", F.size("t"))
     whole = tokened.agg(F.count("*").alias("docs"), F.greatest(F.lit(1.0), F.avg("length")).alias("mean_length"))
     found = tokened.select("id", "length", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    return found.groupBy("term", "id", "length").agg(F.count("*").alias("tf")), whole
+    return found.repartition("id").groupBy("term", "id", "length").agg(F.count("*").alias("tf")), whole
 
 
 def _terms(queries: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
@@ -113,7 +117,7 @@ def jaccard(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, jaccard) of the token sets of documents and queries that share a token, by a join on tokens."""
     terms = _terms(queries, rank_tokens)
     asked = terms.groupBy("query_id").agg(F.count("*").alias("asked"))
-    sets = docs.select("id", F.explode(rank_tokens(F.col("text"))).alias("term")).distinct()
+    sets = docs.select("id", F.explode(F.array_distinct(rank_tokens(F.col("text")))).alias("term")).repartition("id").distinct()
     held = sets.groupBy("id").agg(F.count("*").alias("held"))
     shared = sets.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("common")).join(held, "id").join(asked, "query_id")
     return shared.select("query_id", "id", (F.col("common") / (F.col("asked") + F.col("held") - F.col("common"))).alias("jaccard"))
