@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -96,14 +96,36 @@ def sessions(stream: DataFrame, key: str, at: str, gap: str, late: str) -> DataF
     return windowed.agg(F.count("*").alias("n")).select(key, "w.start", "w.end", "n")
 
 
-def upsert_batches(stream: DataFrame, path: str, key: list[str], at: str, checkpoint: str):
-    """A started query that merges each batch into the table at ``path``: the latest row of each key, in versions that replace each other whole."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the whole versions below ``path``, in order."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at, conf = hadoop(path), spark.sparkContext._jsc.hadoopConfiguration()
+    store = at.getFileSystem(conf)
+    found = [x.getPath() for x in store.listStatus(at)] if store.exists(at) else []
+    return sorted(int(x.getName().split("=")[1]) for x in found if x.getName().startswith("version=") and store.exists(hadoop(x, "_SUCCESS")))
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that ``upsert_batches`` keeps at ``path``; None before its first batch."""
+    whole = _versions(spark, path)
+    return spark.read.parquet(f"{path}/version={whole[-1]}") if whole else None
+
+
+def upsert_batches(stream: DataFrame, path: str, key: list[str], at: str, checkpoint: str, keep: int = 2):
+    """A started query that merges each batch into the table at ``path``: the latest row of each key, in versions that replace each other whole.
+
+    A batch goes onto the last whole version, whatever its number, so a table outlives its checkpoint and a batch that is repeated
+    after a failure changes nothing. The last ``keep`` versions stay. One query at a time may write to a table.
+    """
     from quern.operators.relational import upsert
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/version={number - 1}"
-        rows = batch if number == 0 else upsert(spark.read.schema(batch.schema).parquet(before), batch, key, at)
-        upsert(rows.limit(0), rows, key, at).write.mode("overwrite").parquet(f"{path}/version={number}")
+        whole = _versions(spark, path)
+        before = spark.read.schema(batch.schema).parquet(f"{path}/version={whole[-1]}") if whole else batch.limit(0)
+        upsert(before, batch, key, at).write.mode("overwrite").parquet(f"{path}/version={whole[-1] + 1 if whole else 0}")
+        for old in whole[: max(0, len(whole) + 1 - keep)]:
+            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

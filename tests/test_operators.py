@@ -165,6 +165,12 @@ def test_stream_upserts_in_versions(spark, tmp_path):
         counters.upsert_batches(stream, f"{tmp_path}/out", ["k"], "at", f"{tmp_path}/check").awaitTermination(120)
         assert spark.read.parquet(f"{tmp_path}/out/version={k}").count() == 2 + k
     assert {r["v"] for r in spark.read.parquet(f"{tmp_path}/out/version=1").collect()} == {"b", "c", "d"}
+    # a new checkpoint over the table that is there: all rows come again, none is lost, and the oldest version goes
+    spark.createDataFrame([(9, "z", 0)], "k long, v string, at long").write.parquet(f"{tmp_path}/late")
+    late = spark.readStream.schema("k long, v string, at long").parquet(f"{tmp_path}/late")
+    counters.upsert_batches(late, f"{tmp_path}/out", ["k"], "at", f"{tmp_path}/other").awaitTermination(120)
+    assert {r["v"] for r in counters.latest(spark, f"{tmp_path}/out").collect()} == {"b", "c", "d", "z"}
+    assert counters._versions(spark, f"{tmp_path}/out") == [1, 2] and counters.latest(spark, f"{tmp_path}/none") is None
 
 
 def test_traces_with_a_cycle(spark):
