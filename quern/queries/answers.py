@@ -28,8 +28,11 @@ def answer_tables(spark, d):
     return found.select("p_partkey", F.col("m.header")[0].alias("first"), F.explode("m.rows").alias("r")).select("p_partkey", "first", F.col("r")[0].alias("name"), F.col("r")[1].alias("size"))
 
 
-@query(rf"""SELECT p_partkey, {TRIM % "regexp_extract(x, '^\s*[-*+]\s+([^\n\r]+)$', 1)"} AS item
-FROM (SELECT p_partkey, unnest(string_split({ANSWER}, chr(10))) AS x FROM part) WHERE regexp_matches(x, '^\s*[-*+]\s+([^\n\r]+)$')""")
+ITEM = r"'^\s*[-*+]\s+([^\n\r]+)$'"
+
+
+@query(f"""SELECT p_partkey, {TRIM % f"regexp_extract(x, {ITEM}, 1)"} AS item
+FROM (SELECT p_partkey, unnest(string_split({ANSWER}, chr(10))) AS x FROM part) WHERE regexp_matches(x, {ITEM})""")
 def answer_lists(spark, d):
     return _answers(spark, d).select("p_partkey", F.explode(answers.markdown_list(F.col("t"))).alias("item"))
 
