@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, exact_dedup, huffman, language, licences, main_text, mixing, near_dedup, piece_sampling, quality
+from quern.llm import ann, exact_dedup, huffman, language, licences, main_text, mixing, near_dedup, piece_sampling, quality, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,6 +158,37 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, and what it is off by."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """The rounds one after the other: b is the codebooks, a the entry of each part."""
+    steps = []
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""d{k} AS (SELECT p.row, p.part, b.entry, b.cc - 2 * list_inner_product(p.x, b.c) AS apart FROM p JOIN b{k} b USING (part)),
+n{k} AS (SELECT row, part, min(apart) AS apart FROM d{k} GROUP BY ALL),
+a{k} AS (SELECT row, part, min(entry) AS entry, any_value(apart) AS apart FROM d{k} JOIN n{k} USING (row, part, apart) GROUP BY row, part)""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""u{k} AS (SELECT a.part, a.entry, unnest(p.x) AS v, unnest(range(len(p.x))) AS i FROM a{k} a JOIN p USING (row, part)),
+m{k} AS (SELECT part, entry, i, floor(sum(v) / count(*)) AS v FROM u{k} GROUP BY ALL),
+c{k} AS (SELECT part, entry, list(v ORDER BY i) AS c FROM m{k} GROUP BY ALL),
+b{k + 1} AS (SELECT part, entry, coalesce(c{k}.c, b.c) AS c, list_inner_product(coalesce(c{k}.c, b.c), coalesce(c{k}.c, b.c)) AS cc FROM b{k} b LEFT JOIN c{k} USING (part, entry))""")
+    k = vector_codes.ROUNDS
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS row, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS z
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT row, part::BIGINT AS part, z[part * len(z) // 4 + 1:(part + 1) * len(z) // 4] AS x FROM v, range(4) r(part)),
+b0 AS (SELECT part, row AS entry, x AS c, list_inner_product(x, x) AS cc FROM p WHERE row < 256),
+{", ".join(steps)},
+e AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(apart + list_inner_product(x, x))::BIGINT AS error FROM a{k} JOIN p USING (row, part) GROUP BY row),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{k})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN e USING (row), h
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -169,6 +200,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ann": op9_ann,
     "op10_html": op10_html,
+    "op12_codes": op12_codes,
 }
 
-ORACLES = {"op5_mixing": OP5_SQL, "op6_licences": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op5_mixing": OP5_SQL, "op6_licences": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_codes": _codes_sql()}
