@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, exact_dedup, huffman, language, licences, main_text, mixing, near_dedup, piece_sampling, quality, vector_codes
+from quern.llm import ann, exact_dedup, hard_negatives, huffman, language, licences, main_text, mixing, near_dedup, near_vectors, piece_sampling, quality, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,6 +158,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links and the component of every vector at a cosine of 0.9."""
+    return near_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code of every vector, and what it is off by."""
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
@@ -189,6 +194,29 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every anchor and positive."""
+    return hard_negatives.mine(hard_negatives.usable(_table(spark, sf_dir, "embeddings")))
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS z
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, list_inner_product(a.z, v.z)::BIGINT AS score
+  FROM v a JOIN v ON v.vec_id != a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+r AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 5
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -200,7 +228,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ann": op9_ann,
     "op10_html": op10_html,
+    "op11_near_vectors": op11_near_vectors,
     "op12_codes": op12_codes,
+    "op13_negatives": op13_negatives,
 }
 
-ORACLES = {"op5_mixing": OP5_SQL, "op6_licences": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_codes": _codes_sql()}
+ORACLES = {"op5_mixing": OP5_SQL, "op6_licences": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_codes": _codes_sql(), "op13_negatives": OP13_SQL}
