@@ -88,22 +88,22 @@ def reach_of_positives(anchors: DataFrame, rows: DataFrame, between: DataFrame,
 
 
 def routes(groups: DataFrame, between: DataFrame, cells: DataFrame, slack: float) -> DataFrame:
-    """(group, cell, part, least) from ``groups`` (group, cell, radius, reach): the blocks with rows that may serve a group, those at least ``least`` away from their pivot.
+    """(group, cell, first, part, least) from ``groups`` (group, cell, radius, reach): the blocks with rows that may serve a group, those at least ``least`` away from their pivot.
 
     A row of cell j at distance d of its pivot is no nearer to an anchor than |pivot, pivot j| - radius - d.
     """
     pairs = groups.join(F.broadcast(between), "cell")
     least = pairs.groupBy("group", F.col("other").alias("cell")).agg((F.min(F.col("between") - F.col("radius") - F.col("reach")) - slack).alias("least"))
     ways = least.join(F.broadcast(cells), "cell").filter("farthest >= least")
-    return ways.select("group", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "least")
+    return ways.select("group", "cell", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "least")
 
 
 def _side_by_side(anchors: DataFrame, blocks: DataFrame, ways: DataFrame, columns: list[str]) -> DataFrame:
-    """Anchors and the rows that may serve them by (group, cell, part); ``columns`` are of anchors alone, null in a row."""
+    """Anchors and the rows that may serve them by (group, first, part); ``columns`` are of anchors alone, null in a row."""
     nothing = [F.lit(None).cast(anchors.schema[c].dataType).alias(c) for c in columns]
-    given = blocks.join(ways, ["cell", "part"]).filter("apart >= least").select("group", "cell", "part", "vec_id", "label", "x", *nothing)
-    asked = anchors.drop("cell").join(ways, "group").select("group", "cell", "part", "vec_id", "label", "x", *columns)
-    return asked.unionByName(given).groupBy("group", "cell", "part")
+    given = blocks.join(ways, ["cell", "part"]).filter("apart >= least").select("group", "first", "part", "vec_id", "label", "x", *nothing)
+    asked = anchors.join(ways.select("group", "first", "part").distinct(), "group").select("group", "first", "part", "vec_id", "label", "x", *columns)
+    return asked.unionByName(given).groupBy("group", "first", "part")
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -126,14 +126,14 @@ def _products(anchors: pd.Series, rows: pd.Series) -> np.ndarray:
 def _positives(k: int):
     def join(part: pd.DataFrame) -> pd.DataFrame:
         asked, rows = part[part["is_anchor"].notna()], part[part["is_anchor"].isna()]
-        found = [pd.DataFrame({c: [] for c in ("anchor_id", "vec_id", "score")}, dtype="int64")]
+        found = [np.zeros((3, 0), dtype=np.int64)]
         if len(asked) and len(rows):
             score, ids, label = _products(asked["x"], rows["x"]), rows["vec_id"].to_numpy(), rows["label"].to_numpy()
             for i, (anchor, own) in enumerate(zip(asked["vec_id"], asked["label"], strict=True)):
                 fit = np.flatnonzero((label == own) & (ids != anchor))
                 best = fit[_best(score[i, fit], ids[fit], k)]
-                found.append(pd.DataFrame({"anchor_id": anchor, "vec_id": ids[best], "score": score[i, best]}))
-        return pd.concat(found)
+                found.append(np.stack([np.full(len(best), anchor), ids[best], score[i, best]]))
+        return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["anchor_id", "vec_id", "score"])
 
     return join
 
@@ -141,15 +141,17 @@ def _positives(k: int):
 def _negatives(k: int, low: int):
     def join(part: pd.DataFrame) -> pd.DataFrame:
         asked, rows = part[part["scores"].notna()], part[part["scores"].isna()]
-        found = [pd.DataFrame({c: [] for c in ("anchor_id", "positive_id", "negative_id", "positive_score", "negative_score")}, dtype="int64")]
+        found = [np.zeros((5, 0), dtype=np.int64)]
         if len(asked) and len(rows):
             score, ids, label = _products(asked["x"], rows["x"]), rows["vec_id"].to_numpy(), rows["label"].to_numpy()
             for i, (anchor, own, positives, scores) in enumerate(zip(asked["vec_id"], asked["label"], asked["positives"], asked["scores"], strict=True)):
+                near = np.flatnonzero((100 * score[i] >= low * min(scores)) & (score[i] <= max(scores)) & (label != own))
+                mark, name = score[i, near], ids[near]
                 for positive, most in zip(positives, scores, strict=True):
-                    fit = np.flatnonzero((score[i] <= most) & (100 * score[i] >= low * most) & (label != own))
-                    best = fit[_best(score[i, fit], ids[fit], k)]
-                    found.append(pd.DataFrame({"anchor_id": anchor, "positive_id": positive, "negative_id": ids[best], "positive_score": most, "negative_score": score[i, best]}))
-        return pd.concat(found)
+                    fit = np.flatnonzero((mark <= most) & (100 * mark >= low * most))
+                    fit = fit[_best(mark[fit], name[fit], k)]
+                    found.append(np.stack([np.full(len(fit), anchor), np.full(len(fit), positive), name[fit], np.full(len(fit), most), mark[fit]]))
+        return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"])
 
     return join
 
@@ -178,8 +180,10 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
     a, b = (x.ravel() for x in np.indices(apart.shape))
     between = vectors.sparkSession.createDataFrame(pd.DataFrame({"cell": a, "other": b, "between": apart.ravel()}), "cell int, other int, between double")
     anchors, rows, slack = both.filter("anchor"), both.filter("not anchor"), SLACK * float(np.sqrt(longest))
-    # cells are cut into blocks, so that no task has to hold a full one
-    cells = scratch.keep(rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.max("apart").alias("farthest")), "cells")
+    # blocks (first, part) are small cells that follow each other, or parts of a full one, so that no task has to hold it
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("cell")) - F.col("n")
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("farthest"))
+    cells = scratch.keep(cells.select("cell", "farthest", F.floor(before / BLOCK).alias("first"), F.ceil(F.col("n") / BLOCK).alias("parts")), "cells")
     blocks = rows.join(F.broadcast(cells.select("cell", "parts")), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("parts"))).drop("parts")
 
     def joined(asked: DataFrame, bounds: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
