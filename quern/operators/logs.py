@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import mask, severity, timestamp
+from quern.plans.lineage import cut
 
-#: Tree of the template miner: share of equal places that joins a cluster, children that a node may have.
-SIMILAR, CHILDREN = 0.4, 120
+#: Tree of the template miner: share of equal places that joins a cluster, children that a node may have, characters of a line that a report reads.
+SIMILAR, CHILDREN, LONGEST = 0.4, 120, 4000
 #: Line numbers of a range in which lines are numbered before the sums of the ranges are added.
 SPAN = 1 << 14
 #: Ranges of line numbers in which an even sample counts lines.
@@ -28,81 +32,218 @@ def masked_counts(lines: DataFrame) -> DataFrame:
     )
 
 
-def _wild(token: str) -> str:
-    return "<*>" if token.startswith("<") and token.endswith(">") or any(c.isdigit() for c in token) else token
-
-
 class TemplateLeaf:
-    """Templates of lines with as many tokens and the same leading ones: a line joins the cluster with most equal places."""
+    """Templates of lines with as many tokens and the same leading ones: a line joins the one with most equal places, of equals the first.
 
-    def __init__(self):
-        self.templates: list[list[str]] = []
+    Templates are found by their tokens at a place. One that fits a line has at least ``SIMILAR`` of its places, so it is among those
+    that share one of the line's rarest places, all but so many; only these are compared.
+    """
 
-    def add(self, tokens: list[str]) -> int:
-        """The number of the cluster that the tokens join or found."""
-        best, most = -1, -1.0
-        for k, template in enumerate(self.templates):
-            equal = sum(a == b != "<*>" for a, b in zip(template, tokens, strict=True)) / max(len(tokens), 1)
-            if equal > most:
-                best, most = k, equal
-        if best >= 0 and most >= SIMILAR:
-            self.templates[best] = [a if a == b else "<*>" for a, b in zip(self.templates[best], tokens, strict=True)]
-            return best
-        self.templates.append(list(tokens))
-        return len(self.templates) - 1
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.rows = np.zeros((8, 0), dtype=np.int32)
+        self.size = 0
+        self.at: dict[tuple[int, int], list[int]] = {}
+
+    def find(self, tokens: np.ndarray) -> int:
+        """The template that fits the tokens best, -1 if none does."""
+        n = len(tokens)
+        least = int(np.ceil(SIMILAR * n - 1e-9))
+        if self.size <= 32:
+            near = np.arange(self.size)
+        else:
+            held = sorted((self.at.get(place, ()) for place in enumerate(tokens.tolist())), key=len)[: n - least + 1]
+            near = np.array(sorted(set().union(*held)), dtype=np.int64)
+        if not len(near):
+            return -1
+        equal = (self.rows[near] == tokens).sum(axis=1)
+        best = int(equal.argmax())
+        return int(near[best]) if equal[best] >= least else -1
+
+    def encode(self, tokens: list[str]) -> list[int]:
+        """Numbers of the tokens, 0 for a wildcard."""
+        return [0 if t == "<*>" else self.numbers.setdefault(t, len(self.numbers) + 1) for t in tokens]
+
+    def append(self, row: np.ndarray) -> int:
+        if self.size == len(self.rows) or self.rows.shape[1] != len(row):
+            self.rows = np.concatenate([self.rows[: self.size].reshape(self.size, len(row)), np.zeros((max(8, self.size), len(row)), dtype=np.int32)])
+        self.rows[self.size] = row
+        for place in enumerate(row.tolist()):
+            if place[1] > 0:
+                self.at.setdefault(place, []).append(self.size)
+        self.size += 1
+        return self.size - 1
+
+    def _take(self, row: np.ndarray) -> int:
+        k = self.find(np.where(row == 0, -1, row))
+        if k < 0:
+            return self.append(row)
+        self.rows[k][self.rows[k] != row] = 0
+        return k
+
+    def add(self, lines: list[list[str]]) -> list[int]:
+        """The numbers of the templates that the lines, one after the other, join or found.
+
+        While there are few templates, runs of lines that change none of them are told by one comparison; runs are tried at growing lengths.
+        """
+        rows = np.array([self.encode(t) for t in lines], dtype=np.int32).reshape(len(lines), len(lines[0]) if lines else 0)
+        least, out, at, run = int(np.ceil(SIMILAR * rows.shape[1] - 1e-9)), [], 0, 1
+        while at < len(rows):
+            if 0 < self.size <= 32:
+                piece, held = rows[at : at + run], self.rows[: self.size]
+                equal = ((piece[:, None, :] == held[None]) & (piece != 0)[:, None, :]).sum(axis=2)
+                best = equal.argmax(axis=1)
+                same = (equal.max(axis=1) >= least) & ((held[best] == piece) | (held[best] == 0)).all(axis=1)
+                kept = len(piece) if same.all() else int(same.argmin())
+                out += best[:kept].tolist()
+                at, run = at + kept, min(2 * run, 4096) if kept == len(piece) else 1
+                if kept == len(piece):
+                    continue
+            out.append(self._take(rows[at]))
+            at += 1
+        return out
+
+    def templates(self) -> list[str]:
+        words = ["<*>", *self.numbers]
+        return [" ".join(words[i] for i in row) for row in self.rows[: self.size].tolist()]
+
+
+LEAF = ["_log", "_n", "_a", "_b"]
+
+
+def _led(lines: DataFrame) -> DataFrame:
+    """``lines`` (masked) that have tokens, with these, their number, and the first two, ``<*>`` where one has a digit or a mask in it."""
+    told = lines.withColumn("_tokens", F.filter(F.split("masked", r"\s+"), lambda t: t != "")).filter(F.size("_tokens") > 0)
+    lead = lambda k: F.when(F.get("_tokens", k).rlike("<[A-Z]+>|[0-9]"), "<*>").otherwise(F.coalesce(F.get("_tokens", k), F.lit("")))
+    return told.withColumns({"_n": F.size("_tokens"), "_a": lead(F.lit(0)), "_b": lead(F.lit(1))})
+
+
+def _own(heads: DataFrame, node: list[str], token: str) -> DataFrame:
+    """``heads`` with the child of ``node`` that ``token`` leads to in its place.
 
+    A node's children are its first ``CHILDREN`` tokens in the order of their first lines, up to a wildcard; the others go there.
+    """
+    of_token, of_node = Window.partitionBy(*node, token), Window.partitionBy(*node)
+    placed = heads.withColumn("_at", F.min("_first").over(of_token)).withColumn("_r", F.dense_rank().over(of_node.orderBy("_at")))
+    placed = placed.withColumn("_wild", F.min(F.when(F.col(token) == "<*>", F.col("_r"))).over(of_node))
+    own = (F.col("_r") <= CHILDREN) & (F.col("_wild").isNull() | (F.col("_r") <= F.col("_wild")))
+    return placed.withColumn(token, F.when(own, F.col(token)).otherwise("<*>")).drop("_at", "_r", "_wild")
 
-def _leading(masked: pd.Series) -> pd.DataFrame:
-    split = [m.split() for m in masked]
-    return pd.DataFrame({"n": [len(t) for t in split], "a": [_wild(t[0]) if t else "" for t in split], "b": [_wild(t[1]) if len(t) > 1 else "" for t in split]}, columns=["n", "a", "b"])
 
+def _by_leaf(counted: DataFrame) -> DataFrame:
+    """``counted`` (log, masked, first_line and more) with its leaf's columns in place of the leading tokens; the input is read twice, so it should be written."""
+    led = _led(counted).withColumn("_log", F.coalesce(F.concat(F.lit("="), "log"), F.lit("")))
+    # a row for each pair of leading tokens: both levels of the tree are laid out over these alone
+    heads = led.groupBy(*LEAF).agg(F.min(F.struct("first_line", "masked")).alias("_first")).repartition("_log", "_n").withColumns({"_a0": F.col("_a"), "_b0": F.col("_b")})
+    heads = _own(_own(heads, ["_log", "_n"], "_a"), ["_log", "_n", "_a"], "_b").drop("_first")
+    led = led.withColumnsRenamed({"_a": "_a0", "_b": "_b0"})
+    return led.join(heads, ["_log", "_n", "_a0", "_b0"]).drop("_a0", "_b0")
 
-def _child(lines: DataFrame, node: list[str], token: str) -> DataFrame:
-    """``lines`` with the child of ``node`` that ``token`` leads to in its place.
 
-    A node's children are its first ``CHILDREN`` tokens in the order of their first lines, up to a wildcard; the others go there.
-    """
-    order = Window.partitionBy(*node)
-    first = lines.groupBy(*node, token).agg(F.min(F.struct("first_line", "masked")).alias("_at"))
-    own = first.withColumn("_r", F.row_number().over(order.orderBy("_at"))).filter(F.col("_r") <= CHILDREN)
-    own = own.withColumn("_wild", F.min(F.when(F.col(token) == "<*>", F.col("_r"))).over(order)).filter("_wild is null or _r <= _wild")
-    own = own.select(*node, token, F.lit(True).alias("_own"))
-    return lines.join(own, [*node, token], "left").withColumn(token, F.when(F.col("_own"), F.col(token)).otherwise("<*>")).drop("_own")
+def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, tuple, pd.DataFrame]]:
+    """(whether it begins a leaf, the leaf, rows) of batches that are sorted by leaf."""
+    last = None
+    for part in batches:
+        for key, own in part.groupby(LEAF, sort=False):
+            yield key != last, key, own
+            last = key
 
 
-def mine_templates(lines: DataFrame, by: str | None = None) -> DataFrame:
+def mine_templates(lines: DataFrame, by: str | None = None, share_of: Column | None = None) -> DataFrame:
     """Log templates of annotated ``lines`` (per value of ``by`` if given): template, n, first_line, last_line, severity.
 
     Repeats are counted by Spark first; each distinct masked line is seen once, in the order of its first appearance among
-    those of its leaf: the lines of a log with as many tokens and the same two leading ones. Leaves are dealt over tasks.
+    those of its leaf: the lines of a log with as many tokens and the same two leading ones. Leaves are dealt over tasks, where their lines stream past
+    the templates so far. Blank lines have no template. With ``share_of``, a condition on lines, the template's leaf and number in it and the lines that
+    meet the condition (``part``) are told too: a model for ``match_templates``.
     """
     log = F.col(by).cast("string") if by else F.lit("")
+    part = F.count_if(share_of) if share_of is not None else F.lit(0).cast("long")
     counted = lines.withColumn("log", log).groupBy("log", "masked").agg(
-        F.count("*").alias("n"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"),
+        F.count("*").alias("n"), part.alias("part"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"),
         F.min_by("severity", F.when(F.col("severity").isNotNull(), F.col("line_no"))).alias("severity"),
     )
-
-    def mine(part: pd.DataFrame) -> pd.DataFrame:
-        leaf, rows = TemplateLeaf(), []
-        for row in part.sort_values(["first_line", "masked"]).itertuples(index=False):
-            rows.append((row.log, leaf.add(row.masked.split()), row.n, row.first_line, row.last_line, row.severity))
-        out = pd.DataFrame(rows, columns=["log", "k", "n", "first_line", "last_line", "severity"])
-        out["template"] = [" ".join(leaf.templates[k]) for k in out["k"]]
-        return out[["log", "template", "n", "first_line", "last_line", "severity"]]
-
-    leading = F.pandas_udf(_leading, "n int, a string, b string")
-    led = counted.withColumn("_t", leading("masked")).select("*", F.coalesce(F.concat(F.lit("="), "log"), F.lit("")).alias("_log"), F.col("_t.n").alias("_n"), F.col("_t.a").alias("_a"), F.col("_t.b").alias("_b")).drop("_t")
-    led = _child(_child(led, ["_log", "_n"], "_a"), ["_log", "_n", "_a"], "_b")
-    mined = led.groupBy("_log", "_n", "_a", "_b").applyInPandas(mine, "log string, template string, n long, first_line long, last_line long, severity string")
-    told = mined.groupBy("log", "template").agg(
+    dealt = _by_leaf(cut(counted)).repartition(*LEAF).sortWithinPartitions(*LEAF, "first_line", "masked")
+
+    def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaf, key, told = TemplateLeaf(), None, []
+
+        def finished() -> Iterator[pd.DataFrame]:
+            if not told:
+                return
+            rows = pd.concat(told)
+            stated = rows.dropna(subset=["severity"]).drop_duplicates("k").set_index("k")["severity"]
+            out = rows.groupby("k", as_index=False).agg(sums)
+            told_of = {"log": key[0][1:] if key[0] else None, **dict(zip(LEAF, key, strict=True))}
+            yield out.assign(template=leaf.templates(), severity=pd.Series([stated.get(k) for k in out["k"]], dtype=object), **told_of)[columns].astype(dict.fromkeys(texts, object))
+
+        for new, now, own in _leaves(batches):
+            if new:
+                yield from finished()
+                leaf, key, told = TemplateLeaf(), now, []
+            own = own[["n", "part", "first_line", "last_line", "severity"]].assign(k=leaf.add([list(t) for t in own["_tokens"]]))
+            # counts of a template so far are one row, so a leaf of any size takes as much room as its templates
+            rest = own.dropna(subset=["severity"]).drop_duplicates("k").set_index("k")["severity"]
+            own = own.groupby("k", as_index=False).agg(sums)
+            told.append(own.assign(severity=pd.Series([rest.get(k) for k in own["k"]], dtype=object)))
+        yield from finished()
+
+    sums = {"n": "sum", "part": "sum", "first_line": "min", "last_line": "max"}
+    columns, texts = ["log", "template", *sums, "severity", *LEAF, "k"], ["log", "template", "severity", "_log", "_a", "_b"]
+    found = dealt.mapInPandas(mine, "log string, template string, n long, part long, first_line long, last_line long, severity string, _log string, _n int, _a string, _b string, k int")
+    if share_of is not None:
+        return found
+    told = found.groupBy("log", "template").agg(
         F.sum("n").alias("n"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.min_by("severity", F.when(F.col("severity").isNotNull(), F.col("first_line"))).alias("severity")
     )
     return told if by else told.drop("log")
 
 
+def template_model(lines: DataFrame) -> DataFrame:
+    """The templates of a log as a table that other logs are matched against: template, n, first_line, last_line, severity, the leaf (_n, _a, _b) and the number in it (k)."""
+    return mine_templates(lines, share_of=F.lit(False)).drop("log", "part", "_log")
+
+
+def match_templates(model: DataFrame, lines: DataFrame) -> DataFrame:
+    """(masked, n, first_line, template, _n, _a, _b, k): the distinct masked lines of ``lines`` with the template of ``model`` that they fit; null if none does.
+
+    Nothing is learned: a line goes down the model's tree and takes the template with most equal places, if they are enough.
+    """
+    counted = _led(cut(lines.groupBy("masked").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))))
+    first, second = model.select("_n", "_a").distinct(), model.select("_n", "_a", "_b").distinct()
+    down = counted.join(first.withColumn("_in", F.lit(True)), ["_n", "_a"], "left").withColumn("_a", F.when(F.col("_in"), F.col("_a")).otherwise("<*>")).drop("_in")
+    down = down.join(second.withColumn("_in", F.lit(True)), ["_n", "_a", "_b"], "left").withColumn("_b", F.when(F.col("_in"), F.col("_b")).otherwise("<*>")).drop("_in")
+    nothing = {"masked": "string", "n": "long", "first_line": "long"}
+    known = model.select("_n", "_a", "_b", "k", F.split("template", " ").alias("_tokens"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
+    both = known.unionByName(down.select("_n", "_a", "_b", F.lit(None).cast("int").alias("k"), "_tokens", *nothing)).withColumn("_log", F.lit(""))
+    dealt = both.repartition(*LEAF).sortWithinPartitions(*LEAF, F.col("k").asc_nulls_last())
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaf, numbers, words = TemplateLeaf(), [], []
+        for new, _, own in _leaves(batches):
+            if new:
+                leaf, numbers, words = TemplateLeaf(), [], []
+            for k, tokens in zip(own["k"], own["_tokens"], strict=True):
+                if not pd.isna(k):
+                    leaf.append(np.array(leaf.encode(tokens), dtype=np.int32))
+                    numbers.append(int(k))
+                    words.append(" ".join(tokens))
+            asked = own[own["masked"].notna()]
+            if len(asked):
+                hit = [leaf.find(np.array([leaf.numbers.get(w, -1) for w in t], dtype=np.int32)) for t in asked["_tokens"]]
+                told = asked[["masked", "n", "first_line", "_n", "_a", "_b"]].reset_index(drop=True)
+                told["template"] = pd.Series([words[h] if h >= 0 else None for h in hit], dtype=object)
+                yield told.astype({"masked": object, "_a": object, "_b": object}).assign(k=pd.array([numbers[h] if h >= 0 else None for h in hit], dtype="Int32"))
+
+    return dealt.mapInPandas(match, "masked string, n long, first_line long, template string, _n int, _a string, _b string, k int")
+
+
 def mine_report(lines: DataFrame, least: int = 30, most: float = 0.6) -> DataFrame:
-    """The templates of a log with their share of its lines; no rows where it has under ``least`` lines or a template for over ``most`` of them."""
-    mined = mine_templates(lines)
+    """The templates of a log with their share of its lines; no rows where it has under ``least`` lines or a template for over ``most`` of them.
+
+    Lines of over ``LONGEST`` characters are left out, as they are mostly data and not messages.
+    """
+    mined = cut(mine_templates(lines.filter(F.length("raw") <= LONGEST)))
     whole = mined.agg(F.sum("n").alias("_lines"), F.count("*").alias("_templates"))
     fits = (F.col("_lines") >= least) & (F.col("_templates") <= most * F.col("_lines"))
     return mined.crossJoin(F.broadcast(whole)).filter(fits).withColumn("share", F.round(F.col("n") / F.col("_lines"), 4)).drop("_lines", "_templates")
@@ -153,15 +294,25 @@ def read_around(lines: DataFrame, at: str, seconds: int, most: int = 150) -> Dat
     return lines.filter(near).orderBy("line_no").limit(most)
 
 
-def compare(baseline: DataFrame, current: DataFrame, factor: float = 3.0) -> DataFrame:
-    """Masked lines that appeared, vanished or whose share of the log changed at least ``factor``-fold."""
-    both = baseline.select("masked", F.lit(0).alias("side")).unionByName(current.select("masked", F.lit(1).alias("side")))
-    counted = both.groupBy("masked").agg(F.count_if(F.col("side") == 0).alias("before"), F.count_if(F.col("side") == 1).alias("after"))
+def compare(baseline: DataFrame, current: DataFrame, factor: float = 3.0, least: int = 5) -> DataFrame:
+    """Templates that appeared, vanished or whose share of the log changed at least ``factor``-fold: template, before, after, ratio, change.
+
+    Both logs go through one miner, the baseline first, so that an event has the same template in either. No rows where one of them
+    has under ``least`` lines. Lines of over ``LONGEST`` characters are left out.
+    """
+    keep = ["masked", "severity", "line_no"]
+    first = baseline.filter(F.length("raw") <= LONGEST).select(*keep, F.lit(False).alias("_new"))
+    second = current.filter(F.length("raw") <= LONGEST).select(*keep, F.lit(True).alias("_new"))
+    # line numbers of the current log come after all of the baseline's
+    ordered = first.unionByName(second).withColumn("line_no", F.when(F.col("_new"), F.col("line_no") + (1 << 52)).otherwise(F.col("line_no")))
+    mined = mine_templates(ordered, share_of=F.col("_new")).select("template", (F.col("n") - F.col("part")).alias("before"), F.col("part").alias("after"))
+    counted = cut(mined)
     whole = counted.agg(F.sum("before").alias("all_before"), F.sum("after").alias("all_after"))
     ratio = (F.col("after") / F.col("all_after")) / (F.col("before") / F.col("all_before"))
-    told = counted.crossJoin(F.broadcast(whole)).withColumn("ratio", F.when((F.col("before") > 0) & (F.col("after") > 0), F.round(ratio, 4)))
-    change = F.when(F.col("before") == 0, "appeared").when(F.col("after") == 0, "vanished").when(F.col("ratio") >= factor, "more").when(F.col("ratio") <= 1 / factor, "less")
-    return told.withColumn("change", change).filter("change is not null").select("masked", "before", "after", "ratio", "change")
+    told = counted.crossJoin(F.broadcast(whole)).filter((F.col("all_before") >= least) & (F.col("all_after") >= least))
+    told = told.withColumn("_r", F.when((F.col("before") > 0) & (F.col("after") > 0), ratio))
+    change = F.when(F.col("before") == 0, "appeared").when(F.col("after") == 0, "vanished").when(F.col("_r") >= factor, "more").when(F.col("_r") <= 1 / factor, "less")
+    return told.withColumn("change", change).filter("change is not null").select("template", "before", "after", F.round("_r", 4).alias("ratio"), "change")
 
 
 def incident_context(lines: DataFrame, before: int = 3, after: int = 4) -> DataFrame:

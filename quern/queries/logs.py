@@ -4,20 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions.text import MASKS
 from quern.operators import logs as op
 from quern.queries.registry import query
 from quern.sources.tables import table
 
-LINES = """WITH l AS (SELECT event_id + 1 AS line_no, ts, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'INFO' END AS severity,
-'<TIME> ' || CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'INFO' END || ' user=<NUM> ' || event_type || CASE WHEN event_id % 4000 = 17 THEN ' rare path <PATH>' ELSE ' took <NUM> ms' END AS masked FROM events) """
 
-
-def _lines(spark, d):
+def _masks() -> str:
+    """The masks applied in SQL to a raw line."""
+    out = "raw"
+    for pattern, kind in MASKS:
+        out = "regexp_replace(%s, '%s', '%s', 'g')" % (out, pattern.replace("'", "''"), kind)
+    return f"trim({out})"
+
+
+LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'INFO' END"
+AT = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
+LINES = f"""WITH r AS (SELECT event_id + 1 AS line_no, ts, {LEVEL} AS severity,
+{AT} || ' ' || {LEVEL} || ' user=' || user_id || ' ' || event_type || CASE WHEN event_id % 4000 = 17 THEN ' rare path /var/lib/x.log' ELSE ' took ' || round("value", 1) || ' ms' END AS raw FROM events),
+l AS (SELECT line_no, ts, severity, {_masks()} AS masked FROM r) """
+#: A log whose events begin with their type, so that it has several templates.
+EVENTS = f"""WITH r AS (SELECT event_id + 1 AS line_no, {LEVEL} AS severity, event_type,
+{AT} || ' ' || event_type || ' ' || {LEVEL} || ' from 10.0.' || user_id % 250 || '.1 user=' || user_id || CASE WHEN event_id % 4000 = 17 THEN ' rare path /var/lib/' || event_id || '/x.log' ELSE ' took ' || round("value", 1) || ' ms' END AS raw FROM events),
+l AS (SELECT line_no, severity, event_type, {_masks()} AS masked FROM r) """
+#: Lines of a leaf of these logs are alike enough to be one template: the places where all agree. w is the lines with their tokens and leaf.
+MINED = """, s AS (SELECT *, string_split(masked, ' ') AS t FROM l), w AS (SELECT *, len(t) AS size, CASE WHEN regexp_matches(t[1], '<[A-Z]+>|[0-9]') THEN '<*>' ELSE t[1] END AS a, CASE WHEN regexp_matches(t[2], '<[A-Z]+>|[0-9]') THEN '<*>' ELSE t[2] END AS b FROM s),
+p AS (SELECT size, a, b, k, CASE WHEN count(DISTINCT word) = 1 THEN min(word) ELSE '<*>' END AS word FROM (SELECT size, a, b, unnest(t) AS word, unnest(range(len(t))) AS k FROM w) GROUP BY ALL),
+t AS (SELECT size, a, b, string_agg(word, ' ' ORDER BY k) AS template FROM p GROUP BY ALL),
+m AS (SELECT template, count(*) AS n, min(line_no) AS first_line, max(line_no) AS last_line, arg_min(severity, line_no) AS severity FROM w JOIN t USING (size, a, b) GROUP BY template)"""
+
+
+def _written(spark, d, first, second):
+    """A log written from events; ``first`` and ``second`` make the beginning and the end of an event from level and place."""
     e = table(spark, d, "events")
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "WARN").otherwise("INFO")
-    tail = F.when(F.col("event_id") % 4000 == 17, F.lit(" rare path /var/lib/x.log")).otherwise(F.concat(F.lit(" took "), F.round("value", 1).cast("string"), F.lit(" ms")))
-    raw = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" "), level, F.lit(" user="), F.col("user_id"), F.lit(" "), F.col("event_type"), tail)
-    return op.annotate(e.select((F.col("event_id") + 1).alias("line_no"), raw.alias("raw")))
+    took = F.concat(F.lit(" took "), F.round("value", 1).cast("string"), F.lit(" ms"))
+    raw = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" "), first(level), F.when(F.col("event_id") % 4000 == 17, second).otherwise(took))
+    return op.annotate(e.select((F.col("event_id") + 1).alias("line_no"), "event_type", raw.alias("raw")))
+
+
+def _lines(spark, d):
+    return _written(spark, d, lambda level: F.concat(level, F.lit(" user="), F.col("user_id"), F.lit(" "), F.col("event_type")), F.lit(" rare path /var/lib/x.log"))
+
+
+def _events(spark, d):
+    said = lambda level: F.concat(F.col("event_type"), F.lit(" "), level, F.lit(" from 10.0."), F.col("user_id") % 250, F.lit(".1 user="), F.col("user_id"))
+    return _written(spark, d, said, F.concat(F.lit(" rare path /var/lib/"), F.col("event_id"), F.lit("/x.log")))
 
 
 @query(LINES + "SELECT masked, count(*) AS n, min(line_no) AS first_line, max(line_no) AS last_line, min(severity) AS severity FROM l GROUP BY masked")
@@ -30,26 +62,28 @@ def severity_mix(spark, d):
     return op.severity_mix(_lines(spark, d))
 
 
-@query(LINES + """, c AS (SELECT masked, count(*) AS n, min(line_no) AS first_line, max(line_no) AS last_line, min(severity) AS severity FROM l GROUP BY masked)
-SELECT masked, n, first_line, last_line, severity FROM c WHERE n <= greatest(2, floor((SELECT sum(n) FROM c) * 0.0005)) ORDER BY n, first_line LIMIT 12""")
+@query(EVENTS + MINED + " SELECT * FROM m WHERE n <= greatest(2, floor((SELECT sum(n) FROM m) * 0.0005)) ORDER BY n, first_line LIMIT 12")
 def rare_events(spark, d):
-    return op.rare_events(op.masked_counts(_lines(spark, d)).select("masked", "n", "first_line", "last_line", "severity"))
-
-
-MINED = """, w AS (SELECT severity, line_no, unnest(string_split(masked, ' ')) AS word, unnest(range(len(string_split(masked, ' ')))) AS k FROM l),
-p AS (SELECT severity, k, CASE WHEN count(DISTINCT word) = 1 THEN min(word) ELSE '<*>' END AS word FROM w GROUP BY ALL), t AS (SELECT severity, string_agg(word, ' ' ORDER BY k) AS template FROM p GROUP BY severity),
-m AS (SELECT template, count(*) AS n, min(line_no) AS first_line, max(line_no) AS last_line, severity FROM l JOIN t USING (severity) GROUP BY ALL)"""
+    return op.rare_events(op.mine_templates(_events(spark, d)))
 
 
-# every leaf of these lines is one template: all words of a level's lines have the same places
 @query(LINES + MINED + " SELECT * FROM m")
 def template_counts(spark, d):
     return op.mine_templates(_lines(spark, d))
 
 
-@query(LINES + """SELECT masked, count(*) AS n, min(line_no) AS first_line, max(line_no) AS last_line, min(severity) AS severity FROM l WHERE severity = 'ERROR' GROUP BY masked ORDER BY n DESC, first_line LIMIT 10""")
+@query(EVENTS + MINED + " SELECT * FROM m WHERE severity = 'ERROR' ORDER BY n DESC, first_line LIMIT 10")
 def error_templates(spark, d):
-    return op.error_templates(op.masked_counts(_lines(spark, d)).select("masked", "n", "first_line", "last_line", "severity"))
+    return op.error_templates(op.mine_templates(_events(spark, d)))
+
+
+@query(EVENTS + MINED.replace("FROM l)", "FROM l WHERE line_no % 2 = 0 AND event_type != 'click')") + """, x AS (SELECT *, string_split(masked, ' ') AS u FROM l WHERE line_no % 2 = 1)
+SELECT masked, count(*) AS n, min(line_no) AS first_line, any_value(template) AS template FROM x LEFT JOIN t ON size = len(u) AND b = u[2] GROUP BY masked""")
+def matched_templates(spark, d):
+    """The odd lines of a log against the templates of its even ones, of which none is a click."""
+    lines = _events(spark, d)
+    model = op.template_model(lines.filter((F.col("line_no") % 2 == 0) & (F.col("event_type") != "click")))
+    return op.match_templates(model, lines.filter(F.col("line_no") % 2 == 1)).select("masked", "n", "first_line", "template")
 
 
 @query(LINES + """, b AS (SELECT date_trunc('hour', date_trunc('second', ts)) AS "at", count(*) AS n, count(*) FILTER (WHERE severity = 'ERROR') AS errors FROM l GROUP BY "at"),
@@ -70,15 +104,16 @@ def read_rows_around(spark, d):
     return op.read_around(_lines(spark, d), "2024-01-15 12:00:00", 1800).select("line_no", "severity")
 
 
-@query(LINES + """, k AS (SELECT masked, count(*) FILTER (WHERE line_no % 3 != 0) AS before, count(*) FILTER (WHERE line_no % 3 = 0) AS after FROM l WHERE NOT (line_no % 3 = 0 AND contains(masked, 'click') AND line_no % 5 != 0) GROUP BY masked),
-r AS (SELECT *, CASE WHEN before > 0 AND after > 0 THEN round((after / sum(after) OVER ()) / (before / sum(before) OVER ()), 4) END AS ratio FROM k)
-SELECT masked, before, after, ratio, CASE WHEN before = 0 THEN 'appeared' WHEN after = 0 THEN 'vanished' WHEN ratio >= 3 THEN 'more' ELSE 'less' END AS change FROM r
+@query(EVENTS.replace("FROM r)", "FROM r WHERE CASE WHEN line_no % 3 = 0 THEN event_type != 'signup' AND NOT (event_type = 'click' AND line_no % 5 != 0) ELSE event_type != 'purchase' END)") + MINED + """,
+k AS (SELECT template, count(*) FILTER (WHERE line_no % 3 != 0) AS before, count(*) FILTER (WHERE line_no % 3 = 0) AS after FROM w JOIN t USING (size, a, b) GROUP BY template),
+r2 AS (SELECT *, CASE WHEN before > 0 AND after > 0 THEN (after / sum(after) OVER ()) / (before / sum(before) OVER ()) END AS ratio FROM k)
+SELECT template, before, after, round(ratio, 4) AS ratio, CASE WHEN before = 0 THEN 'appeared' WHEN after = 0 THEN 'vanished' WHEN ratio >= 3 THEN 'more' ELSE 'less' END AS change FROM r2
 WHERE before = 0 OR after = 0 OR ratio >= 3 OR ratio <= 1 / 3.0""")
 def compare_logs(spark, d):
-    lines = _lines(spark, d)
-    third = F.col("line_no") % 3 == 0
-    current = lines.filter(third & ~(F.col("masked").contains("click") & (F.col("line_no") % 5 != 0)))
-    return op.compare(lines.filter(~third), current)
+    """Every third line makes the current log, without sign-ups and with a fifth of the clicks; purchases are missing from the baseline."""
+    lines, third, kind = _events(spark, d), F.col("line_no") % 3 == 0, F.col("event_type")
+    current = lines.filter(third & (kind != "signup") & ~((kind == "click") & (F.col("line_no") % 5 != 0)))
+    return op.compare(lines.filter(~third & (kind != "purchase")), current)
 
 
 @query(LINES + """, e AS (SELECT DISTINCT unnest(generate_series(line_no - 3, line_no + 4)) AS line_no FROM l WHERE severity IN ('ERROR', 'FATAL')),
@@ -93,6 +128,6 @@ def even_sample(spark, d):
     return op.sampled(table(spark, d, "events").select((F.col("event_id") + 1).alias("line_no")), 50)
 
 
-@query(LINES + MINED + " SELECT template, n, first_line, last_line, severity, round(n / sum(n) OVER (), 4) AS share FROM m")
+@query(EVENTS + MINED + " SELECT template, n, first_line, last_line, severity, round(n / sum(n) OVER (), 4) AS share FROM m")
 def mine_report(spark, d):
-    return op.mine_report(_lines(spark, d))
+    return op.mine_report(_events(spark, d))

@@ -142,7 +142,7 @@ def mined(lines: list[str]) -> Counter:
         tokens = line.split()
         node = root.setdefault(len(tokens), {})
         for t in tokens[:2]:
-            key = logs._wild(t)
+            key = "<*>" if re.search(r"<[A-Z]+>|[0-9]", t) else t
             if key not in node:
                 key = "<*>" if "<*>" in node or len(node) >= logs.CHILDREN else key
             node = node.setdefault(key, {})
