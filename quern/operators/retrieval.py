@@ -31,11 +31,15 @@ def top_by(df: DataFrame, by: str | None, k: int, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def similarities(vectors: DataFrame, query: list[float], id_column: str = "vec_id") -> DataFrame:
+    """(id, similarity to 6 places) of every row to one query vector."""
+    return vectors.select(id_column, F.round(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])), 6).alias("similarity"))
+
+
 def similar(vectors: DataFrame, query: list[float], threshold: float, k: int, inclusive: bool = False, where: Column | None = None, id_column: str = "vec_id") -> DataFrame:
     """The ``k`` rows most similar to one query vector: id, similarity (to 6 places), above the threshold, or from it on."""
     rows = vectors if where is None else vectors.filter(where)
-    sim = F.round(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])), 6)
-    scored = rows.select(id_column, sim.alias("similarity"))
+    scored = similarities(rows, query, id_column)
     kept = scored.filter(F.col("similarity") >= threshold if inclusive else F.col("similarity") > threshold)
     return kept.orderBy(F.desc("similarity"), id_column).limit(k)
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.plans.lineage import cut
 
+#: Edges of a trace up to which one task walks it.
+TOGETHER = 100_000
+
 
 def rollup(steps: DataFrame) -> DataFrame:
     """By trace: steps, errors, success rate in percent, duration, tokens and cost."""
@@ -87,3 +91,106 @@ def cyclic_steps(steps: DataFrame) -> DataFrame:
     steps = cut(steps.select("trace_id", "step_id", "parent_id"))
     reached = _climbed(steps).select("trace_id", "step_id")
     return steps.select("trace_id", "step_id").join(reached, ["trace_id", "step_id"], "left_anti")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(trace_id, member, cycle, size) of steps that lie on cycles of ``edges`` (trace_id, source, target), where a step may have several sources.
+
+    Steps of which each leads to each other are one cycle, named by its smallest member; a step that leads to itself is one of size 1. Null ends are
+    left out. A trace of up to ``TOGETHER`` edges is walked by one task, larger ones are labelled in rounds over the table.
+    """
+    edges = cut(edges.select("trace_id", "source", "target").filter("source is not null and target is not null").distinct())
+    size = edges.groupBy("trace_id").agg((F.count("*") <= TOGETHER).alias("_small"))
+    sized = edges.join(size, "trace_id")
+    kind = edges.schema["source"].dataType.simpleString()
+    schema = f"trace_id {edges.schema['trace_id'].dataType.simpleString()}, member {kind}, cycle {kind}"
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        found = [(part["trace_id"].iloc[0], m, min(c)) for c in strong_components(part["source"].tolist(), part["target"].tolist()) for m in c]
+        return pd.DataFrame(found, columns=["trace_id", "member", "cycle"]) if found else part.iloc[:0].set_axis(["trace_id", "member", "cycle"], axis=1)
+
+    found = sized.filter("_small").drop("_small").groupBy("trace_id").applyInPandas(walk, schema)
+    large = sized.filter("not _small").drop("_small")
+    if not size.filter("not _small").isEmpty():
+        found = found.unionByName(_labelled(large))
+    found = cut(found)
+    return found.join(found.groupBy("trace_id", "cycle").agg(F.count("*").alias("size")), ["trace_id", "cycle"]).select("trace_id", "member", "cycle", "size")
+
+
+def strong_components(sources: list, targets: list) -> list[list]:
+    """The sets of steps of which each leads to each other, and steps that lead to themselves: two walks, the second against the edges in the reverse order of leaving."""
+    ahead, behind = {}, {}
+    for a, b in zip(sources, targets, strict=True):
+        ahead.setdefault(a, []).append(b)
+        behind.setdefault(b, []).append(a)
+
+    def walked(start, ways, seen) -> list:
+        left, stack = [], [(start, iter(ways.get(start, ())))]
+        seen.add(start)
+        while stack:
+            step = next((t for t in stack[-1][1] if t not in seen), None)
+            if step is None:
+                left.append(stack.pop()[0])
+            else:
+                seen.add(step)
+                stack.append((step, iter(ways.get(step, ()))))
+        return left
+
+    seen, order, loops = set(), [], {a for a, b in zip(sources, targets, strict=True) if a == b}
+    for step in ahead:
+        if step not in seen:
+            order += walked(step, ahead, seen)
+    seen, out = set(), []
+    for step in reversed(order):
+        if step not in seen:
+            out.append(walked(step, behind, seen))
+    return [c for c in out if len(c) > 1 or c[0] in loops]
+
+
+def _labelled(edges: DataFrame) -> DataFrame:
+    """(trace_id, member, cycle) as ``cycles`` tells them, by rounds.
+
+    Steps that nothing leads to, or that lead nowhere, are trimmed away. Of what is left each step gets the smallest step that leads to it and the smallest
+    that it leads to; where both are the same step they and it are of one cycle, and edges between steps with other labels go.
+    """
+    left, done = cut(edges.filter("source != target")), edges.filter("source = target").select("trace_id", F.col("source").alias("member"), F.col("source").alias("cycle"))
+    while not (left := _trimmed(left)).isEmpty():
+        down, up = _smallest(left, "source", "target"), _smallest(left, "target", "source")
+        labels = cut(down.withColumnRenamed("label", "from").join(up.withColumnRenamed("label", "to"), ["trace_id", "step"]))
+        whole = labels.filter(F.col("from") == F.col("to")).select("trace_id", F.col("step").alias("member"), F.col("from").alias("cycle"))
+        # a step alone with its label lies between cycles and on none
+        several = whole.groupBy("trace_id", "cycle").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+        done = done.unionByName(whole.join(several, ["trace_id", "cycle"], "left_semi").select("trace_id", "member", "cycle"))
+        rest = labels.filter(F.col("from") != F.col("to"))
+        side = lambda end, rest=rest: rest.select("trace_id", F.col("step").alias(end), F.struct("from", "to").alias(f"_{end}"))
+        left = cut(left.join(side("source"), ["trace_id", "source"]).join(side("target"), ["trace_id", "target"]).filter("_source = _target").select("trace_id", "source", "target"))
+    return done.groupBy("trace_id", "member").agg(F.min("cycle").alias("cycle"))
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """``edges`` without those that no cycle can hold: from steps that nothing leads to, and to steps that lead nowhere, again and again."""
+    n = edges.count()
+    while n:
+        into, out = edges.select("trace_id", F.col("target").alias("source")).distinct(), edges.select("trace_id", F.col("source").alias("target")).distinct()
+        edges = cut(edges.join(into, ["trace_id", "source"], "left_semi").join(out, ["trace_id", "target"], "left_semi"))
+        if (now := edges.count()) == n:
+            break
+        n = now
+    return edges
+
+
+def _smallest(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(trace_id, step, label): the smallest step from which ``step`` is reached along ``edges``, itself included.
+
+    Besides its neighbours' labels a step takes the label of the step that its own label names, so that long ways shorten.
+    """
+    steps = edges.select("trace_id", F.col(source).alias("step")).union(edges.select("trace_id", target)).distinct()
+    labels = cut(steps.withColumn("label", F.col("step")))
+    while True:
+        told = edges.join(labels.withColumnRenamed("step", source), ["trace_id", source]).select("trace_id", F.col(target).alias("step"), "label")
+        named = labels.select("trace_id", "step", F.col("label").alias("via")).join(labels.select("trace_id", F.col("step").alias("via"), "label"), ["trace_id", "via"]).select("trace_id", "step", "label")
+        after = labels.unionByName(told).unionByName(named).groupBy("trace_id", "step").agg(F.min("label").alias("label"))
+        after = cut(after.join(labels.withColumnRenamed("label", "before"), ["trace_id", "step"]))
+        labels = after.select("trace_id", "step", "label")
+        if after.filter("label != before").isEmpty():
+            return labels

@@ -215,7 +215,7 @@ def file_by_name(spark, d):
 
 @query(f"""SELECT vec_id, round(CASE WHEN vec_id % 4 = 0 THEN greatest(0, similarity - 0.05) ELSE similarity END, 6) AS score FROM ({NEAR}) WHERE vec_id % 3 = 0 OR similarity >= 0.3""")
 def gated_and_penalised(spark, d):
-    near = op.similar(table(spark, d, "embeddings"), _vector(spark, d), -2.0, 1_000_000).withColumnRenamed("similarity", "score")
+    near = op.similarities(table(spark, d, "embeddings"), _vector(spark, d)).withColumnRenamed("similarity", "score")
     scored = near.withColumns({"rerank": F.col("score"), "calibrated": F.col("vec_id") % 3 != 0, "summary": F.col("vec_id") % 4 == 0})
     return op.penalise_summaries(op.relevance_gate(scored)).select("vec_id", F.round("score", 6).alias("score"))
 

@@ -60,9 +60,10 @@ def parallel_gain(spark, d):
     return op.parallel_gain(_steps(spark, d))
 
 
-@query(STEPS + """SELECT trace_id, step_id, CASE WHEN step_id = 0 THEN 0 ELSE (step_id + 1) // 2 END::INT AS depth FROM s""")
+@query(STEPS.replace("WITH l", "WITH RECURSIVE l", 1) + """, c AS (SELECT trace_id, step_id, 0 AS depth, lpad(step_id::VARCHAR, 12, '0') AS path FROM s WHERE parent_id IS NULL
+UNION ALL SELECT s.trace_id, s.step_id, c.depth + 1, c.path || '/' || lpad(s.step_id::VARCHAR, 12, '0') FROM c JOIN s ON s.trace_id = c.trace_id AND s.parent_id = c.step_id) SELECT * FROM c""")
 def trace_timeline(spark, d):
-    return op.timeline(_steps(spark, d)).select("trace_id", "step_id", "depth")
+    return op.timeline(_steps(spark, d))
 
 
 @query("SELECT event_id // 10 AS trace_id, event_id AS step_id FROM events WHERE event_id % 10 IN (7, 8, 9)")
@@ -70,3 +71,17 @@ def cyclic_steps(spark, d):
     k, e = F.col("event_id") % 10, F.col("event_id")
     parent = F.when(k == 0, None).when(k == 7, e + 2).otherwise(e - 1)
     return op.cyclic_steps(table(spark, d, "events").select(F.floor(e / 10).alias("trace_id"), e.alias("step_id"), parent.alias("parent_id")))
+
+
+EDGES = """WITH RECURSIVE e AS (SELECT DISTINCT event_id // 20 AS trace_id, event_id AS source, event_id // 20 * 20 + (event_id * 7 + k * (event_id % 5) + user_id) % 20 AS target FROM events, (VALUES (1), (3)) v(k) WHERE event_id % 20 < 12 OR k = 1)"""
+
+
+@query(EDGES + """, r AS (SELECT trace_id, source, target FROM e UNION SELECT r.trace_id, r.source, e.target FROM r JOIN e ON e.trace_id = r.trace_id AND e.source = r.target),
+m AS (SELECT a.trace_id, a.source AS member, min(a.target) AS cycle FROM r a JOIN r b ON a.trace_id = b.trace_id AND a.source = b.target AND a.target = b.source GROUP BY ALL)
+SELECT *, count(*) OVER (PARTITION BY trace_id, cycle) AS size FROM m""")
+def step_cycles(spark, d):
+    """Steps of twenty events, each with one or two that follow it."""
+    e, k = F.col("event_id"), F.explode(F.array(F.lit(1), F.lit(3))).alias("k")
+    rows = table(spark, d, "events").select("event_id", "user_id", k).filter((e % 20 < 12) | (F.col("k") == 1))
+    trace = F.floor(e / 20)
+    return op.cycles(rows.select(trace.alias("trace_id"), e.alias("source"), (trace * 20 + (e * 7 + F.col("k") * (e % 5) + F.col("user_id")) % 20).alias("target")))
