@@ -33,10 +33,14 @@ WALLS = frozenset("html body article main section div table ul ol dl td th block
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|side-?bar|comments?|commentlist|respond|replies|disqus|shar(?:e|ing)|social|related|"
-    r"recommend\w*|newsletter|subscri\w*|popup|modal|breadcrumbs?|pag(?:ination|er)|menu|nav|navbar|navigation|footer|header|masthead|widget|toolbar|login|signup|skip)(?=$|[\s_-])"
+    r"recommend\w*|newsletter|subscri\w*|popup|modal|breadcrumbs?|pag(?:ination|er)|menu|nav|navbar|navigation|footer|header|masthead|widget|toolbar|login|signup|skip|copyright|by-?line)(?=$|[\s_-])"
 )
 PROSE = re.compile(r"(?:^|[\s_-])(?:article|content|main|body|post|entry|story|text|page)(?=$|[\s_-])")
-ALWAYS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|cookies?|side-?bar|comments?|commentlist|disqus|promo\w*)(?=$|[\s_-])")
+ALWAYS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|cookies?|side-?bar|comments?|commentlist|disqus|promo\w*|copyright|by-?line)(?=$|[\s_-])")
+HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])")
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)(?!\s*=\s*["']?until-found)|\baria-hidden\s*=\s*["']?true|\bstyle\s*=\s*(?:"[^"]*|'[^']*|\S*?)\b(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+#: Of a header inside an article its titles stay.
+TITLES = frozenset("h1 h2 h3".split())
 PRIOR = {"article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "form": -3, "th": -5}
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/a-zA-Z][^>]*\Z""", re.S)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -47,6 +51,8 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.name, self.dropped, self.prior = [-1], ["#root"], [False], [0]
+        #: Whether an article holds the element; in an article's header, whether what is around that is dropped.
+        self.article, self.around = [False], [None]
         self.runs: list[tuple[int, int, str]] = []
         self._block, self._open = 0, [0]
         at = 0
@@ -86,9 +92,17 @@ class Page:
         furniture = name not in ("html", "body", "article", "main") and bool(
             named.get("role") in ROLES or FURNITURE.search(words) and (ALWAYS.search(words) or not PROSE.search(words))
         )
+        around, own = self.around[up], name in DROPPED or furniture or bool(attributes and HIDDEN.search(attributes))
+        dropped = self.dropped[up] or own
+        if around is not None and name in TITLES:
+            around, dropped = None, around or own
+        elif around is None and self.article[up] and (name == "header" or HEADER.search(words)):
+            around, dropped = self.dropped[up], True
         self.parent.append(up)
         self.name.append(name)
-        self.dropped.append(self.dropped[up] or name in DROPPED or furniture)
+        self.article.append(self.article[up] or name in ("article", "main"))
+        self.around.append(around)
+        self.dropped.append(dropped)
         self.prior.append(PRIOR.get(name, 0) + 25 * bool(PROSE.search(words)) + 25 * (named.get("role") == "main"))
         self._open.append(len(self.name) - 1)
 
@@ -159,7 +173,7 @@ class Page:
         kept = [best]
         for node in range(1, n):
             if node != best and self.parent[node] == self.parent[best] and best and not self.dropped[node] and chars[node]:
-                like = score[node] >= max(10.0, 0.2 * score[best])
+                like = score[node] >= 0.2 * score[best] > 0
                 prose = self.name[node] == "p" and density[node] < 0.25 and chars[node] > 80
                 if (like and density[node] < 0.5) or prose:
                     kept.append(node)
@@ -171,12 +185,12 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
-    keep = [False] * len(page.name)
+    inside = [False] * len(page.name)
     for node in page.container():
-        keep[node] = True
-    for node in range(1, len(keep)):
-        keep[node] = (keep[node] or keep[page.parent[node]]) and not page.dropped[node]
-    return page.blocks(keep)
+        inside[node] = True
+    for node in range(1, len(inside)):
+        inside[node] = inside[node] or inside[page.parent[node]]
+    return page.blocks([a and not b for a, b in zip(inside, page.dropped, strict=True)])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -18,6 +18,12 @@ PAGES = {
     "comments": (f"<div class=content><p>{LONG}</p></div><div class=comments><p>{LONG}</p></div>", LONG),
     "links alone": (f"<div><p>{LONG}</p></div><div><ul><li><a href=a>{LONG}</a></ul></div>", LONG),
     "table": (f"<article><p>{LONG}</p><table><tr><td>a<td>b<tr><td>c</table></article>", f"{LONG} a b c"),
+    "two columns": (f"<div class=col><p>{LONG}</p></div><div class=col><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+    "own title": (f"<header><h1>Site</h1></header><article><header><h1>The title</h1><p>By A. Writer</p></header><p>{LONG}</p></article>", f"The title {LONG}"),
+    "post header": (f"<article><div class=post-header><h2>The title</h2><span>May 5</span></div><p>{LONG}</p></article>", f"The title {LONG}"),
+    "hidden": (f"<article><p hidden>no</p><p style='color:red; display: none'>no</p><p aria-hidden=true>no</p><p class=hidden-gem>yes</p><p>{LONG}</p></article>", f"yes {LONG}"),
+    "copyright": (f"<article><p>{LONG}</p><div class=copyright>(c) 2020</div><p class=byline>By B.</p></article>", LONG),
+    "hidden title": (f"<article><header><h1 hidden>no</h1><h2>yes</h2></header><p>{LONG}</p></article>", f"yes {LONG}"),
     "menu alone": ("<nav><a href=/>Home</a></nav>", ""),
 }
 
