@@ -318,13 +318,17 @@ def compare(baseline: DataFrame, current: DataFrame, factor: float = 3.0, least:
 def incident_context(lines: DataFrame, before: int = 3, after: int = 4) -> DataFrame:
     """Lines around each ERROR or FATAL line, overlapping neighbourhoods merged: cluster, line_no, incident.
 
-    The neighbourhoods are joined to the lines by line number. Clusters are numbered in two steps: starts are counted
-    inside ranges of ``SPAN`` line numbers, then those of the ranges before are added; a range that goes on where the
-    one before it ends has no start at its first line.
+    A line's level is told once. Lines are dealt to ranges of ``SPAN`` line numbers, incidents also to the range that their neighbourhood reaches into, and
+    each line looks for incidents around it inside its range. Clusters are numbered in two steps: starts are counted inside the ranges, then those of
+    the ranges before are added; a range that goes on where the one before it ends has no start at its first line.
     """
-    bad = lines.filter(F.col("severity").isin("ERROR", "FATAL")).select(F.explode(F.sequence(F.col("line_no") - before, F.col("line_no") + after)).alias("line_no"))
-    near = lines.join(bad.distinct(), "line_no").select("line_no", F.coalesce(F.col("severity").isin("ERROR", "FATAL"), F.lit(False)).alias("incident"))
-    near = near.withColumn("range", F.floor(F.col("line_no") / SPAN))
+    of = lambda c: F.floor(c / SPAN)
+    marked = lines.select("line_no", F.coalesce(F.col("severity").isin("ERROR", "FATAL"), F.lit(False)).alias("incident"))
+    home = of(F.col("line_no"))
+    reached = F.when(F.col("incident"), F.array_distinct(F.array(home, of(F.col("line_no") - before), of(F.col("line_no") + after)))).otherwise(F.array(home))
+    dealt = marked.select("line_no", "incident", F.explode(reached).alias("range"))
+    around = F.max("incident").over(Window.partitionBy("range").orderBy("line_no").rangeBetween(-after, before))
+    near = dealt.withColumn("_near", around).filter((home == F.col("range")) & F.col("_near")).drop("_near")
     inside, ranges = Window.partitionBy("range").orderBy("line_no"), Window.orderBy("range")
     starts = near.withColumn("new", F.coalesce(F.col("line_no") - F.lag("line_no").over(inside) > 1, F.lit(True)).cast("int"))
     local = starts.withColumn("local", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))

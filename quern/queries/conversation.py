@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import conversation as op
+from quern.operators import prompt
 from quern.queries.registry import query
 from quern.sources.tables import table
 
@@ -94,3 +95,28 @@ SELECT conv_id, turn, CASE WHEN NOT trimmed THEN tokens::BIGINT END AS tokens, t
 def prompt_fit(spark, d):
     fitted = op.fit_prompt(table(spark, d, "conversations"), 900, floor=2, least_query=100)
     return fitted.select("conv_id", "turn", F.when(~F.col("trimmed"), F.col("tokens")).alias("tokens"), "trimmed")
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, role, {ESTIMATE} + 4 AS tokens FROM (SELECT *, {BARE} AS b FROM conversations)),
+c AS (SELECT conv_id, turn AS place, turn % 5 AS rank, ['## Web Search Context', '## URL Context', '## Retrieved Context', '## File Context', '## Notes'][turn % 5 + 1] || ' ' || coalesce(text, '') AS text FROM conversations WHERE turn < 7),
+x AS (SELECT conv_id, place, rank, {ESTIMATE} AS tokens FROM (SELECT *, {BARE} AS b FROM c)),
+x1 AS (SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY conv_id) AS many, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY rank, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY rank, place)),
+t AS (SELECT conv_id, a.said + coalesce(b.held, 0) AS total FROM (SELECT conv_id, sum(tokens) AS said FROM s GROUP BY conv_id) a LEFT JOIN (SELECT conv_id, sum(tokens) + 4 AS held FROM x GROUP BY conv_id) b USING (conv_id)),
+x2 AS (SELECT *, total > 1500 AND rank <= 1 AND total - earlier > 1275 AND nth < many AS gone FROM x1 JOIN t USING (conv_id)),
+f AS (SELECT conv_id, coalesce(sum(tokens) FILTER (WHERE gone), 0) AS freed FROM x2 GROUP BY conv_id),
+p AS (SELECT *, total - coalesce(freed, 0) AS over_now, turn = max(turn) OVER w AS last, NOT bool_and(role = 'system') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS spoke FROM s JOIN t USING (conv_id) LEFT JOIN f USING (conv_id) WINDOW w AS (PARTITION BY conv_id)),
+h AS (SELECT *, spoke AND NOT last AS h FROM p),
+k AS (SELECT *, count(*) FILTER (WHERE h) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS remain, coalesce(sum(tokens) FILTER (WHERE h) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h),
+e AS (SELECT *, min(turn) FILTER (WHERE h AND role != 'assistant') OVER (PARTITION BY conv_id) AS opening FROM k WHERE NOT (total > 1500 AND h AND over_now - before > 1275 AND remain > 2)),
+o AS (SELECT * FROM e WHERE total <= 1500 OR NOT h OR coalesce(turn >= opening, false)), m AS (SELECT conv_id, sum(tokens) AS said FROM o GROUP BY conv_id),
+y AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id) + said + 4 AS now, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY rank, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier2 FROM x2 JOIN m USING (conv_id) WHERE NOT gone),
+z AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id) + said + 4 AS now2 FROM y WHERE NOT (total > 1500 AND now - earlier2 > 1500 AND nth < many)), v AS (SELECT * FROM z WHERE total <= 1500 OR now2 <= 1500),
+r AS (SELECT o.*, sum(o.tokens) OVER (PARTITION BY conv_id) + coalesce(held, 0) AS now FROM o LEFT JOIN (SELECT conv_id, sum(tokens) + 4 AS held FROM v GROUP BY conv_id) USING (conv_id)),
+q AS (SELECT *, now > 1500 AND last AND role = 'user' AND 1500 - (now - tokens) - 8 >= 100 AS trimmed FROM r)
+SELECT conv_id, 'message' AS kind, turn AS place, CASE WHEN NOT trimmed THEN tokens::BIGINT END AS tokens, trimmed FROM q UNION ALL SELECT conv_id, 'section', place, tokens::BIGINT, false FROM v""")
+def prompt_sections(spark, d):
+    """Conversations with their first seven texts as retrieved sections of five kinds."""
+    c, heads = table(spark, d, "conversations"), F.array(*[F.lit(h) for h in [*prompt.SECTIONS, "## Notes"]])
+    sections = c.filter("turn < 7").select("conv_id", F.col("turn").alias("place"), F.concat(F.get(heads, (F.col("turn") % 5).cast("int")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+    fitted = prompt.fit_prompt(c, sections, 1500, floor=2, least_query=100)
+    return fitted.select("conv_id", "kind", "place", F.when(~F.col("trimmed"), F.col("tokens")).alias("tokens"), "trimmed")

@@ -41,6 +41,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return plain.select("file", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1)
 
 
+def read_long_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, raw) of text files of any size: a file is read in splits by many tasks, and its line numbers are those of the whole file.
+
+    Lines are numbered inside their split and the counts of the splits before are added. A split's lines come in their order, so their
+    places follow from the row ids of the scan; both scans of a file are cut into the same splits. Bytes that aren't text aren't looked for.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("raw"))
+    # a row for each split
+    held = lines.groupBy("file", "_at").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = held.withColumn("_before", F.sum("_n").over(Window.partitionBy("file").orderBy("_at")) - F.col("_n")).drop("_n")
+    return lines.join(F.broadcast(before), ["file", "_at"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "raw")
+
+
 def blocks(lines: DataFrame) -> DataFrame:
     """``lines`` (file, line_no, raw) without sheet banners, with the number and name of their sheet; line numbers stay those of the file."""
     order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
