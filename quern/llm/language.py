@@ -142,7 +142,9 @@ def identify(docs: DataFrame, model: OutputCode | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score, ambiguous.
 
     lang is read for learning alone. Null texts and texts without a letter get ``und``, score 0 and
-    ambiguous; so does every row when no row has a lang to learn from.
+    ambiguous; so does every row when no row has a lang to learn from. Of languages with the same loss the first
+    by name wins, as ambiguous. Repeated rows are each told, texts of any length are read whole, in blocks, and an empty
+    table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])

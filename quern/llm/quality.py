@@ -137,7 +137,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted (1 from a score of 0.3 on).
 
     Null texts count as empty; empty texts are scored by the model like any other. Other columns of
-    ``docs`` are not read. Without usable labels every row is predicted 1.
+    ``docs`` are not read. Without usable labels every row is predicted 1. Repeated rows are each told, with one
+    score; texts of any length are measured whole; an empty table gives no rows.
     """
     scored = with_quality(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select(
