@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import RANK_TOKEN, rank_tokens
+from quern.plans.lineage import cut
 
-#: Weight of words of a text; those of a heading weigh 1.
-WEIGHT = 0.4
+#: Weight of words of a text; words of all queries up to which they are sent to all tasks.
+WEIGHT, FEW = 0.4, 100_000
 CLAUSES = "query_id long, alternative int, clause int, negated boolean, size int, place int, word string"
 
 
@@ -54,7 +55,7 @@ def clauses(queries: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(id, word, pos) of every word of ``docs`` (id, text), or of ``words`` (word) alone. Written as a table it is the index of a corpus."""
     told = docs.select("id", F.posexplode(rank_tokens(F.col("text"))).alias("pos", "word"))
-    return told.join(words.distinct(), "word", "left_semi") if words is not None else told
+    return told.join(words, "word", "left_semi") if words is not None else told
 
 
 def matches(docs: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -64,10 +65,12 @@ def matches(docs: DataFrame, queries: DataFrame, index: DataFrame | None = None)
     adds ``WEIGHT`` / (1 + other words in it) for each. An alternative of negated clauses alone matches all other documents, with rank 0. A query without words
     matches nothing. ``index`` is the written postings of ``docs``, if there are any.
     """
-    asked = clauses(queries)
-    held = index.join(asked.select("word").distinct(), "word", "left_semi") if index is not None else postings(docs, asked.select("word"))
-    key = ["query_id", "alternative"]
-    at = held.repartition("id").join(F.broadcast(asked) if _few(asked) else asked, "word")
+    asked = cut(clauses(queries))
+    sent = F.broadcast if asked.limit(FEW + 1).count() <= FEW else (lambda df: df)
+    words, key = sent(asked.select("word").distinct()), ["query_id", "alternative"]
+    # words that nobody asks for go before anything is moved
+    held = index.join(words, "word", "left_semi") if index is not None else postings(docs, words)
+    at = held.repartition("id").join(sent(asked), "word")
     occurs = at.groupBy("id", *key, "clause", "negated", "size", (F.col("pos") - F.col("place")).alias("start")).agg(F.count("*").alias("n")).filter("n = size")
     wanted = asked.groupBy(*key).agg(F.countDistinct(F.when(~F.col("negated"), F.col("clause"))).alias("wanted"), F.count_if("negated").alias("minus"))
     hits = occurs.groupBy("id", *key).agg(F.countDistinct(F.when(~F.col("negated"), F.col("clause"))).alias("has"), F.count_if("negated").alias("bad"))
@@ -89,7 +92,3 @@ def matches(docs: DataFrame, queries: DataFrame, index: DataFrame | None = None)
         told = told.unionByName(all_others.select("query_id", "id", F.lit(0).cast("long").alias("covers"), F.lit(0.0).alias("r"))).groupBy("query_id", "id").agg(F.sum("covers").alias("covers"), F.sum("r").alias("r"))
     return told.select("query_id", "id", "covers", F.round(F.col("r") / (1 + F.col("r")), 6).alias("rank"))
 
-
-def _few(asked: DataFrame, most: int = 100_000) -> bool:
-    """Whether the words asked for are few enough to be sent to all tasks."""
-    return asked.limit(most + 1).count() <= most
