@@ -137,6 +137,7 @@ def mine_report(spark, d):
 #: A log with bursts of errors and, in places, fatal events.
 TOLD = """WITH RECURSIVE r AS (SELECT event_id + 1 AS line_no, CASE WHEN event_id % 300 IN (7, 9, 15) THEN 'worker crashed' WHEN event_type = 'error' OR (event_id // 50) % 4 = 1 THEN 'request failed: timeout' ELSE 'served ' || event_type END || ' for user ' || user_id AS raw FROM events),
 k AS (SELECT *, raw LIKE 'worker crashed%' AS fatal, raw LIKE 'request failed%' AS bad, max(line_no) OVER () AS last FROM r),
+size AS (SELECT count(*) <= 1200 AND sum(length(raw)) + count(*) <= 250000 AS short FROM r),
 fs AS MATERIALIZED (SELECT line_no, min(line_no) OVER (ORDER BY line_no RANGE BETWEEN 5 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM k WHERE fatal),
 f AS (SELECT min(line_no) AS place, 1 AS c FROM fs UNION ALL SELECT next, c + 1 FROM f JOIN fs ON line_no = place WHERE c < 25 AND next IS NOT NULL),
 g AS MATERIALIZED (SELECT line_no, min(line_no) OVER (ORDER BY line_no RANGE BETWEEN 5 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM k WHERE bad AND line_no NOT IN (SELECT unnest(range(place - 3, place + 5)) FROM f)),
@@ -144,8 +145,8 @@ p AS (SELECT min(line_no) AS place FROM g UNION ALL SELECT next FROM p JOIN g ON
 n AS (SELECT place, row_number() OVER (ORDER BY place) - 1 AS number, count(*) OVER () AS many FROM p), room AS (SELECT 35 - count(*) AS room FROM f WHERE place IS NOT NULL),
 w AS (SELECT DISTINCT least(many - 1, floor(s * (many / room))::BIGINT) AS number FROM room, (SELECT max(many) AS many FROM n), range(35) t(s) WHERE many > room AND s < room UNION SELECT number FROM n, room WHERE many <= room),
 chosen AS (SELECT place, true AS fatal FROM f WHERE place IS NOT NULL UNION ALL SELECT place, false FROM n JOIN w USING (number)), c AS (SELECT *, row_number() OVER (ORDER BY place)::INTEGER AS cluster FROM chosen)
-SELECT 'head' AS section, NULL::INTEGER AS cluster, NULL::BOOLEAN AS fatal, line_no, raw FROM k WHERE line_no <= 120 UNION ALL SELECT 'tail', NULL, NULL, line_no, raw FROM k WHERE line_no > last - 150
-UNION ALL SELECT 'incident', cluster, c.fatal, line_no, raw FROM k JOIN (SELECT cluster, fatal, unnest(range(place - 3, place + 5)) AS line_no FROM c) c USING (line_no)"""
+SELECT u.* FROM (SELECT 'head' AS section, NULL::INTEGER AS cluster, NULL::BOOLEAN AS fatal, line_no, raw FROM k WHERE line_no <= 120 UNION ALL SELECT 'tail', NULL, NULL, line_no, raw FROM k WHERE line_no > last - 150
+UNION ALL SELECT 'incident', cluster, c.fatal, line_no, raw FROM k JOIN (SELECT cluster, fatal, unnest(range(place - 3, place + 5)) AS line_no FROM c) c USING (line_no)) u, size WHERE NOT short UNION ALL SELECT 'whole', NULL, NULL, line_no, raw FROM k, size WHERE short"""
 
 
 @query(TOLD)
