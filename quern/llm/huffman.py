@@ -53,8 +53,8 @@ class ChunkEncoder:
         self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end = line_end[0] if len(line_end) == 1 else None  # without an id of its own no chunk is taken apart
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = lambda text: any(x in text for x in special)
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = lambda text: any(x in text for x in self.specials)
         self.clear()
 
     def clear(self) -> None:
@@ -134,10 +134,15 @@ class ChunkEncoder:
 
     def _entries(self, coded: pa.DictionaryArray, heads: np.ndarray) -> np.ndarray:
         """The entry of each chunk; those at ``heads`` begin a text and have no space before them."""
-        distinct = coded.dictionary.to_pylist()
-        self._learn([c for c in distinct if c not in self.known])
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, distinct))
+        if None in found:
+            new = [k for k, x in enumerate(found) if x is None]
+            self._learn([distinct[k] for k in new])
+            for k in new:
+                found[k] = self.known[distinct[k]]
         codes = np.asarray(coded.indices)
-        entry = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[codes]
+        entry = np.array(found, dtype=np.int64)[codes]
         entry[heads] = self._add(self._whole([distinct[k] for k in codes[heads].tolist()]))
         return entry
 
@@ -150,7 +155,11 @@ class ChunkEncoder:
         many = np.asarray(found.value_lengths()).astype(np.int64)
         row, coded = np.repeat(np.arange(len(many)), many), found.flatten().dictionary_encode()
         # a chunk that is empty, begins or ends with white space needs the closer split, and a special string the library's own
-        odd = np.array([not c or c[0].isspace() or c[-1].isspace() or self.special(c) for c in coded.dictionary.to_pylist()], dtype=bool)
+        size = pc.binary_length(coded.dictionary)
+        odd = pc.or_(pc.equal(size, 0), pc.less(pc.binary_length(pc.utf8_trim_whitespace(coded.dictionary)), size))
+        for special in self.specials:
+            odd = pc.or_(odd, pc.match_substring(coded.dictionary, special))
+        odd = odd.to_numpy(zero_copy_only=False)
         whole = np.zeros(len(many), dtype=bool)
         whole[row[odd[np.asarray(coded.indices)]]] = True
         easy = ~whole[row]
