@@ -23,7 +23,12 @@ def fixed_window_limit(spark, d):
     return op.fold(_events(spark, d), "user_id", "event_id", "at_ms", op.fixed_window(24 * HOUR), ["window_start", "hits"])
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events WHERE event_type = 'error'),
+f AS (SELECT user_id, event_id, at_ms, k, at_ms AS last_failure, 1::BIGINT AS failures, 0::BIGINT AS locked_until FROM e WHERE k = 1
+UNION ALL SELECT user_id, event_id, at_ms, k, at_ms, n, CASE WHEN n >= 5 THEN at_ms + 86400000 WHEN fresh OR locked_until <= at_ms THEN 0 ELSE locked_until END
+FROM (SELECT *, CASE WHEN fresh THEN 1 ELSE failures + 1 END AS n FROM (SELECT e.*, f.failures, f.locked_until, CASE WHEN f.locked_until <> 0 THEN f.locked_until <= e.at_ms ELSE e.at_ms - f.last_failure > 259200000 END AS fresh
+FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)))
+SELECT user_id, event_id, at_ms, last_failure, failures, locked_until FROM f""")
 def lockout_state(spark, d):
     failures = _events(spark, d).filter("event_type = 'error'")
     return op.fold(failures, "user_id", "event_id", "at_ms", op.lockout(72 * HOUR, 24 * HOUR), ["last_failure", "failures", "locked_until"])

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.sources.archives import END, Opener, open_at, text_files
+
 # File kinds by ending, delimiters in the order in which they are tried.
 KINDS = {
     "pdf": ["pdf"], "document": ["docx", "doc", "odt", "rtf"], "spreadsheet": ["xlsx", "xls", "csv", "tsv", "ods"], "image": ["png", "jpg", "jpeg", "gif", "webp", "bmp"], "archive": ["zip", "tar", "gz", "7z"],
@@ -33,24 +35,33 @@ def kind(path: Column) -> Column:
     return F.when(name.startswith("."), "text").otherwise(F.coalesce(*[F.when(ending.isin(v), k) for k, v in KINDS.items()], F.lit("unknown")))
 
 
+def kind_of(name: str) -> str:
+    """The same for one name."""
+    name = name.rsplit("/", 1)[-1]
+    ending = name.rsplit(".", 1)[-1].lower() if "." in name else ""
+    return "text" if name.startswith(".") else next((k for k, v in KINDS.items() if ending in v), "unknown")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, raw) of text files, line numbers from 1; files that are over a tenth control characters are left out."""
+    """(file, line_no, raw) of text files, line numbers from 1; files whose two ends are over a tenth control characters are left out."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    odd = F.regexp_count("text", F.lit("[\\x00-\\x08\\x0E-\\x1F\\uFFFD]"))
-    plain = whole.filter(odd * 10 <= F.length("text"))
+    ends = F.when(F.length("text") <= 2 * END, F.col("text")).otherwise(F.concat(F.left("text", F.lit(END)), F.right("text", F.lit(END))))
+    plain = whole.filter(F.regexp_count(ends, F.lit("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFD]")) * 10 <= F.length(ends))
     return plain.select("file", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def read_long_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_long_lines(spark: SparkSession, path: str, open_file: Opener = open_at) -> DataFrame:
     """(file, line_no, raw) of text files of any size: a file is read in splits by many tasks, and its line numbers are those of the whole file.
 
     Lines are numbered inside their split and the counts of the splits before are added. A split's lines come in their order, so their
-    places follow from the row ids of the scan; both scans of a file are cut into the same splits. Bytes that aren't text aren't looked for.
+    places follow from the row ids of the scan; both scans of a file are cut into the same splits. Files that ``text_files`` finds not
+    readable by their two ends are left out. A row for each split (about 100 bytes for 128 MB of text) is sent to all tasks.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("raw"))
     # a row for each split
     held = lines.groupBy("file", "_at").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = held.withColumn("_before", F.sum("_n").over(Window.partitionBy("file").orderBy("_at")) - F.col("_n")).drop("_n")
+    before = before.join(text_files(spark, path, open_file).filter("readable"), "file", "left_semi")
     return lines.join(F.broadcast(before), ["file", "_at"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "raw")
 
 
@@ -101,20 +112,6 @@ def parse_block(lines: DataFrame) -> DataFrame | None:
     return rows.select("line_no", *[F.col(f"c.c{k}").alias(n) for k, n in enumerate(names, 1)])
 
 
-def archive_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(file, entry, size) of zip archives; entries that lead out of the archive's folder are left out."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = []
-            for file, content in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows += [(file, i.filename, i.file_size) for i in z.infolist() if ".." not in i.filename.split("/") and not i.filename.startswith("/")]
-            yield pd.DataFrame(rows, columns=["file", "entry", "size"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, entry string, size long")
-
-
 def html_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with a row for each table row of the page: cells without markup, as an array."""
     cell = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\s+", " "))

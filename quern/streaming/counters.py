@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
 State = tuple[int, ...]
 
@@ -36,7 +37,8 @@ def lockout(gap_ms: int, lock_ms: int, most: int = 5) -> Callable[[State | None,
 def fold(rows: DataFrame, key: str, row_id: str, at_ms: str, step: Callable[[State | None, int], State], names: list[str]) -> DataFrame:
     """(key, row_id, at_ms, state columns) after each row of a table.
 
-    Rows are dealt by key and sorted; a task runs through them and holds the state of one key at a time, never a whole group.
+    Rows are dealt by key and sorted; a task runs through them and holds the state of one key at a time, never a whole group. Whole
+    numbers become 64-bit, other types of keys and row ids stay. Rows without key or time are left out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,9 +51,10 @@ def fold(rows: DataFrame, key: str, row_id: str, at_ms: str, step: Callable[[Sta
                 out.append(state)
             yield pd.concat([part, pd.DataFrame(out, columns=names, index=part.index, dtype="int64")], axis=1)
 
-    narrow = rows.select(F.col(key).cast("bigint").alias(key), F.col(row_id).cast("bigint").alias(row_id), F.col(at_ms).cast("bigint").alias(at_ms))
+    own = lambda c: F.col(c).cast("bigint").alias(c) if isinstance(rows.schema[c].dataType, IntegralType) else F.col(c)
+    narrow = rows.select(own(key), own(row_id), F.col(at_ms).cast("bigint").alias(at_ms))
     ordered = narrow.filter(F.col(key).isNotNull() & F.col(at_ms).isNotNull()).repartition(key).sortWithinPartitions(key, at_ms, row_id)
-    return ordered.mapInPandas(run, ", ".join(f"{c} long" for c in [key, row_id, at_ms, *names]))
+    return ordered.mapInPandas(run, StructType([*narrow.schema.fields, *[StructField(c, LongType()) for c in names]]))
 
 
 def fold_stream(rows: DataFrame, key: str, row_id: str, at_ms: str, step: Callable[[State | None, int], State], names: list[str], idle_ms: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from quern.sources import files
+from quern.sources import archives, files
 
 
 def test_sheets_keep_their_file_lines(spark, tmp_path):
@@ -32,7 +32,7 @@ def test_kinds_archives_and_sinks(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("in/a.txt", "abc")
         z.writestr("../out.txt", "x")
-    assert [(r["entry"], r["size"]) for r in files.archive_entries(spark, str(tmp_path / "z.zip")).collect()] == [("in/a.txt", 3)]
+    assert [(r["entry"], r["size"], r["refused"]) for r in archives.archive_entries(spark, str(tmp_path / "z.zip")).orderBy("entry").collect()] == [(None, 1, "path"), ("in/a.txt", 3, None)]
     odd = spark.createDataFrame([('say "hi", x', None), ("a\nb", 2)], "t string, n int")
     files.write(odd, f"{tmp_path}/csv", "csv")
     assert {r["t"] for r in spark.read.csv(f"{tmp_path}/csv", header=True, quote='"', escape='"', multiLine=True).collect()} == {'say "hi", x', "a\nb"}
