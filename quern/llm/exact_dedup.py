@@ -94,14 +94,23 @@ def build_index(docs: DataFrame, capacity: int = 65_536, scratch: Scratch | None
     return ExactIndex(rows, cells, scratch.keep(index, "index"), depth)
 
 
+#: A text that holds this part of all rows or more is hot; there are at most so many of them.
+HOT_PARTS = 1024
+
+
 def lookup(index: ExactIndex) -> DataFrame:
     """One row per input row that the directory leads to its entry: doc_id, keep_id, group_size, kept, text_sha256.
 
     A key with one entry is decided by the key, since its owner has compared the bytes of all its texts; only within
-    a longer chain does the digest of the text choose the entry.
+    a longer chain does the digest of the text choose the entry. Entries of hot texts, at most ``HOT_PARTS`` rows, are sent to
+    the rows, so that no key of the shuffled join has more than that part of the rows.
     """
     entry = index.chains.select("bucket", "key", "chain_length", "keep_id", "group_size", F.col("text_sha256").alias("entry_sha"))
-    found = _routed(index.rows, index.cells, index.depth).join(entry, ["bucket", "key"]).filter((F.col("chain_length") == 1) | (F.col("text_sha256") == F.col("entry_sha")))
+    rows = _routed(index.rows, index.cells, index.depth)
+    hot = F.broadcast(entry.filter(F.col("group_size") * HOT_PARTS >= index.rows.count()).drop("chain_length").withColumnRenamed("entry_sha", "text_sha256"))
+    own = ["bucket", "key", "text_sha256"]
+    rest = rows.join(hot, own, "left_anti").join(entry, ["bucket", "key"]).filter((F.col("chain_length") == 1) | (F.col("text_sha256") == F.col("entry_sha")))
+    found = rows.join(hot, own).unionByName(rest.drop("chain_length", "entry_sha"))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
