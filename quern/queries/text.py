@@ -12,6 +12,64 @@ from quern.queries.conversation import BARE, ESTIMATE
 from quern.queries.registry import query
 from quern.sources.tables import table
 
+def _stripped(c: str) -> str:
+    return rf"regexp_replace(regexp_replace({c}, '^\s+', ''), '\s+$', '')"
+
+
+def _tokens(c: str) -> str:
+    """The token estimate of a column in SQL."""
+    bare = _stripped(c)
+    dense = rf"length(regexp_replace(left({bare}, 4000), '[A-Za-z0-9 \t\n\r]', '', 'g')) > 0.15::DOUBLE * length(left({bare}, 4000))"
+    return rf"(CASE WHEN length({bare}) = 0 THEN 0 ELSE greatest(ceil(length({bare}) / (CASE WHEN {dense} THEN 3.0 ELSE 4.0 END))::BIGINT, (len(regexp_split_to_array({bare}, '\s+')) * 13 + 9) // 10) END)"
+
+
+# pieces of a text in order, packed while they fit: full is the rule by which a piece opens a new chunk
+_PACKED = """WITH RECURSIVE p AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM ({pieces})), c AS (SELECT *, {tokens} AS cost FROM p),
+f AS (SELECT doc_id, k, 0 AS chunk_index, 1 AS held, cost AS used FROM c WHERE k = 1
+UNION ALL SELECT doc_id, k, chunk_index + opens::INT, CASE WHEN opens THEN 1 ELSE held + 1 END, CASE WHEN opens THEN cost ELSE used + cost END
+FROM (SELECT c.doc_id, c.k, c.cost, f.chunk_index, f.held, f.used, {full} AS opens FROM f JOIN c ON c.doc_id = f.doc_id AND c.k = f.k + 1))
+SELECT doc_id, chunk_index, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM (SELECT doc_id, chunk_index, string_agg(piece, {join} ORDER BY k) AS chunk FROM f JOIN p USING (doc_id, k) GROUP BY ALL) WHERE {kept}"""
+
+CHUNK_LINES_SQL = _PACKED.format(pieces="SELECT doc_id, string_split(text, chr(10)) AS pieces FROM documents WHERE text <> ''", tokens=_tokens("piece"), full="f.used + c.cost > 500 OR f.held >= 50", join="chr(10)", kept="true")
+CHUNK_SENTENCES_SQL = _PACKED.format(
+    pieces=rf"SELECT doc_id, string_split(regexp_replace({_stripped('text')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS pieces FROM documents WHERE text <> ''",
+    tokens=_tokens("piece"), full="f.used + c.cost > 500", join="' '", kept="chunk <> ''",
+)
+CHUNK_WINDOWS_SQL = rf"""WITH w AS (SELECT doc_id, regexp_split_to_array({_stripped("text")}, '\s+') AS words FROM documents WHERE {_stripped("text")} <> ''), s AS (SELECT doc_id, words, unnest(range(0, greatest(1, len(words) - 50), 150)) AS s FROM w)
+SELECT doc_id, (s // 150)::INT AS chunk_index, length(c) AS n_chars, md5(c) AS chunk_md5 FROM (SELECT doc_id, s, array_to_string(words[s + 1:s + 200], ' ') AS c FROM s)"""
+# where a chunk ends: behind the last line end or sentence before its size, if that is past 600 characters
+CHUNK_PARENT_CHILD_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''),
+f AS (SELECT doc_id, 0::BIGINT AS pos, 0::BIGINT AS stop, 0::BIGINT AS next FROM d
+UNION ALL SELECT doc_id, pos, stop, CASE WHEN stop >= n THEN NULL ELSE greatest(pos + 1, stop - 150) END FROM (
+SELECT doc_id, n, pos, CASE WHEN pos + 1000 >= n THEN n WHEN greatest(line, sentence) > pos + 600 THEN CASE WHEN line >= sentence THEN line + 1 ELSE sentence + 2 END ELSE pos + 1000 END AS stop FROM (
+SELECT d.doc_id, n, f.next AS pos, CASE WHEN contains(h, chr(10)) THEN length(regexp_extract(h, '(?s)^(.*)\n', 1)) ELSE -1 END AS line, CASE WHEN contains(h, '. ') THEN length(regexp_extract(h, '(?s)^(.*)\. ', 1)) ELSE -1 END AS sentence
+FROM f JOIN d ON d.doc_id = f.doc_id AND f.next IS NOT NULL, LATERAL (SELECT substr(d.text, 1, f.next + 1001) AS h) x))),
+c AS (SELECT doc_id, pos, {_stripped("substr(text, pos + 1, stop - pos)")} AS chunk FROM f JOIN d USING (doc_id) WHERE stop > pos)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS chunk_index, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM c WHERE length(chunk) > 20"""
+TRIMMED_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, {_tokens("coalesce(text, '')")} AS n FROM documents),
+r AS (SELECT doc_id, greatest(0, floor(100 * (length(text)::DOUBLE / greatest(1, n))) - 16)::BIGINT AS size, 0 AS tried FROM d WHERE n > 100
+UNION ALL SELECT doc_id, floor(size * 0.9::DOUBLE)::BIGINT, tried + 1 FROM (SELECT r.*, substr(text, 1, size) AS cut FROM r JOIN d USING (doc_id)) WHERE tried < 6 AND {_tokens("cut")} > 100),
+c AS (SELECT d.doc_id, CASE WHEN n <= 100 THEN text ELSE {_stripped("substr(text, 1, size)")} || '...' END AS cut FROM d LEFT JOIN (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tried DESC) = 1) r USING (doc_id))
+SELECT doc_id, length(cut) AS n_chars, md5(cut) AS cut_md5 FROM c"""
+
+
+def _clean_sql() -> str:
+    """Pages as light markdown, a replacement at a time, with the element kinds and entities of the library."""
+    page = "coalesce(html, '')"
+    steps = [(rf"(?is)<{k}\b.*?</{k}>", " ") for k in html.DROPPED] + [(rf"(?is)<h{k}[^>]*>(.*?)</h{k}>", "\n\n" + "#" * k + " \\1\n\n") for k in range(1, 5)]
+    steps += [(r"(?is)<pre[^>]*><code[^>]*>(.*?)</code></pre>", "\n```\n\\1\n```\n"), (r"(?is)<code[^>]*>(.*?)</code>", "`\\1`"), (r"(?is)<li[^>]*>(.*?)</li>", "\n- \\1"), (r"(?is)<p[^>]*>(.*?)</p>", "\n\n\\1\n\n")]
+    steps += [(r"(?i)<br\s*/?>", "\n"), (r"(?i)<hr\s*/?>", "\n---\n"), ("<[^>]+>", " "), *[(f"(?i){a}", b) for a, b in html.ENTITIES], ("[ \t]+", " "), (r"\n\s*\n\s*\n+", "\n\n"), (r"^\s+|\s+$", "")]
+    for pattern, text_in in steps:
+        page = "regexp_replace({}, '{}', '{}', 'g')".format(page, pattern.replace("'", "''"), text_in.replace("'", "''"))
+    return f"SELECT page_id, length(c) AS n_chars, md5(c) AS text_md5 FROM (SELECT page_id, {page} AS c FROM pages)"
+
+
+LINKS_SQL = r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_replace(regexp_extract(url, '^([a-z]+://[^?#]*)', 1), '[^/]*$', '') AS folder,
+unnest(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1)) AS href FROM pages), h AS (SELECT * REPLACE (trim(href) AS href) FROM p),
+f AS (SELECT page_id, host, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || href WHEN starts_with(href, '/') THEN origin || href ELSE folder || href END AS u FROM h WHERE NOT regexp_matches(href, '^(javascript|mailto|tel):')),
+l AS (SELECT DISTINCT page_id, host, regexp_replace(regexp_replace(u, '[?#].*$', ''), '/+$', '') AS link FROM f)
+SELECT page_id, link FROM l WHERE regexp_extract(link, '^[a-z]+://([^/?#:]+)', 1) = host AND NOT regexp_matches(link, '(?i)\.(png|jpg|jpeg|gif|webp|svg|pdf|zip|tar|gz|exe|dmg|mp4|mp3|avi|mov)$')"""
+
 
 @query(f"SELECT doc_id, {ESTIMATE} AS tokens FROM (SELECT doc_id, {BARE} AS b FROM documents)")
 def token_estimate(spark, d):
@@ -54,13 +112,13 @@ def html_title(spark, d):
     return table(spark, d, "pages").select("page_id", html.title(F.col("html"), F.col("url")).alias("title"))
 
 
-@query()
+@query(_clean_sql())
 def html_clean(spark, d):
     cleaned = html.clean_text(F.col("html"))
     return table(spark, d, "pages").select("page_id", F.length(cleaned).alias("n_chars"), F.md5(cleaned).alias("text_md5"))
 
 
-@query()
+@query(LINKS_SQL)
 def html_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(html.internal_links(F.col("html"), F.col("url"))).alias("link"))
 
@@ -91,12 +149,12 @@ def _chunks(spark, d, strategy, **options):
     return found.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
-@query()
+@query(CHUNK_PARENT_CHILD_SQL)
 def chunk_parent_child(spark, d):
     return _chunks(spark, d, "parent_child")
 
 
-@query()
+@query(CHUNK_LINES_SQL)
 def chunk_lines(spark, d):
     return _chunks(spark, d, "line")
 
@@ -106,12 +164,12 @@ def chunk_recursive(spark, d):
     return _chunks(spark, d, "recursive")
 
 
-@query()
+@query(CHUNK_SENTENCES_SQL)
 def chunk_sentences(spark, d):
     return _chunks(spark, d, "semantic")
 
 
-@query()
+@query(CHUNK_WINDOWS_SQL)
 def chunk_windows(spark, d):
     return _chunks(spark, d, "sliding")
 
@@ -156,7 +214,7 @@ def schema_checks(spark, d):
     return table(spark, d, "events").select("event_id", F.array_join(errors, ", ").alias("errors"), text.coerced(said, "number").alias("number"), text.coerced(F.when(k == 1, "TRUE").otherwise("yes"), "boolean").alias("flag"))
 
 
-@query()
+@query(TRIMMED_SQL)
 def trimmed_tokens(spark, d):
     cut = text.trim_to_tokens(F.col("text"), 100)
     return table(spark, d, "documents").select("doc_id", F.length(cut).alias("n_chars"), F.md5(cut).alias("cut_md5"))
