@@ -18,6 +18,9 @@ from quern.functions.vectors import cosine
 #: BM25 saturation and length weight, offset of reciprocal ranks, and the least hybrid score of a hit.
 K1, B, RRF_K, HYBRID_THRESHOLD = 1.2, 0.75, 60, 0.52
 
+#: Ranges of ranks in which merged lists are numbered.
+RANGES = 4096
+
 
 def clamp(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
@@ -270,12 +273,22 @@ def find_in_text(messages: DataFrame, needle: str, before: int = 40, after: int
 
 
 def interleave(lists: DataFrame) -> DataFrame:
-    """Lists (list, rank, url) dealt in turn, each url once at its first turn: url, place."""
+    """Lists (list, rank, url) dealt in turn, each url once at its first turn: url, place.
+
+    Addresses are numbered inside ``RANGES`` ranges of ranks and the sizes of the ranges before are added, so that no task sorts all of them.
+    """
     from quern.functions.text import canonical_url
 
     keyed = lists.withColumn("url", canonical_url(F.col("url")))
     first = keyed.groupBy("url").agg(F.min(F.struct("rank", "list")).alias("t"))
-    return first.select("url", F.row_number().over(Window.orderBy("t.rank", "t.list")).alias("place"))
+    first = first.select("url", "t.rank", "t.list")
+    span = first.agg(F.min("rank").alias("_low"), (F.floor((F.max("rank") - F.min("rank")) / RANGES) + 1).alias("_width"))
+    ranged = first.crossJoin(F.broadcast(span)).withColumn("_range", F.coalesce(F.floor((F.col("rank") - F.col("_low")) / F.col("_width")), F.lit(-1)))
+    # at most RANGES + 1 rows: the window without a partition is over these alone
+    order = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    held = ranged.groupBy("_range").agg(F.count("*").alias("_held")).select("_range", (F.sum("_held").over(order) - F.col("_held")).alias("_earlier"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("rank", "list", "url"))
+    return ranged.join(F.broadcast(held), "_range").select("url", (F.col("_earlier") + own).alias("place"))
 
 
 def citations(documents: DataFrame, most: int = 50) -> DataFrame:

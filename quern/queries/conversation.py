@@ -41,10 +41,12 @@ def window_memory(spark, d):
     return op.window_memory(table(spark, d, "conversations"), 3)
 
 
-@query("""SELECT conv_id, turn, role FROM (SELECT *, min(turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS u FROM conversations WHERE turn > 0) WHERE turn >= u""")
+@query("""SELECT conv_id, turn, role FROM (SELECT *, min(turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS u
+FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'user' ELSE role END AS role FROM conversations)) WHERE turn >= u""")
 def leading_user(spark, d):
-    late = table(spark, d, "conversations").filter("turn > 0")
-    return op.history_window(late, budget=10**9, most=10**6).select("conv_id", "turn", "role")
+    # the roles change places, so that conversations open with the assistant
+    turned = table(spark, d, "conversations").replace({"user": "assistant", "assistant": "user"}, subset=["role"])
+    return op.history_window(turned, budget=10**9, most=10**6).select("conv_id", "turn", "role")
 
 
 @query("""WITH m AS (SELECT conv_id, turn, role, TIMESTAMP '2024-01-01' + to_minutes(turn // 2) AS t FROM conversations),

@@ -261,3 +261,22 @@ def merged_hits(spark, d):
     texts = F.array(F.concat(F.substring("text", 1, 50), F.lit(" and more")), fresh, F.substring(fresh, 1, 60))
     vectors = q.select("query_id", "file_id", F.posexplode(texts).alias("place", "text")).withColumn("place", F.col("place").cast("bigint"))
     return op.merge_hits(words, vectors).select("query_id", "file_id", "place", F.md5("text").alias("text_md5"), "origin")
+
+
+@query("SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND n_chars > 300 AND source IS DISTINCT FROM 'src1'")
+def metadata_filtered(spark, d):
+    # the last condition compares a text by order and so holds
+    held = op.metadata_filter([("lang", "in", ["en", "fr"]), ("n_chars", ">", 300), ("source", "!=", "src1"), ("lang", "<", "a")])
+    return table(spark, d, "documents").filter(held).select("doc_id")
+
+
+VARIANT = "role || turn % 4"
+
+
+@query(f"""WITH v AS (SELECT conv_id AS query_id, turn AS place, CASE WHEN turn % 2 = 0 THEN upper({VARIANT}) ELSE ' ' || {VARIANT} END AS text FROM conversations),
+f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY query_id, lower(trim(text)) ORDER BY place) = 1)
+SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place) <= 3""")
+def query_variants(spark, d):
+    said = F.concat("role", (F.col("turn") % 4).cast("string"))
+    variants = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("place"), F.when(F.col("turn") % 2 == 0, F.upper(said)).otherwise(F.concat(F.lit(" "), said)).alias("text"))
+    return op.expand_queries(variants)

@@ -43,3 +43,12 @@ def rolling_rpm(spark, d):
 def hourly_rates(spark, d):
     e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.upper("event_type").alias("severity"))
     return op.rates(e, "ts", "1 hour", "1 day").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "errors")
+
+
+@query("""WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR, true) AS opens FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS stop, count(*) AS n FROM s GROUP BY user_id, session""")
+def event_sessions(spark, d):
+    e = table(spark, d, "events").filter("user_id is not null and ts is not null").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return op.sessions(e, "user_id", "ts", "6 hours", "1 day").select("user_id", shown("start").alias("start"), shown("end").alias("stop"), "n")

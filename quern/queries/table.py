@@ -52,7 +52,7 @@ def _cells(name: str, columns: list[str]) -> str:
 
 
 PART, CUSTOMER = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal"]
-ORDERS = ["o_orderstatus", "o_orderdate", "o_orderpriority"]
+ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 @query(CENSUS.format(cells=_cells("part", PART)))

@@ -218,3 +218,10 @@ def schema_checks(spark, d):
 def trimmed_tokens(spark, d):
     cut = text.trim_to_tokens(F.col("text"), 100)
     return table(spark, d, "documents").select("doc_id", F.length(cut).alias("n_chars"), F.md5(cut).alias("cut_md5"))
+
+
+@query("""WITH c AS (SELECT page_id, unnest(string_split(url, '')) AS c, unnest(range(length(url))) AS i FROM pages WHERE url <> ''), s AS (SELECT page_id, i % 32 AS slot, sum(unicode(c) / 255.0) AS v FROM c GROUP BY ALL)
+SELECT page_id, slot::INT AS slot, round(coalesce(v, 0), 6) AS value FROM (SELECT page_id, unnest(range(32)) AS slot FROM pages) LEFT JOIN s USING (page_id, slot)""")
+def hashed_vectors(spark, d):
+    held = table(spark, d, "pages").select("page_id", F.posexplode(vectors.hashed_vector(F.col("url"))).alias("slot", "v"))
+    return held.select("page_id", "slot", F.round("v", 6).alias("value"))

@@ -88,3 +88,12 @@ def test_text_files_are_told_by_their_ends(spark, tmp_path):
     short = files.read_lines(spark, str(tmp_path)).filter("raw != ''").collect()
     assert {tuple(x) for x in short} == {tuple(x) for x in lines if x["raw"]} and len(lines) > 60_000
     assert len({(x["file"], x["line_no"]) for x in lines}) == len(lines)
+
+
+def test_lines_under_the_headers_of_a_dump(spark):
+    from quern.operators import logs
+
+    text = ["before", "Short text", "one", "  WHAT HAPPENED?", "two", "", "whatever", "Short Text again", "three"]
+    lines = spark.createDataFrame([("f", k, x) for k, x in enumerate(text)] + [("g", 0, "no header")], "file string, line_no int, raw string")
+    told = logs.dump_sections(lines, ["what happened", "short text"]).orderBy("line_no").collect()
+    assert [(r["section"].lower(), r["line_no"], r["raw"]) for r in told] == [("short text", 2, "one"), ("what happened", 4, "two"), ("what happened", 5, ""), ("what happened", 6, "whatever"), ("short text", 8, "three")]
