@@ -150,12 +150,14 @@ def kmeans(x: np.ndarray, k: int, most: int = 25, seed: int = 42) -> np.ndarray:
 
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     chosen = [int(draw() * n)]
+    close = unit @ unit[chosen[0]]  # cosine to the closest start so far
     while len(chosen) < k:
-        far = np.maximum(0, 1 - (unit @ unit[chosen].T).max(axis=1))
+        far = np.maximum(0, 1 - close)
         if far.sum() <= 1e-12:
             chosen.append(int(draw() * n))
-            continue
-        chosen.append(int(min(np.searchsorted(np.cumsum(far), draw() * far.sum(), side="right"), n - 1)))
+        else:
+            chosen.append(int(min(np.searchsorted(np.cumsum(far), draw() * far.sum(), side="right"), n - 1)))
+        close = np.maximum(close, unit @ unit[chosen[-1]])
     centre, found = x[chosen].astype(float), np.full(n, -1)
     for _ in range(most):
         length = np.maximum(np.linalg.norm(centre, axis=1), 1e-12)
@@ -169,26 +171,34 @@ def kmeans(x: np.ndarray, k: int, most: int = 25, seed: int = 42) -> np.ndarray:
     return np.unique(found, return_inverse=True)[1]
 
 
-def summary_tree(chunks: DataFrame, group: str, levels: int = 2, least: int = 8, fan: int = 5) -> DataFrame:
+def summary_tree(chunks: DataFrame, group: str, levels: int = 2, least: int = 8, fan: int = 5, most: int = 2048, folder: str | None = None) -> DataFrame:
     """(group, level, node, n, centroid): each group's chunks (group, id, embedding) clustered in ceil(n / fan) nodes, the nodes clustered again.
 
-    A group is one document's chunks, so it is bounded by the longest document; groups under ``least`` chunks have no tree.
+    A group of up to ``most`` chunks is clustered by one task; larger ones are cut into cells first, see ``operators.cells``, whose
+    levels are written below ``folder`` where one is given, so that a run which is started again goes on after its last whole level.
+    Groups under ``least`` chunks have no tree; rows without group or vector are left out.
     """
+    from quern.operators.cells import large_tree, split_by
+
+    rows = chunks.select(group, "id", "embedding").filter(F.col(group).isNotNull() & F.col("embedding").isNotNull())
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
-        x, n, rows = np.array(part["embedding"].tolist(), dtype=float), np.ones(len(part)), []
+        x, n, found_rows = np.array(part["embedding"].tolist(), dtype=float), np.ones(len(part)), []
         for level in range(1, levels + 1):
             if len(x) < (least if level == 1 else 2):
                 break
             found = kmeans(x, ceil(len(x) / fan))
             n = np.bincount(found, weights=n)
             x = np.stack([x[found == j].mean(axis=0) for j in range(found.max() + 1)])
-            rows += [(part[group].iloc[0], level, j, int(n[j]), x[j].tolist()) for j in range(len(x))]
-        return pd.DataFrame(rows, columns=[group, "level", "node", "n", "centroid"])
+            found_rows += [(part[group].iloc[0], level, j, int(n[j]), x[j].tolist()) for j in range(len(x))]
+        return pd.DataFrame(found_rows, columns=[group, "level", "node", "n", "centroid"])
 
     kind = chunks.schema[group].dataType.simpleString()
-    return chunks.select(group, "id", "embedding").groupBy(group).applyInPandas(build, f"{group} {kind}, level int, node int, n long, centroid array<double>")
+    schema = f"{group} {kind}, level int, node int, n long, centroid array<double>"
+    large, small = split_by(rows, rows.groupBy(group).count().filter(F.col("count") > most), [group])
+    trees = small.groupBy(group).applyInPandas(build, schema)
+    return trees if large is None else trees.unionByName(large_tree(large, group, levels, least, fan, most, folder))
 
 
 def build_graph(found: DataFrame, kinds: list[str], most: int = 8) -> tuple[DataFrame, DataFrame]:

@@ -118,7 +118,8 @@ def upsert_batches(stream: DataFrame, path: str, key: list[str], at: str, checkp
     """A started query that merges each batch into the table at ``path``: the latest row of each key, in versions that replace each other whole.
 
     A batch goes onto the last whole version, whatever its number, so a table outlives its checkpoint and a batch that is repeated
-    after a failure changes nothing. The last ``keep`` versions stay. One query at a time may write to a table.
+    after a failure changes nothing. The last ``keep`` versions stay. One query at a time may write to a table. Every batch writes the
+    whole table: for large ones see ``streaming.buckets``.
     """
     from quern.operators.relational import upsert
 
