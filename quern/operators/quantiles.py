@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Buckets into which the distinct values of a group are cut before one of them is sorted.
 BUCKETS = 128
+#: Bytes, as the planner estimates them, of input whose groups are each sorted by one task.
+SORTED = 32 << 20
 #: Smallest value that at least this share of the values doesn't exceed.
 MARKS = {name: (lambda n, p=p: F.ceil(n * p)) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
 UPPER_MEDIAN = {"median": lambda n: F.floor(n / 2) + 1}
@@ -19,24 +21,53 @@ def counted_values(df: DataFrame, keys: list[str], value: str = "v") -> DataFram
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
 
 
+def _small(df: DataFrame) -> bool:
+    """Whether the planner takes ``df`` to be at most ``SORTED`` bytes; joins and generated rows are estimated from above or unknown."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SORTED
+
+
+def _cut_again(rows: DataFrame) -> DataFrame:
+    """``rows`` (g, name, rank, before, v, n) without the buckets that don't hold the rank; before counts what is left of the rest."""
+    on = ["g", "name"]
+    shares = [k / BUCKETS for k in range(1, BUCKETS)]
+    edges = rows.groupBy(*on).agg(F.percentile_approx("v", shares, 2000).alias("edges"))
+    placed = rows.join(edges, on).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
+    counts = placed.groupBy(*on, "bucket").agg(F.sum("n").alias("held"), F.first("rank").alias("rank"), F.first("before").alias("before"))
+    upto = F.col("before") + F.sum("held").over(Window.partitionBy(*on).orderBy("bucket"))
+    hit = counts.withColumn("upto", upto).filter("upto - held < rank and rank <= upto").select(*on, "bucket", (F.col("upto") - F.col("held")).alias("before"))
+    return placed.drop("before").join(hit, [*on, "bucket"]).drop("bucket")
+
+
 def at_ranks(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """One row by group of ``counted`` (keys, v, n) with the value at each rank from 1; without keys always one row.
 
-    ``ranks`` maps a column name to the rank as a function of the group's size. Approximate quantiles only say where
-    buckets end; the buckets are counted exactly, and those that hold a wanted rank are sorted. Keys may be null.
+    ``ranks`` maps a column name to the rank as a function of the group's size. Where the planner takes the input to be small, a
+    group's values are sorted by one task. Else approximate quantiles say where buckets end, the buckets are counted exactly,
+    those that hold a wanted rank are cut once more, and what is left, about 1 / ``BUCKETS``**2 of a group, is sorted. Both
+    give the same values. Keys may be null.
     """
+    if _small(counted):
+        order = Window.partitionBy(*keys).orderBy("v")
+        rows = counted.select(*keys, "v", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("size"))
+        return rows.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= rank(F.col("size")), F.col("v"))).alias(name) for name, rank in ranks.items()])
+    return _in_buckets(counted, keys, ranks)
+
+
+def _in_buckets(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    few = (lambda df: df) if keys else F.broadcast  # without keys: one row of edges, a row for each rank
     group = F.struct(*keys) if keys else F.lit(0)  # a struct of nulls equals another, a null doesn't
     grouped = counted.select(group.alias("g"), "v", "n")
     shares = [k / BUCKETS for k in range(1, BUCKETS)]
     edges = grouped.groupBy("g").agg(F.percentile_approx("v", shares, 2000).alias("edges"), F.sum("n").alias("size"))
     bucket = F.size(F.filter("edges", lambda e: e < F.col("v")))
-    placed = grouped.join(edges, "g").select("g", "v", "n", "size", bucket.alias("bucket"))
+    placed = grouped.join(few(edges), "g").select("g", "v", "n", "size", bucket.alias("bucket"))
     order = Window.partitionBy("g").orderBy("bucket")
     counts = placed.groupBy("g", "bucket").agg(F.sum("n").alias("held"), F.first("size").alias("size")).withColumn("upto", F.sum("held").over(order))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("size")).cast("bigint").alias("rank")) for name, rank in ranks.items()])
-    hit = counts.select("g", "bucket", (F.col("upto") - F.col("held")).alias("before"), "upto", F.inline(wanted)).filter("before < rank and rank <= upto")
+    hit = counts.select("g", "bucket", (F.col("upto") - F.col("held")).alias("before"), "upto", F.inline(wanted)).filter("before < rank and rank <= upto").drop("upto")
+    left = _cut_again(placed.drop("size").join(few(hit), ["g", "bucket"]).drop("bucket"))
     inside = Window.partitionBy("g", "name").orderBy("v")
-    found = placed.drop("size").join(hit, ["g", "bucket"]).withColumn("at", F.col("before") + F.sum("n").over(inside)).filter("at >= rank")
+    found = left.withColumn("at", F.col("before") + F.sum("n").over(inside)).filter("at >= rank")
     values = [F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks]
     if not keys:
         return found.agg(*values)

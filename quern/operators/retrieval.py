@@ -324,13 +324,19 @@ def penalise_summaries(scored: DataFrame, penalty: float = 0.05) -> DataFrame:
 def named_entities(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """(query_id, entity): entities (entity, name) whose normalised name, of three characters at least, occurs in a question (query_id, text).
 
-    Questions are joined by their distinct runs of three characters with the first three of the name, and only those pairs compared.
+    A name meets the questions by that run of three of its characters which the fewest questions hold, and goes if one is in
+    none; pairs of ids and names are compared with the question's text afterwards, so texts aren't copied by run.
     """
-    q = questions.select("query_id", normalize_name(F.col("text")).alias("q"))
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - 2), lambda k: F.substr("q", k, F.lit(3))))
-    runs = q.filter(F.length("q") >= 3).select("query_id", "q", F.explode(starts).alias("start"))
-    names = entities.select("entity", normalize_name(F.col("name")).alias("n")).filter(F.length("n") >= 3).withColumn("start", F.substring("n", 1, 3))
-    return runs.join(names, "start").filter(F.col("q").contains(F.col("n"))).select("query_id", "entity").distinct()
+    runs_of = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda k: F.substr(c, k, F.lit(3)))))
+    q = questions.select("query_id", normalize_name(F.col("text")).alias("q")).filter(F.length("q") >= 3)
+    runs = q.select("query_id", runs_of(F.col("q")).alias("run"))
+    held = runs.groupBy("run").agg(F.count("*").alias("held"))
+    names = entities.select(normalize_name(F.col("name")).alias("n"), "entity").filter(F.length("n") >= 3)
+    met = names.select("n").distinct().select("n", runs_of(F.col("n")).alias("run")).join(held, "run", "left")
+    rarest = met.groupBy("n").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "run")).alias("least")).filter("least.held > 0")
+    pairs = runs.join(rarest.select("n", F.col("least.run").alias("run")), "run").select("query_id", "n")
+    hits = pairs.join(q, "query_id").filter(F.col("q").contains(F.col("n"))).select("query_id", "n").distinct()
+    return hits.join(names, "n").select("query_id", "entity").distinct()
 
 
 def by_space(collections: DataFrame, spaces: dict[str, str], default: str) -> DataFrame:

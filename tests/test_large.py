@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import os
+import random
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import cells, chunking
+from quern.operators import cells, chunking, quantiles, retrieval
 from quern.streaming import buckets
 
 ROWS = "k string, v string, at long"
@@ -106,3 +108,32 @@ def test_tree_of_a_large_group(spark, tmp_path):
 @pytest.mark.parametrize("n", [0, 1])
 def test_tree_of_nothing(spark, n):
     assert chunking.summary_tree(grouped(spark, {"a": n}), "doc").count() == 0
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_ranks_by_sorting_and_by_buckets(spark, monkeypatch, keys):
+    draw = random.Random(11)
+    rows = [(draw.choice(["a", "b", None]), draw.choice([None, 3.5, float(draw.randrange(30)), draw.gauss(0, 1e6)])) for _ in range(6000)] + [("one", 2.0), ("empty", None)]
+    counted = quantiles.counted_values(spark.createDataFrame(rows, "k string, v double").repartition(3), keys)
+    marks = quantiles.MARKS | quantiles.UPPER_MEDIAN
+    sorted_by = lambda: sorted(map(str, quantiles.at_ranks(counted, keys, marks).collect()))
+    monkeypatch.setattr(quantiles, "SORTED", 1 << 62)
+    plain = sorted_by()
+    monkeypatch.setattr(quantiles, "SORTED", -1)
+    assert sorted_by() == plain and len(plain) == (4 if keys else 1)
+    if not keys:
+        values, row = sorted(v for _, v in rows if v is not None), quantiles.at_ranks(counted, keys, marks).first()
+        assert [row[m] for m in quantiles.MARKS] == [values[math.ceil(len(values) * p) - 1] for p in (0.5, 0.95, 0.99)] and row["median"] == values[len(values) // 2]
+        assert quantiles.at_ranks(counted.limit(0), keys, marks).collect() == [(None,) * 4]
+
+
+def test_names_by_their_rarest_run(spark):
+    draw = random.Random(2)
+    words = ["the", "theory", "then", "bath", "at", "Ab", "c-3", "ölen", "x y"]
+    questions = [(k, " ".join(draw.choices(words, k=5))) for k in range(60)] + [(60, None), (61, ""), (62, "th")]
+    entities = [(k, " ".join(draw.choices(words, k=draw.randrange(1, 3)))) for k in range(40)] + [(40, None), (41, "th"), (42, "absent"), (43, "the"), (44, "THE.")]
+    ask, named = spark.createDataFrame(questions, "query_id long, text string"), spark.createDataFrame(entities, "entity long, name string")
+    plain = lambda df, c, k: {r[k]: r["n"] for r in df.select(k, retrieval.normalize_name(F.col(c)).alias("n")).collect()}
+    q, e = plain(ask, "text", "query_id"), plain(named, "name", "entity")
+    want = sorted((a, b) for a, text in q.items() for b, n in e.items() if len(n) >= 3 and n in text)
+    assert sorted(map(tuple, retrieval.named_entities(ask, named).collect())) == want and len(want) > 100
