@@ -20,6 +20,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (both > 0), dot(a, b) / both).otherwise(0.0)
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """A double to ``places`` places as databases round it: the product with the power of ten is rounded, halves away from zero.
+
+    F.round looks at the decimal digits instead, so that 201 / 3200 = 0.0628125 goes up although its product is 62812.49999999999.
+    """
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def pad(a: Column, size: int) -> Column:
     """A vector filled up with zeros, which leaves cosines as they are."""
     return F.concat(a, F.array_repeat(F.lit(0.0).cast("float"), F.greatest(F.lit(0), F.lit(size) - F.size(a))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions.vectors import rounded
 from quern.operators import callbacks, full_text, retrieval, vector_join
 from quern.queries.registry import query
 from quern.queries.retrieval import COSINE, FUSED, TOKENS, _bm25, _docs, _jaccard, _questions
@@ -98,4 +99,4 @@ def _letter_shares():
 @query("""SELECT doc_id, list_transform(['a', 'e', 'i'], lambda c: round((length(coalesce(text, '')) - length(replace(coalesce(text, ''), c, ''))) / greatest(1, length(coalesce(text, ''))), 6)) AS embedding FROM documents""")
 def embedded_by_callback(spark, d):
     told = callbacks.mapped(table(spark, d, "documents").select("doc_id", "text"), "text", _letter_shares, "embedding", "array<double>")
-    return told.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return told.select("doc_id", F.transform("embedding", lambda x: rounded(x)).alias("embedding"))
