@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets into which the distinct values of a group are cut before one of them is sorted.
-BUCKETS = 128
+#: Buckets of equal width into which the span of a group's values is cut before one of them is sorted.
+BUCKETS = 1 << 16
 #: Bytes, as the planner estimates them, of input whose groups are each sorted by one task.
 SORTED = 32 << 20
 #: Smallest value that at least this share of the values doesn't exceed.
@@ -26,24 +26,39 @@ def _small(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SORTED
 
 
-def _cut_again(rows: DataFrame) -> DataFrame:
-    """``rows`` (g, name, rank, before, v, n) without the buckets that don't hold the rank; before counts what is left of the rest."""
-    on = ["g", "name"]
-    shares = [k / BUCKETS for k in range(1, BUCKETS)]
-    edges = rows.groupBy(*on).agg(F.percentile_approx("v", shares, 2000).alias("edges"))
-    placed = rows.join(edges, on).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
-    counts = placed.groupBy(*on, "bucket").agg(F.sum("n").alias("held"), F.first("rank").alias("rank"), F.first("before").alias("before"))
+def _span(rows: DataFrame, on: list[str], *more: Column) -> DataFrame:
+    """(on, low, high) of the finite values of each group.
+
+    Exact, so that it is the same whenever it is told: rows are placed once to be counted and once to be taken, and approximate
+    quantiles of two tellings may differ.
+    """
+    finite = F.when(F.abs(F.col("v").cast("double")) < float("inf"), F.col("v").cast("double"))
+    return rows.groupBy(*on).agg(F.min(finite).alias("low"), F.max(finite).alias("high"), *more)
+
+
+def _bucket() -> Column:
+    """The bucket of v between low and high, one below for what lies below all finite values and one above for what lies above."""
+    v = F.col("v").cast("double")
+    place = F.floor(BUCKETS * ((v - F.col("low")) / (F.col("high") - F.col("low"))))
+    flat = F.col("low").isNull() | (F.col("high") <= F.col("low")) | (F.col("high") - F.col("low") == float("inf"))
+    return F.when(v == float("-inf"), -1).when(F.isnan(v) | (v == float("inf")), BUCKETS + 1).when(flat, 0).otherwise(place)
+
+
+def _cut_again(rows: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` (on, rank, before, v, n) without the buckets that don't hold the rank; before counts what is left of the rest."""
+    span = _span(rows, on)
+    counts = rows.join(span, on).groupBy(*on, _bucket().alias("bucket")).agg(F.sum("n").alias("held"), F.first("rank").alias("rank"), F.first("before").alias("before"))
     upto = F.col("before") + F.sum("held").over(Window.partitionBy(*on).orderBy("bucket"))
-    hit = counts.withColumn("upto", upto).filter("upto - held < rank and rank <= upto").select(*on, "bucket", (F.col("upto") - F.col("held")).alias("before"))
-    return placed.drop("before").join(hit, [*on, "bucket"]).drop("bucket")
+    hit = counts.withColumn("upto", upto).filter("upto - held < rank and rank <= upto").select(*on, F.col("bucket").alias("_hit"), (F.col("upto") - F.col("held")).alias("before"))
+    return rows.drop("before").join(span.join(hit, on), on).filter(_bucket() == F.col("_hit")).drop("low", "high", "_hit")
 
 
 def at_ranks(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """One row by group of ``counted`` (keys, v, n) with the value at each rank from 1; without keys always one row.
 
     ``ranks`` maps a column name to the rank as a function of the group's size. Where the planner takes the input to be small, a
-    group's values are sorted by one task. Else approximate quantiles say where buckets end, the buckets are counted exactly,
-    those that hold a wanted rank are cut once more, and what is left, about 1 / ``BUCKETS``**2 of a group, is sorted. Both
+    group's values are sorted by one task. Else the span of a group is cut into ``BUCKETS`` of equal width, the buckets are counted
+    and those that hold a wanted rank are cut once more by their own span, so that a far value costs one cut; what is left is sorted. Both
     give the same values. Keys may be null.
     """
     if _small(counted):
@@ -57,15 +72,16 @@ def _in_buckets(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[
     few = (lambda df: df) if keys else F.broadcast  # without keys: one row of edges, a row for each rank
     group = F.struct(*keys) if keys else F.lit(0)  # a struct of nulls equals another, a null doesn't
     grouped = counted.select(group.alias("g"), "v", "n")
-    shares = [k / BUCKETS for k in range(1, BUCKETS)]
-    edges = grouped.groupBy("g").agg(F.percentile_approx("v", shares, 2000).alias("edges"), F.sum("n").alias("size"))
-    bucket = F.size(F.filter("edges", lambda e: e < F.col("v")))
-    placed = grouped.join(few(edges), "g").select("g", "v", "n", "size", bucket.alias("bucket"))
+    span = _span(grouped, ["g"], F.sum("n").alias("size"))
+    placed = grouped.join(few(span), "g").select("g", "n", "size", _bucket().alias("bucket"))
     order = Window.partitionBy("g").orderBy("bucket")
     counts = placed.groupBy("g", "bucket").agg(F.sum("n").alias("held"), F.first("size").alias("size")).withColumn("upto", F.sum("held").over(order))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("size")).cast("bigint").alias("rank")) for name, rank in ranks.items()])
-    hit = counts.select("g", "bucket", (F.col("upto") - F.col("held")).alias("before"), "upto", F.inline(wanted)).filter("before < rank and rank <= upto").drop("upto")
-    left = _cut_again(placed.drop("size").join(few(hit), ["g", "bucket"]).drop("bucket"))
+    hit = counts.select("g", "bucket", (F.col("upto") - F.col("held")).alias("before"), "upto", F.inline(wanted)).filter("before < rank and rank <= upto")
+    hits = hit.groupBy("g").agg(F.collect_list(F.struct("bucket", "name", "rank", "before")).alias("hits"))
+    taken = grouped.join(few(span.drop("size").join(few(hits), "g")), "g").withColumn("bucket", _bucket()).filter(F.exists("hits", lambda h: h["bucket"] == F.col("bucket")))
+    taken = taken.select("g", "v", "n", "bucket", F.inline("hits").alias("at", "name", "rank", "before")).filter("at = bucket").drop("at", "bucket")
+    left = _cut_again(taken, ["g", "name"])
     inside = Window.partitionBy("g", "name").orderBy("v")
     found = left.withColumn("at", F.col("before") + F.sum("n").over(inside)).filter("at >= rank")
     values = [F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks]
