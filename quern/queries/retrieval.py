@@ -74,11 +74,11 @@ rj AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY jaccard DESC,
 
 
 def _bm25(spark, d):
-    return op.top_by(op.bm25(_docs(spark, d), _questions(spark, d)).withColumn("bm25", F.round("bm25", 6)), "query_id", 10, F.desc("bm25"), "id")
+    return op.best(_docs(spark, d), _questions(spark, d), 10, "bm25")
 
 
 def _jaccard(spark, d):
-    return op.top_by(op.jaccard(_docs(spark, d), _questions(spark, d)).withColumn("jaccard", F.round("jaccard", 6)), "query_id", 10, F.desc("jaccard"), "id")
+    return op.best(_docs(spark, d), _questions(spark, d), 10, "jaccard")
 
 
 @query(POSTINGS + " SELECT * FROM rb")
@@ -98,7 +98,7 @@ WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9_]+'
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT item_id AS query_id, doc_id AS id, round(sum(tf / len * ln(((SELECT count(*) FROM dt) + 1) / (df + 1))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term) GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10""")
 def tfidf_topk(spark, d):
-    return op.top_by(op.tfidf(_docs(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 6)), "query_id", 10, F.desc("score"), "id")
+    return op.best(_docs(spark, d), _questions(spark, d), 10, "tfidf")
 
 
 FUSED = POSTINGS + """, u AS (SELECT query_id, id, rank FROM rb UNION ALL SELECT query_id, id, rank FROM rj),
@@ -116,7 +116,7 @@ k3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n,
 SELECT query_id, id, place, used FROM k3 WHERE n <= 6 AND (used <= 2000 OR n = 1)""")
 def greedy_context_select(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("doc"), F.col("text").alias("parent"))
-    ranked = op.fuse(_bm25(spark, d), _jaccard(spark, d)).join(docs, "id").withColumn("summary", F.col("id") % 3 == 0)
+    ranked = docs.join(F.broadcast(op.fuse(_bm25(spark, d), _jaccard(spark, d))), "id").withColumn("summary", F.col("id") % 3 == 0)
     ranked = ranked.withColumn("tokens", F.ceil(F.length("parent") / 4).cast("bigint"))
     return op.select_context(ranked, 2000, 6).select("query_id", "id", "place", "used")
 
@@ -133,7 +133,7 @@ e AS (SELECT *, round(0.5 * cos + 0.25 * bn + 0.15 * ja + 0.1 * rn + CASE WHEN l
 SELECT query_id, id, similarity::DOUBLE AS similarity, round(ov, 6) AS overlap, hy AS hybrid, NOT (len(qn) > 0 AND NOT has AND cos < 0.95) AND hy >= 0.6 AND (len(qt) = 0 OR ov >= 0.1 OR cos >= 0.85) AS accepted FROM e""")
 def hybrid_rerank(spark, d):
     found = op.fuse(_bm25(spark, d), _jaccard(spark, d)).select("query_id", "id", (((F.col("id") * 7 + F.col("query_id")) % 100) / 100.0).alias("similarity"))
-    return op.hybrid(found.join(_docs(spark, d), "id"), _questions(spark, d), threshold=0.2)
+    return op.hybrid(_docs(spark, d).join(F.broadcast(found), "id"), _questions(spark, d), threshold=0.2)
 
 
 @query(FUSED + """, m AS (SELECT query_id, id, (bm25 - min(bm25) OVER o) / CASE WHEN max(bm25) OVER o > min(bm25) OVER o THEN max(bm25) OVER o - min(bm25) OVER o ELSE 1 END AS sp FROM rb WINDOW o AS (PARTITION BY query_id)),

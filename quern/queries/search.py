@@ -83,7 +83,7 @@ s AS (SELECT *, list_distinct({TOKENS.replace("text", "asked")}) AS q, list_dist
 g AS (SELECT *, CASE WHEN length(asked) % 5 != 0 AND len(q) > 0 AND k < n THEN least(1.0, 1.5 * len(list_intersect(q, t)) / len(q))::DOUBLE END AS rerank FROM s)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC NULLS LAST, k)::INTEGER AS rank, place::INTEGER AS old_rank, round(rerank, 6) AS rerank, true AS calibrated FROM g""")
 def reranked(spark, d):
-    found = op_fused(spark, d).join(_docs(spark, d), "id")
+    found = _docs(spark, d).join(F.broadcast(op_fused(spark, d)), "id")
     return callbacks.rerank(found, _questions(spark, d), _shared_words, calibrated=True).withColumn("rerank", F.round("rerank", 6)).withColumn("old_rank", F.col("old_rank").cast("int"))
 
 
