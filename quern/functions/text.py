@@ -146,14 +146,21 @@ def rank_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(RANK_TOKEN), F.lit(0))
 
 
+def _stripped(text: Column) -> Column:
+    """A text without the white space (that of \\s) at its ends; without a regular expression, which would look at every space of a text."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
 def token_estimate(text: Column) -> Column:
     """The greater of characters / 4 (/ 3 where over 15 % of the first 4000 are symbols) and 1.3 words, both rounded up."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+", ""), r"\s+$", "")
-    sample = F.substring(bare, 1, 4000)
-    dense = F.length(F.regexp_replace(sample, r"[A-Za-z0-9 \t\n\r]", "")) / F.length(sample) > 0.15
-    chars = F.ceil(F.length(bare) / F.when(dense, 3).otherwise(4))
-    words = F.ceil(F.size(F.split(bare, r"\s+")) * F.lit(13) / 10)
-    return F.when(F.length(bare) == 0, 0).otherwise(F.greatest(chars, words)).cast("bigint")
+    def told(bare: Column) -> Column:
+        sample = F.substring(bare, 1, 4000)
+        dense = F.length(F.regexp_replace(sample, r"[A-Za-z0-9 \t\n\r]", "")) / F.length(sample) > 0.15
+        chars = F.ceil(F.length(bare) / F.when(dense, 3).otherwise(4))
+        words = F.ceil(F.size(F.split(bare, r"\s+")) * F.lit(13) / 10)
+        return F.when(F.length(bare) == 0, 0).otherwise(F.greatest(chars, words)).cast("bigint")
+
+    return _with(_stripped(F.coalesce(text, F.lit(""))), told)
 
 
 def compress_prompt(text: Column) -> Column:
@@ -281,13 +288,13 @@ def trim_to_tokens(text: Column, most: int | Column) -> Column:
     The first length follows from the text's own characters a token, less 16; up to six times a tenth less is tried.
     """
     most = F.lit(most) if isinstance(most, int) else most
-    start = lambda length: F.regexp_replace(F.substring(text, F.lit(1), length.cast("int")), r"^\s+|\s+$", "")
+    start = lambda length: _stripped(F.substring(text, F.lit(1), length.cast("int")))
 
     def shrunk(length: Column, left: int) -> Column:
-        cut = start(length)
         if not left:
-            return cut
-        return F.when(token_estimate(cut) <= most, cut).otherwise(_with(F.floor(length * 0.9), lambda shorter: shrunk(shorter, left - 1)))
+            return start(length)
+        shorter = _with(F.floor(length * 0.9), lambda shorter: shrunk(shorter, left - 1))
+        return _with(start(length), lambda cut: F.when(token_estimate(cut) <= most, cut).otherwise(shorter))
 
     def fitting(tokens: Column) -> Column:
         first = F.greatest(F.lit(0), F.floor(most * (F.length(text) / F.greatest(F.lit(1), tokens))) - 16)

@@ -8,12 +8,17 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import cosine
 
 
+#: Characters of chunks that are handed on at once.
+TOGETHER = 1 << 20
+
+
 def tokens(text: str) -> int:
     """The estimate of functions.text.token_estimate for one text."""
     bare = text.strip()
@@ -113,13 +118,22 @@ def chunk(docs: DataFrame, strategy: str = "recursive", key: str = "doc_id", tex
     """(key, chunk_index, chunk) of every whole text; an unknown strategy is an error, null and empty texts have no chunk."""
     split = SPLITTERS[strategy]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = [(k, i, c) for k, t in zip(part.iloc[:, 0], part.iloc[:, 1], strict=True) if t for i, c in enumerate(split(t, **options))]
-            yield pd.DataFrame(rows, columns=["k", "chunk_index", "chunk"])
-
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).filter(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInPandas(run, f"k {kind}, chunk_index int, chunk string").withColumnRenamed("k", key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, places, chunks, held = [], [], [], 0
+            for row, text in enumerate(batch.column(1)):
+                own = split(text.as_py(), **options) if len(text.as_buffer()) else []
+                at += [row] * len(own)
+                places += range(len(own))
+                chunks += own
+                held += sum(map(len, own))
+                if held > TOGETHER or row == len(batch) - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(places, pa.int32()), pa.array(chunks, pa.string())], ["k", "chunk_index", "chunk"])
+                    at, places, chunks, held = [], [], [], 0
+
+    return docs.select(key, text).filter(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInArrow(run, f"k {kind}, chunk_index int, chunk string").withColumnRenamed("k", key)
 
 
 def hard_split(text: Column, n: int) -> Column:

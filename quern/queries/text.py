@@ -216,8 +216,9 @@ def schema_checks(spark, d):
 
 @query(TRIMMED_SQL)
 def trimmed_tokens(spark, d):
-    cut = text.trim_to_tokens(F.col("text"), 100)
-    return table(spark, d, "documents").select("doc_id", F.length(cut).alias("n_chars"), F.md5(cut).alias("cut_md5"))
+    told = table(spark, d, "documents").select("doc_id", text.trim_to_tokens(F.col("text"), 100).alias("cut"))
+    cut = F.col("cut")
+    return told.select("doc_id", F.length(cut).alias("n_chars"), F.md5(cut).alias("cut_md5"))
 
 
 @query("""WITH c AS (SELECT page_id, unnest(string_split(url, '')) AS c, unnest(range(length(url))) AS i FROM pages WHERE url <> ''), s AS (SELECT page_id, i % 32 AS slot, sum(unicode(c) / 255.0) AS v FROM c GROUP BY ALL)
