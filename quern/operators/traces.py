@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.plans.lineage import cut
+from quern.plans.shares import shares
 
 #: Edges of a trace up to which one task walks it.
 TOGETHER = 100_000
@@ -45,8 +46,9 @@ def critical_path(steps: DataFrame) -> DataFrame:
     levels. Steps on a cycle have no root and are left out.
     """
     rows = cut(steps.select("trace_id", "step_id", "parent_id", F.col("duration").cast("double").alias("chain")))
-    parents = rows.filter("parent_id is not null").select("trace_id", F.col("parent_id").alias("step_id")).distinct()
-    leaves = _climbed(rows, chain=lambda below, above: below + above).join(parents, ["trace_id", "step_id"], "left_anti")
+    parts = shares(steps)
+    parents = rows.filter("parent_id is not null").select("trace_id", F.col("parent_id").alias("step_id")).repartition(parts, "trace_id", "step_id").distinct()
+    leaves = _climbed(rows, parts, chain=lambda below, above: below + above).repartition(parts, "trace_id", "step_id").join(parents, ["trace_id", "step_id"], "left_anti")
     roots = leaves.groupBy("trace_id", "root").agg(F.max("chain").alias("chain"), F.max("hops").alias("depth"))
     best = F.max(F.struct(F.round("chain", 2).alias("d"), (-F.col("root")).alias("s"), "depth"))
     return roots.groupBy("trace_id").agg(best.alias("b")).select("trace_id", (-F.col("b.s")).alias("root"), F.col("b.d").alias("duration"), "b.depth")
@@ -62,23 +64,26 @@ def parallel_gain(steps: DataFrame) -> DataFrame:
 def timeline(steps: DataFrame) -> DataFrame:
     """Each step with its depth and path of step ids from the root, by which a trace sorts in preorder."""
     rows = cut(steps.select("trace_id", "step_id", "parent_id", F.lpad(F.col("step_id").cast("string"), 12, "0").alias("path")))
-    climbed = _climbed(rows, path=lambda below, above: F.concat_ws("/", above, below))
+    climbed = _climbed(rows, shares(steps), path=lambda below, above: F.concat_ws("/", above, below))
     return climbed.select("trace_id", "step_id", (F.col("hops") - 1).alias("depth"), "path")
 
 
-def _climbed(rows: DataFrame, **folded) -> DataFrame:
+def _climbed(rows: DataFrame, parts: int | None = None, **folded) -> DataFrame:
     """The steps that a root leads to: trace_id, step_id, root, hops (steps from the root to it) and the ``folded`` columns.
 
     Each round puts a step's stretch of ancestors and that of the stretch's upper end together, so stretches double and
     rounds are the logarithm of the depth. A stretch as long as its trace has steps goes round a cycle and is dropped, as
-    is one whose upper end is missing.
+    is one whose upper end is missing. Rows are dealt over ``parts`` partitions, so that what a task sorts doesn't grow with them.
     """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df, *on: df.repartition(parts, *on)
+    rows = dealt(rows, "trace_id")
     size = rows.groupBy("trace_id").agg(F.count("*").alias("size"))
     rows = rows.join(size, "trace_id").select("trace_id", "step_id", F.col("parent_id").alias("up"), F.col("step_id").alias("root"), F.lit(1).alias("hops"), "size", *folded)
     while True:
         live = rows.filter("up is not null and hops < size")
         above = rows.select("trace_id", F.col("step_id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("hops").alias("_hops"), *[F.col(c).alias(f"_{c}") for c in folded])
-        joined = live.join(above, ["trace_id", "up"]).select(
+        joined = dealt(live, "trace_id", "up").join(dealt(above, "trace_id", "up"), ["trace_id", "up"]).select(
             "trace_id", "step_id", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("hops") + F.col("_hops")).alias("hops"), "size", *[f(F.col(c), F.col(f"_{c}")).alias(c) for c, f in folded.items()]
         )
         rows = cut(rows.filter("up is null").unionByName(joined))
@@ -88,8 +93,9 @@ def _climbed(rows: DataFrame, **folded) -> DataFrame:
 
 def cyclic_steps(steps: DataFrame) -> DataFrame:
     """Steps that no root leads to: those of cycles and what hangs below them."""
+    parts = shares(steps)
     steps = cut(steps.select("trace_id", "step_id", "parent_id"))
-    reached = _climbed(steps).select("trace_id", "step_id")
+    reached = _climbed(steps, parts).select("trace_id", "step_id")
     return steps.select("trace_id", "step_id").join(reached, ["trace_id", "step_id"], "left_anti")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import traces as op
+from quern.plans.shares import shares
 from quern.queries.registry import query
 from quern.sources.tables import table
 
@@ -15,9 +16,11 @@ UNION ALL SELECT l_orderkey, k, CASE WHEN k <= 2 THEN 0 ELSE k - 2 END, 'line-'
 
 
 def _steps(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("trace_id")).distinct()
+    lines = table(spark, d, "lineitem")
+    parts = shares(lines)  # a task sorts one share of the lines, however many there are
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("trace_id")).repartition(parts, "trace_id").distinct()
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    lines = table(spark, d, "lineitem").withColumn("k", F.row_number().over(order).cast("bigint"))
+    lines = lines.repartition(parts, "l_orderkey").withColumn("k", F.row_number().over(order).cast("bigint"))
     lines = lines.join(orders, F.col("l_orderkey") == F.col("trace_id"), "left_semi").select(
         F.col("l_orderkey").alias("trace_id"), F.col("k").alias("step_id"), F.when(F.col("k") <= 2, 0).otherwise(F.col("k") - 2).cast("bigint").alias("parent_id"),
         F.concat(F.lit("line-"), "l_returnflag").alias("type"), F.when(F.col("l_returnflag") == "R", "error").otherwise("ok").alias("status"),
