@@ -21,6 +21,12 @@ def counted_values(df: DataFrame, keys: list[str], value: str = "v") -> DataFram
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
 
 
+def each_value(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
+    """(keys, v, 1) of each value that isn't null, -0.0 as 0.0 like in ``counted_values``; nothing is shuffled to count them."""
+    v = F.col(value)
+    return df.filter(v.isNotNull()).select(*keys, F.when(v == 0, F.lit(0)).otherwise(v).alias("v"), F.lit(1).cast("bigint").alias("n"))
+
+
 def _small(df: DataFrame) -> bool:
     """Whether the planner takes ``df`` to be at most ``SORTED`` bytes; joins and generated rows are estimated from above or unknown."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SORTED
@@ -53,23 +59,24 @@ def _cut_again(rows: DataFrame, on: list[str]) -> DataFrame:
     return rows.drop("before").join(span.join(hit, on), on).filter(_bucket() == F.col("_hit")).drop("low", "high", "_hit")
 
 
-def at_ranks(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """One row by group of ``counted`` (keys, v, n) with the value at each rank from 1; without keys always one row.
+def at_ranks(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]], few: bool = False) -> DataFrame:
+    """One row by group of ``counted`` (keys, v, n; a value may come more than once) with the value at each rank from 1; without keys always one row.
 
     ``ranks`` maps a column name to the rank as a function of the group's size. Where the planner takes the input to be small, a
     group's values are sorted by one task. Else the span of a group is cut into ``BUCKETS`` of equal width, the buckets are counted
     and those that hold a wanted rank are cut once more by their own span, so that a far value costs one cut; what is left is sorted. Both
-    give the same values. Keys may be null.
+    give the same values. Keys may be null. ``few`` says that there are so few groups that a row for each can be sent to all tasks: then,
+    as without keys, the values are only shuffled once they are in a wanted bucket.
     """
     if _small(counted):
         order = Window.partitionBy(*keys).orderBy("v")
         rows = counted.select(*keys, "v", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("size"))
         return rows.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= rank(F.col("size")), F.col("v"))).alias(name) for name, rank in ranks.items()])
-    return _in_buckets(counted, keys, ranks)
+    return _in_buckets(counted, keys, ranks, few)
 
 
-def _in_buckets(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    few = (lambda df: df) if keys else F.broadcast  # without keys: one row of edges, a row for each rank
+def _in_buckets(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]], few_groups: bool) -> DataFrame:
+    few = F.broadcast if few_groups or not keys else (lambda df: df)  # without keys: one row of edges, a row for each rank
     group = F.struct(*keys) if keys else F.lit(0)  # a struct of nulls equals another, a null doesn't
     grouped = counted.select(group.alias("g"), "v", "n")
     span = _span(grouped, ["g"], F.sum("n").alias("size"))
@@ -78,10 +85,10 @@ def _in_buckets(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[
     counts = placed.groupBy("g", "bucket").agg(F.sum("n").alias("held"), F.first("size").alias("size")).withColumn("upto", F.sum("held").over(order))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("size")).cast("bigint").alias("rank")) for name, rank in ranks.items()])
     hit = counts.select("g", "bucket", (F.col("upto") - F.col("held")).alias("before"), "upto", F.inline(wanted)).filter("before < rank and rank <= upto")
-    hits = hit.groupBy("g").agg(F.collect_list(F.struct("bucket", "name", "rank", "before")).alias("hits"))
-    taken = grouped.join(few(span.drop("size").join(few(hits), "g")), "g").withColumn("bucket", _bucket()).filter(F.exists("hits", lambda h: h["bucket"] == F.col("bucket")))
+    hits = hit.groupBy("g").agg(F.collect_list(F.struct("bucket", "name", "rank", "before")).alias("hits"), F.collect_set("bucket").alias("places"))
+    taken = grouped.join(few(span.drop("size").join(few(hits), "g")), "g").withColumn("bucket", _bucket()).filter(F.array_contains("places", F.col("bucket")))
     taken = taken.select("g", "v", "n", "bucket", F.inline("hits").alias("at", "name", "rank", "before")).filter("at = bucket").drop("at", "bucket")
-    left = _cut_again(taken, ["g", "name"])
+    left = _cut_again(taken.groupBy("g", "name", "rank", "before", "v").agg(F.sum("n").alias("n")), ["g", "name"])
     inside = Window.partitionBy("g", "name").orderBy("v")
     found = left.withColumn("at", F.col("before") + F.sum("n").over(inside)).filter("at >= rank")
     values = [F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks]

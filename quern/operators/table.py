@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import BooleanType, DateType, DoubleType, IntegralType, NumericType, TimestampType
 
 from quern.functions.text import fingerprint, is_sql, looks_like_date, rough_shape, to_number
-from quern.operators.quantiles import MARKS, UPPER_MEDIAN, at_ranks, counted_values
+from quern.operators.quantiles import MARKS, UPPER_MEDIAN, at_ranks, counted_values, each_value
+from quern.plans.lineage import cut
 
 # Rules over statement shapes (id, confidence, what must match, what must not).
 ANTI_PATTERNS = [
@@ -98,33 +99,70 @@ def cells(df: DataFrame) -> DataFrame:
     return df.select(F.inline(pairs)).filter("trim(cell) != ''").groupBy("column_name", "cell").agg(F.count("*").alias("n"))
 
 
+def _numeric(df: DataFrame, name: str) -> Column | None:
+    """A column whose text as a number is its own value (null if that isn't finite), None for columns of other types."""
+    kind, cell = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, IntegralType):
+        return cell.cast("double")
+    return F.when(F.abs(cell) < float("inf"), cell) if isinstance(kind, DoubleType) else None
+
+
+def _cells(df: DataFrame, name: str) -> DataFrame:
+    """(column_name, cell, v, dated, n): each distinct non-blank cell of a column as text, as a number and whether it looks like a date.
+
+    Values are counted before they become text, where equal ones have equal texts: a zero's text tells its sign.
+    """
+    kind, value, number_of = df.schema[name].dataType, F.col(f"`{name}`"), _numeric(df, name)
+    cell, dated = value.cast("string"), F.lit(False)
+    if isinstance(kind, DoubleType):
+        keys, cell = [value, F.when(value == 0, cell).alias("_zero")], F.coalesce("_zero", cell)
+    elif number_of is not None or isinstance(kind, (BooleanType, DateType, TimestampType)):
+        keys = [value]
+    else:
+        keys, cell, df = [cell.alias(name)], value, df.filter(F.trim(cell) != "")
+    if number_of is None:
+        number_of, dated = to_number(cell), looks_like_date(cell)
+    counted = df.filter(value.isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
+    return counted.select(F.lit(name).alias("column_name"), cell.alias("cell"), number_of.alias("v"), dated.alias("dated"), F.col("_n").alias("n"))
+
+
 def census(df: DataFrame, most: int = 12) -> DataFrame:
     """One row by column: non-empty and distinct cells, kind, three samples, and what suits the kind.
 
     Kinds: number (80 % of the cells are; min, upper median, max, sum), datetime (a quarter of the cells, and at least
     5 or all of them, look like dates) or text (average length; the values with their counts where there are at most
-    ``most``). Samples are the first distinct cells in text order. Cells are counted by value first, so that the
-    shuffle holds a row for each distinct cell and task.
+    ``most``). Samples are the first distinct cells in text order. Each column is read and counted by value by itself; the
+    distinct cells of columns that aren't numbers by type are told apart once and kept. Medians of the others come from their rows.
     """
-    counted = cells(df).withColumn("v", to_number(F.col("cell")))
+    counted = {c: _cells(df, c) for c in df.columns}
+    plain = [c for c in df.columns if _numeric(df, c) is not None]
+    values = [each_value(df.select(F.lit(c).alias("column_name"), _numeric(df, c).alias("v")), ["column_name"]) for c in plain]
+    first = [counted[c].orderBy("cell").limit(max(3, most + 1)).select("column_name", "cell", "n") for c in plain]
+    parts = [counted[c] for c in plain]
+    if len(plain) < len(df.columns):
+        texts = cut(reduce(DataFrame.unionAll, [counted[c] for c in df.columns if c not in plain]))
+        values.append(texts.filter("v is not null").select("column_name", "v", "n"))
+        place = F.row_number().over(Window.partitionBy("column_name").orderBy("cell"))
+        first.append(texts.select("column_name", "cell", "n", place.alias("_r")).filter(F.col("_r") <= max(3, most + 1)).drop("_r"))
+        parts.append(texts)
     times = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    told = counted.groupBy("column_name").agg(
-        F.sum("n").alias("non_empty"), F.count("*").alias("distinct_cells"), times(F.col("v").isNotNull()).alias("numeric"), times(looks_like_date(F.col("cell"))).alias("dated"),
+    told = reduce(DataFrame.unionAll, parts).groupBy("column_name").agg(
+        F.sum("n").alias("non_empty"), F.count("*").alias("distinct_cells"), times(F.col("v").isNotNull()).alias("numeric"), times(F.col("dated")).alias("dated"),
         F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.sum(F.col("v") * F.col("n")), 2).alias("sum"),
         F.round(F.sum(F.length("cell") * F.col("n")) / F.sum("n"), 4).alias("avg_length"),
     )
     dated = F.col("dated") >= F.least(F.col("non_empty"), F.greatest(F.lit(5), F.col("non_empty") / 4))
     told = told.withColumn("kind", F.when(F.col("numeric") >= NUMERIC_SHARE * F.col("non_empty"), "number").when(dated, "datetime").otherwise("text"))
-    numbers = counted.filter("v is not null").groupBy("column_name", "v").agg(F.sum("n").alias("n"))
-    medians = at_ranks(numbers, ["column_name"], UPPER_MEDIAN)
-    leading = counted.withColumn("_r", F.row_number().over(Window.partitionBy("column_name").orderBy("cell"))).filter("_r <= 3")
-    samples = leading.groupBy("column_name").agg(F.array_join(F.array_sort(F.collect_list("cell")), " | ").alias("samples"))
-    few = counted.join(told.filter((F.col("kind") == "text") & (F.col("distinct_cells") <= most)).select("column_name"), "column_name", "left_semi")
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "cell")))
-    values = few.groupBy("column_name").agg(F.array_join(F.transform(listed, lambda x: F.concat(x["cell"], F.lit("="), (-x["n"]).cast("string"))), ", ").alias("value_counts"))
+    medians = at_ranks(reduce(DataFrame.unionAll, values), ["column_name"], UPPER_MEDIAN, few=True)
+    cells = F.array_sort(F.collect_list(F.struct("cell", "n")))
+    leading = reduce(DataFrame.unionAll, first).groupBy("column_name").agg(cells.alias("leading"))
+    samples = F.array_join(F.slice("leading.cell", 1, 3), " | ").alias("samples")
+    listed = F.array_sort(F.transform("leading", lambda x: F.struct((-x["n"]).alias("n"), x["cell"].alias("cell"))))
+    few = (F.col("kind") == "text") & (F.col("distinct_cells") <= most)
+    value_counts = F.when(few, F.array_join(F.transform(listed, lambda x: F.concat(x["cell"], F.lit("="), (-x["n"]).cast("string"))), ", ")).alias("value_counts")
     only = [F.when(F.col("kind") == "number", F.col(c)).alias(c) for c in ("min", "max", "sum", "median")]
-    whole = told.join(medians, "column_name", "left").join(samples, "column_name", "left").join(values, "column_name", "left")
-    return whole.select("column_name", "non_empty", "distinct_cells", "kind", *only, "avg_length", "samples", "value_counts")
+    whole = told.join(medians, "column_name", "left").join(leading, "column_name", "left")
+    return whole.select("column_name", "non_empty", "distinct_cells", "kind", *only, "avg_length", samples, value_counts)
 
 
 def status_breakdown(df: DataFrame, status: str, most: int = 12) -> DataFrame:
