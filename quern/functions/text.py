@@ -107,18 +107,32 @@ def _with(value: Column, then) -> Column:
 
 
 def _quotes_and_comments(sql: Column) -> Column:
-    """A statement without comments, its quoted literals ``?`` (``'%?'`` with a leading %)."""
-    steps = [
-        (r"--[^\n]*", " "), (r"(?s)/\*.*?\*/", " "), (r"'%(?:[^']|'')*'", "\u0001"), (r"'(?:[^']|'')*'", "?"), ("\u0001", "'%?'"),
-        (r'"%(?:[^"]|"")*"', "\u0001"), (r'"(?:[^"]|"")*"', "?"), ("\u0001", '"%?"'),
-    ]
-    return reduce(lambda c, s: F.regexp_replace(c, *s), steps, F.coalesce(sql, F.lit("")))
+    """A statement without comments, its quoted literals ``?`` (``'%?'`` with a leading %).
+
+    A step runs only where its mark is in the statement, which none of the steps brings in. Literals are stretches without a quote
+    joined by doubled ones, so that long ones aren't searched in depth.
+    """
+    has = lambda *marks: reduce(lambda a, b: a | b, [F.contains(sql, F.lit(m)) for m in marks])
+    out = sql
+    for mark, comment in (("--", r"--[^\n]*"), ("/*", r"(?s)/\*.*?\*/")):
+        out = F.when(has(mark), F.regexp_replace(out, comment, " ")).otherwise(out)
+    for q in "'\"":
+        literal = f"[^{q}]*(?:{q}{q}[^{q}]*)*{q}"
+        leading = F.replace(F.regexp_replace(F.regexp_replace(out, f"{q}%{literal}", "\u0001"), f"{q}{literal}", "?"), F.lit("\u0001"), F.lit(f"{q}%?{q}"))
+        out = F.when(has(f"{q}%", "\u0001"), leading).when(has(q), F.regexp_replace(out, f"{q}{literal}", "?")).otherwise(out)
+    return F.coalesce(out, F.lit(""))
 
 
 def rough_shape(sql: Column) -> Column:
-    """A statement of the same ``fingerprint`` in which quoted literals and freestanding whole numbers are alike; cheap to find."""
-    bare = F.when(sql.rlike("['\"]|--|/\\*"), _quotes_and_comments(sql)).otherwise(sql)
-    return F.regexp_replace(bare, r"(?<![\w.])\d{2,}(?![\w.])", "0")
+    """A statement of the same ``fingerprint`` in which quoted literals and freestanding whole numbers are alike; cheap to find.
+
+    The steps stand in a function of the statement, as generated code of all their branches is too long to be compiled well.
+    """
+    def bare(s: Column) -> Column:
+        marked = reduce(lambda a, b: a | b, [F.contains(s, F.lit(m)) for m in ("'", '"', "--", "/*")])
+        return F.regexp_replace(F.when(marked, _quotes_and_comments(s)).otherwise(s), r"\d(?<![\w.]\d)\d++(?![\w.])", "0")
+
+    return _with(sql, bare)
 
 
 def _one_branch_each(sql: Column) -> Column:
