@@ -69,10 +69,12 @@ def column_roles(df: DataFrame) -> DataFrame:
     the numeric one with the widest spread that passes the vetoes of ``guessed_duration`` is guessed to be. All values count.
     """
     names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns, 1)], "place int, column_name string")
-    times = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n")
-    cell = F.col("cell")
-    told = table.cells(df).groupBy("column_name").agg(
-        times(to_number(cell).isNotNull()).alias("numbers"), times(cell.rlike(STATEMENT)).alias("statements"), (F.sum(F.length("cell") * F.col("n")) / F.sum("n")).alias("length")
+    # shares are told row by row: counting by value first would shuffle all of a column of statements
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), text(c).alias("cell"), table.is_number(df, c).alias("number")) for c in df.columns])
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    told = df.select(F.inline(cells)).filter("trim(cell) != ''").groupBy("column_name").agg(
+        share(F.col("number")).alias("numbers"), share(F.col("cell").rlike(STATEMENT)).alias("statements"), F.avg(F.length("cell")).alias("length")
     )
     header = normalize_header(F.col("column_name"))
     known = names.join(F.broadcast(told), "column_name", "left").fillna(0.0, ["numbers", "statements", "length"]).withColumn("h", header)
@@ -85,11 +87,13 @@ def column_roles(df: DataFrame) -> DataFrame:
     ]
     chosen = F.coalesce(*[F.when(c, F.struct(F.lit(role).alias("role"), F.lit(basis).alias("basis"))) for c, role, basis in rules], F.struct(F.lit("text").alias("role"), F.lit("no match").alias("basis")))
     named = known.withColumn("r", chosen).select("place", "column_name", "h", F.col("r.role").alias("role"), F.col("r.basis").alias("basis"))
-    timed = named.agg(F.coalesce(F.max((F.col("role") == "duration").cast("int")), F.lit(0)).alias("timed"))
-    guesses = table.guessed_duration(df, df.columns).filter("guessed_duration").select("column_name", "spread").join(F.broadcast(named.filter("role = 'numeric'").select("column_name", "place")), "column_name")
-    guess = guesses.agg(F.max(F.struct("spread", (-F.col("place")).alias("p")))["p"].alias("guess"))
-    picked = (F.col("timed") == 0) & F.coalesce(F.col("place") == -F.col("guess"), F.lit(False))
-    whole = named.crossJoin(F.broadcast(timed)).crossJoin(F.broadcast(guess)).withColumn("u", unit(F.col("h")))
+    named = df.sparkSession.createDataFrame(named.collect(), named.schema)  # a row for each column
+    guess = None
+    if named.filter("role = 'duration'").isEmpty():
+        guesses = table.guessed_duration(df, df.columns).filter("guessed_duration").select("column_name", "spread").join(F.broadcast(named.filter("role = 'numeric'").select("column_name", "place")), "column_name")
+        guess = guesses.agg(F.max(F.struct("spread", (-F.col("place")).alias("p")))["p"].alias("guess"))
+    picked = F.coalesce(F.col("place") == -F.col("guess"), F.lit(False)) if guess is not None else F.lit(False)
+    whole = (named if guess is None else named.crossJoin(F.broadcast(guess))).withColumn("u", unit(F.col("h")))
     return whole.select(
         "place", "column_name", F.when(picked, "duration").otherwise(F.col("role")).alias("role"), F.when(picked, "guessed by spread").otherwise(F.col("basis")).alias("basis"),
         F.col("u.label").alias("unit"), F.col("u.to_ms").alias("to_ms"), F.col("u.stated").alias("unit_stated"),

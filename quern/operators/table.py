@@ -93,12 +93,6 @@ def analyze_group(df: DataFrame, group: int | str, value: int | str, **rows) ->
     )
 
 
-def cells(df: DataFrame) -> DataFrame:
-    """(column_name, cell, n): each distinct non-blank cell of each column as text, counted in one pass over the table."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("cell")) for c in df.columns])
-    return df.select(F.inline(pairs)).filter("trim(cell) != ''").groupBy("column_name", "cell").agg(F.count("*").alias("n"))
-
-
 def _numeric(df: DataFrame, name: str) -> Column | None:
     """A column whose text as a number is its own value (null if that isn't finite), None for columns of other types."""
     kind, cell = df.schema[name].dataType, F.col(f"`{name}`")
@@ -107,6 +101,16 @@ def _numeric(df: DataFrame, name: str) -> Column | None:
     return F.when(F.abs(cell) < float("inf"), cell) if isinstance(kind, DoubleType) else None
 
 
+def is_number(df: DataFrame, name: str) -> Column:
+    """Whether a cell's text is a number; one that begins with neither a sign, a digit nor a separator isn't looked at further."""
+    value = _numeric(df, name)
+    if value is not None:
+        return value.isNotNull()
+    cell = F.col(f"`{name}`").cast("string")
+    begin = F.ascii(F.trim(cell))
+    return F.when(begin.between(43, 57) | (begin == 95), to_number(cell).isNotNull()).otherwise(False)
+
+
 def _cells(df: DataFrame, name: str) -> DataFrame:
     """(column_name, cell, v, dated, n): each distinct non-blank cell of a column as text, as a number and whether it looks like a date.
 
