@@ -24,116 +24,157 @@ from quern.llm.scratch import Scratch
 
 #: Ids in a block (at least, unless it is the last of its part), ids between two bit offsets, id ending a document.
 BLOCK_IDS, EVERY, END_ID = 1 << 17, 128, 0
-#: Chunks that a worker's encoder remembers, and bytes of text that it encodes together.
+#: Blocks of the least size that are decoded together.
+SIDE_BY_SIDE = 8
+#: Pieces that a worker's encoder remembers, and bytes of text that it encodes together.
 REMEMBERED, TOGETHER = 900_000, 16 << 20
-#: The breaks in texts with a space next to other white space.
-_AWKWARD_SPLIT = re.compile(r"(?<!\s) | (?!\s|\Z)").split
-_WORD, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-&(-/:-@\[-`{-~]*"
-#: Chunks of Latin letters with ASCII marks after them (no apostrophe), and lines of such.
-_PLAIN = re.compile(rf"({_WORD})({_MARKS})((?:\n{_WORD}{_MARKS})*)\Z").match
-_LINE = re.compile(rf"({_WORD})({_MARKS})").match
+#: Pieces of text sent to the library as one, and ids of the longest piece that outlives a trim.
+JOINED, LONGEST = 200, 32
+#: Classes of bytes: Latin letters, ASCII marks without the apostrophe, line ends, spaces, other characters that aren't white space, and other white space.
+_LETTER, _MARK, _LINE_END, _SPACE, _OTHER, _WHITE = range(6)
+_CLASSES = 6
+#: Bytes whose class depends on their neighbours: continuation bytes, and first bytes of characters that may be letters or white space.
+_OPEN = 64
+#: A piece without white space but for a space at its begin.
+_PIECE = re.compile(r"( ?)\S+\Z").match
+
+
+def _byte_classes() -> bytes:
+    def of(b: int) -> int:
+        if b >= 0x80:
+            return _OPEN if b < 0xC0 or 0xC2 <= b <= 0xC8 or 0xE1 <= b <= 0xE3 else _OTHER
+        c = chr(b)
+        if c == " ":
+            return _SPACE
+        if c == "\n":
+            return _LINE_END
+        return _WHITE if c.isspace() else _LETTER if c.isalpha() else _MARK if c.isprintable() and not c.isdigit() and c != "'" else _OTHER
+
+    return bytes(map(of, range(256)))
+
+
+def _breaks() -> bytes:
+    """By the classes of a byte (weight 6), the one before (1) and the one after (36): 1 for a break before the byte, 2 for one after it.
+
+    The pre-tokenizer always breaks between letters and marks, before a space between characters that aren't white space, and on both
+    sides of a line end between letters or marks; what stands on either side has no influence on the other.
+    """
+    word, solid = (_LETTER, _MARK), (_LETTER, _MARK, _OTHER)
+    out = bytearray(256)
+    for code in range(_CLASSES**3):
+        before, own, after = code % _CLASSES, code // _CLASSES % _CLASSES, code // _CLASSES**2
+        if own == _LINE_END and before in word and after in word:
+            out[code] = 3
+        elif own == _SPACE and before in solid and after in solid or own in word and before in word and own != before:
+            out[code] = 1
+    return bytes(out)
+
+
+_BYTE_CLASS, _BREAK = _byte_classes(), _breaks()
+
+
+def byte_classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte of UTF-8 texts; all bytes of a character have the same."""
+    found = np.frombuffer(bytearray(data.tobytes().translate(_BYTE_CLASS)), dtype=np.uint8)
+    at = np.flatnonzero(found == _OPEN)
+    if len(at):
+        back = data[at] < 0xC0
+        at, rest = at[~back], at[back]
+        found[rest] = _OTHER
+        held = np.append(data, np.zeros(2, dtype=np.uint8))
+        a, b, c = held[at], held[at + 1], held[at + 2]
+        letter = (a >= 0xC3) & (a <= 0xC8) & ((a > 0xC3) | (b != 0x97) & (b != 0xB7))
+        white = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & ((b == 0x9A) & (c == 0x80) | (b == 0xA0) & (c == 0x8E)) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        white |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+        own = np.where(letter, _LETTER, np.where(white, _WHITE, _OTHER)).astype(np.uint8)
+        found[at], found[at + 1] = own, own
+        wide = at[a >= 0xE0]
+        found[wide + 2] = own[a >= 0xE0]
+    return found
 
 
 class ChunkEncoder:
-    """Texts to ids through the tokenizers library, remembering the ids of chunks seen before.
+    """Texts to ids through the tokenizers library, remembering the ids of pieces seen before.
 
-    The byte-level pre-tokenizer always breaks before a space that follows or precedes a character that isn't white space,
-    so " chunk" is encoded once and joined. A space inside a run of white space, or at its end, stays in its chunk. It
-    also breaks between letters, marks and a lone line end, so the words and marks of a plain chunk are encoded once, too. A
-    text with one of the vocabulary's special strings goes to the library whole. Chunks are split, counted and joined as Arrow and
-    NumPy arrays; only distinct ones become Python strings.
+    Texts are cut where the byte-level pre-tokenizer always breaks (``_breaks``), told from the classes of neighbouring bytes. Each
+    distinct piece is encoded once by the library and what it gave is joined; what stands between two sure breaks stays a piece, whatever it
+    is. A text with one of the vocabulary's special strings is one piece. Pieces are cut, counted and joined as Arrow and NumPy arrays; only
+    distinct ones become Python strings.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.model._resize_cache(0)  # a piece comes once
         size = self.tokenizer.get_vocab_size()
         self.dtype = "<u4" if size > 1 << 16 else "<u2"
-        self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_end = line_end[0] if len(line_end) == 1 else None  # without an id of its own no chunk is taken apart
+        self.line_end = line_end[0] if len(line_end) == 1 else -1  # without an id of its own nothing is found and pieces are encoded by themselves
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = lambda text: any(x in text for x in self.specials)
         self.clear()
 
     def clear(self) -> None:
-        """Forgets all chunks; entry 0 is the end id."""
+        """Forgets all pieces; entry 0 is the end id."""
         self.known: dict[str, int] = {}
-        self.words: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
         self.ids, self.used = np.full(1 << 16, END_ID, dtype=self.dtype), 1
         self.start, self.size, self.entries = np.zeros(1 << 16, dtype=np.int64), np.ones(1 << 16, dtype=np.int64), 1
+        self.seen = np.zeros(1 << 16, dtype=np.int64)
+
+    def trim(self) -> None:
+        """Forgets pieces that came in one part of the input only, and all if too many are left."""
+        kept = [(piece, k) for piece, k in self.known.items() if self.seen[k] > 1 and self.size[k] <= LONGEST]
+        ids, start, size = self.ids, self.start, self.size
+        self.clear()
+        if kept and len(kept) <= REMEMBERED // 2:
+            at = np.array([k for _, k in kept])
+            flat = np.repeat(start[at] - np.cumsum(size[at]) + size[at], size[at]) + np.arange(size[at].sum())
+            self.known.update(zip([piece for piece, _ in kept], self._add(ids[flat], size[at]), strict=True))
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.fromiter(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _room(held: np.ndarray, used: int, more: int) -> np.ndarray:
         return held if used + more <= len(held) else np.concatenate([held[:used], np.zeros((used + more) // 2 + more, dtype=held.dtype)])
 
-    def _add(self, found: list[bytes]) -> range:
+    def _add(self, flat: np.ndarray, size: np.ndarray) -> range:
         """Stores ids; their entries."""
-        flat = np.frombuffer(b"".join(found), dtype=self.dtype)
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // flat.itemsize
         self.ids = self._room(self.ids, self.used, len(flat))
-        self.start, self.size = (self._room(x, self.entries, len(found)) for x in (self.start, self.size))
+        self.start, self.size, self.seen = (self._room(x, self.entries, len(size)) for x in (self.start, self.size, self.seen))
         self.ids[self.used : self.used + len(flat)] = flat
-        own = range(self.entries, self.entries + len(found))
-        self.start[own.start : own.stop], self.size[own.start : own.stop] = np.cumsum(size) - size + self.used, size
+        own = range(self.entries, self.entries + len(size))
+        self.start[own.start : own.stop], self.size[own.start : own.stop], self.seen[own.start : own.stop] = np.cumsum(size) - size + self.used, size, 0
         self.used, self.entries = self.used + len(flat), own.stop
         return own
 
-    def _cut(self, raw: bytes, begin: np.ndarray) -> list[bytes]:
-        cuts = (np.append(begin, len(raw) // self.ids.itemsize) * self.ids.itemsize).tolist()
-        return list(map(raw.__getitem__, map(slice, cuts, cuts[1:])))
-
-    def _spaced(self, chunks: list[str]) -> list[bytes]:
-        """The ids of " chunk", many in a text; each begins at a token that begins with the space."""
-        out = []
-        for at in range(0, len(chunks), 1000):
-            part = chunks[at : at + 1000]
-            raw = self._whole([" " + " ".join(part)])[0]
-            begin = np.flatnonzero(self.starts[np.frombuffer(raw, dtype=self.dtype)])
-            out += self._cut(raw, begin) if len(begin) == len(part) else self._whole([" " + c for c in part])
-        return out
-
-    def _lines(self, pieces: list[str]) -> list[bytes]:
-        """The ids of a line end and then a word or marks, many in a text; each begins at the id of the line end."""
-        out = []
-        for at in range(0, len(pieces), 1000):
-            part = pieces[at : at + 1000]
-            raw = self._whole(["\n" + "\n".join(part)])[0]
-            begin = np.flatnonzero(np.frombuffer(raw, dtype=self.dtype) == self.line_end)
-            out += self._cut(raw, begin) if len(begin) == len(part) else self._whole(["\n" + c for c in part])
-        return out
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes " chunk" for new chunks."""
-        single, several, other = [], [], []
-        for chunk in chunks:
-            if self.line_end is not None and (found := _PLAIN(chunk)):
-                word, marks, lines = found.groups()
-                if marks or lines:
-                    several.append((chunk, word, marks, [_LINE(x).groups() for x in lines[1:].split("\n")] if lines else ()))
-                else:
-                    single.append(chunk)
-            else:
-                other.append(chunk)
-        words, bare = self.words, self.bare
-        new = list({*single, *[x[1] for x in several]} - words.keys())
-        words.update(zip(new, self._spaced(new), strict=True))
-        new = list({*[x[2] for x in several], *[p for x in several for pair in x[3] for p in pair]} - bare.keys() - {""})
-        bare.update(zip(new, self._lines(new), strict=True))
-        bare[""] = b""
-        width = self.ids.itemsize  # the ids of marks after a word are those after a line end without the line end's
-        joined = [words[w] + bare[m][width:] + b"".join([bare[a] + bare[b][width:] for a, b in lines]) for _, w, m, lines in several]
-        self.known.update(zip(single, self._add([words[w] for w in single]), strict=True))
-        self.known.update(zip([x[0] for x in several], self._add(joined), strict=True))
-        self.known.update(zip(other, self._add(self._spaced(other)), strict=True))
-
-    def _entries(self, coded: pa.DictionaryArray, heads: np.ndarray) -> np.ndarray:
-        """The entry of each chunk; those at ``heads`` begin a text and have no space before them."""
+    def _keep(self, pieces: list[str], found: list[np.ndarray]) -> None:
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        self.known.update(zip(pieces, self._add(np.concatenate(found), size), strict=True))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes new pieces, many in a text: those with a space before them begin at a token that begins with one, others follow a line end."""
+        kinds: dict[str | None, list[str]] = {" ": [], "": [], None: []}
+        for piece in pieces:
+            found = _PIECE(piece)
+            kinds[found and found[1]].append(piece)
+        for kind, between in ((" ", ""), ("", "\n")):
+            for at in range(0, len(kinds[kind]), JOINED):
+                part = kinds[kind][at : at + JOINED]
+                flat = self._whole([between + between.join(part)])[0]
+                begins = self.spaced[flat] if kind else flat == self.line_end
+                begin = np.flatnonzero(begins)
+                if len(begin) != len(part) or begin[0]:
+                    self._keep(part, self._whole(part))
+                    continue
+                size = np.diff(begin, append=len(flat))
+                self.known.update(zip(part, self._add(flat, size) if kind else self._add(flat[~begins], size - 1), strict=True))
+        if kinds[None]:
+            self._keep(kinds[None], self._whole(kinds[None]))
+
+    def _entries(self, coded: pa.DictionaryArray) -> np.ndarray:
+        """The entry of each piece."""
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.known.get, distinct))
         if None in found:
@@ -141,48 +182,44 @@ class ChunkEncoder:
             self._learn([distinct[k] for k in new])
             for k in new:
                 found[k] = self.known[distinct[k]]
-        codes = np.asarray(coded.indices)
-        entry = np.array(found, dtype=np.int64)[codes]
-        entry[heads] = self._add(self._whole([distinct[k] for k in codes[heads].tolist()]))
-        return entry
+        entries = np.array(found, dtype=np.int32)
+        self.seen[entries] += 1
+        return entries[np.asarray(coded.indices)]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, number of ids of each); null is an empty text."""
-        if self.entries > REMEMBERED:
-            self.clear()
+        if self.entries > REMEMBERED or self.used > 16 * REMEMBERED:
+            self.trim()
         texts = column.fill_null("").cast(pa.large_string())
-        found = pc.split_pattern(texts, " ")
-        many = np.asarray(found.value_lengths()).astype(np.int64)
-        row, coded = np.repeat(np.arange(len(many)), many), found.flatten().dictionary_encode()
-        # a chunk that is empty, begins or ends with white space needs the closer split, and a special string the library's own
-        size = pc.binary_length(coded.dictionary)
-        odd = pc.or_(pc.equal(size, 0), pc.less(pc.binary_length(pc.utf8_trim_whitespace(coded.dictionary)), size))
-        for special in self.specials:
-            odd = pc.or_(odd, pc.match_substring(coded.dictionary, special))
-        odd = odd.to_numpy(zero_copy_only=False)
-        whole = np.zeros(len(many), dtype=bool)
-        whole[row[odd[np.asarray(coded.indices)]]] = True
-        easy = ~whole[row]
-        kept = np.where(whole, 0, many)
-        ends = np.cumsum(kept)
-        entry = [self._entries(coded.filter(pa.array(easy)) if whole.any() else coded, (ends - kept)[~whole])]
-        strings = texts.filter(pa.array(whole)).to_pylist()
-        special = [bool(self.special(t)) for t in strings]
-        split = [[t] if s else _AWKWARD_SPLIT(t) for t, s in zip(strings, special, strict=True)]
-        if strings:
-            kept[whole] = list(map(len, split))
-            flat = pa.array([c for part in split for c in part], pa.large_string()).dictionary_encode()
-            entry.append(self._entries(flat, np.cumsum(kept[whole]) - kept[whole]))
-            order = np.argsort(np.concatenate([row[easy], np.repeat(np.flatnonzero(whole), kept[whole])]), kind="stable")
-            entry = [np.concatenate(entry)[order]]
-        ends = np.cumsum(kept)
-        entry = np.insert(entry[0], ends, 0)
+        _, offsets, values = texts.buffers()
+        offsets = np.frombuffer(offsets, dtype="<i8")[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(values or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        kinds = np.full(len(data) + 2, _WHITE, dtype=np.uint8)
+        kinds[1:-1] = byte_classes(data)
+        found = np.frombuffer((kinds[:-2] + kinds[1:-1] * _CLASSES + kinds[2:] * _CLASSES**2).tobytes().translate(_BREAK), dtype=np.uint8)
+        begins = (found & 1).astype(bool)
+        begins[1:] |= found[:-1] > 1
+        for row in np.flatnonzero(self._special(texts)):
+            begins[offsets[row] : offsets[row + 1]] = False
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.searchsorted(starts, offsets[1:])
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)])
+        entry = np.insert(self._entries(pieces.dictionary_encode()), ends, 0)
         size = self.size[entry].astype(np.int32)
         to = np.cumsum(size, dtype=np.int64)
         at = np.repeat((self.start[entry] - to + size).astype(np.int32), size)
         at += np.arange(len(at), dtype=np.int32)
         return self.ids[at], np.diff(to[ends + np.arange(len(ends))], prepend=0)
 
+    def _special(self, texts: pa.Array) -> np.ndarray:
+        """Whether a text has one of the vocabulary's special strings."""
+        found = np.zeros(len(texts), dtype=bool)
+        for special in self.specials:
+            found |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        return found
+
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Optimal prefix code lengths of at most ``limit`` bits for positive counts (package-merge)."""
@@ -246,29 +283,41 @@ class Code:
 
 def pack(ids: np.ndarray, bits: np.ndarray, lengths: np.ndarray) -> tuple[bytes, bytes]:
     """(code bits, bit offsets of every ``EVERY``-th id) of a block's ids; codes have at most 25 bits."""
+    if not len(ids):
+        return b"", b""
     n = lengths[ids]
     ends = np.cumsum(n)
     at = ends - n
-    total = int(ends[-1]) if len(ids) else 0
-    held = bits[ids] << (32 - n - (at & 7)).astype(np.uint64)  # a code touches at most four bytes
-    first, out = at >> 3, np.zeros((total >> 3) + 8)
-    for k in range(4):  # codes share no bit, so adding is or-ing
-        out += np.bincount(first + k, weights=((held >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(float), minlength=len(out))[: len(out)]
-    return out[: (total + 7) >> 3].astype(np.uint8).tobytes(), at[::EVERY].astype("<u8").tobytes()
+    held = bits[ids] << (64 - n - (at & 31)).astype(np.uint64)  # from the begin of the 32-bit word that the code begins in into the next
+    first = np.flatnonzero(np.diff(at >> 5, prepend=-1))  # a code begins in every word, but for a last one
+    out = np.zeros(len(first) + 1, dtype=np.uint64)  # codes share no bit, so adding is or-ing
+    out[:-1] = np.add.reduceat(held >> np.uint64(32), first)
+    out[1:] += np.add.reduceat(held & np.uint64(0xFFFFFFFF), first)
+    return out.astype(">u4").tobytes()[: (int(ends[-1]) + 7) >> 3], at[::EVERY].astype("<u8").tobytes()
 
 
 def unpack(payload: bytes, offsets: bytes, n_ids: int, symbol: np.ndarray, length: np.ndarray, limit: int) -> np.ndarray:
     """The ids of a block."""
-    raw = np.frombuffer(payload + b"\0" * 8, dtype=np.uint8).astype(np.uint64)
-    word = raw[:-3] << np.uint64(24) | raw[1:-2] << np.uint64(16) | raw[2:-1] << np.uint64(8) | raw[3:]
-    at = np.frombuffer(offsets, dtype="<u8").astype(np.int64)
-    out, mask, last = np.zeros((EVERY, len(at)), dtype=np.uint32), np.uint64((1 << limit) - 1), len(word) - 1
+    return unpack_all([payload], [offsets], [n_ids], symbol, length, limit)[0]
+
+
+def unpack_all(payloads: list[bytes], offsets: list[bytes], n_ids: list[int], symbol: np.ndarray, length: np.ndarray, limit: int) -> list[np.ndarray]:
+    """The ids of each block; the stretches of all blocks are decoded side by side."""
+    raw = np.frombuffer(b"".join([*payloads, b"\0" * 8]), dtype=np.uint8).astype(np.uint32)
+    word = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
+    begin = np.cumsum([0, *map(len, payloads)]) * 8
+    starts = [np.frombuffer(x, dtype="<u8").astype(np.int64) + b for x, b in zip(offsets, begin, strict=False)]
+    at, both = np.concatenate(starts), (symbol.astype(np.int64) << 6) | length
+    out, mask = np.zeros((EVERY, len(at)), dtype=np.uint32), np.uint32((1 << limit) - 1)
     for step in range(EVERY):
-        where = np.minimum(at >> 3, last)
-        window = ((word[where] >> (32 - limit - (at & 7)).astype(np.uint64)) & mask).astype(np.int64)
-        out[step] = symbol[window]
-        at = at + length[window]
-    return out.T.reshape(-1)[:n_ids]
+        window = word.take(at >> 3, mode="clip")
+        window >>= (32 - limit - (at & 7)).astype(np.uint32)
+        window &= mask
+        found = both[window]
+        out[step] = found >> 6
+        at += found & 63
+    cuts = np.cumsum([0, *map(len, starts)])
+    return [out[:, a:b].T.reshape(-1)[:n] for a, b, n in zip(cuts, cuts[1:], n_ids, strict=False)]
 
 
 #: Encoders of this worker process, kept between its tasks.
@@ -289,7 +338,7 @@ def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, ChunkEncoder(vocabulary))
-        total = np.zeros(max(len(encoder.starts), END_ID + 1), dtype=np.int64)
+        total = np.zeros(max(len(encoder.spaced), END_ID + 1), dtype=np.int64)
         names = ["counted", "doc_id", "ids"]
         for batch in batches:
             sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64) + 64)
@@ -377,9 +426,16 @@ def read_documents(blocks: DataFrame, code: Code) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, length = code.decoder()
+
+        def decoded(batch: pa.RecordBatch) -> Iterator[tuple]:
+            total = np.cumsum(batch.column(1).to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff((total - 1) // (SIDE_BY_SIDE * BLOCK_IDS))) + 1).tolist(), batch.num_rows]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                start, n, docs, known, sizes, offsets, payload = [c.to_pylist() for c in batch.slice(at, to - at).columns]
+                yield from zip(start, docs, known, sizes, unpack_all(payload, offsets, n, symbol, length, code.limit), strict=True)
+
         for batch in batches:
-            for start, n, docs, known, sizes, offsets, payload in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                ids = unpack(payload, offsets, n, symbol, length, code.limit)
+            for start, docs, known, sizes, ids in decoded(batch):
                 ends = np.cumsum(np.frombuffer(sizes, dtype="<u8").astype(np.int64))
                 begins = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins, ends, strict=True)]

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -66,3 +67,52 @@ def test_blocks_decode_by_themselves():
     payload, offsets = huffman.pack(ids, *code.tables())
     assert np.array_equal(huffman.unpack(payload, offsets, len(ids), *code.decoder(), code.limit), ids)
     assert len(offsets) == 8 * -(-5000 // huffman.EVERY)
+
+
+def library_ids(texts):
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+
+
+def encoded(encoder, texts):
+    ids, many = encoder.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])]
+
+
+def test_pieces_of_random_texts_against_the_library():
+    signs = [*" \n\t\r\x0b\x1c\x85\xa0 ᠎    　", *"aZé×÷ßȿɀǅ日かß", *".,'!-_|<>'\"", *"07²Ⅷ\x00\x7f́–“😀", "'s", "'ll", " a", " é.", "\nB", ".\n", "<|endoftext|>", "  ", "\n\n"]
+    draw = np.random.default_rng(5)
+    texts = ["".join(signs[k] for k in draw.integers(0, len(signs), draw.integers(0, 14))) for _ in range(6000)] + [None, "", " ", "\n"]
+    encoder = huffman.ChunkEncoder(VOCABULARY)
+    assert encoded(encoder, texts) == library_ids(texts)
+    assert encoded(encoder, texts[::-1]) == library_ids(texts)[::-1]
+    assert encoded(encoder, []) == [[]] and encoded(encoder, [None, ""]) == [[0], [0]]
+
+
+def test_a_word_is_remembered_once_whatever_stands_around_it():
+    words, around = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)], [",", ".", "!", "?!", ".\nThe", ":", ";", ")", "]", "..."]
+    text = " ".join(w + a for a in around for w in words)
+    encoder = huffman.ChunkEncoder(VOCABULARY)
+    assert encoded(encoder, [text]) == library_ids([text])
+    assert len(encoder.known) <= len(words) + len(around) + 5
+
+
+def test_pieces_of_several_parts_outlive_a_trim(monkeypatch):
+    encoder = huffman.ChunkEncoder(VOCABULARY)
+    for texts in (["an often once"], ["x often, twice"]):
+        encoded(encoder, texts)
+    encoder.trim()
+    assert set(encoder.known) == {" often"}
+    monkeypatch.setattr(huffman, "REMEMBERED", 3)
+    for texts in (["a b c d"], ["c d e f"], ["a d"], ["d"]) * 3:
+        assert encoded(encoder, texts) == library_ids(texts)
+
+
+def test_blocks_are_decoded_side_by_side():
+    draw = np.random.default_rng(4)
+    blocks = [np.minimum(draw.geometric(0.01, n), 60_000) for n in (1, 127, 128, 129, 40_000)]
+    symbols, counts = np.unique(np.concatenate(blocks), return_counts=True)
+    code = huffman.Code.of(symbols, counts)
+    packed = [huffman.pack(b, *code.tables()) for b in blocks]
+    got = huffman.unpack_all([p for p, _ in packed], [o for _, o in packed], list(map(len, blocks)), *code.decoder(), code.limit)
+    assert all(np.array_equal(a, b) for a, b in zip(got, blocks, strict=True))
