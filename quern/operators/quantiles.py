@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 #: Bytes, as the planner estimates them, of input whose groups are each sorted by one task.
 SORTED = 32 << 20
+#: Groups, a row for each of which is sent to all tasks.
+FEW = 10_000
 #: Smallest value that at least this share of the values doesn't exceed.
 MARKS = {name: (lambda n, p=p: F.ceil(n * p)) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
 UPPER_MEDIAN = {"median": lambda n: F.floor(n / 2) + 1}
@@ -23,8 +25,8 @@ def counted_values(df: DataFrame, keys: list[str], value: str = "v") -> DataFram
 
 def each_value(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """(keys, v, 1) of each value that isn't null, -0.0 as 0.0 like in ``counted_values``; nothing is shuffled to count them."""
-    v = F.col(value)
-    return df.filter(v.isNotNull()).select(*keys, F.when(v == 0, F.lit(0)).otherwise(v).alias("v"), F.lit(1).cast("bigint").alias("n"))
+    v, kind = F.col(value), df.select(value).schema[0].dataType
+    return df.filter(v.isNotNull()).select(*keys, F.when(v == 0, F.lit(0).cast(kind)).otherwise(v).alias("v"), F.lit(1).cast("bigint").alias("n"))
 
 
 def _small(df: DataFrame) -> bool:
@@ -75,6 +77,18 @@ def at_ranks(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[Col
     return _in_buckets(counted, keys, ranks, few)
 
 
+def ranked(df: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]], value: str = "v") -> DataFrame:
+    """``at_ranks`` of the values of a column that aren't null.
+
+    Values of small inputs are counted, as are those of more than ``FEW`` groups; else each row is placed where it is read, and only values in a
+    wanted bucket are shuffled. The groups of a large input are counted at once.
+    """
+    if _small(df.select(*keys, value)):
+        return at_ranks(counted_values(df, keys, value), keys, ranks)
+    few = not keys or df.filter(F.col(value).isNotNull()).select(*keys).distinct().limit(FEW + 1).count() <= FEW
+    return at_ranks((each_value if few else counted_values)(df, keys, value), keys, ranks, few)
+
+
 def _in_buckets(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]], few_groups: bool) -> DataFrame:
     few = F.broadcast if few_groups or not keys else (lambda df: df)  # without keys: one row of edges, a row for each rank
     group = F.struct(*keys) if keys else F.lit(0)  # a struct of nulls equals another, a null doesn't

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DoubleType, IntegralType, NumericType, TimestampType
 
 from quern.functions.text import fingerprint, is_sql, looks_like_date, rough_shape, to_number
-from quern.operators.quantiles import MARKS, UPPER_MEDIAN, at_ranks, counted_values, each_value
+from quern.operators.quantiles import MARKS, UPPER_MEDIAN, at_ranks, counted_values, each_value, ranked
 from quern.plans.lineage import cut
 
 # Rules over statement shapes (id, confidence, what must match, what must not).
@@ -65,14 +65,14 @@ def analyze_value(df: DataFrame, value: int | str, **rows) -> DataFrame:
     """One row of statistics of the selected rows' value column."""
     chosen = select_rows(df, value, **rows)
     v = chosen.select(number(df, value).alias("v")).filter("v is not null")
-    marks = at_ranks(counted_values(v, []), [], MARKS)
+    marks = ranked(v, [], MARKS)
     return v.agg(*_stats()).crossJoin(F.broadcast(marks)).select("n", "total", "avg", *MARKS, "max")
 
 
 def summarize_by(df: DataFrame, group: str, value: int | str) -> DataFrame:
     """The statistics of a value column in each group."""
     v = df.select(F.col(group), number(df, value).alias("v")).filter("v is not null")
-    marks = at_ranks(counted_values(v, [group]), [group], MARKS).withColumnRenamed(group, "_g")
+    marks = ranked(v, [group], MARKS).withColumnRenamed(group, "_g")
     told = v.groupBy(group).agg(*_stats())
     return told.join(marks, F.col(group).eqNullSafe(F.col("_g"))).select(group, "n", "total", "avg", *MARKS, "max")
 
@@ -190,7 +190,7 @@ def time_window(df: DataFrame, ts: str, key: str) -> DataFrame:
 
 def slow_rows(df: DataFrame, value: str, key: str, factor: float = 2.0, n: int = 10) -> DataFrame:
     """The slowest rows above ``factor`` times the median."""
-    stats = at_ranks(counted_values(df, [], value), [], {"p50": MARKS["p50"]})
+    stats = ranked(df, [], {"p50": MARKS["p50"]}, value)
     above = df.crossJoin(F.broadcast(stats)).filter(F.col(value) > factor * F.col("p50"))
     return above.select(key, value, "p50", F.round(F.col(value) / F.col("p50"), 4).alias("times_p50")).orderBy(F.desc(value), key).limit(n)
 
@@ -240,7 +240,7 @@ def guessed_duration(df: DataFrame, columns: list[str]) -> DataFrame:
     stats = counted.groupBy("column_name").agg(
         F.sum("n").alias("n"), F.count("*").alias("distinct_values"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.min((F.col("v") == F.floor("v")).cast("int")).alias("whole")
     )
-    told = stats.join(falls, "column_name").join(at_ranks(counted, ["column_name"], UPPER_MEDIAN), "column_name")
+    told = stats.join(falls, "column_name").join(at_ranks(counted, ["column_name"], UPPER_MEDIAN, few=True), "column_name")
     serial = (F.col("whole") == 1) & (F.col("distinct_values") > 0.95 * F.col("n"))
     fits = (F.col("n") >= 10) & (F.col("falls") > 0) & ~serial & (F.col("median") > 0) & (F.col("mean") >= 1.2 * F.col("median")) & (F.col("max") > 10 * F.col("mean"))
     return told.select("column_name", "n", F.round(F.col("max") / F.col("mean"), 4).alias("spread"), fits.alias("guessed_duration"), F.lit("spread").alias("basis"))
